@@ -59,3 +59,38 @@ def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice
                                   F.lit(p.velocity_missing_hours))))
     cols = list(txn.columns) + FEATURE_COLUMNS + ([SLICE_COL] if keep_slice else [])
     return out.select(*cols)
+
+
+def rolling_features(txn: DataFrame, days: int, params: Params = DEFAULT_PARAMS, ties: str = "all") -> DataFrame:
+    """Rolling count, sum and mean over ``(t - days, t]`` per customer.
+
+    ``ties="all"``: every row tied on ``t`` is in the frame (deterministic).
+    ``ties="ordered"``: tied rows see only peers ordered before them by
+    transaction id (the behaviour of an index-based rolling count); computed as
+    the range count minus later peers inside the same (customer, slice).
+    """
+    w_us = days * US_PER_DAY
+    slice_us = int(params.time_slice_days * US_PER_DAY) if params.time_slice_days else None
+    r = sliced_rolling(
+        txn, ["customer_id"], "timestamp",
+        aggs=[("rolling_count", w_us, lambda w: F.count("transaction_id").over(w)),
+              ("rolling_sum", w_us, lambda w: F.sum("amount").over(w).cast("double")),
+              ("rolling_avg", w_us, lambda w: F.avg(F.col("amount").cast("double")).over(w))],
+        read_cols=["amount", "transaction_id"], slice_us=slice_us)
+    if ties == "ordered":
+        from pyspark.sql import Window
+        peers = Window.partitionBy("customer_id", SLICE_COL, T_COL)
+        later = F.count(F.lit(1)).over(peers) - F.row_number().over(peers.orderBy("transaction_id"))
+        r = r.withColumn("rolling_count", F.col("rolling_count") - later)
+    return r.drop(SLICE_COL, T_COL)
+
+
+def daily_txn_count(txn: DataFrame) -> DataFrame:
+    """Each row with its customer's transaction count on that calendar day.
+
+    Counted by a grouped aggregate (partial before the shuffle) and joined back
+    on (customer, day), so one busy customer-day is not one window task.
+    """
+    day = F.to_date("timestamp")
+    counts = txn.groupBy("customer_id", day.alias("_day")).agg(F.count(F.lit(1)).alias("daily_txn_count"))
+    return (txn.withColumn("_day", day).join(counts, ["customer_id", "_day"], "left").drop("_day"))

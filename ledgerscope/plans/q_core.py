@@ -168,7 +168,7 @@ AGG_CTES = (TXN_CTE, """a AS (
 _AGG_LVL = risk_level_sql('raw', "'high_transaction_frequency'")
 
 
-@register("pipeline_aggregation", with_ctes(f"""SELECT customer_id, transaction_count,
+@register("pipeline_aggregation", with_ctes(f"""SELECT customer_id, transaction_count, transaction_count AS evidence_count,
   round(total_amount, 2) AS total_amount,
   {risk_score_sql('raw', "'high_transaction_frequency'")} AS risk_score, {_AGG_LVL} AS risk_level,
   {action_sql(_AGG_LVL)} AS recommended_action,
