@@ -547,7 +547,7 @@ def q_fn_money_fmt(spark, sf):
 
 @register("fn_extract_amounts", "SELECT customer_id, len(a) AS n_amounts, round(coalesce(list_sum(a), 0.0), 2) AS "
     "sum_amounts FROM (SELECT customer_id, list_transform(regexp_extract_all(explanation, "
-    "'\\$([\\d,]+(?:\\.\\d+)?)', 1), x -> CAST(replace(x, ',', '') AS DOUBLE)) AS a FROM ("
+    "'\\$([\\d,]+(?:\\.\\d+)?)', 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE)) AS a FROM ("
     + _flagship_sql() + ") f) x")
 def q_fn_extract_amounts(spark, sf):
     f = flagship_structuring(txn_view(spark, sf), FIX)
