@@ -80,3 +80,38 @@ def previous_slice_last(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     per_slice = df.groupBy(*keys, SLICE_COL).agg(F.max(T_COL).alias("_slice_last_t"))
     w = Window.partitionBy(*keys).orderBy(SLICE_COL)
     return per_slice.select(*keys, SLICE_COL, F.lag("_slice_last_t").over(w).alias("_prev_slice_last_t"))
+
+
+def last_marker_at_or_before(df: DataFrame, keys: Sequence[str], order_col: str, marker: Column,
+                             out: str, block: int = 1024) -> DataFrame:
+    """For each row, the largest ``order_col`` value of a marker row at or before it within its key.
+
+    Two levels so a hot key is not one task: a running max inside
+    (key, block of ``block`` positions), completed from a per-block summary
+    (one row per key and block) for rows whose block has no earlier marker.
+    """
+    blk = F.floor(F.col(order_col) / F.lit(block)).cast("long")
+    m = F.when(marker, F.col(order_col))
+    base = df.withColumn("_blk", blk).withColumn("_m", m)
+    w_in = Window.partitionBy(*keys, "_blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    inside = base.withColumn("_in", F.max("_m").over(w_in))
+    per_block = base.groupBy(*keys, "_blk").agg(F.max("_m").alias("_bm"))
+    w_prev = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_block.select(*keys, "_blk", F.max("_bm").over(w_prev).alias("_carry"))
+    return (inside.join(carry, [*keys, "_blk"], "left")
+            .withColumn(out, F.coalesce(F.col("_in"), F.col("_carry"))).drop("_blk", "_m", "_in", "_carry"))
+
+
+def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, block_col: str | None = None,
+                  block: int = 1024) -> DataFrame:
+    """Top ``n`` rows per key by ``order`` in two stages (per key and block, then per key).
+
+    The first stage splits a hot key over blocks of its ``block_col`` values and
+    keeps at most ``n`` rows per block, so the second stage sees a bounded set.
+    """
+    if block_col is not None:
+        b = df.withColumn("_tb", F.floor(F.col(block_col) / F.lit(block)))
+        w1 = Window.partitionBy(*keys, "_tb").orderBy(*order)
+        df = b.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n).drop("_tb", "_r1")
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= n)
