@@ -177,7 +177,9 @@ def report_texts(feedback: DataFrame) -> DataFrame:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    reports.select("report_name", "content").write.mode("append").partitionBy("report_name").text(path)
+    """One text file per report (directory per name); the writer adds the final line break itself."""
+    (reports.select("report_name", F.regexp_replace("content", "\n$", "").alias("content"))
+     .write.mode("append").partitionBy("report_name").text(path))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
