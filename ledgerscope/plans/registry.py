@@ -23,4 +23,4 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     # Importing the modules registers their queries.
-    from ledgerscope.plans import q_core, q_graph, q_io, q_ml, q_more, q_text  # noqa: F401
+    from ledgerscope.plans import q_core, q_graph, q_io, q_ml, q_more, q_stream, q_text  # noqa: F401

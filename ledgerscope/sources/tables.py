@@ -27,7 +27,11 @@ def _cust_id(col) -> F.Column:
 
 def txn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions from ``events`` with country / segment from ``customer`` and ``nation``."""
-    ev = table(spark, sf_dir, "events")
+    return txn_from_events(table(spark, sf_dir, "events"), spark, sf_dir)
+
+
+def txn_from_events(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transaction columns over an events table or stream (stream-static join for demographics)."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     ttype = F.lit(None).cast("string")
