@@ -50,6 +50,9 @@ def currency_short(c: Column) -> Column:
              .otherwise(F.format_string("$%.2f", x)))
 
 
+# Fixed value: the reporting threshold quoted verbatim by the structuring template.
+TEMPLATE_THRESHOLD = 10000.0
+
 # Fixed value: the dollar-amount pattern used to fact-check explanation texts.
 DOLLAR_PATTERN = r"\$([\d,]+(?:\.\d+)?)"
 

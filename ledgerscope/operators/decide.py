@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.exprs import action_for, dollar_amounts, explanation, forced_pattern, risk_level
+from ledgerscope.functions.exprs import (TEMPLATE_THRESHOLD, action_for, dollar_amounts, explanation,
+                                         forced_pattern, risk_level)
 from ledgerscope.params import DEFAULT_PARAMS, Params
 
 
@@ -42,8 +43,8 @@ def verify_results(flagged: DataFrame, evidence: DataFrame, txn: DataFrame, para
 
     An amount passes if it equals (2 dp) the amount of one evidence row of the
     customer or the sum of them. Customers without evidence rows are not
-    fact-checked. ``strict=False`` also accepts the reporting threshold itself,
-    which the structuring template quotes; ``strict=True`` does not.
+    fact-checked. ``strict=False`` also accepts the reporting threshold the
+    structuring template quotes verbatim ($10,000); ``strict=True`` does not.
     Evidence is joined, never collected: one row per (customer, quoted amount).
     """
     lvl = risk_level(F.col("risk_score"), params)
@@ -62,7 +63,7 @@ def verify_results(flagged: DataFrame, evidence: DataFrame, txn: DataFrame, para
                .select(quoted.customer_id.alias("customer_id"), "_q", "_q_hit", "_ev_sum"))
     ok = F.col("_q_hit").isNotNull() | (F.round(F.col("_q"), 2) == F.col("_ev_sum"))
     if not strict:
-        ok = ok | (F.col("_q") == F.lit(params.structuring_threshold))
+        ok = ok | (F.col("_q") == F.lit(TEMPLATE_THRESHOLD))
     bad_amounts = checked.filter(~ok).select("customer_id").distinct().withColumn("_bad_amount", F.lit(True))
     out = base.join(bad_amounts, "customer_id", "left")
     level_ok = F.col("risk_level") == F.col("_expected_level")

@@ -173,6 +173,12 @@ def q_sink_report_text(spark, sf):
     return io.report_texts(feedback_view(spark, sf)).select("report_name", "content")
 
 
+@register("fn_report_text", _REPORT_SQL.replace("SELECT 'SAR_' || customer_id || '_1706745600' AS report_name,",
+                                                 "SELECT customer_id,"))
+def q_fn_report_text(spark, sf):
+    return io.report_texts(feedback_view(spark, sf)).select("customer_id", "content")
+
+
 @register("src_report_list", _REPORT_SQL)
 def q_src_report_list(spark, sf):
     p = io.scratch_path(spark, "reports")

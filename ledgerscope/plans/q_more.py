@@ -650,19 +650,59 @@ def q_pipeline_entity(spark, sf):
     return pipeline_entity(txn_view(spark, sf), _requested(spark, sf), FIX)
 
 
-@register("verify_results")
-def q_verify_results(spark, sf):
-    """Fact-check of the flagship output (rows only: the check is a join over quoted amounts)."""
+_VERIFY_SELECT = """
+, f AS (SELECT * FROM (""" + "{flagship}" + """) x),
+ev_amt AS (SELECT DISTINCT ev.customer_id, round(CAST(t.amount AS DOUBLE), 2) AS amt FROM ev JOIN txn t
+           ON ev.transaction_id = t.transaction_id),
+ev_sum AS (SELECT ev.customer_id, round(sum(round(CAST(t.amount AS DOUBLE), 2)), 2) AS s FROM ev JOIN txn t
+           ON ev.transaction_id = t.transaction_id GROUP BY 1),
+quoted AS (SELECT customer_id, CAST(replace(unnest(regexp_extract_all(explanation, '\\$([\\d,]+(?:\\.\\d+)?)', 1)),
+                  ',', '') AS DOUBLE) AS q FROM f),
+bad AS (SELECT DISTINCT q.customer_id FROM quoted q JOIN ev_sum s ON q.customer_id = s.customer_id
+        WHERE NOT EXISTS (SELECT 1 FROM ev_amt a WHERE a.customer_id = q.customer_id AND a.amt = round(q.q, 2))
+          AND round(q.q, 2) <> s.s AND q.q <> 10000.0),
+chk AS (SELECT f.*, CASE WHEN coalesce(lower(pattern_matched) IN ('structuring','smurfing','layering'), false)
+                          AND risk_score <= 30.0 THEN 'Medium' ELSE {level} END AS exp_level,
+               f.customer_id IN (SELECT customer_id FROM bad) AS has_bad FROM f),
+fx AS (SELECT *, CASE WHEN exp_level IN ('High','Critical') AND recommended_action = 'monitor' THEN 'report'
+                      WHEN exp_level = 'Low' AND recommended_action = 'report' THEN 'monitor'
+                      ELSE recommended_action END AS fixed_action FROM chk)
+SELECT customer_id, exp_level AS risk_level, fixed_action AS recommended_action, risk_level = exp_level AS level_ok,
+       fixed_action = recommended_action AS action_ok, NOT has_bad AS amounts_ok,
+       risk_level = exp_level AND fixed_action = recommended_action AND NOT has_bad AS item_passed FROM fx"""
+
+
+def _verify_sql():
+    from ledgerscope.plans.sqlparts import level_sql
+    flag = _flagship_sql()
+    head = flag[: flag.index("\nSELECT customer_id, agreement, verdict")]
+    body = flag[flag.index("\nSELECT customer_id, agreement, verdict"):]
+    return head + _VERIFY_SELECT.replace("{flagship}", body).replace("{level}", level_sql("risk_score"))
+
+
+def _verify(spark, sf):
+    from ledgerscope.operators.consensus import consensus_evidence
+    from ledgerscope.plans.pipelines import model_evidence
     txn = txn_view(spark, sf)
     flagged = flagship_structuring(txn, FIX)
     hits = detect_structuring(txn, FIX)
-    ev = structuring_evidence(txn, hits, FIX)
+    ml = score_threshold_flag(customer_scores_minmax(compute_features(txn, FIX)), FIX)
+    ev = consensus_evidence(structuring_evidence(txn, hits, FIX), model_evidence(txn, ml))
     return verify_results(flagged, ev, txn, FIX)
 
 
-@register("verification_status")
+@register("verify_results", _verify_sql())
+def q_verify_results(spark, sf):
+    """Fact-check of the flagship output against the evidence of each item (join over quoted amounts)."""
+    return _verify(spark, sf).select("customer_id", "risk_level", "recommended_action", "level_ok", "action_ok",
+                                     "amounts_ok", "item_passed")
+
+
+@register("verification_status", "SELECT count(*) AS items_audited, coalesce(bool_and(item_passed), true) AS "
+          "all_passed, CASE WHEN coalesce(bool_and(item_passed), true) THEN 'Passed' ELSE 'Needs Review' END AS "
+          "status FROM (" + _verify_sql() + ") v")
 def q_verification_status(spark, sf):
-    return verification_status(q_verify_results(spark, sf))
+    return verification_status(_verify(spark, sf))
 
 
 @register("results_table", "SELECT customer_id, printf('%.1f', risk_score) AS risk_score, risk_level, "
@@ -673,7 +713,17 @@ def q_results_table(spark, sf):
     return results_table(flagship_structuring(txn_view(spark, sf), FIX))
 
 
-@register("assemble_flagged")
+def _assemble_sql():
+    from ledgerscope.plans.q_core import AGG_CTES, q_pipeline_aggregation  # noqa: F401
+    from ledgerscope.plans.registry import ORACLES
+    cols = "customer_id, pattern_matched, risk_score, risk_level, recommended_action, confidence, trust_score, " \
+           "evidence_count, explanation"
+    parts = [("entity_lookup", ORACLES["pipeline_entity"]), ("aggregation_rule", ORACLES["pipeline_aggregation"]),
+             ("consensus", _flagship_sql())]
+    return " UNION ALL ".join(f"SELECT '{m}' AS mode, {cols} FROM ({sql}) x" for m, sql in parts)
+
+
+@register("assemble_flagged", _assemble_sql())
 def q_assemble_flagged(spark, sf):
     """Entity, aggregation and consensus items of one run in one table (rows only)."""
     txn = txn_view(spark, sf)

@@ -136,3 +136,16 @@ def q_stream_late_data(spark, sf):
     r = spark.read.parquet(f"{out}/rows")
     return r.groupBy("batch").agg(F.count(F.lit(1)).alias("input_rows"),
                                   F.count_if("late").alias("late_rows"))
+
+
+@register("sink_alert_stream", with_ctes(
+    "SELECT strftime(CAST(timestamp AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, customer_id, "
+    "CAST(amount AS DOUBLE) AS amount, 'Sudden volume spike detected' AS reason FROM txn WHERE amount > 10000",
+    TXN_CTE))
+def q_sink_alert_stream(spark, sf):
+    """Alert rows appended by the stream to a JSON-lines sink, read back as the alert log."""
+    from ledgerscope.sources.files import TS_FORMAT, read_alerts
+    alerts = jobs.spike_alerts(jobs.txn_stream(spark, sf)).select(
+        F.date_format("timestamp", TS_FORMAT).alias("timestamp"), "customer_id", "event_type", "amount", "reason")
+    out = _run(spark, alerts, "alert-log", fmt="json")
+    return read_alerts(spark, f"{out}/data").select("timestamp", "customer_id", "amount", "reason")
