@@ -84,7 +84,18 @@ def agg_kpis(txn: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def agg_customer_features(features: DataFrame) -> DataFrame:
-    """Seven model features per customer; nulls -> 0."""
+    """Seven model features per customer; nulls -> 0.
+
+    With ``structuring_window_count`` present (see ``compute_features``) the
+    same aggregation also yields the structuring statistics: just-under row
+    count and total, and the largest rolling count among just-under rows.
+    """
+    extra = []
+    if "structuring_window_count" in features.columns:
+        ju = F.col("is_just_under_threshold")
+        extra = [F.count_if(ju).alias("n_just_under"),
+                 F.sum(F.when(ju, F.col("amount"))).alias("just_under_total"),
+                 F.max(F.when(ju, F.col("structuring_window_count"))).alias("max_structuring_count")]
     f = (features.groupBy("customer_id")
          .agg(F.avg(F.col("amount").cast("double")).alias("amount_mean"),
               F.max(F.col("amount").cast("double")).alias("amount_max"),
@@ -93,8 +104,8 @@ def agg_customer_features(features: DataFrame) -> DataFrame:
               F.max("rolling_30d_sum").alias("max_rolling_30d_sum"),
               F.max("amount_zscore_vs_customer_avg").alias("max_zscore"),
               F.min("velocity_hours_since_last_txn").alias("min_velocity_hours"),
-              F.count("transaction_id").alias("n_txn")))
-    return f.na.fill(0.0)
+              F.count("transaction_id").alias("n_txn"), *extra))
+    return f.na.fill(0.0, subset=FEATURE_VECTOR)
 
 
 FEATURE_VECTOR = ["amount_mean", "amount_max", "amount_sum", "max_rolling_7d_count", "max_rolling_30d_sum",

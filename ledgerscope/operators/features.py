@@ -28,21 +28,28 @@ def customer_amount_stats(txn: DataFrame) -> DataFrame:
                         .otherwise(F.col("_std")).alias("amount_std")))
 
 
-def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice: bool = False) -> DataFrame:
+def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice: bool = False,
+                     structuring_count: bool = False) -> DataFrame:
     """The feature table: input rows plus the five feature columns.
 
     Rolling frames are half-open ``(t - w, t]`` and include all rows tied on
     ``t``; velocity takes the previous row in (time, transaction id) order.
     One shuffle on (customer, time slice) carries all windows.
+    ``structuring_count=True`` adds ``structuring_window_count``: just-under rows
+    in ``(t - structuring window, t]``, from the same window pass.
     """
     p = params
     short_us = p.rolling_short_days * US_PER_DAY
     long_us = p.rolling_long_days * US_PER_DAY
     slice_us = int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else None
+    aggs = [("rolling_7d_count", short_us, lambda w: F.count("transaction_id").over(w)),
+            ("rolling_30d_sum", long_us, lambda w: F.sum("amount").over(w).cast("double"))]
+    if structuring_count:
+        ju = F.when(just_under(F.col("amount"), p), F.lit(1)).otherwise(F.lit(0))
+        aggs.append(("structuring_window_count", p.structuring_window_days * US_PER_DAY,
+                     lambda w: F.sum(ju).over(w).cast("long")))
     rolled = sliced_rolling(
-        txn, ["customer_id"], "timestamp",
-        aggs=[("rolling_7d_count", short_us, lambda w: F.count("transaction_id").over(w)),
-              ("rolling_30d_sum", long_us, lambda w: F.sum("amount").over(w).cast("double"))],
+        txn, ["customer_id"], "timestamp", aggs=aggs,
         read_cols=["amount", "transaction_id"], lag_cols=[("_lag_t", T_COL)],
         tiebreak="transaction_id", slice_us=slice_us)
     prev = previous_slice_last(rolled, ["customer_id"])
@@ -57,7 +64,8 @@ def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice
            .withColumn("velocity_hours_since_last_txn",
                        F.coalesce((F.col(T_COL) - prev_t).cast("double") / F.lit(float(US_PER_HOUR)),
                                   F.lit(p.velocity_missing_hours))))
-    cols = list(txn.columns) + FEATURE_COLUMNS + ([SLICE_COL] if keep_slice else [])
+    cols = (list(txn.columns) + FEATURE_COLUMNS + (["structuring_window_count"] if structuring_count else [])
+            + ([SLICE_COL] if keep_slice else []))
     return out.select(*cols)
 
 

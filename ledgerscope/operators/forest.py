@@ -184,8 +184,12 @@ def detect_anomaly(customer_features: DataFrame, params: Params = DEFAULT_PARAMS
     Output: customer_id, ml_score (3 dp), anomaly_flag, top_features, attribution.
     """
     from ledgerscope.operators.scoring import feature_tags, minmax_scale
+    from ledgerscope.session import cut_lineage
 
-    cf = customer_features
+    # fit, score, tags and the count all read the customer table: materialise it once
+    cols = ["customer_id", *(features or FEATURE_VECTOR)]
+    cols += [c for c in ("max_zscore", "max_rolling_7d_count", "amount_max") if c not in cols]
+    cf = cut_lineage(customer_features.select(*cols))
     nodes = fit_forest(cf, features, params)
     scored = score_forest(cf, nodes, features)
     norm = minmax_scale(scored, "raw_score", "score")

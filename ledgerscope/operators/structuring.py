@@ -60,3 +60,18 @@ def structuring_evidence(txn: DataFrame, hits: DataFrame, params: Params = DEFAU
 def structuring_for_customers(txn: DataFrame, customers: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Structuring restricted to the requested customers (semi-join first, then the rule)."""
     return detect_structuring(txn.join(customers.select("customer_id"), "customer_id", "left_semi"), params)
+
+
+def structuring_from_customers(customers: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """Rule hits from the per-customer table of ``agg_customer_features`` (features with the structuring count).
+
+    Same hits as ``detect_structuring`` without another pass over the rows.
+    """
+    p = params
+    return (customers.filter(F.col("max_structuring_count") >= p.structuring_min_count)
+            .select("customer_id", F.lit("structuring").alias("rule_fired"),
+                    F.col("n_just_under").alias("txn_count"),
+                    F.round(F.col("just_under_total"), 2).cast("double").alias("total_amount"),
+                    F.round(F.least(F.lit(100.0), F.lit(70.0) + F.col("max_structuring_count") * 3.0), 1)
+                     .alias("rule_score"),
+                    F.col("max_structuring_count").alias("max_window_count")))

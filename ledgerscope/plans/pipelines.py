@@ -42,17 +42,36 @@ def flagship_structuring(txn: DataFrame, params: Params = DEFAULT_PARAMS,
                          scored_customers: DataFrame | None = None) -> DataFrame:
     """Features -> structuring -> model hits -> consensus -> gate -> risk -> action -> explanation.
 
-    ``scored_customers``: customer features with a ``score`` column (0..1), e.g.
-    the forest output; by default a min-max of ``amount_max``.
+    The rows are shuffled once (the feature windows, which also count the
+    structuring window) and aggregated once per customer; rule hits, model
+    scores, consensus and evidence counts are then computed on the customer
+    table. Evidence of an item is the distinct union of its rule evidence
+    (just-under rows) and model evidence (all rows of the customer), so its size
+    is the row count with a model hit and the just-under count otherwise.
+
+    ``scored_customers``: (customer_id, score 0..1), e.g. the forest output; by
+    default a min-max of ``amount_max``.
     """
-    feats = compute_features(txn, params)
-    hits = detect_structuring(txn, params)
-    rule_ev = structuring_evidence(txn, hits, params)
-    scored = scored_customers if scored_customers is not None else customer_scores_minmax(feats)
+    from ledgerscope.operators.structuring import structuring_from_customers
+
+    from ledgerscope.session import cut_lineage
+
+    feats = compute_features(txn, params, structuring_count=True)
+    cf = cut_lineage(agg_customer_features(feats))  # one row per customer, read by every branch below
+    hits = structuring_from_customers(cf, params)
+    if scored_customers is None:
+        scored = minmax_scale(cf, "amount_max")
+    else:
+        scored = cf.join(scored_customers.select("customer_id", "score"), "customer_id")
     ml = score_threshold_flag(scored, params)
-    cons = compute_consensus(hits, ml).join(ml.select("customer_id", "top_features"), "customer_id", "left")
-    ev = consensus_evidence(rule_ev, model_evidence(txn, ml))
-    out = decide_consensus(cons, ev, params)
+    counts = cf.select("customer_id", "n_txn", "n_just_under")
+    cons = (compute_consensus(hits, ml).join(ml.select("customer_id", "top_features"), "customer_id", "left")
+            .join(counts, "customer_id", "left")
+            .withColumn("evidence_count", F.when(F.col("has_ml"), F.col("n_txn"))
+                        .when(F.col("has_rule"), F.col("n_just_under")).otherwise(F.lit(0))))
+    g = recommend_action(classify_risk(flag_gate(cons), params))
+    g = g.withColumn("confidence", F.round(F.least(F.lit(100.0), F.col("trust_score") + 5.0), 1))
+    out = explain_template(g, "evidence_count", "rule_total_amount")
     return out.select("customer_id", "agreement", "verdict", "pattern_matched", "rule_score", "ml_score",
                       "risk_score", "risk_level", "recommended_action", "confidence", "trust_score",
                       "evidence_count", F.array_join("top_features", ",").alias("top_features"), "explanation")

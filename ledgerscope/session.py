@@ -57,6 +57,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise a table in the shared checkpoint folder and read it back (survives executor loss).
+
+    Used for an intermediate table that several branches of one plan read:
+    otherwise column pruning gives every branch its own, different copy of the
+    upstream work and none of it is shared.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex[:16]}"
+    # A written table: computed once (checkpoint() would evaluate the plan twice
+    # unless persisted), columnar, and readable after any executor is lost.
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
