@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.filters import filter_transfers
+from ledgerscope.session import cut_lineage
 
 
 def account_owners(txn: DataFrame) -> DataFrame:
@@ -49,11 +50,14 @@ def node_summary(edges: DataFrame) -> DataFrame:
     return first.join(second, "src", "left")
 
 
-def detect_layering(edges: DataFrame, score: float = 85.0) -> DataFrame:
+def detect_layering(edges: DataFrame, score: float = 85.0, materialize: bool = True) -> DataFrame:
     """Customers that start a simple path of two transfers; chain = lexicographically least such path.
 
     One row per originator: chain ``a->b->c``, the two evidence transaction ids, score.
+    The edge table is read five times, so it is written once first (``materialize``).
     """
+    if materialize:
+        edges = cut_lineage(edges)
     ns = node_summary(edges).select(F.col("src").alias("b"), "r1", "r2")
     cand = (edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
             .join(ns, "b")
@@ -75,12 +79,15 @@ def layering_evidence(edges: DataFrame, hits: DataFrame) -> DataFrame:
     return hits.select("customer_id", F.explode(F.split("supporting_txn_ids", ",")).alias("transaction_id"))
 
 
-def enumerate_chains(edges: DataFrame, min_hops: int = 2, max_hops: int = 4) -> DataFrame:
+def enumerate_chains(edges: DataFrame, min_hops: int = 2, max_hops: int = 4, materialize: bool = True) -> DataFrame:
     """All simple directed paths of ``min_hops..max_hops`` transfers, one row per path.
 
     Built by repeated equi-joins of the frontier with the edge table on
-    ``last node = src``, excluding nodes already on the path.
+    ``last node = src``, excluding nodes already on the path. The edge table is
+    written once (``materialize``) since every hop reads it.
     """
+    if materialize:
+        edges = cut_lineage(edges)
     e = edges.select("src", "dst", "txn_id")
     frontier = e.select(F.array("src", "dst").alias("nodes"), F.array("txn_id").alias("txns"),
                         F.col("dst").alias("_last"))
@@ -100,8 +107,10 @@ def enumerate_chains(edges: DataFrame, min_hops: int = 2, max_hops: int = 4) ->
                       F.array_join("txns", ",").alias("txn_ids"))
 
 
-def detect_cycles(edges: DataFrame, max_len: int = 4) -> DataFrame:
+def detect_cycles(edges: DataFrame, max_len: int = 4, materialize: bool = True) -> DataFrame:
     """Closed transfer cycles of 3..max_len customers, reported once from their least member."""
+    if materialize:
+        edges = cut_lineage(edges)
     e = edges.select("src", "dst", "txn_id")
     frontier = (e.filter(F.col("dst") > F.col("src"))
                 .select(F.col("src").alias("_start"), F.array("src", "dst").alias("nodes"),
