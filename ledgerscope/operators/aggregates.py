@@ -23,13 +23,30 @@ def top_customers(agg: DataFrame, n: int, by: str = "transaction_count") -> Data
     return agg.orderBy(F.col(by).desc(), F.col("customer_id").asc()).limit(n)
 
 
+def exact_median(df: DataFrame, col: str) -> DataFrame:
+    """Exact median of a column as a one-row table, without gathering the values in one task.
+
+    Values are ranked by a range-partitioned sort (``global_row_index``); the
+    one or two middle positions are picked and averaged. Null on empty input.
+    """
+    from ledgerscope.sources.files import global_row_index
+
+    vals = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    n = vals.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = global_row_index(vals, ["_v"], "_pos", start=1).crossJoin(F.broadcast(n))  # one-row count
+    mid = ranked.filter((F.col("_pos") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_pos") == F.ceil((F.col("_n") + 1) / 2)))
+    return mid.agg(F.avg("_v").alias("median"))
+
+
 def agg_summary(txn: DataFrame) -> DataFrame:
     """Count, volume, mean and exact median of amount (rounded 2); zero row on empty input."""
     a = F.col("amount").cast("double")
-    return txn.agg(F.count(F.lit(1)).alias("total_transactions"),
+    base = txn.agg(F.count(F.lit(1)).alias("total_transactions"),
                    F.coalesce(F.round(F.sum("amount").cast("double"), 2), F.lit(0.0)).alias("total_volume"),
-                   F.coalesce(F.round(F.avg(a), 2), F.lit(0.0)).alias("mean_amount"),
-                   F.coalesce(F.round(F.median(a), 2), F.lit(0.0)).alias("median_amount"))
+                   F.coalesce(F.round(F.avg(a), 2), F.lit(0.0)).alias("mean_amount"))
+    med = exact_median(txn, "amount")  # one row
+    return base.crossJoin(med).select("total_transactions", "total_volume", "mean_amount",
+                                      F.coalesce(F.round("median", 2), F.lit(0.0)).alias("median_amount"))
 
 
 def agg_summary_approx(txn: DataFrame, accuracy: int = 10000) -> DataFrame:
@@ -152,14 +169,18 @@ def eval_binary(pred: DataFrame, label: str = "label", prediction: str = "predic
 
 
 def agg_run_totals(flagged: DataFrame, evidence: DataFrame, scanned: DataFrame, list_max: int = 10) -> DataFrame:
-    """Flagged entities, distinct evidence ids, scanned rows, evaluated customers; ids listed if few."""
-    f = flagged.agg(F.count_distinct("customer_id").alias("flagged_entities"),
-                    F.array_join(F.array_sort(F.collect_set(
-                        F.when(F.lit(True), F.col("customer_id")))), ", ").alias("_ids"))
+    """Flagged entities, distinct evidence ids, scanned rows, evaluated customers; ids listed if at most ``list_max``.
+
+    Only the ``list_max + 1`` smallest ids are ever gathered (a top-k), never the whole flagged set.
+    """
+    ids = flagged.select("customer_id").distinct()
+    few = ids.orderBy("customer_id").limit(list_max + 1)
+    f = ids.agg(F.count(F.lit(1)).alias("flagged_entities"))
+    listed = few.agg(F.array_join(F.array_sort(F.collect_list("customer_id")), ", ").alias("_ids"))
     e = evidence.agg(F.count_distinct("transaction_id").alias("evidence_ids"))
     s = scanned.agg(F.count(F.lit(1)).alias("scanned_rows"),
                     F.count_distinct("customer_id").alias("evaluated_customers"))
-    return (f.crossJoin(e).crossJoin(s)
+    return (f.crossJoin(listed).crossJoin(e).crossJoin(s)  # one-row tables
             .select("flagged_entities", "evidence_ids", "scanned_rows", "evaluated_customers",
                     F.when(F.col("flagged_entities") <= list_max, F.col("_ids")).alias("flagged_ids")))
 
