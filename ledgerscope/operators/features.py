@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.exprs import just_under
-from ledgerscope.operators.windows import (SLICE_COL, T_COL, US_PER_DAY, US_PER_HOUR, previous_slice_last,
-                                           sliced_rolling)
+from ledgerscope.operators.windows import (SLICE_COL, T_COL, US_PER_DAY, US_PER_HOUR, rolling_on_slices,
+                                           slice_copies, sliced_rolling, with_slices)
 from ledgerscope.params import DEFAULT_PARAMS, Params
 
 FEATURE_COLUMNS = ["is_just_under_threshold", "amount_zscore_vs_customer_avg", "velocity_hours_since_last_txn",
@@ -28,6 +28,31 @@ def customer_amount_stats(txn: DataFrame) -> DataFrame:
                         .otherwise(F.col("_std")).alias("amount_std")))
 
 
+def slice_summary(sliced: DataFrame) -> DataFrame:
+    """Per (customer, slice): latest time of the nearest earlier slice, and the customer's amount mean / std.
+
+    ``sliced``: the rows with their slice (``with_slices``), before any shuffle:
+    the grouped aggregate is partial before its exchange, so only one partial
+    row per task and slice moves. Mean and sample std are merged from per-slice
+    count, mean and squared deviations (Chan et al.) on the small per-slice
+    table; std null or 0 -> 1.
+    """
+    a = F.col("amount").cast("double")
+    per = (sliced.groupBy("customer_id", SLICE_COL)
+           .agg(F.max(T_COL).alias("_last_t"), F.count(a).alias("_n"), F.avg(a).alias("_m"),
+                (F.var_pop(a) * F.count(a)).alias("_m2")))
+    w_all = Window.partitionBy("customer_id")
+    w_ord = w_all.orderBy(SLICE_COL)
+    per = (per.withColumn("_prev_slice_last_t", F.lag("_last_t").over(w_ord))
+              .withColumn("_n_total", F.sum("_n").over(w_all))
+              .withColumn("amount_mean", F.sum(F.col("_n") * F.col("_m")).over(w_all) / F.col("_n_total")))
+    per = per.withColumn("_m2_total", F.sum(F.coalesce(F.col("_m2"), F.lit(0.0))
+                                      + F.col("_n") * F.pow(F.col("_m") - F.col("amount_mean"), 2)).over(w_all))
+    std = F.when(F.col("_n_total") > 1, F.sqrt(F.greatest(F.col("_m2_total"), F.lit(0.0)) / (F.col("_n_total") - 1)))
+    return per.select("customer_id", SLICE_COL, "_prev_slice_last_t", "amount_mean",
+                      F.when(std.isNull() | (std == 0), F.lit(1.0)).otherwise(std).alias("amount_std"))
+
+
 def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice: bool = False,
                      structuring_count: bool = False) -> DataFrame:
     """The feature table: input rows plus the five feature columns.
@@ -48,13 +73,11 @@ def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice
         ju = F.when(just_under(F.col("amount"), p), F.lit(1)).otherwise(F.lit(0))
         aggs.append(("structuring_window_count", p.structuring_window_days * US_PER_DAY,
                      lambda w: F.sum(ju).over(w).cast("long")))
-    rolled = sliced_rolling(
-        txn, ["customer_id"], "timestamp", aggs=aggs,
-        read_cols=["amount", "transaction_id"], lag_cols=[("_lag_t", T_COL)],
-        tiebreak="transaction_id", slice_us=slice_us)
-    prev = previous_slice_last(rolled, ["customer_id"])
-    stats = customer_amount_stats(txn)
-    per_slice = prev.join(stats, "customer_id", "left")
+    prepared = slice_copies(txn, ["customer_id"], "timestamp", max(a[1] for a in aggs), ["amount", "transaction_id"],
+                            "transaction_id", slice_us)
+    rolled = rolling_on_slices(prepared, ["customer_id"], aggs, lag_cols=[("_lag_t", T_COL)], tiebreak="transaction_id")
+    per_slice = slice_summary(with_slices(txn.select("customer_id", "timestamp", "amount"), "timestamp",
+                                          slice_us or max(a[1] for a in aggs)))
     prev_t = F.coalesce(F.col("_lag_t"), F.col("_prev_slice_last_t"))
     out = (rolled.join(per_slice, ["customer_id", SLICE_COL], "left")
            .withColumn("is_just_under_threshold", just_under(F.col("amount"), p))

@@ -35,23 +35,24 @@ def half_open_range(keys: Sequence[str], order_col: str, length_us: int):
     return Window.partitionBy(*keys).orderBy(order_col).rangeBetween(-(length_us - 1), 0)
 
 
-def sliced_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, aggs: Sequence[RangeAgg],
-                   read_cols: Sequence[str], lag_cols: Sequence[tuple[str, str]] = (),
-                   tiebreak: str | None = None, slice_us: int | None = None) -> DataFrame:
-    """Add rolling range aggregates (and optional previous-row values) per key.
+def with_slices(df: DataFrame, ts_col: str, slice_us: int) -> DataFrame:
+    """Adds the microsecond time and the time-slice number of each row."""
+    return (df.withColumn(T_COL, F.unix_micros(F.col(ts_col)))
+              .withColumn(SLICE_COL, F.floor(F.col(T_COL) / F.lit(int(slice_us))).cast("long")))
 
-    ``read_cols``: columns the frames read (kept on context rows).
-    ``lag_cols``: (output name, column) pairs for the previous row's value in
-    (time, tiebreak) order; null when the previous row lies more than
-    ``ceil(window/slice)`` slices back (callers complete it, see features).
-    The result keeps ``_slice`` (home slice) and ``_t_us``; callers drop them.
+
+def slice_copies(df: DataFrame, keys: Sequence[str], ts_col: str, longest_us: int, read_cols: Sequence[str],
+                 tiebreak: str | None = None, slice_us: int | None = None) -> DataFrame:
+    """Rows with their time slice plus narrow context copies, hash-partitioned on (keys, slice).
+
+    The explicit repartition is the one exchange of the rolling computation;
+    every consumer partitioned by (keys, slice) (windows, per-slice summaries)
+    reads it without another shuffle.
     """
-    longest = max(length for _, length, _ in aggs)
-    slice_us = int(slice_us or longest)
-    copies = int(math.ceil(longest / slice_us))
+    slice_us = int(slice_us or longest_us)
+    copies = int(math.ceil(longest_us / slice_us))
     keep = set(keys) | set(read_cols) | {ts_col} | ({tiebreak} if tiebreak else set())
-    base = (df.withColumn(T_COL, F.unix_micros(F.col(ts_col)))
-              .withColumn(SLICE_COL, F.floor(F.col(T_COL) / F.lit(slice_us)).cast("long")))
+    base = with_slices(df, ts_col, slice_us)
     exploded = base.withColumn(SHIFT_COL, F.explode(F.sequence(F.lit(0), F.lit(copies))))
     # Context copies keep only what the frames read; other columns become null
     # so the shuffle carries narrow rows for them.
@@ -59,8 +60,14 @@ def sliced_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, aggs: Sequen
         *[F.col(c) if c in keep or c in (T_COL, SLICE_COL, SHIFT_COL)
           else F.when(F.col(SHIFT_COL) == 0, F.col(c)).alias(c) for c in exploded.columns]
     ).withColumn(SLICE_COL, F.col(SLICE_COL) + F.col(SHIFT_COL))
+    return narrowed.repartition(*keys, SLICE_COL)
+
+
+def rolling_on_slices(prepared: DataFrame, keys: Sequence[str], aggs: Sequence[RangeAgg],
+                      lag_cols: Sequence[tuple[str, str]] = (), tiebreak: str | None = None) -> DataFrame:
+    """Windows over the output of ``slice_copies``; returns the home rows only (``_slice`` kept)."""
     part = [*keys, SLICE_COL]
-    out = narrowed
+    out = prepared
     order = [T_COL] + ([tiebreak] if tiebreak else [])
     if lag_cols:
         w_rows = Window.partitionBy(*part).orderBy(*order)
@@ -71,6 +78,27 @@ def sliced_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, aggs: Sequen
     return out.filter(F.col(SHIFT_COL) == 0).drop(SHIFT_COL)
 
 
+def home_rows(prepared: DataFrame) -> DataFrame:
+    """The original rows of ``slice_copies`` output (still partitioned on (keys, slice))."""
+    return prepared.filter(F.col(SHIFT_COL) == 0)
+
+
+def sliced_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, aggs: Sequence[RangeAgg],
+                   read_cols: Sequence[str], lag_cols: Sequence[tuple[str, str]] = (),
+                   tiebreak: str | None = None, slice_us: int | None = None) -> DataFrame:
+    """Add rolling range aggregates (and optional previous-row values) per key.
+
+    ``read_cols``: columns the frames read (kept on context rows).
+    ``lag_cols``: (output name, column) pairs for the previous row's value in
+    (time, tiebreak) order; null when the previous row lies more than
+    ``ceil(window/slice)`` slices back (callers complete it, see features).
+    The result keeps ``_slice`` (home slice) and ``_t_us``; callers drop them.
+    """
+    longest = max(length for _, length, _ in aggs)
+    prepared = slice_copies(df, keys, ts_col, longest, read_cols, tiebreak, slice_us)
+    return rolling_on_slices(prepared, keys, aggs, lag_cols, tiebreak)
+
+
 def previous_slice_last(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per (key, slice): latest time of the nearest earlier non-empty slice.
 
