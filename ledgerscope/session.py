@@ -46,16 +46,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster this is set by the deployment and is read, never replaced.
     Only when it is unset (local tests) a fresh scratch folder is created.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(id(spark))
     if current:
-        spark.sparkContext.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="ledgerscope-ckpt-", dir=os.environ.get("LEDGERSCOPE_SCRATCH", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    try:
+        spark.conf.set("spark.checkpoint.dir", path)
+    except Exception:  # core conf may be read-only at run time; the folder is still used
+        _LOCAL_DIRS[id(spark)] = path
+        return _LOCAL_DIRS[id(spark)]
+    try:
+        spark.sparkContext.setCheckpointDir(path)
+    except Exception:  # sessions without a SparkContext handle
+        pass
     return path
 
 
+_LOCAL_DIRS: dict[int, str] = {}
+
+
 def cut_lineage(df):
     """Materialise a table in the shared checkpoint folder and read it back (survives executor loss).
 

@@ -70,13 +70,21 @@ def global_row_index(df: DataFrame, order: list[str], name: str = "row_index", s
 
 
 def read_csv_capped(spark: SparkSession, root: str, n: int = 50000, schema: T.StructType | None = None) -> DataFrame:
-    """The first ``n`` rows of the first CSV file (by path) under a directory tree."""
-    reader = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    raw = (reader.schema(schema) if schema else reader).csv(root).withColumn("_file", F.input_file_name())
-    first = raw.agg(F.min("_file").alias("_first"))
-    one = raw.join(F.broadcast(first), F.col("_file") == F.col("_first")).drop("_first")  # one-row table
-    return (one.withColumn("_pos", F.monotonically_increasing_id()).orderBy("_pos").limit(n)
-            .drop("_file", "_pos"))
+    """The first ``n`` rows of the first CSV file (by path) under a directory tree.
+
+    The first file is taken from the file listing (metadata, no data read);
+    only that file is scanned, and only up to ``n`` rows in file order.
+    """
+    def reader():
+        r = spark.read.option("header", True)
+        return r.schema(schema) if schema else r
+
+    listing = reader().option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
+    files = sorted(listing.inputFiles())
+    if not files:
+        return listing.limit(0)
+    one = reader().csv(files[0]).withColumn("_pos", F.monotonically_increasing_id())
+    return one.orderBy("_pos").limit(n).drop("_pos")
 
 
 def adapt_bank_csv(raw: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -63,3 +63,23 @@ def test_validation_first_failure_and_quarantine(spark):
 
 def test_empty_table_is_valid(spark):
     assert validate_txn(make_txn(spark, [("t1", "C1", day(1), 10)]).limit(0)).first().valid
+
+
+def test_checkpoint_dir_read_from_session_or_created_when_unset(spark, tmp_path, monkeypatch):
+    from ledgerscope import session as S
+    assert S.checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+    class Conf:
+        def get(self, k, default=None):
+            return None
+
+        def set(self, k, v):
+            raise RuntimeError("core conf is read-only")
+
+    class Stub:
+        conf = Conf()
+
+    monkeypatch.setenv("LEDGERSCOPE_SCRATCH", str(tmp_path))
+    stub = Stub()
+    d = S.checkpoint_dir(stub)
+    assert d.startswith(str(tmp_path)) and S.checkpoint_dir(stub) == d
