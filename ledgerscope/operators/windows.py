@@ -78,11 +78,6 @@ def rolling_on_slices(prepared: DataFrame, keys: Sequence[str], aggs: Sequence[R
     return out.filter(F.col(SHIFT_COL) == 0).drop(SHIFT_COL)
 
 
-def home_rows(prepared: DataFrame) -> DataFrame:
-    """The original rows of ``slice_copies`` output (still partitioned on (keys, slice))."""
-    return prepared.filter(F.col(SHIFT_COL) == 0)
-
-
 def sliced_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, aggs: Sequence[RangeAgg],
                    read_cols: Sequence[str], lag_cols: Sequence[tuple[str, str]] = (),
                    tiebreak: str | None = None, slice_us: int | None = None) -> DataFrame:
@@ -99,17 +94,6 @@ def sliced_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, aggs: Sequen
     return rolling_on_slices(prepared, keys, aggs, lag_cols, tiebreak)
 
 
-def previous_slice_last(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per (key, slice): latest time of the nearest earlier non-empty slice.
-
-    Runs on the per-slice summary (one row per key and slice), so it is small
-    even when one key has most rows.
-    """
-    per_slice = df.groupBy(*keys, SLICE_COL).agg(F.max(T_COL).alias("_slice_last_t"))
-    w = Window.partitionBy(*keys).orderBy(SLICE_COL)
-    return per_slice.select(*keys, SLICE_COL, F.lag("_slice_last_t").over(w).alias("_prev_slice_last_t"))
-
-
 def last_marker_at_or_before(df: DataFrame, keys: Sequence[str], order_col: str, marker: Column,
                              out: str, block: int = 1024) -> DataFrame:
     """For each row, the largest ``order_col`` value of a marker row at or before it within its key.

@@ -63,3 +63,10 @@ def test_graph_from_transactions_keeps_latest_parallel_edge_and_drops_self(spark
             ("t5", "C3", day(1), 100, "deposit", "ACC_C1")]
     g = {(r.src, r.dst): r.txn_id for r in build_transfer_graph(make_txn(spark, rows)).collect()}
     assert g == {("C1", "C2"): "t2", ("C2", "EXT9"): "t4"}
+
+
+def test_layering_evidence_rows(spark):
+    from ledgerscope.operators.graph import layering_evidence
+    e = edge_df(spark, [("A", "B"), ("B", "C")])
+    ev = {(r.customer_id, r.transaction_id) for r in layering_evidence(e, detect_layering(e)).collect()}
+    assert ev == {("A", "AB"), ("A", "BC")}

@@ -77,3 +77,12 @@ def test_query_tagging(spark):
     assert (c.intent_type, c.min_transaction_count) == ("aggregation_query", 4521)  # kept order effect
     kept = {x.text for x in filter_in_domain(q).collect()}
     assert "What's the weather today?" not in kept and len(kept) == 6
+
+
+def test_backtest_metrics_document(spark):
+    from ledgerscope.operators.backtest import backtest_metrics
+    sup = eval_binary(spark.createDataFrame([(1, 1), (0, 1), (1, 0), (0, 0)], "label INT, prediction INT"))
+    uns = eval_binary(spark.createDataFrame([(1, 1), (0, 0)], "label INT, prediction INT"))
+    doc = backtest_metrics(sup, uns).first()
+    assert doc.supervised_model.precision == 0.5 and doc.supervised_model.confusion_matrix == [[1, 1], [1, 1]]
+    assert doc.unsupervised_model.f1_score == 1.0 and doc.total_test_samples == 4 and doc.illicit_cases_in_test == 2
