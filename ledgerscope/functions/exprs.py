@@ -63,19 +63,26 @@ def dollar_amounts(text: Column) -> Column:
                        lambda s: F.regexp_replace(s, ",", "").cast("double"))
 
 
+# Explanation templates by pattern (structuring, layering, statistical outlier, any other),
+# the not-found text of the entity lookup, in the reference's wording.
+EXPLAIN_STRUCTURING = ("Customer %s exhibited a structuring pattern with %d transactions totaling $%s positioned just "
+                       "under the $10,000 reporting threshold within a short window.")
+EXPLAIN_LAYERING = ("Customer %s initiated a sequence of rapid inter-account transfers (%d transactions) indicative "
+                    "of money layering across account chains.")
+EXPLAIN_OUTLIER = ("Customer %s was flagged as a statistical outlier with %d transactions showing significant "
+                   "volume deviation from typical historical activity.")
+EXPLAIN_OTHER = "Customer %s was flagged for %s with risk level %s across %d evidence transactions."
+NOT_FOUND_TEXT = "Customer ID %s was not found in the transaction dataset."
+
+
 def explanation(customer: Column, pattern: Column, level: Column, n_txn: Column, total: Column) -> Column:
-    """Template explanation by pattern (fixed texts of the reference templates)."""
+    """Template explanation by pattern."""
     return (
-        F.when(pattern.isin("structuring", "smurfing"), F.format_string(
-            "Customer %s exhibited a structuring pattern with %d transactions totaling $%s positioned just "
-            "under the $10,000 reporting threshold within a short window.", customer, n_txn, money(total)))
-        .when(pattern == "layering", F.format_string(
-            "Customer %s initiated a sequence of rapid inter-account transfers (%d transactions) indicative "
-            "of money layering across account chains.", customer, n_txn))
-        .when(pattern.isin("statistical_anomaly", "high_amount_zscore"), F.format_string(
-            "Customer %s was flagged as a statistical outlier with %d transactions showing significant "
-            "volume deviation from typical historical activity.", customer, n_txn))
-        .otherwise(F.format_string(
-            "Customer %s was flagged for %s with risk level %s across %d evidence transactions.",
-            customer, F.coalesce(pattern, F.lit("suspicious activity")), level, n_txn))
+        F.when(pattern.isin("structuring", "smurfing"),
+               F.format_string(EXPLAIN_STRUCTURING, customer, n_txn, money(total)))
+        .when(pattern == "layering", F.format_string(EXPLAIN_LAYERING, customer, n_txn))
+        .when(pattern.isin("statistical_anomaly", "high_amount_zscore"),
+              F.format_string(EXPLAIN_OUTLIER, customer, n_txn))
+        .otherwise(F.format_string(EXPLAIN_OTHER, customer, F.coalesce(pattern, F.lit("suspicious activity")),
+                                   level, n_txn))
     )

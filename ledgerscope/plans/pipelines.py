@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.exprs import NOT_FOUND_TEXT
 from ledgerscope.operators.aggregates import agg_customer, agg_customer_features, top_customers
 from ledgerscope.operators.consensus import compute_consensus, consensus_evidence, evidence_counts
 from ledgerscope.operators.decide import classify_risk, explain_template, flag_gate, recommend_action
@@ -140,7 +141,7 @@ def pipeline_entity(txn: DataFrame, requested: DataFrame, params: Params = DEFAU
         F.when(nf, F.lit(100.0)).otherwise(F.lit(90.0)).alias("confidence"),
         F.when(nf, F.lit(100.0)).otherwise(F.lit(85.0)).alias("trust_score"),
         F.col("transactions_count").alias("evidence_count"),
-        F.when(nf, F.format_string("Customer ID %s was not found in the transaction dataset.", "customer_id"))
+        F.when(nf, F.format_string(NOT_FOUND_TEXT, "customer_id"))
          .otherwise(F.col("explanation")).alias("explanation"))
 
 

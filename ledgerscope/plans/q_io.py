@@ -140,8 +140,8 @@ def q_src_feedback(spark, sf):
 def _alerts(spark, sf):
     t = txn_view(spark, sf).filter(F.col("amount") > 10000)
     alerts = t.select(F.date_format("timestamp", io.TS_FORMAT).alias("timestamp"), "customer_id",
-                      F.lit("transaction").alias("event_type"), F.col("amount").cast("double").alias("amount"),
-                      F.lit("Sudden volume spike detected").alias("reason"))
+                      F.lit("STREAM_ALERT").alias("event_type"), F.col("amount").cast("double").alias("amount"),
+                      F.lit("Sudden volume spike detected in stream").alias("reason"))
     p = io.scratch_path(spark, "alerts")
     io.append_jsonl(alerts, p)
     return io.read_alerts(spark, p)
@@ -163,9 +163,10 @@ def q_latest_alerts(spark, sf):
     return io.latest_alerts(_alerts(spark, sf), 20).select("timestamp", "customer_id", "amount")
 
 
-_REPORT_SQL = """SELECT 'SAR_' || customer_id || '_1706745600' AS report_name,
-  printf('# Suspicious Activity Report\n\n**Customer ID:** %s\n**Report Generated:** 2024-02-01 00:00:00\n**Analyst Verdict:** True Positive\n**Session:** %s\n\n## Summary\nAnalyst confirmed suspicious activity for customer %s following automated detection.\n', customer_id, session_id, customer_id) AS content
-FROM (""" + _FEEDBACK_SQL + ") f WHERE feedback = 'True Positive'"
+_REPORT_SQL = ("SELECT 'SAR_' || customer_id || '_1706745600' AS report_name, printf(" + "'"
+               + io.REPORT_TEMPLATE.replace("'", "''") + "'"
+               + ", '2024-02-01 00:00:00', customer_id, customer_id, coalesce(session_id, 'N/A')) AS content FROM ("
+               + _FEEDBACK_SQL + ") f WHERE feedback = 'True Positive'")
 
 
 @register("sink_report_text", _REPORT_SQL)

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.exprs import currency_short, dollar_amounts, money
+from ledgerscope.functions.exprs import NOT_FOUND_TEXT, currency_short, dollar_amounts, money
 from ledgerscope.operators import aggregates as A
 from ledgerscope.operators.decide import bias_audit, segment_shares, verification_status, verify_results
 from ledgerscope.operators.features import (compute_features, customer_amount_stats, daily_txn_count,
@@ -639,7 +639,7 @@ def _entity_sql_select():
   CASE WHEN NOT found THEN 'monitor' ELSE {action_sql(lvl)} END AS recommended_action,
   CASE WHEN NOT found THEN 100.0 ELSE 90.0 END AS confidence, CASE WHEN NOT found THEN 100.0 ELSE 85.0 END AS trust_score,
   transactions_count AS evidence_count,
-  CASE WHEN NOT found THEN printf('Customer ID %s was not found in the transaction dataset.', customer_id)
+  CASE WHEN NOT found THEN printf('{NOT_FOUND_TEXT}', customer_id)
        ELSE {explanation_sql('customer_id', 'pattern_matched', lvl, 'transactions_count', 'total_volume')} END
     AS explanation
 FROM (SELECT *, {pat} AS pattern_matched FROM lk) e"""

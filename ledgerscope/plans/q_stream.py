@@ -24,7 +24,7 @@ def _run(spark, df, name, fmt="parquet"):
 
 @register("stream_spike_alerts", with_ctes(
     "SELECT CAST(timestamp AS TIMESTAMP) AS timestamp, customer_id, CAST(amount AS DOUBLE) AS amount, "
-    "'Sudden volume spike detected' AS reason, transaction_id FROM txn WHERE amount > 10000", TXN_CTE))
+    "'Sudden volume spike detected in stream' AS reason, transaction_id FROM txn WHERE amount > 10000", TXN_CTE))
 def q_stream_spike_alerts(spark, sf):
     out = _run(spark, jobs.spike_alerts(jobs.txn_stream(spark, sf)), "spikes")
     return spark.read.parquet(f"{out}/data").select(
@@ -140,7 +140,7 @@ def q_stream_late_data(spark, sf):
 
 @register("sink_alert_stream", with_ctes(
     "SELECT strftime(CAST(timestamp AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, customer_id, "
-    "CAST(amount AS DOUBLE) AS amount, 'Sudden volume spike detected' AS reason FROM txn WHERE amount > 10000",
+    "CAST(amount AS DOUBLE) AS amount, 'Sudden volume spike detected in stream' AS reason FROM txn WHERE amount > 10000",
     TXN_CTE))
 def q_sink_alert_stream(spark, sf):
     """Alert rows appended by the stream to a JSON-lines sink, read back as the alert log."""

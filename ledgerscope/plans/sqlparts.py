@@ -25,14 +25,19 @@ def action_sql(level: str) -> str:
             f"WHEN lower({level}) IN ('high','critical') THEN 'report' ELSE 'review' END")
 
 
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def explanation_sql(cust: str, pattern: str, level: str, n: str, total: str) -> str:
+    from ledgerscope.functions.exprs import EXPLAIN_LAYERING, EXPLAIN_OTHER, EXPLAIN_OUTLIER, EXPLAIN_STRUCTURING
     n = f"CAST(coalesce({n}, 0) AS BIGINT)"
     total = f"coalesce(CAST({total} AS DOUBLE), 0.0)"
     return f"""CASE
-  WHEN {pattern} IN ('structuring','smurfing') THEN printf('Customer %s exhibited a structuring pattern with %d transactions totaling $%s positioned just under the $10,000 reporting threshold within a short window.', {cust}, {n}, format('{{:,.2f}}', {total}))
-  WHEN {pattern} = 'layering' THEN printf('Customer %s initiated a sequence of rapid inter-account transfers (%d transactions) indicative of money layering across account chains.', {cust}, {n})
-  WHEN {pattern} IN ('statistical_anomaly','high_amount_zscore') THEN printf('Customer %s was flagged as a statistical outlier with %d transactions showing significant volume deviation from typical historical activity.', {cust}, {n})
-  ELSE printf('Customer %s was flagged for %s with risk level %s across %d evidence transactions.', {cust}, coalesce({pattern}, 'suspicious activity'), {level}, {n})
+  WHEN {pattern} IN ('structuring','smurfing') THEN printf({_q(EXPLAIN_STRUCTURING)}, {cust}, {n}, format('{{:,.2f}}', {total}))
+  WHEN {pattern} = 'layering' THEN printf({_q(EXPLAIN_LAYERING)}, {cust}, {n})
+  WHEN {pattern} IN ('statistical_anomaly','high_amount_zscore') THEN printf({_q(EXPLAIN_OUTLIER)}, {cust}, {n})
+  ELSE printf({_q(EXPLAIN_OTHER)}, {cust}, coalesce({pattern}, 'suspicious activity'), {level}, {n})
 END"""
 
 

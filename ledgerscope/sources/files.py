@@ -167,9 +167,27 @@ def latest_alerts(alerts: DataFrame, n: int = 20) -> DataFrame:
 
 
 # ------------------------------------------------------------------ reports and metrics
-REPORT_TEMPLATE = ("# Suspicious Activity Report\n\n**Customer ID:** %s\n**Report Generated:** %s\n"
-                   "**Analyst Verdict:** True Positive\n**Session:** %s\n\n## Summary\n"
-                   "Analyst confirmed suspicious activity for customer %s following automated detection.\n")
+# Fixed value: the report document, in the reference's wording (date, customer twice, session).
+REPORT_TEMPLATE = """# Suspicious Activity Report (SAR)
+
+**Date of Report:** %s
+**Subject:** Customer %s
+**Reported By:** Automated Agentic AML System (Confirmed via HITL Analyst Feedback)
+
+## 1. Subject Information
+- **Customer ID:** %s
+
+## 2. Suspicious Activity Details
+- **Reason for Filing:** This customer was automatically flagged by the ML anomaly detection and/or rule engine, and subsequently confirmed as highly suspicious by an internal investigator.
+- **Session Reference ID:** %s
+
+## 3. Recommended Actions
+- Freeze transactions pending further manual review.
+- Request enhanced due diligence (EDD) documents from the customer.
+
+---
+*This is an automatically generated SAR summary produced by the internal AML Agent. Please attach supporting transaction logs before submitting to regulatory bodies.*
+"""
 
 
 def report_texts(feedback: DataFrame) -> DataFrame:
@@ -179,9 +197,9 @@ def report_texts(feedback: DataFrame) -> DataFrame:
     return tp.select("customer_id",
                      F.concat(F.lit("SAR_"), F.col("customer_id"), F.lit("_"),
                               F.unix_timestamp(ts).cast("string")).alias("report_name"),
-                     F.format_string(REPORT_TEMPLATE, F.col("customer_id"),
-                                     F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.col("session_id"),
-                                     F.col("customer_id")).alias("content"))
+                     F.format_string(REPORT_TEMPLATE, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"),
+                                     F.col("customer_id"), F.col("customer_id"),
+                                     F.coalesce(F.col("session_id"), F.lit("N/A"))).alias("content"))
 
 
 def write_reports(reports: DataFrame, path: str) -> None:

@@ -34,12 +34,18 @@ def txn_stream(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     return txn_from_events(events_stream(spark, sf_dir, **kw), spark, sf_dir)
 
 
+# Alert event type and reasons of the alert log.
+ALERT_EVENT_TYPE = "STREAM_ALERT"
+SPIKE_REASON = "Sudden volume spike detected in stream"
+FREQUENCY_REASON = "High frequency transfer pattern"
+
+
 def spike_alerts(txn: DataFrame, limit: float = 10000.0) -> DataFrame:
     """Stateless: every transaction above ``limit`` becomes an alert row with its reason."""
     return txn.filter(F.col("amount") > F.lit(limit)).select(
-        "timestamp", "customer_id", F.lit("transaction").alias("event_type"),
+        "timestamp", "customer_id", F.lit(ALERT_EVENT_TYPE).alias("event_type"),
         F.col("amount").cast("double").alias("amount"),
-        F.lit("Sudden volume spike detected").alias("reason"), "transaction_id")
+        F.lit(SPIKE_REASON).alias("reason"), "transaction_id")
 
 
 def high_frequency(txn: DataFrame, min_count: int, window: str = "1 day", slide: str | None = None,
@@ -52,7 +58,7 @@ def high_frequency(txn: DataFrame, min_count: int, window: str = "1 day", slide:
             .agg(F.count(F.lit(1)).alias("txn_count"), F.sum("amount").cast("double").alias("amount"))
             .filter(F.col("txn_count") >= min_count)
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "customer_id",
-                    "txn_count", "amount"))
+                    "txn_count", "amount", F.lit(FREQUENCY_REASON).alias("reason")))
 
 
 def customer_sessions(txn: DataFrame, gap: str = "2 hours", delay: str = "1 hour") -> DataFrame:
