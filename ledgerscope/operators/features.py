@@ -125,3 +125,20 @@ def daily_txn_count(txn: DataFrame) -> DataFrame:
     day = F.to_date("timestamp")
     counts = txn.groupBy("customer_id", day.alias("_day")).agg(F.count(F.lit(1)).alias("daily_txn_count"))
     return (txn.withColumn("_day", day).join(counts, ["customer_id", "_day"], "left").drop("_day"))
+
+
+def burst_24h(txn: DataFrame, min_count: int, params: Params = DEFAULT_PARAMS, hours: int = 24) -> DataFrame:
+    """Customers reaching ``min_count`` transactions within ``(t - hours, t]``; largest such count and when.
+
+    Sliced range window (one exchange, hot customers split by time), then a
+    grouped aggregate.
+    """
+    w_us = hours * US_PER_HOUR
+    slice_us = int(params.time_slice_days * US_PER_DAY) if params.time_slice_days else None
+    r = sliced_rolling(txn, ["customer_id"], "timestamp",
+                       aggs=[("_c", w_us, lambda w: F.count("transaction_id").over(w))],
+                       read_cols=["transaction_id"], slice_us=slice_us)
+    return (r.groupBy("customer_id")
+            .agg(F.max("_c").alias("max_24h_count"),
+                 F.min(F.when(F.col("_c") >= min_count, F.col("timestamp"))).alias("first_reached"))
+            .filter(F.col("max_24h_count") >= min_count))

@@ -458,6 +458,17 @@ def q_daily_burst(spark, sf):
     return A.daily_burst(txn_view(spark, sf), 8).withColumn("daily_amount", F.round("daily_amount", 2))
 
 
+@register("daily_burst_24h", with_ctes("""SELECT customer_id, max(c) AS max_24h_count,
+  CAST(min(CASE WHEN c >= 8 THEN timestamp END) AS TIMESTAMP) AS first_reached FROM (
+  SELECT customer_id, timestamp, count(transaction_id) OVER (PARTITION BY customer_id ORDER BY epoch_us(timestamp)
+         RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS c FROM txn) w
+GROUP BY customer_id HAVING max(c) >= 8""", TXN_CTE))
+def q_daily_burst_24h(spark, sf):
+    from ledgerscope.operators.features import burst_24h
+    b = burst_24h(txn_view(spark, sf), 8, FIX)
+    return b.select("customer_id", "max_24h_count", F.col("first_reached").cast("timestamp_ntz").alias("first_reached"))
+
+
 @register("win_train_split", with_ctes("""SELECT transaction_id, row_index, row_index <= floor(n * 0.7) AS is_train
 FROM (SELECT transaction_id, row_number() OVER (ORDER BY customer_id, timestamp, transaction_id) AS row_index,
              count(*) OVER () AS n FROM txn)""", TXN_CTE))

@@ -86,3 +86,12 @@ def test_backtest_metrics_document(spark):
     doc = backtest_metrics(sup, uns).first()
     assert doc.supervised_model.precision == 0.5 and doc.supervised_model.confusion_matrix == [[1, 1], [1, 1]]
     assert doc.unsupervised_model.f1_score == 1.0 and doc.total_test_samples == 4 and doc.illicit_cases_in_test == 2
+
+
+def test_forest_sample_is_exact_size_above_cutoff(spark):
+    cf = _customers(spark, 2000, outlier=False)
+    nodes = fit_forest(cf, params=Params(forest_trees=12))
+    sizes = {r.tree_id: r.sample_size for r in nodes.select("tree_id", "sample_size").distinct().collect()}
+    assert len(sizes) == 12 and set(sizes.values()) == {256}
+    roots = nodes.filter("node_id = 0").select("size").collect()
+    assert all(r.size == 256 for r in roots)
