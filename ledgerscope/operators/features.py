@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.exprs import just_under
-from ledgerscope.operators.windows import (SLICE_COL, T_COL, US_PER_DAY, US_PER_HOUR, rolling_on_slices,
-                                           slice_copies, sliced_rolling, with_slices)
+from ledgerscope.operators.windows import (SLICE_COL, T_COL, US_PER_DAY, US_PER_HOUR, US_PER_SECOND,
+                                           prefix_rolling, rolling_on_slices, slice_copies, sliced_rolling,
+                                           with_slices)
 from ledgerscope.params import DEFAULT_PARAMS, Params
 
 FEATURE_COLUMNS = ["is_just_under_threshold", "amount_zscore_vs_customer_avg", "velocity_hours_since_last_txn",
@@ -53,14 +54,54 @@ def slice_summary(sliced: DataFrame) -> DataFrame:
                       F.when(std.isNull() | (std == 0), F.lit(1.0)).otherwise(std).alias("amount_std"))
 
 
+def choose_rolling_strategy(txn: DataFrame, longest_us: int, params: Params = DEFAULT_PARAMS) -> tuple[str, int]:
+    """(strategy, slice length in microseconds) for per-customer rolling frames up to ``longest_us``.
+
+    ``auto`` measures the densest (customer, window-length slice) with a
+    grouped count (partial aggregation; one scalar reaches the driver). When it
+    exceeds ``max_rows_per_slice``, prefix differences are used with slices
+    short enough to split that density.
+    """
+    p = params
+    if p.rolling_strategy == "slices" or (p.rolling_strategy == "auto" and p.time_slice_days):
+        return "slices", int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else longest_us
+    if p.rolling_strategy == "prefix":
+        return "prefix", int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else US_PER_DAY
+    densest = (with_slices(txn.select("customer_id", "timestamp"), "timestamp", longest_us)
+               .groupBy("customer_id", SLICE_COL).count().agg(F.max("count")).first()[0]) or 0
+    if densest <= p.max_rows_per_slice:
+        return "slices", longest_us
+    return "prefix", max(US_PER_SECOND, longest_us * p.max_rows_per_slice // densest)
+
+
+def _features_by_prefix(txn: DataFrame, p: Params, slice_us: int, structuring_count: bool) -> DataFrame:
+    measures = [("rolling_7d_count", p.rolling_short_days * US_PER_DAY, F.lit(1)),
+                ("rolling_30d_sum", p.rolling_long_days * US_PER_DAY, F.col("amount"))]
+    if structuring_count:
+        measures.append(("structuring_window_count", p.structuring_window_days * US_PER_DAY,
+                         F.when(just_under(F.col("amount"), p), F.lit(1)).otherwise(F.lit(0))))
+    r = prefix_rolling(txn, ["customer_id"], "timestamp", "transaction_id", measures, slice_us, prev_time="_prev_t")
+    stats = customer_amount_stats(txn)
+    rows = txn.withColumn(T_COL, F.unix_micros("timestamp"))
+    out = (rows.join(r, ["customer_id", T_COL, "transaction_id"], "left")
+           .join(stats, "customer_id", "left")  # per-customer table; AQE splits a hot customer's side
+           .withColumn("rolling_30d_sum", F.col("rolling_30d_sum").cast("double"))
+           .withColumn("_lag_t", F.col("_prev_t")).withColumn("_prev_slice_last_t", F.lit(None).cast("long")))
+    if structuring_count:
+        out = out.withColumn("structuring_window_count", F.col("structuring_window_count").cast("long"))
+    return out
+
+
 def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice: bool = False,
                      structuring_count: bool = False) -> DataFrame:
     """The feature table: input rows plus the five feature columns.
 
     Rolling frames are half-open ``(t - w, t]`` and include all rows tied on
     ``t``; velocity takes the previous row in (time, transaction id) order.
-    One shuffle on (customer, time slice) carries all windows.
-    ``structuring_count=True`` adds ``structuring_window_count``: just-under rows
+    Strategy (``Params.rolling_strategy``): overlapping time slices, where one
+    shuffle on (customer, slice) carries all windows; or, for customers too
+    dense for that, prefix differences over fine slices (see
+    ``choose_rolling_strategy``). ``structuring_count=True`` adds ``structuring_window_count``: just-under rows
     in ``(t - structuring window, t]``, from the same window pass.
     """
     p = params
@@ -73,13 +114,19 @@ def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice
         ju = F.when(just_under(F.col("amount"), p), F.lit(1)).otherwise(F.lit(0))
         aggs.append(("structuring_window_count", p.structuring_window_days * US_PER_DAY,
                      lambda w: F.sum(ju).over(w).cast("long")))
-    prepared = slice_copies(txn, ["customer_id"], "timestamp", max(a[1] for a in aggs), ["amount", "transaction_id"],
-                            "transaction_id", slice_us)
-    rolled = rolling_on_slices(prepared, ["customer_id"], aggs, lag_cols=[("_lag_t", T_COL)], tiebreak="transaction_id")
-    per_slice = slice_summary(with_slices(txn.select("customer_id", "timestamp", "amount"), "timestamp",
-                                          slice_us or max(a[1] for a in aggs)))
+    strategy, slice_us = choose_rolling_strategy(txn, max(a[1] for a in aggs), p)
+    if strategy == "prefix":
+        joined = _features_by_prefix(txn, p, slice_us, structuring_count)
+        keep_slice = False
+    else:
+        prepared = slice_copies(txn, ["customer_id"], "timestamp", max(a[1] for a in aggs),
+                                ["amount", "transaction_id"], "transaction_id", slice_us)
+        rolled = rolling_on_slices(prepared, ["customer_id"], aggs, lag_cols=[("_lag_t", T_COL)],
+                                   tiebreak="transaction_id")
+        per_slice = slice_summary(with_slices(txn.select("customer_id", "timestamp", "amount"), "timestamp", slice_us))
+        joined = rolled.join(per_slice, ["customer_id", SLICE_COL], "left")
     prev_t = F.coalesce(F.col("_lag_t"), F.col("_prev_slice_last_t"))
-    out = (rolled.join(per_slice, ["customer_id", SLICE_COL], "left")
+    out = (joined
            .withColumn("is_just_under_threshold", just_under(F.col("amount"), p))
            .withColumn("amount_zscore_vs_customer_avg",
                        (F.col("amount").cast("double") - F.col("amount_mean"))

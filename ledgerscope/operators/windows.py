@@ -127,3 +127,68 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
         df = b.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= n).drop("_tb", "_r1")
     w2 = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= n)
+
+
+# (output name, frame length in microseconds, additive value per row: 1 for a count, the amount for a sum)
+PrefixMeasure = tuple[str, int, Column]
+
+
+def prefix_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str, measures: Sequence[PrefixMeasure],
+                   slice_us: int, prev_time: str | None = None) -> DataFrame:
+    """Rolling sums over ``(t - w, t]`` as prefix differences, for keys too dense for overlapping slices.
+
+    value(t) = P(t) - P(t - w), where P(x) is the key's running total of rows
+    with time <= x. P is a per-slice offset (prefix over the small per-slice
+    table) plus a running sum inside the slice. Every row becomes one data
+    point and one narrow query point per distinct frame length, all routed to
+    the time slice they fall in, so the slice length can be as fine as needed
+    whatever the frame length: a hot key spreads over many tasks at a constant
+    1 + (frame lengths) narrow points per row. The per-row results return by
+    one join on (keys, time, id); ``id_col`` must identify a row within key and time.
+    ``prev_time``: also return the previous row's time in (time, id) order.
+    Returns (keys, ``_t_us``, id, measures..., prev) rows, one per input row.
+    """
+    lengths = sorted({m[1] for m in measures})
+    vcols = [f"_v{i}" for i in range(len(measures))]
+    base = with_slices(df, ts_col, slice_us).select(
+        *keys, F.col(T_COL).alias("_t0"), F.col(id_col).alias("_id"),
+        *[m[2].alias(v) for m, v in zip(measures, vcols)])
+    # j = -1: the data point itself; j >= 0: the query point t - lengths[j]
+    pts = base.withColumn("_j", F.explode(F.sequence(F.lit(-1), F.lit(len(lengths) - 1))))
+    shift = F.element_at(F.array(*[F.lit(int(x)) for x in lengths]), (F.col("_j") + 1).cast("int"))
+    is_data = F.col("_j") == -1
+    pts = pts.select(*keys, "_t0", "_id", "_j",
+                     F.when(is_data, F.col("_t0")).otherwise(F.col("_t0") - shift).alias(T_COL),
+                     *[F.when(is_data, F.col(v)).otherwise(F.lit(0)).alias(v) for v in vcols])
+    pts = pts.withColumn(SLICE_COL, F.floor(F.col(T_COL) / F.lit(int(slice_us))).cast("long")) \
+        .repartition(*keys, SLICE_COL)
+    upto = Window.partitionBy(*keys, SLICE_COL).orderBy(T_COL).rangeBetween(Window.unboundedPreceding, 0)
+    for v in vcols:
+        pts = pts.withColumn(f"{v}_run", F.sum(v).over(upto))
+    if prev_time:
+        before = Window.partitionBy(*keys, SLICE_COL).orderBy(T_COL, "_j", "_id") \
+            .rowsBetween(Window.unboundedPreceding, -1)
+        pts = pts.withColumn("_lag_t", F.last(F.when(F.col("_j") == -1, F.col(T_COL)), ignorenulls=True).over(before))
+    # Offsets: totals of all earlier slices, over a per-(key, slice) table that lists every slice a
+    # point falls in (empty ones too). Both inputs are partial aggregates: small next to the rows.
+    per = base.withColumn(SLICE_COL, F.floor(F.col("_t0") / F.lit(int(slice_us))).cast("long")) \
+        .groupBy(*keys, SLICE_COL).agg(*[F.sum(v).alias(f"{v}_tot") for v in vcols],
+                                       F.max("_t0").alias("_slice_last"))
+    needed = pts.select(*keys, SLICE_COL).distinct()
+    tbl = needed.join(per, [*keys, SLICE_COL], "left")
+    earlier = Window.partitionBy(*keys).orderBy(SLICE_COL).rowsBetween(Window.unboundedPreceding, -1)
+    offs = tbl.select(*keys, SLICE_COL, *[F.coalesce(F.sum(f"{v}_tot").over(earlier), F.lit(0)).alias(f"{v}_off")
+                                          for v in vcols],
+                      F.max("_slice_last").over(earlier).alias("_prev_slice_last"))
+    allp = pts.join(offs, [*keys, SLICE_COL], "left")
+    prefix = {v: F.col(f"{v}_off") + F.col(f"{v}_run") for v in vcols}
+    value_at = allp.select(*keys, "_t0", "_id", "_j", *[prefix[v].alias(v) for v in vcols],
+                           *([F.coalesce("_lag_t", "_prev_slice_last").alias("_prev")] if prev_time else []))
+    aggs = []
+    for (name, length, _), v in zip(measures, vcols):
+        j = lengths.index(length)
+        aggs.append((F.max(F.when(F.col("_j") == -1, F.col(v))) - F.max(F.when(F.col("_j") == j, F.col(v))))
+                    .alias(name))
+    if prev_time:
+        aggs.append(F.max(F.when(F.col("_j") == -1, F.col("_prev"))).alias(prev_time))
+    return value_at.groupBy(*keys, F.col("_t0").alias(T_COL), F.col("_id").alias(id_col)).agg(*aggs)

@@ -38,6 +38,11 @@ class Params:
     # Length of the time slices that split one key's rows over many tasks for
     # rolling windows (None: the window length itself, i.e. one context copy per row).
     time_slice_days: float | None = None
+    # "slices": overlapping time slices (one exchange, one context copy per row);
+    # "prefix": prefix differences over fine slices (no copies; for keys too dense for that);
+    # "auto": "slices" unless one (customer, window-length slice) holds more than max_rows_per_slice rows.
+    rolling_strategy: str = "auto"
+    max_rows_per_slice: int = 2_000_000
 
     def replace(self, **kw) -> "Params":
         return dataclasses.replace(self, **kw)

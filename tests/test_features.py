@@ -88,3 +88,22 @@ def test_one_exchange_for_all_windows(spark):
     assert plan.count("Window") >= 1
     windows = [ln for ln in plan.splitlines() if "Window [" in ln]
     assert all("_slice" in ln for ln in windows)
+
+
+def test_prefix_strategy_matches_brute_force_for_a_dense_hot_customer(spark):
+    rnd = random.Random(11)
+    rows = []
+    for i in range(450):
+        cid = "HOT" if i % 3 == 0 else f"C{rnd.randrange(12)}"
+        rows.append((f"p{i:04d}", cid, day(rnd.randrange(75), rnd.randrange(4) * 6), rnd.randrange(1, 20000)))
+    txn = make_txn(spark, rows)
+    check(compute_features(txn, Params(rolling_strategy="prefix", time_slice_days=0.25)), rows)
+    # auto switches to prefix differences when a (customer, 30-day slice) is denser than the limit
+    from ledgerscope.operators.features import choose_rolling_strategy
+    strategy, slice_us = choose_rolling_strategy(txn, 30 * 86_400_000_000, Params(max_rows_per_slice=20))
+    assert strategy == "prefix" and slice_us < 30 * 86_400_000_000
+    check(compute_features(txn, Params(max_rows_per_slice=20)), rows)
+    feats = compute_features(txn, Params(max_rows_per_slice=20), structuring_count=True)
+    base = compute_features(txn, Params(rolling_strategy="slices"), structuring_count=True)
+    assert sorted(feats.select("transaction_id", "structuring_window_count").collect()) == \
+        sorted(base.select("transaction_id", "structuring_window_count").collect())
