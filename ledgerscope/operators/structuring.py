@@ -15,11 +15,25 @@ def just_under_rows(txn: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFram
 
 
 def structuring_windows(txn: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """Just-under rows with the count of just-under rows in ``(t - window, t]``."""
+    """Just-under rows with the count of just-under rows in ``(t - window, t]``.
+
+    The filter runs before any shuffle; the windows use the strategy of
+    ``choose_rolling_strategy`` (overlapping slices, or prefix differences for a
+    customer too dense for them).
+    """
+    from ledgerscope.operators.features import choose_rolling_strategy
+    from ledgerscope.operators.windows import prefix_rolling
+
     p = params
     w_us = p.structuring_window_days * US_PER_DAY
-    slice_us = int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else None
     rows = just_under_rows(txn.select("customer_id", "transaction_id", "timestamp", "amount"), p)
+    strategy, slice_us = choose_rolling_strategy(rows, w_us, p)
+    if strategy == "prefix":
+        r = prefix_rolling(rows, ["customer_id"], "timestamp", "transaction_id",
+                           [("window_count", w_us, F.lit(1))], slice_us)
+        return (rows.withColumn("_t_us", F.unix_micros("timestamp"))
+                .join(r, ["customer_id", "_t_us", "transaction_id"]).drop("_t_us")
+                .withColumn("window_count", F.col("window_count").cast("long")))
     return sliced_rolling(rows, ["customer_id"], "timestamp",
                           aggs=[("window_count", w_us, lambda w: F.count("transaction_id").over(w))],
                           read_cols=["transaction_id"], slice_us=slice_us).drop("_slice", "_t_us")

@@ -88,3 +88,13 @@ def test_bias_audit_threshold(spark):
     w = bias_audit(flagged, txn).collect()
     assert [(r.dimension, r.group, r.population_share, r.flagged_share, r.ratio) for r in w] == \
         [("country", "X", 10.0, 100.0, 10.0)]
+
+
+def test_structuring_prefix_strategy_equals_slices(spark):
+    from ledgerscope.params import Params
+    rows = [(f"h{i}", "HOT", day(i // 3, (i % 3) * 5), 9100 + i) for i in range(60)]
+    rows += [(f"c{i}", "C2", day(i * 2), 9500) for i in range(6)]
+    txn = make_txn(spark, rows)
+    a = sorted(detect_structuring(txn, Params(rolling_strategy="slices")).collect())
+    b = sorted(detect_structuring(txn, Params(max_rows_per_slice=5)).collect())
+    assert a == b and [r.customer_id for r in a] == ["HOT"] and a[0].max_window_count == 15
