@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.exprs import just_under
-from ledgerscope.operators.windows import (SLICE_COL, T_COL, US_PER_DAY, US_PER_HOUR, US_PER_SECOND,
-                                           prefix_rolling, rolling_on_slices, slice_copies, sliced_rolling,
-                                           with_slices)
+from ledgerscope.operators.windows import (SLICE_COL, T_COL, US_PER_DAY, US_PER_HOUR, choose_rolling_strategy,
+                                           prefix_rolling, rolling_on_slices, rolling_sums, slice_copies,
+                                           sliced_rolling, with_slices)
 from ledgerscope.params import DEFAULT_PARAMS, Params
 
 FEATURE_COLUMNS = ["is_just_under_threshold", "amount_zscore_vs_customer_avg", "velocity_hours_since_last_txn",
@@ -54,26 +54,6 @@ def slice_summary(sliced: DataFrame) -> DataFrame:
                       F.when(std.isNull() | (std == 0), F.lit(1.0)).otherwise(std).alias("amount_std"))
 
 
-def choose_rolling_strategy(txn: DataFrame, longest_us: int, params: Params = DEFAULT_PARAMS) -> tuple[str, int]:
-    """(strategy, slice length in microseconds) for per-customer rolling frames up to ``longest_us``.
-
-    ``auto`` measures the densest (customer, window-length slice) with a
-    grouped count (partial aggregation; one scalar reaches the driver). When it
-    exceeds ``max_rows_per_slice``, prefix differences are used with slices
-    short enough to split that density.
-    """
-    p = params
-    if p.rolling_strategy == "slices" or (p.rolling_strategy == "auto" and p.time_slice_days):
-        return "slices", int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else longest_us
-    if p.rolling_strategy == "prefix":
-        return "prefix", int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else US_PER_DAY
-    densest = (with_slices(txn.select("customer_id", "timestamp"), "timestamp", longest_us)
-               .groupBy("customer_id", SLICE_COL).count().agg(F.max("count")).first()[0]) or 0
-    if densest <= p.max_rows_per_slice:
-        return "slices", longest_us
-    return "prefix", max(US_PER_SECOND, longest_us * p.max_rows_per_slice // densest)
-
-
 def _features_by_prefix(txn: DataFrame, p: Params, slice_us: int, structuring_count: bool) -> DataFrame:
     measures = [("rolling_7d_count", p.rolling_short_days * US_PER_DAY, F.lit(1)),
                 ("rolling_30d_sum", p.rolling_long_days * US_PER_DAY, F.col("amount"))]
@@ -142,12 +122,20 @@ def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice
 def rolling_features(txn: DataFrame, days: int, params: Params = DEFAULT_PARAMS, ties: str = "all") -> DataFrame:
     """Rolling count, sum and mean over ``(t - days, t]`` per customer.
 
-    ``ties="all"``: every row tied on ``t`` is in the frame (deterministic).
+    ``ties="all"``: every row tied on ``t`` is in the frame (deterministic);
+    strategy chosen as in ``compute_features``.
     ``ties="ordered"``: tied rows see only peers ordered before them by
-    transaction id (the behaviour of an index-based rolling count); computed as
-    the range count minus later peers inside the same (customer, slice).
+    transaction id (the behaviour of an index-based rolling count); computed on
+    overlapping slices as the range count minus later peers inside the same
+    (customer, slice).
     """
     w_us = days * US_PER_DAY
+    if ties != "ordered":
+        r = rolling_sums(txn, ["customer_id"], "timestamp", "transaction_id",
+                         [("rolling_count", w_us, F.lit(1)), ("rolling_sum", w_us, F.col("amount"))], params)
+        return (r.withColumn("rolling_count", F.col("rolling_count").cast("long"))
+                .withColumn("rolling_sum", F.col("rolling_sum").cast("double"))
+                .withColumn("rolling_avg", F.col("rolling_sum") / F.col("rolling_count")))
     slice_us = int(params.time_slice_days * US_PER_DAY) if params.time_slice_days else None
     r = sliced_rolling(
         txn, ["customer_id"], "timestamp",
@@ -155,11 +143,10 @@ def rolling_features(txn: DataFrame, days: int, params: Params = DEFAULT_PARAMS,
               ("rolling_sum", w_us, lambda w: F.sum("amount").over(w).cast("double")),
               ("rolling_avg", w_us, lambda w: F.avg(F.col("amount").cast("double")).over(w))],
         read_cols=["amount", "transaction_id"], slice_us=slice_us)
-    if ties == "ordered":
-        from pyspark.sql import Window
-        peers = Window.partitionBy("customer_id", SLICE_COL, T_COL)
-        later = F.count(F.lit(1)).over(peers) - F.row_number().over(peers.orderBy("transaction_id"))
-        r = r.withColumn("rolling_count", F.col("rolling_count") - later)
+    from pyspark.sql import Window
+    peers = Window.partitionBy("customer_id", SLICE_COL, T_COL)
+    later = F.count(F.lit(1)).over(peers) - F.row_number().over(peers.orderBy("transaction_id"))
+    r = r.withColumn("rolling_count", F.col("rolling_count") - later)
     return r.drop(SLICE_COL, T_COL)
 
 
@@ -177,15 +164,11 @@ def daily_txn_count(txn: DataFrame) -> DataFrame:
 def burst_24h(txn: DataFrame, min_count: int, params: Params = DEFAULT_PARAMS, hours: int = 24) -> DataFrame:
     """Customers reaching ``min_count`` transactions within ``(t - hours, t]``; largest such count and when.
 
-    Sliced range window (one exchange, hot customers split by time), then a
-    grouped aggregate.
+    Rolling count (strategy as in ``compute_features``), then a grouped aggregate.
     """
-    w_us = hours * US_PER_HOUR
-    slice_us = int(params.time_slice_days * US_PER_DAY) if params.time_slice_days else None
-    r = sliced_rolling(txn, ["customer_id"], "timestamp",
-                       aggs=[("_c", w_us, lambda w: F.count("transaction_id").over(w))],
-                       read_cols=["transaction_id"], slice_us=slice_us)
+    r = rolling_sums(txn.select("customer_id", "timestamp", "transaction_id"), ["customer_id"], "timestamp",
+                     "transaction_id", [("_c", hours * US_PER_HOUR, F.lit(1))], params)
     return (r.groupBy("customer_id")
-            .agg(F.max("_c").alias("max_24h_count"),
+            .agg(F.max("_c").cast("long").alias("max_24h_count"),
                  F.min(F.when(F.col("_c") >= min_count, F.col("timestamp"))).alias("first_reached"))
             .filter(F.col("max_24h_count") >= min_count))

@@ -192,3 +192,43 @@ def prefix_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
     if prev_time:
         aggs.append(F.max(F.when(F.col("_j") == -1, F.col("_prev"))).alias(prev_time))
     return value_at.groupBy(*keys, F.col("_t0").alias(T_COL), F.col("_id").alias(id_col)).agg(*aggs)
+
+
+def choose_rolling_strategy(txn: DataFrame, longest_us: int, params, keys: Sequence[str] = ("customer_id",),
+                            ts_col: str = "timestamp") -> tuple[str, int]:
+    """(strategy, slice length in microseconds) for per-customer rolling frames up to ``longest_us``.
+
+    ``auto`` measures the densest (customer, window-length slice) with a
+    grouped count (partial aggregation; one scalar reaches the driver). When it
+    exceeds ``max_rows_per_slice``, prefix differences are used with slices
+    short enough to split that density.
+    """
+    p = params
+    if p.rolling_strategy == "slices" or (p.rolling_strategy == "auto" and p.time_slice_days):
+        return "slices", int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else longest_us
+    if p.rolling_strategy == "prefix":
+        return "prefix", int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else US_PER_DAY
+    densest = (with_slices(txn.select(*keys, ts_col), ts_col, longest_us)
+               .groupBy(*keys, SLICE_COL).count().agg(F.max("count")).first()[0]) or 0
+    if densest <= p.max_rows_per_slice:
+        return "slices", longest_us
+    return "prefix", max(US_PER_SECOND, longest_us * p.max_rows_per_slice // densest)
+
+
+def rolling_sums(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str, measures: Sequence[PrefixMeasure],
+                 params) -> DataFrame:
+    """``df`` with additive rolling sums over ``(t - w, t]`` per key, using the chosen strategy."""
+    longest = max(m[1] for m in measures)
+    strategy, slice_us = choose_rolling_strategy(df, longest, params, keys, ts_col)
+    if strategy == "prefix":
+        r = prefix_rolling(df, keys, ts_col, id_col, measures, slice_us)
+        return df.withColumn(T_COL, F.unix_micros(F.col(ts_col))).join(r, [*keys, T_COL, id_col]).drop(T_COL)
+    read = sorted({c for m in measures for c in _columns_of(m[2], df)} | {id_col})
+    aggs = [(name, length, (lambda w, v=v: F.sum(v).over(w))) for name, length, v in measures]
+    return sliced_rolling(df, keys, ts_col, aggs=aggs, read_cols=read, slice_us=slice_us).drop(SLICE_COL, T_COL)
+
+
+def _columns_of(c: Column, df: DataFrame) -> list[str]:
+    """Input columns a measure reads (context copies must keep them)."""
+    text = str(c)
+    return [name for name in df.columns if name in text]

@@ -107,3 +107,17 @@ def test_prefix_strategy_matches_brute_force_for_a_dense_hot_customer(spark):
     base = compute_features(txn, Params(rolling_strategy="slices"), structuring_count=True)
     assert sorted(feats.select("transaction_id", "structuring_window_count").collect()) == \
         sorted(base.select("transaction_id", "structuring_window_count").collect())
+
+
+def test_rolling_features_and_bursts_same_under_both_strategies(spark):
+    from ledgerscope.operators.features import burst_24h
+    rnd = random.Random(4)
+    rows = [(f"r{i:03d}", "HOT" if i % 2 else f"C{i % 5}", day(rnd.randrange(20), rnd.randrange(24)), 100 + i)
+            for i in range(200)]
+    txn = make_txn(spark, rows)
+    a = rolling_features(txn, 7, Params(rolling_strategy="slices"))
+    b = rolling_features(txn, 7, Params(max_rows_per_slice=10))
+    cols = ["transaction_id", "rolling_count", "rolling_sum", "rolling_avg"]
+    assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
+    assert sorted(burst_24h(txn, 4, Params(rolling_strategy="slices")).collect()) == \
+        sorted(burst_24h(txn, 4, Params(max_rows_per_slice=10)).collect())
