@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.params import DEFAULT_PARAMS, Params
 
 
 def agg_customer(txn: DataFrame, min_count: int | None = None) -> DataFrame:

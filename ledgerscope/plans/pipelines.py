@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.exprs import NOT_FOUND_TEXT
 from ledgerscope.operators.aggregates import agg_customer, agg_customer_features, top_customers
-from ledgerscope.operators.consensus import compute_consensus, consensus_evidence, evidence_counts
+from ledgerscope.operators.consensus import compute_consensus, evidence_counts
 from ledgerscope.operators.decide import classify_risk, explain_template, flag_gate, recommend_action
 from ledgerscope.operators.features import compute_features
 from ledgerscope.operators.filters import Filters, filter_txn
 from ledgerscope.operators.scoring import minmax_scale, score_aggregation, score_threshold_flag
-from ledgerscope.operators.structuring import detect_structuring, structuring_evidence
 from ledgerscope.params import DEFAULT_PARAMS, Params
 
 

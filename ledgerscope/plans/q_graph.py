@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerscope.operators.consensus import compute_consensus
 from ledgerscope.operators.graph import (build_transfer_graph, detect_cycles, detect_layering, distinct_nodes,
                                          enumerate_chains)
-from ledgerscope.operators.scoring import score_threshold_flag
-from ledgerscope.operators.features import compute_features
-from ledgerscope.operators.structuring import detect_structuring
-from ledgerscope.operators.aggregates import agg_customer
-from ledgerscope.plans.pipelines import customer_scores_minmax
-from ledgerscope.plans.q_core import CONS_SQL_CTES, FIX, ML_SUBS, SUBS
 from ledgerscope.plans.registry import register
 from ledgerscope.plans.sqlviews import TXN_CTE, with_ctes
 from ledgerscope.sources.tables import txn_view

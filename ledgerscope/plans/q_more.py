@@ -725,7 +725,6 @@ def q_results_table(spark, sf):
 
 
 def _assemble_sql():
-    from ledgerscope.plans.q_core import AGG_CTES, q_pipeline_aggregation  # noqa: F401
     from ledgerscope.plans.registry import ORACLES
     cols = "customer_id, pattern_matched, risk_score, risk_level, recommended_action, confidence, trust_score, " \
            "evidence_count, explanation"

@@ -12,7 +12,6 @@ from ledgerscope.plans.q_core import FIX
 from ledgerscope.plans.registry import register
 from ledgerscope.plans.sqlviews import TXN_CTE, with_ctes
 from ledgerscope.sources.files import scratch_path
-from ledgerscope.sources.tables import txn_view
 from ledgerscope.streaming import jobs
 
 

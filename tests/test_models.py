@@ -1,6 +1,5 @@
 """Isolation forest invariants, feedback tuning, evaluation, query-log tagging."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.aggregates import eval_binary
