@@ -289,7 +289,30 @@ def q_quarantine_txn(spark, sf):
     return q.select("transaction_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@register("validate_txn_text")
+_TEXT_CTE = """tx AS (
+  SELECT transaction_id, customer_id, CAST(timestamp AS VARCHAR) AS timestamp,
+         CASE WHEN transaction_type = 'fee' THEN '-' || CAST(amount AS VARCHAR)
+              WHEN channel = 'atm' AND amount < 100 THEN 'n/a' ELSE CAST(amount AS VARCHAR) END AS amount FROM txn)"""
+
+
+@register("validate_txn_text", with_ctes("""SELECT check_order, "check", passed, message,
+  bool_and(passed) OVER () AS valid FROM (
+  SELECT 1 AS check_order, 'required_columns' AS "check", true AS passed, '' AS message
+  UNION ALL SELECT 2, 'critical_transaction_id', count(transaction_id) > 0 OR count(*) = 0,
+    'Critical column ''transaction_id'' is entirely null.' FROM tx
+  UNION ALL SELECT 3, 'critical_customer_id', count(customer_id) > 0 OR count(*) = 0,
+    'Critical column ''customer_id'' is entirely null.' FROM tx
+  UNION ALL SELECT 4, 'critical_timestamp', count(timestamp) > 0 OR count(*) = 0,
+    'Critical column ''timestamp'' is entirely null.' FROM tx
+  UNION ALL SELECT 5, 'critical_amount', count(amount) > 0 OR count(*) = 0,
+    'Critical column ''amount'' is entirely null.' FROM tx
+  UNION ALL SELECT 6, 'amount_numeric', count(*) FILTER (WHERE TRY_CAST(amount AS DOUBLE) IS NULL) = 0 OR count(*) = 0,
+    'Column ''amount'' contains non-numeric values.' FROM tx
+  UNION ALL SELECT 7, 'amount_non_negative', count(*) FILTER (WHERE TRY_CAST(amount AS DOUBLE) < 0) = 0,
+    'Column ''amount'' contains negative values.' FROM tx
+  UNION ALL SELECT 8, 'timestamp_parse', count(*) FILTER (WHERE timestamp IS NOT NULL
+    AND TRY_CAST(timestamp AS TIMESTAMP) IS NULL) = 0, 'Column ''timestamp'' contains invalid datetime values.' FROM tx
+) v""", TXN_CTE, _TEXT_CTE))
 def q_validate_txn_text(spark, sf):
-    """Validation of the text form with bad amounts (rows only)."""
+    """Validation of the text form with bad amounts."""
     return validate_txn(_txn_text(spark, sf))

@@ -110,14 +110,40 @@ def q_stream_dedup(spark, sf):
     return spark.read.parquet(f"{out}/data")
 
 
-@register("stream_structuring")
+_STRUCT_STATE_SQL = with_ctes("""SELECT customer_id, make_timestamp(t) AS alert_time, cnt AS window_count,
+  transaction_id FROM walk WHERE alerted""", "RECURSIVE " + TXN_CTE, """jw AS (
+  SELECT customer_id, transaction_id, epoch_us(timestamp) AS t,
+         count(*) OVER (PARTITION BY customer_id ORDER BY epoch_us(timestamp)
+                        RANGE BETWEEN {w_m1} PRECEDING AND CURRENT ROW) AS cnt,
+         row_number() OVER (PARTITION BY customer_id ORDER BY timestamp, transaction_id) AS rn
+  FROM txn WHERE amount >= {lo} AND amount < {hi})""", """walk(customer_id, rn, t, transaction_id, cnt, last_alert, alerted) AS (
+  SELECT customer_id, rn, t, transaction_id, cnt, CASE WHEN cnt >= {min_count} THEN t END, cnt >= {min_count}
+  FROM jw WHERE rn = 1
+  UNION ALL
+  SELECT j.customer_id, j.rn, j.t, j.transaction_id, j.cnt,
+         CASE WHEN j.cnt >= {min_count} AND (w.last_alert IS NULL OR w.last_alert <= j.t - {w}) THEN j.t
+              ELSE w.last_alert END,
+         j.cnt >= {min_count} AND (w.last_alert IS NULL OR w.last_alert <= j.t - {w})
+  FROM walk w JOIN jw j ON j.customer_id = w.customer_id AND j.rn = w.rn + 1)""",
+    w=FIX.structuring_window_days * 86_400_000_000, w_m1=FIX.structuring_window_days * 86_400_000_000 - 1,
+    lo=FIX.structuring_lower_bound, hi=FIX.structuring_threshold, min_count=FIX.structuring_min_count)
+
+
+@register("stream_structuring", _STRUCT_STATE_SQL)
 def q_stream_structuring(spark, sf):
-    """Keyed-state structuring alerts over the stream (rows only; batch equivalent in the tests)."""
+    """Keyed-state structuring alerts over the stream (an alert per crossing of the minimum count)."""
     out = _run(spark, jobs.structuring_state(jobs.txn_stream(spark, sf), FIX), "structuring")
-    return spark.read.parquet(f"{out}/data")
+    r = spark.read.parquet(f"{out}/data")
+    return r.select("customer_id", F.col("alert_time").cast("timestamp_ntz").alias("alert_time"), "window_count",
+                    "transaction_id")
 
 
-@register("stream_late_data")
+@register("stream_late_data", """WITH e AS (SELECT epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events),
+m AS (SELECT median(us) AS m FROM e),
+wm AS (SELECT max(us) - 3600000000 AS wm FROM e, m WHERE us >= m.m)
+SELECT 0 AS batch, count(*) AS input_rows, CAST(0 AS BIGINT) AS late_rows FROM e, m WHERE us >= m.m
+UNION ALL
+SELECT 1, count(*), count(*) FILTER (WHERE us < (SELECT wm FROM wm)) FROM e, m WHERE us < m.m""")
 def q_stream_late_data(spark, sf):
     """Two deliveries: the second holds the first half of the month, older than the watermark; late rows per batch."""
     src = scratch_path(spark, "late")
