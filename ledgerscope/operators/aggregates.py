@@ -198,20 +198,13 @@ def daily_burst(txn: DataFrame, min_count: int) -> DataFrame:
 def win_train_split(df: DataFrame, frac: float = 0.7, order=("customer_id", "timestamp", "transaction_id")) -> DataFrame:
     """Positional split after a global sort: the first floor(frac * n) rows are train.
 
-    No single-partition window: rows are range partitioned and sorted by the
-    key, ``monotonically_increasing_id`` numbers them inside each partition, and
-    per-partition row counts (one row per partition, a bounded table) give the
-    offsets.
+    Positions come from ``global_row_index`` (range partitioning, local
+    numbering, per-partition offsets), never from a single-partition window.
     """
-    sorted_df = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-                 .withColumn("_pid", F.spark_partition_id().cast("long"))
-                 .withColumn("_mid", F.monotonically_increasing_id()))
-    local = sorted_df.withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), 33) + 1)
-    sizes = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"),
-                           F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    ranked = local.join(F.broadcast(offsets), "_pid")
-    return (ranked.withColumn("row_index", F.col("_off") + F.col("_local"))
+    from ledgerscope.sources.files import global_row_index
+
+    ranked = global_row_index(df, list(order), "row_index", start=1)
+    n = ranked.agg(F.count(F.lit(1)).alias("_total"))  # one row
+    return (ranked.crossJoin(F.broadcast(n))
             .withColumn("is_train", F.col("row_index") <= F.floor(F.col("_total") * frac))
-            .drop("_pid", "_mid", "_local", "_off", "_total"))
+            .drop("_total"))

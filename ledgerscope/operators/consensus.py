@@ -42,18 +42,22 @@ def compute_consensus(rule_hits: DataFrame, ml_hits: DataFrame, priority: dict[s
     j = rules.join(ml, "customer_id", "full_outer")
     has_rule = F.coalesce(F.col("_has_rule"), F.lit(False))
     has_ml = F.coalesce(F.col("_has_ml"), F.lit(False))
-    rule_score = F.when(has_rule, F.coalesce(F.col("rule_score"), F.lit(0.0))).otherwise(F.lit(0.0))
-    ml_score = F.when(has_ml, F.coalesce(F.col("_ml_raw"), F.lit(0.0)) * 100.0).otherwise(F.lit(0.0))
+    # Scores in decimals: 0.7 * 85 + 0.3 * 61.5 is 77.95 exactly and rounds to 78.0, not to 77.9 as a
+    # binary double would; every engine then rounds the same value.
+    dec = "decimal(12,4)"
+    rule_score = F.when(has_rule, F.coalesce(F.col("rule_score"), F.lit(0.0))).otherwise(F.lit(0.0)).cast(dec)
+    ml_score = (F.when(has_ml, F.coalesce(F.col("_ml_raw"), F.lit(0.0))).otherwise(F.lit(0.0)).cast(dec)
+                * F.lit(100).cast(dec))
     both, r_only, m_only = has_rule & has_ml, has_rule & ~has_ml, ~has_rule & has_ml
     return j.select(
         "customer_id",
         F.when(both, "Full agreement").when(r_only, "Partial").when(m_only, "Disagreement")
          .otherwise("None").alias("agreement"),
-        F.round(rule_score, 1).alias("rule_score"),
-        F.round(ml_score, 1).alias("ml_score"),
-        F.round(F.when(both, 0.7 * rule_score + 0.3 * ml_score)
-                 .when(r_only, F.greatest(rule_score, F.lit(75.0)))
-                 .when(m_only, ml_score).otherwise(F.lit(10.0)), 1).alias("combined_score"),
+        F.round(rule_score, 1).cast("double").alias("rule_score"),
+        F.round(ml_score, 1).cast("double").alias("ml_score"),
+        F.round(F.when(both, F.lit(0.7).cast(dec) * rule_score + F.lit(0.3).cast(dec) * ml_score)
+                 .when(r_only, F.greatest(rule_score, F.lit(75.0).cast(dec)))
+                 .when(m_only, ml_score).otherwise(F.lit(10.0).cast(dec)), 1).cast("double").alias("combined_score"),
         F.when(both, 95.0).when(r_only, 80.0).when(m_only, 55.0).otherwise(90.0).alias("trust_score"),
         F.when(both, "Confirmed Suspicious").when(r_only, "Rule Violation").when(m_only, "Statistical Outlier")
          .otherwise("Normal").alias("verdict"),

@@ -107,7 +107,7 @@ def segment_shares(flagged_ids: DataFrame, txn: DataFrame) -> DataFrame:
                  .agg(F.count(F.lit(1)).alias("population"), F.coalesce(F.sum("f"), F.lit(0)).alias("flagged")))
     # The two one-row totals are single global aggregates: broadcasting them is bounded.
     return (per_group.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(n_flagged))
-            .select("dimension", "group", "population", "flagged",
+            .select("dimension", "group", "population", "flagged", "_n_pop", "_n_flagged",
                     (F.col("population") / F.col("_n_pop")).alias("pop_share"),
                     F.when(F.col("_n_flagged") > 0, F.col("flagged") / F.col("_n_flagged"))
                      .otherwise(F.lit(0.0)).alias("flag_share")))
@@ -117,8 +117,14 @@ def bias_audit(flagged_ids: DataFrame, txn: DataFrame, min_pop_share: float = 0.
                ratio: float = 2.0) -> DataFrame:
     """Warnings for groups flagged more than ``ratio`` times their population share."""
     s = segment_shares(flagged_ids, txn)
+    # Percentages and the ratio are rounded half-up from the exact integer fractions (same in every engine).
+    def half_up(num, den, scale):
+        return F.floor((F.lit(2 * scale) * num + den) / (F.lit(2) * den)) / F.lit(float(scale))
+
+    pop, npop = F.col("population"), F.col("_n_pop")
+    flg, nflg = F.col("flagged"), F.col("_n_flagged")
     return (s.filter((F.col("pop_share") > min_pop_share) & (F.col("flag_share") > ratio * F.col("pop_share")))
             .select("dimension", "group",
-                    F.round(F.col("pop_share") * 100, 1).alias("population_share"),
-                    F.round(F.col("flag_share") * 100, 1).alias("flagged_share"),
-                    F.round(F.col("flag_share") / F.col("pop_share"), 2).alias("ratio")))
+                    half_up(pop * 100, npop, 10).alias("population_share"),
+                    half_up(flg * 100, nflg, 10).alias("flagged_share"),
+                    half_up(flg * npop, nflg * pop, 100).alias("ratio")))

@@ -297,7 +297,7 @@ pg AS (SELECT dimension, "group", count(*) AS population,
               count(*) FILTER (WHERE customer_id IN (SELECT customer_id FROM fl)) AS flagged FROM pairs GROUP BY 1, 2),
 sh AS (SELECT pg.*, population / (SELECT count(*) FROM demo) AS pop_share,
               CASE WHEN (SELECT count(*) FROM fl) > 0 THEN flagged / (SELECT count(*) FROM fl) ELSE 0.0 END
-                AS flag_share FROM pg)"""
+                AS flag_share, (SELECT count(*) FROM demo) AS n_pop, (SELECT count(*) FROM fl) AS n_fl FROM pg)"""
 
 
 def _shares_sql(select):
@@ -311,22 +311,25 @@ def _shares_sql(select):
 def q_agg_segment_share(spark, sf):
     txn = txn_view(spark, sf)
     s = segment_shares(detect_structuring(txn, FIX), txn)
-    return s.withColumn("pop_share", F.round("pop_share", 6)).withColumn("flag_share", F.round("flag_share", 6))
+    return s.select("dimension", "group", "population", "flagged", F.round("pop_share", 6).alias("pop_share"),
+                    F.round("flag_share", 6).alias("flag_share"))
 
 
 @register("bias_audit", _shares_sql(
-    'SELECT dimension, "group", round(pop_share * 100, 1) AS population_share, round(flag_share * 100, 1) AS '
-    'flagged_share, round(flag_share / pop_share, 2) AS ratio FROM sh WHERE pop_share > 0.02 AND '
-    'flag_share > 1.5 * pop_share'))
+    'SELECT dimension, "group", floor((2000 * population + n_pop) // (2 * n_pop)) / 10.0 AS population_share, '
+    'floor((2000 * flagged + n_fl) // (2 * n_fl)) / 10.0 AS flagged_share, '
+    'floor((200 * flagged * n_pop + n_fl * population) // (2 * n_fl * population)) / 100.0 AS ratio '
+    'FROM sh WHERE pop_share > 0.02 AND flag_share > 1.5 * pop_share'))
 def q_bias_audit(spark, sf):
     txn = txn_view(spark, sf)
     return bias_audit(detect_structuring(txn, FIX), txn, min_pop_share=0.02, ratio=1.5)
 
 
 @register("bias_audit_default", _shares_sql(
-    'SELECT dimension, "group", round(pop_share * 100, 1) AS population_share, round(flag_share * 100, 1) AS '
-    'flagged_share, round(flag_share / pop_share, 2) AS ratio FROM sh WHERE pop_share > 0.05 AND '
-    'flag_share > 2.0 * pop_share'))
+    'SELECT dimension, "group", floor((2000 * population + n_pop) // (2 * n_pop)) / 10.0 AS population_share, '
+    'floor((2000 * flagged + n_fl) // (2 * n_fl)) / 10.0 AS flagged_share, '
+    'floor((200 * flagged * n_pop + n_fl * population) // (2 * n_fl * population)) / 100.0 AS ratio '
+    'FROM sh WHERE pop_share > 0.05 AND flag_share > 2.0 * pop_share'))
 def q_bias_audit_default(spark, sf):
     txn = txn_view(spark, sf)
     return bias_audit(detect_structuring(txn, FIX), txn)

@@ -65,17 +65,19 @@ ml AS (
 CONSENSUS_CTE = """cons AS (
   SELECT coalesce(h.customer_id, m.customer_id) AS customer_id,
          h.customer_id IS NOT NULL AS has_rule, m.customer_id IS NOT NULL AS has_ml,
-         coalesce(h.rule_score, 0.0) AS rs, coalesce(m.ml_score, 0.0) * 100.0 AS ms,
+         CAST(coalesce(h.rule_score, 0.0) AS DECIMAL(12,4)) AS rs,
+         CAST(coalesce(m.ml_score, 0.0) AS DECIMAL(12,4)) * CAST(100 AS DECIMAL(12,4)) AS ms,
          h.rule_fired, h.txn_count AS rule_txn_count, h.total_amount AS rule_total_amount, m.top_features
   FROM {rules} h FULL OUTER JOIN ml m ON h.customer_id = m.customer_id),
 cons2 AS (
   SELECT customer_id, has_rule, has_ml, rule_txn_count, rule_total_amount, top_features,
          CASE WHEN has_rule AND has_ml THEN 'Full agreement' WHEN has_rule THEN 'Partial'
               WHEN has_ml THEN 'Disagreement' ELSE 'None' END AS agreement,
-         round(CASE WHEN has_rule THEN rs ELSE 0.0 END, 1) AS rule_score,
-         round(CASE WHEN has_ml THEN ms ELSE 0.0 END, 1) AS ml_score,
-         round(CASE WHEN has_rule AND has_ml THEN 0.7 * rs + 0.3 * ms WHEN has_rule THEN greatest(rs, 75.0)
-                    WHEN has_ml THEN ms ELSE 10.0 END, 1) AS combined_score,
+         CAST(round(CASE WHEN has_rule THEN rs ELSE 0.0 END, 1) AS DOUBLE) AS rule_score,
+         CAST(round(CASE WHEN has_ml THEN ms ELSE 0.0 END, 1) AS DOUBLE) AS ml_score,
+         CAST(round(CASE WHEN has_rule AND has_ml THEN CAST(0.7 AS DECIMAL(12,4)) * rs
+                         + CAST(0.3 AS DECIMAL(12,4)) * ms WHEN has_rule THEN greatest(rs, 75.0)
+                    WHEN has_ml THEN ms ELSE 10.0 END, 1) AS DOUBLE) AS combined_score,
          CASE WHEN has_rule AND has_ml THEN 95.0 WHEN has_rule THEN 80.0 WHEN has_ml THEN 55.0 ELSE 90.0 END
            AS trust_score,
          CASE WHEN has_rule AND has_ml THEN 'Confirmed Suspicious' WHEN has_rule THEN 'Rule Violation'

@@ -56,17 +56,23 @@ def global_row_index(df: DataFrame, order: list[str], name: str = "row_index", s
     """Consecutive positions in ``order`` without a single-task window.
 
     Range partitioning + local numbering (``monotonically_increasing_id``) +
-    per-partition offsets (one row per partition, a bounded table).
+    per-partition offsets (one row per partition, a bounded table). The
+    numbered rows are written once to the shared folder first: range bounds are
+    sampled per evaluation, so offsets and numbers must come from the same
+    materialised rows (this also survives executor loss).
     """
-    s = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-         .withColumn("_pid", F.spark_partition_id().cast("long"))
-         .withColumn("_mid", F.monotonically_increasing_id()))
-    sizes = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    from ledgerscope.session import cut_lineage
+
+    numbered = cut_lineage(
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
+        .withColumn("_pid", F.spark_partition_id().cast("long"))
+        .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid"), 33)))
+    sizes = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.select("_pid", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (s.join(F.broadcast(offs), "_pid")
-            .withColumn(name, F.col("_off") + F.col("_mid") - F.shiftleft(F.col("_pid"), 33) + F.lit(start))
-            .drop("_pid", "_mid", "_off"))
+    return (numbered.join(F.broadcast(offs), "_pid")
+            .withColumn(name, F.col("_off") + F.col("_local") + F.lit(start))
+            .drop("_pid", "_local", "_off"))
 
 
 def read_csv_capped(spark: SparkSession, root: str, n: int = 50000, schema: T.StructType | None = None) -> DataFrame:
