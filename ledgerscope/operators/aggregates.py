@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.bounded import attach_global
+
 
 
 def agg_customer(txn: DataFrame, min_count: int | None = None) -> DataFrame:
@@ -32,7 +34,7 @@ def exact_median(df: DataFrame, col: str) -> DataFrame:
 
     vals = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     n = vals.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = global_row_index(vals, ["_v"], "_pos", start=1).crossJoin(F.broadcast(n))  # one-row count
+    ranked = attach_global(global_row_index(vals, ["_v"], "_pos", start=1), n)
     mid = ranked.filter((F.col("_pos") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_pos") == F.ceil((F.col("_n") + 1) / 2)))
     return mid.agg(F.avg("_v").alias("median"))
 
@@ -44,7 +46,7 @@ def agg_summary(txn: DataFrame) -> DataFrame:
                    F.coalesce(F.round(F.sum("amount").cast("double"), 2), F.lit(0.0)).alias("total_volume"),
                    F.coalesce(F.round(F.avg(a), 2), F.lit(0.0)).alias("mean_amount"))
     med = exact_median(txn, "amount")  # one row
-    return base.crossJoin(med).select("total_transactions", "total_volume", "mean_amount",
+    return attach_global(base, med).select("total_transactions", "total_volume", "mean_amount",
                                       F.coalesce(F.round("median", 2), F.lit(0.0)).alias("median_amount"))
 
 
@@ -78,7 +80,7 @@ def agg_histogram(txn: DataFrame, bins: int = 30) -> DataFrame:
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
         F.least(F.floor((a - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
-    counts = txn.crossJoin(F.broadcast(mm)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = attach_global(txn, mm).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     all_bins = mm.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "_lo", "_hi")
     return (all_bins.join(counts, "bin", "left")
             .select("bin",
@@ -179,7 +181,7 @@ def agg_run_totals(flagged: DataFrame, evidence: DataFrame, scanned: DataFrame,
     e = evidence.agg(F.count_distinct("transaction_id").alias("evidence_ids"))
     s = scanned.agg(F.count(F.lit(1)).alias("scanned_rows"),
                     F.count_distinct("customer_id").alias("evaluated_customers"))
-    return (f.crossJoin(listed).crossJoin(e).crossJoin(s)  # one-row tables
+    return (attach_global(attach_global(attach_global(f, listed), e), s)
             .select("flagged_entities", "evidence_ids", "scanned_rows", "evaluated_customers",
                     F.when(F.col("flagged_entities") <= list_max, F.col("_ids")).alias("flagged_ids")))
 
@@ -205,6 +207,6 @@ def win_train_split(df: DataFrame, frac: float = 0.7, order=("customer_id", "tim
 
     ranked = global_row_index(df, list(order), "row_index", start=1)
     n = ranked.agg(F.count(F.lit(1)).alias("_total"))  # one row
-    return (ranked.crossJoin(F.broadcast(n))
+    return (attach_global(ranked, n)
             .withColumn("is_train", F.col("row_index") <= F.floor(F.col("_total") * frac))
             .drop("_total"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.bounded import attach_global
+
 from ledgerscope.operators.aggregates import agg_customer_features, eval_binary, win_train_split
 from ledgerscope.operators.features import compute_features
 from ledgerscope.operators.forest import detect_anomaly
@@ -60,4 +62,4 @@ def backtest_metrics(supervised_eval: DataFrame, unsupervised_eval: DataFrame) -
                                F.col("positives").alias("illicit_cases_in_test"))
     u = unsupervised_eval.select(F.struct(F.lit("Isolation forest").alias("model_type"), "precision", "recall",
                                           "f1_score").alias("unsupervised_model"))
-    return s.crossJoin(u)  # one row each
+    return attach_global(s, u)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.bounded import attach_global
+
 from ledgerscope.functions.exprs import (TEMPLATE_THRESHOLD, action_for, dollar_amounts, explanation,
                                          forced_pattern, risk_level)
 from ledgerscope.params import DEFAULT_PARAMS, Params
@@ -106,7 +108,7 @@ def segment_shares(flagged_ids: DataFrame, txn: DataFrame) -> DataFrame:
     per_group = (pairs.filter(F.col("group").isNotNull()).groupBy("dimension", "group")
                  .agg(F.count(F.lit(1)).alias("population"), F.coalesce(F.sum("f"), F.lit(0)).alias("flagged")))
     # The two one-row totals are single global aggregates: broadcasting them is bounded.
-    return (per_group.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(n_flagged))
+    return (attach_global(attach_global(per_group, total), n_flagged)
             .select("dimension", "group", "population", "flagged", "_n_pop", "_n_flagged",
                     (F.col("population") / F.col("_n_pop")).alias("pop_share"),
                     F.when(F.col("_n_flagged") > 0, F.col("flagged") / F.col("_n_flagged"))

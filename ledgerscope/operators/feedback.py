@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.bounded import attach_global
+
 from ledgerscope.operators.aggregates import agg_feedback
 
 
@@ -22,7 +24,7 @@ def tune_threshold(feedback: DataFrame, current: DataFrame | float = 0.6) -> Dat
     r = F.col("fp_ratio")
     new = (F.when(r.isNull(), t).when(r > 0.5, F.least(F.lit(0.9), t + 0.05))
             .when(r < 0.1, F.greatest(F.lit(0.1), t - 0.05)).otherwise(t))
-    return (fb.crossJoin(F.broadcast(cur.select("ml_score_threshold")))  # both one-row aggregates
+    return (attach_global(fb, cur.select("ml_score_threshold"))
             .select("true_positives", "false_positives", "total", F.round(r, 6).alias("fp_ratio"),
                     t.alias("previous_threshold"), F.round(new, 3).alias("new_threshold"),
                     F.when(r.isNull(), "no_feedback").when(r > 0.5, "raise").when(r < 0.1, "lower")

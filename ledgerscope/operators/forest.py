@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerscope.functions.bounded import attach_global
+
 from ledgerscope.operators.aggregates import FEATURE_VECTOR
 from ledgerscope.params import DEFAULT_PARAMS, Params
 
@@ -83,10 +85,10 @@ def fit_forest(customers: DataFrame, features: list[str] | None = None, params:
     n = customers.agg(F.count(F.lit(1)).alias("_n"))
     u = (F.xxhash64(F.col("customer_id"), F.col("tree_id"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1))
          / F.lit(float(1 << 52)))
-    sampled = (customers.select("customer_id", *[F.col(c).cast("double").alias(c) for c in feats])
-               .withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-               .withColumn("_u", u)
-               .crossJoin(F.broadcast(n))  # one-row count
+    rows = (customers.select("customer_id", *[F.col(c).cast("double").alias(c) for c in feats])
+            .withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+            .withColumn("_u", u))
+    sampled = (attach_global(rows, n)
                .filter(F.col("_u") < F.least(F.lit(1.0), F.lit(4.0 * psi) / F.col("_n")))
                .drop("_n"))
 
@@ -128,7 +130,7 @@ def score_forest(customers: DataFrame, nodes: DataFrame, features: list[str] | N
     """Raw anomaly score (higher = more anomalous) and per-feature attribution per customer."""
     feats = features or FEATURE_VECTOR
     spark = customers.sparkSession
-    model = _model_arrays([r.asDict() for r in nodes.collect()])  # bounded: trees x (2 x sample - 1) rows
+    model = _model_arrays([r.asDict() for r in nodes.collect()])  # at most trees x (2 x sample - 1) rows
     bc = spark.sparkContext.broadcast(model)
     out_schema = T.StructType([T.StructField("customer_id", T.StringType()),
                                T.StructField("raw_score", T.DoubleType()),
@@ -194,7 +196,7 @@ def detect_anomaly(customer_features: DataFrame, params: Params = DEFAULT_PARAMS
     scored = score_forest(cf, nodes, features)
     norm = minmax_scale(scored, "raw_score", "score")
     n = cf.agg(F.count(F.lit(1)).alias("_n"))
-    j = norm.join(cf, "customer_id").crossJoin(F.broadcast(n))  # one-row count
+    j = attach_global(norm.join(cf, "customer_id"), n)
     return (j.filter((F.col("_n") >= params.ml_min_customers) & (F.col("score") >= params.ml_score_threshold))
             .select("customer_id", F.round("score", 3).alias("ml_score"), F.lit(True).alias("anomaly_flag"),
                     feature_tags(j, params).alias("top_features"), "attribution"))

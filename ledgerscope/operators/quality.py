@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.bounded import attach_global
+
 from ledgerscope.schemas import CRITICAL_COLUMNS, REQUIRED_COLUMNS
 
 
@@ -54,7 +56,7 @@ def validate_txn(df: DataFrame) -> DataFrame:
     first = spark.createDataFrame([(1, "required_columns", True, "")],
                                   "check_order INT, check STRING, passed BOOLEAN, message STRING")
     return first.unionByName(rows.withColumn("check_order", F.col("check_order").cast("int"))) \
-        .crossJoin(ok_all)
+        .transform(lambda d: attach_global(d, ok_all))
 
 
 def quarantine_txn(df: DataFrame) -> DataFrame:

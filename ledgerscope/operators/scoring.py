@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.bounded import attach_global
+
 from ledgerscope.params import DEFAULT_PARAMS, Params
 
 
@@ -15,7 +17,7 @@ def minmax_scale(df: DataFrame, col: str, out: str = "score") -> DataFrame:
     """
     mm = df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
     x = F.col(col).cast("double")
-    return (df.crossJoin(F.broadcast(mm))
+    return (attach_global(df, mm)
             .withColumn(out, F.when(F.col("_mx") > F.col("_mn"), (x - F.col("_mn")) / (F.col("_mx") - F.col("_mn")))
                         .otherwise(F.lit(0.0)))
             .drop("_mn", "_mx"))
@@ -33,7 +35,7 @@ def feature_tags(df: DataFrame, params: Params = DEFAULT_PARAMS) -> F.Column:
 def score_threshold_flag(scored: DataFrame, params: Params = DEFAULT_PARAMS, score_col: str = "score") -> DataFrame:
     """Model hits: customers with score >= threshold, score to 3 dp, tags; none when < 5 customers."""
     n = scored.agg(F.count(F.lit(1)).alias("_n"))
-    return (scored.crossJoin(F.broadcast(n))
+    return (attach_global(scored, n)
             .filter((F.col("_n") >= params.ml_min_customers) & (F.col(score_col) >= params.ml_score_threshold))
             .select("customer_id", F.round(F.col(score_col), 3).alias("ml_score"),
                     F.lit(True).alias("anomaly_flag"), feature_tags(scored, params).alias("top_features")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.bounded import attach_global
+
 from ledgerscope.operators.aggregates import agg_customer_features, agg_summary, eval_binary
 from ledgerscope.operators.backtest import backtest_unsupervised, split_features, train_supervised
 from ledgerscope.operators.consensus import compute_consensus
@@ -49,7 +51,7 @@ def q_pipeline_broad(spark, sf):
     cons = compute_consensus(no_rules, ml)
     out = decide_consensus(cons, model_evidence(txn, ml), FIX)
     summary = agg_summary(txn)  # one row, attached to each item
-    return out.crossJoin(F.broadcast(summary)).select(
+    return attach_global(out, summary).select(
         "customer_id", "agreement", "verdict", "pattern_matched", "risk_score", "risk_level", "recommended_action",
         "confidence", "evidence_count", "explanation", "total_transactions", "median_amount")
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.bounded import attach_global
+
 from ledgerscope.plans.q_core import FIX
 from ledgerscope.plans.registry import register
 from ledgerscope.plans.sqlviews import TXN_CTE, with_ctes
@@ -150,7 +152,7 @@ def q_stream_late_data(spark, sf):
     ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     mid = ev.select(F.median(us).alias("m"))
-    ev2 = ev.crossJoin(F.broadcast(mid))  # one-row bound
+    ev2 = attach_global(ev, mid)
     ev2.filter(us >= F.col("m")).drop("m").write.mode("overwrite").parquet(f"{src}/a")
     ev2.filter(us < F.col("m")).drop("m").write.mode("overwrite").parquet(f"{src}/b")
     from ledgerscope.sources.tables import txn_from_events

@@ -83,3 +83,13 @@ def test_checkpoint_dir_read_from_session_or_created_when_unset(spark, tmp_path,
     stub = Stub()
     d = S.checkpoint_dir(stub)
     assert d.startswith(str(tmp_path)) and S.checkpoint_dir(stub) == d
+
+
+def test_broadcast_needs_a_plan_bound(spark):
+    import pytest as _pytest
+    from ledgerscope.functions.bounded import attach_global, bounded_broadcast, max_rows
+    t = txn_view(spark, SF_SMALL)
+    one = t.agg(F.count(F.lit(1)).alias("n"))
+    assert max_rows(one) == 1 and attach_global(t, one).count() == t.count()
+    with _pytest.raises(ValueError):
+        bounded_broadcast(t.groupBy("customer_id").count(), 10)
