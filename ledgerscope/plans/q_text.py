@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.operators.querylog import filter_in_domain, pair_queries_responses, session_context, tag_queries
+from ledgerscope.operators.querylog import (AMOUNT_PATTERN, CAPABILITY_WORDS, COUNT_PATTERN, DAYS_PATTERN, EDA_WORDS,
+                                            ENTITY_PATTERN, LIMIT_PATTERN, PARSER_DOMAIN_WORDS, filter_in_domain,
+                                            pair_queries_responses, session_context, tag_queries)
 from ledgerscope.plans.registry import register
 from ledgerscope.sources.tables import table
 
@@ -33,7 +35,7 @@ def _queries(spark, sf):
     return conv.unionByName(spark.createDataFrame([(q,) for q in EXAMPLE_QUERIES], "text STRING"))
 
 
-_ENT = r"(?i)(?:customer\s*(?:id)?\s*[:#]?\s*|cust\s*)([0-9]{3,6})"
+_ENT = ENTITY_PATTERN
 
 
 @register("tag_entity_id", f"""SELECT text, CASE WHEN regexp_extract(text, '{_ENT}', 1) <> ''
@@ -47,19 +49,17 @@ def _num_sql(pattern: str, typ: str = "BIGINT") -> str:
     return f"CASE WHEN {g} <> '' THEN TRY_CAST(replace({g}, ',', '') AS {typ}) END"
 
 
-@register("tag_limits", f"""SELECT text, {_num_sql(r'last\s+(\d+)\s+days?')} AS last_n_days,
-  {_num_sql(r'(\d+)\+?\s*transactions?')} AS min_transaction_count,
-  {_num_sql(r'under\s*\$?([\d,]+)', 'DOUBLE')} AS amount_threshold,
-  {_num_sql(r'(?:top|limit)\s+(\d+)')} AS "limit" FROM ({_example_sql()}) q""")
+@register("tag_limits", f"""SELECT text, {_num_sql(DAYS_PATTERN)} AS last_n_days,
+  {_num_sql(COUNT_PATTERN)} AS min_transaction_count,
+  {_num_sql(AMOUNT_PATTERN, 'DOUBLE')} AS amount_threshold,
+  {_num_sql(LIMIT_PATTERN)} AS "limit" FROM ({_example_sql()}) q""")
 def q_tag_limits(spark, sf):
     return tag_queries(_queries(spark, sf)).select("text", "last_n_days", "min_transaction_count",
                                                    "amount_threshold", "limit")
 
 
-_PARSER_WORDS = ["transaction", "customer", "money", "laundering", "bank", "account", "structuring", "smurfing",
-                 "layering", "deposit", "withdrawal", "transfer", "fraud", "suspicious", "check", "eda", "summary",
-                 "overview", "txns", "aml"]
-_CAP_WORDS = _PARSER_WORDS + ["flag", "risk", "data", "dataset", "table", "csv", "pattern", "activity"]
+_PARSER_WORDS = PARSER_DOMAIN_WORDS
+_CAP_WORDS = CAPABILITY_WORDS
 
 
 def _any(words):
@@ -68,7 +68,7 @@ def _any(words):
 
 _INTENT_SQL = f"""SELECT text,
   CASE WHEN ood THEN 'out_of_domain' ELSE intent END AS intent_type, target_pattern,
-  (NOT ood AND (intent = 'broad_exploration' OR eda_kw)) OR {_any(['chart', 'graph', 'plot', 'visual', 'eda', 'summary', 'overview'])} AS requires_full_eda,
+  (NOT ood AND (intent = 'broad_exploration' OR eda_kw)) OR {_any(EDA_WORDS)} AS requires_full_eda,
   (NOT ood AND (intent = 'broad_exploration' OR eda_kw)) AS requires_ml_detection
 FROM (SELECT *, (NOT {_any(_PARSER_WORDS)} AND intent = 'broad_exploration' AND NOT has_ent) AS ood FROM (
   SELECT text, has_ent, eda_kw,
@@ -77,9 +77,9 @@ FROM (SELECT *, (NOT {_any(_PARSER_WORDS)} AND intent = 'broad_exploration' AND
     CASE WHEN st THEN 'structuring' WHEN ly THEN 'layering' WHEN cd THEN 'structuring' ELSE 'none' END
       AS target_pattern
   FROM (SELECT text, regexp_extract(text, '{_ENT}', 1) <> '' AS has_ent,
-          regexp_extract(lower(text), '(\\d+)\\+?\\s*transactions?', 0) <> '' AS cnt,
-          regexp_extract(lower(text), 'under\\s*\\$?([\\d,]+)', 1) <> '' AS amt,
-          regexp_extract(lower(text), '(?:top|limit)\\s+(\\d+)', 1) <> '' AS lim,
+          regexp_extract(lower(text), '{COUNT_PATTERN}', 0) <> '' AS cnt,
+          regexp_extract(lower(text), '{AMOUNT_PATTERN}', 1) <> '' AS amt,
+          regexp_extract(lower(text), '{LIMIT_PATTERN}', 1) <> '' AS lim,
           contains(lower(text), 'structur') OR contains(lower(text), 'smurf') AS st,
           contains(lower(text), 'layer') AS ly,
           contains(lower(text), 'cash') AND contains(lower(text), 'deposit') AS cd,
