@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerscope.functions.exprs import just_under
 from ledgerscope.operators.windows import (SLICE_COL, T_COL, US_PER_DAY, US_PER_HOUR, choose_rolling_strategy,
                                            prefix_rolling, rolling_on_slices, rolling_sums, slice_copies,
-                                           sliced_rolling, with_slices)
+                                           slice_partials, sliced_rolling)
 from ledgerscope.params import DEFAULT_PARAMS, Params
 
 FEATURE_COLUMNS = ["is_just_under_threshold", "amount_zscore_vs_customer_avg", "velocity_hours_since_last_txn",
@@ -29,39 +29,35 @@ def customer_amount_stats(txn: DataFrame) -> DataFrame:
                         .otherwise(F.col("_std")).alias("amount_std")))
 
 
-def slice_summary(sliced: DataFrame) -> DataFrame:
+def slice_summary(partials: DataFrame) -> DataFrame:
     """Per (customer, slice): latest time of the nearest earlier slice, and the customer's amount mean / std.
 
-    ``sliced``: the rows with their slice (``with_slices``), before any shuffle:
-    the grouped aggregate is partial before its exchange, so only one partial
-    row per task and slice moves. Mean and sample std are merged from per-slice
-    count, mean and squared deviations (Chan et al.) on the small per-slice
-    table; std null or 0 -> 1.
+    ``partials``: per-slice count, mean and squared deviations (``slice_partials``
+    with ``value_col="amount"``). Mean and sample std are merged with Chan et
+    al.'s formula on this small table; std null or 0 -> 1.
     """
-    a = F.col("amount").cast("double")
-    per = (sliced.groupBy("customer_id", SLICE_COL)
-           .agg(F.max(T_COL).alias("_last_t"), F.count(a).alias("_n"), F.avg(a).alias("_m"),
-                (F.var_pop(a) * F.count(a)).alias("_m2")))
     w_all = Window.partitionBy("customer_id")
     w_ord = w_all.orderBy(SLICE_COL)
-    per = (per.withColumn("_prev_slice_last_t", F.lag("_last_t").over(w_ord))
-              .withColumn("_n_total", F.sum("_n").over(w_all))
-              .withColumn("amount_mean", F.sum(F.col("_n") * F.col("_m")).over(w_all) / F.col("_n_total")))
+    per = (partials.withColumn("_prev_slice_last_t", F.lag("_last_t").over(w_ord))
+           .withColumn("_n_total", F.sum("_n").over(w_all))
+           .withColumn("amount_mean", F.sum(F.col("_n") * F.col("_m")).over(w_all) / F.col("_n_total")))
     per = per.withColumn("_m2_total", F.sum(F.coalesce(F.col("_m2"), F.lit(0.0))
-                                      + F.col("_n") * F.pow(F.col("_m") - F.col("amount_mean"), 2)).over(w_all))
+                                            + F.col("_n") * F.pow(F.col("_m") - F.col("amount_mean"), 2)).over(w_all))
     std = F.when(F.col("_n_total") > 1, F.sqrt(F.greatest(F.col("_m2_total"), F.lit(0.0)) / (F.col("_n_total") - 1)))
     return per.select("customer_id", SLICE_COL, "_prev_slice_last_t", "amount_mean",
                       F.when(std.isNull() | (std == 0), F.lit(1.0)).otherwise(std).alias("amount_std"))
 
 
-def _features_by_prefix(txn: DataFrame, p: Params, slice_us: int, structuring_count: bool) -> DataFrame:
+def _features_by_prefix(txn: DataFrame, p: Params, slice_us: int, structuring_count: bool,
+                        partials: DataFrame) -> DataFrame:
     measures = [("rolling_7d_count", p.rolling_short_days * US_PER_DAY, F.lit(1)),
                 ("rolling_30d_sum", p.rolling_long_days * US_PER_DAY, F.col("amount"))]
     if structuring_count:
         measures.append(("structuring_window_count", p.structuring_window_days * US_PER_DAY,
                          F.when(just_under(F.col("amount"), p), F.lit(1)).otherwise(F.lit(0))))
     r = prefix_rolling(txn, ["customer_id"], "timestamp", "transaction_id", measures, slice_us, prev_time="_prev_t")
-    stats = customer_amount_stats(txn)
+    stats = (slice_summary(partials).groupBy("customer_id")
+             .agg(F.first("amount_mean").alias("amount_mean"), F.first("amount_std").alias("amount_std")))
     rows = txn.withColumn(T_COL, F.unix_micros("timestamp"))
     out = (rows.join(r, ["customer_id", T_COL, "transaction_id"], "left")
            .join(stats, "customer_id", "left")  # per-customer table; AQE splits a hot customer's side
@@ -94,17 +90,24 @@ def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice
         ju = F.when(just_under(F.col("amount"), p), F.lit(1)).otherwise(F.lit(0))
         aggs.append(("structuring_window_count", p.structuring_window_days * US_PER_DAY,
                      lambda w: F.sum(ju).over(w).cast("long")))
-    strategy, slice_us = choose_rolling_strategy(txn, max(a[1] for a in aggs), p)
+    from ledgerscope.session import cut_lineage
+
+    longest = max(a[1] for a in aggs)
+    # Per-(customer, slice) partials: a small table, written once; it decides the strategy and gives the
+    # customer statistics and the velocity fallback without another pass over the rows.
+    window_slice = slice_us or longest
+    partials = cut_lineage(slice_partials(txn.select("customer_id", "timestamp", "amount"), ["customer_id"],
+                                          "timestamp", window_slice, "amount"))
+    strategy, slice_us = choose_rolling_strategy(txn, longest, p, partials=partials)
     if strategy == "prefix":
-        joined = _features_by_prefix(txn, p, slice_us, structuring_count)
+        joined = _features_by_prefix(txn, p, slice_us, structuring_count, partials)
         keep_slice = False
     else:
-        prepared = slice_copies(txn, ["customer_id"], "timestamp", max(a[1] for a in aggs),
+        prepared = slice_copies(txn, ["customer_id"], "timestamp", longest,
                                 ["amount", "transaction_id"], "transaction_id", slice_us)
         rolled = rolling_on_slices(prepared, ["customer_id"], aggs, lag_cols=[("_lag_t", T_COL)],
                                    tiebreak="transaction_id")
-        per_slice = slice_summary(with_slices(txn.select("customer_id", "timestamp", "amount"), "timestamp", slice_us))
-        joined = rolled.join(per_slice, ["customer_id", SLICE_COL], "left")
+        joined = rolled.join(slice_summary(partials), ["customer_id", SLICE_COL], "left")
     prev_t = F.coalesce(F.col("_lag_t"), F.col("_prev_slice_last_t"))
     out = (joined
            .withColumn("is_just_under_threshold", just_under(F.col("amount"), p))

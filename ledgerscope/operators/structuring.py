@@ -24,9 +24,13 @@ def structuring_windows(txn: DataFrame, params: Params = DEFAULT_PARAMS) -> Data
     from ledgerscope.operators.features import choose_rolling_strategy
     from ledgerscope.operators.windows import prefix_rolling
 
+    from ledgerscope.session import cut_lineage
+
     p = params
     w_us = p.structuring_window_days * US_PER_DAY
     rows = just_under_rows(txn.select("customer_id", "transaction_id", "timestamp", "amount"), p)
+    if p.rolling_strategy == "auto" and not p.time_slice_days:
+        rows = cut_lineage(rows)  # a small filtered fraction, read by the density check and the windows
     strategy, slice_us = choose_rolling_strategy(rows, w_us, p)
     if strategy == "prefix":
         r = prefix_rolling(rows, ["customer_id"], "timestamp", "transaction_id",

@@ -194,22 +194,36 @@ def prefix_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
     return value_at.groupBy(*keys, F.col("_t0").alias(T_COL), F.col("_id").alias(id_col)).agg(*aggs)
 
 
-def choose_rolling_strategy(txn: DataFrame, longest_us: int, params, keys: Sequence[str] = ("customer_id",),
-                            ts_col: str = "timestamp") -> tuple[str, int]:
-    """(strategy, slice length in microseconds) for per-customer rolling frames up to ``longest_us``.
-
-    ``auto`` measures the densest (customer, window-length slice) with a
-    grouped count (partial aggregation; one scalar reaches the driver). When it
-    exceeds ``max_rows_per_slice``, prefix differences are used with slices
-    short enough to split that density.
+def slice_partials(df: DataFrame, keys: Sequence[str], ts_col: str, slice_us: int,
+                   value_col: str | None = None) -> DataFrame:
+    """Per (keys, slice): row count, latest time and, for ``value_col``, mean and squared deviations.
+
+    A grouped aggregate, partial before its shuffle: small next to the rows.
+    """
+    aggs = [F.count(F.lit(1)).alias("_n"), F.max(T_COL).alias("_last_t")]
+    if value_col:
+        v = F.col(value_col).cast("double")
+        aggs += [F.avg(v).alias("_m"), (F.var_pop(v) * F.count(v)).alias("_m2")]
+    return with_slices(df, ts_col, slice_us).groupBy(*keys, SLICE_COL).agg(*aggs)
+
+
+def choose_rolling_strategy(df: DataFrame, longest_us: int, params, keys: Sequence[str] = ("customer_id",),
+                            ts_col: str = "timestamp", partials: DataFrame | None = None) -> tuple[str, int]:
+    """(strategy, slice length in microseconds) for rolling frames up to ``longest_us``.
+
+    ``auto`` reads the densest (key, window-length slice) from the per-slice
+    counts (``partials``, computed here if not given): one scalar reaches the
+    driver. When it exceeds ``max_rows_per_slice``, prefix differences are used
+    with slices short enough to split that density.
     """
     p = params
     if p.rolling_strategy == "slices" or (p.rolling_strategy == "auto" and p.time_slice_days):
         return "slices", int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else longest_us
     if p.rolling_strategy == "prefix":
         return "prefix", int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else US_PER_DAY
-    densest = (with_slices(txn.select(*keys, ts_col), ts_col, longest_us)
-               .groupBy(*keys, SLICE_COL).count().agg(F.max("count")).first()[0]) or 0
+    if partials is None:
+        partials = slice_partials(df.select(*keys, ts_col), keys, ts_col, longest_us)
+    densest = partials.agg(F.max("_n")).first()[0] or 0
     if densest <= p.max_rows_per_slice:
         return "slices", longest_us
     return "prefix", max(US_PER_SECOND, longest_us * p.max_rows_per_slice // densest)
