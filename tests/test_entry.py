@@ -42,3 +42,13 @@ def test_oracle_matches_small(spark, name):
     idx = [ocols.index(c) for c in cols]
     exp = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=repr)
     assert got == exp
+
+
+@pytest.mark.parametrize("name,lo,hi", [("detect_structuring", 1, 149), ("detect_layering", 1, 149),
+                                        ("flagship_structuring", 1, 149), ("daily_burst", 1, 4499),
+                                        ("bias_audit", 1, 29)])
+def test_fixture_queries_discriminate(spark, name, lo, hi):
+    """Neither empty nor everything at sf0.01 (150 customers)."""
+    from tests.conftest import SF_MID
+    n = E.queries()[name](spark, SF_MID).count()
+    assert lo <= n <= hi

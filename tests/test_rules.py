@@ -98,3 +98,25 @@ def test_structuring_prefix_strategy_equals_slices(spark):
     a = sorted(detect_structuring(txn, Params(rolling_strategy="slices")).collect())
     b = sorted(detect_structuring(txn, Params(max_rows_per_slice=5)).collect())
     assert a == b and [r.customer_id for r in a] == ["HOT"] and a[0].max_window_count == 15
+
+
+def test_bias_population_share_exactly_five_percent_is_not_flagged(spark):
+    # 20 customers: group X holds exactly 1 (5 %); the one flagged customer is in X (share 100 % > 2 x 5 %)
+    rows = [(f"t{i}", f"C{i}", day(0), 1, None, None, "X" if i == 0 else "Y", "retail") for i in range(20)]
+    txn = make_txn(spark, rows)
+    flagged = spark.createDataFrame([("C0",)], "customer_id STRING")
+    assert [r.group for r in bias_audit(flagged, txn).collect()] == []  # 5 % is not above 5 %
+
+
+def test_date_filter_includes_midnight_after_end(spark):
+    import datetime as dt
+    from ledgerscope.operators.filters import Filters, filter_txn
+    rows = [("a", "C1", day(4, 23, 59), 1), ("b", "C1", day(5), 1), ("c", "C1", day(5, 0, 0, 1), 1),
+            ("d", "C1", day(0), 1)]
+    got = {r.transaction_id for r in filter_txn(make_txn(spark, rows),
+                                                Filters(date_start=dt.date(2024, 1, 2), date_end=dt.date(2024, 1, 5)))
+           .collect()}
+    assert got == {"a", "b"}  # end + 1 day at 00:00 is inside, one second later is not
+    end_only = {r.transaction_id for r in filter_txn(make_txn(spark, rows), Filters(date_end=dt.date(2024, 1, 5)))
+                .collect()}
+    assert end_only == {"a", "b", "d"}  # start defaults to end - 90 days
