@@ -17,8 +17,21 @@ CHANNELS = ["branch", "atm", "wire", "online"]
 COUNTERPARTY_MULT, COUNTERPARTY_ADD, COUNTERPARTY_MOD = 31, 7, 150
 
 
+_HANDLES: dict[tuple, DataFrame] = {}
+
+
+def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """One DataFrame handle per session and key: the plan is built once (metadata and expression
+    construction on the driver); every query still reads the data itself."""
+    k = (id(spark), spark.conf.get("spark.sql.session.timeZone"), *key)
+    if k not in _HANDLES:
+        _HANDLES[k] = build()
+    return _HANDLES[k]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return _memo(spark, ("table", path), lambda: spark.read.parquet(path))
 
 
 def _cust_id(col) -> F.Column:
@@ -27,7 +40,7 @@ def _cust_id(col) -> F.Column:
 
 def txn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions from ``events`` with country / segment from ``customer`` and ``nation``."""
-    return txn_from_events(table(spark, sf_dir, "events"), spark, sf_dir)
+    return _memo(spark, ("txn", sf_dir), lambda: txn_from_events(table(spark, sf_dir, "events"), spark, sf_dir))
 
 
 def txn_from_events(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +77,10 @@ def txn_from_events(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
 
 def orders_txn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Larger relational stand-in: orders as deposits (FIXTURES.md B3); has (customer, time) ties."""
+    return _memo(spark, ("orders_txn", sf_dir), lambda: _orders_txn(spark, sf_dir))
+
+
+def _orders_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -88,6 +105,10 @@ def orders_txn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyst verdicts from ``labels``: quality 1 -> True Positive, 0 -> False Positive."""
+    return _memo(spark, ("feedback", sf_dir), lambda: _feedback(spark, sf_dir))
+
+
+def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels")
     return lab.select(
         F.lit("2024-02-01T00:00:00").alias("timestamp"),
