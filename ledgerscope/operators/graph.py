@@ -74,7 +74,7 @@ def detect_layering(edges: DataFrame, score: float = 85.0, materialize: bool = T
                       F.lit(float(score)).alias("rule_score"))
 
 
-def layering_evidence(edges: DataFrame, hits: DataFrame) -> DataFrame:
+def layering_evidence(hits: DataFrame) -> DataFrame:
     """Evidence rows (customer_id, transaction_id) of layering hits (two per hit)."""
     return hits.select("customer_id", F.explode(F.split("supporting_txn_ids", ",")).alias("transaction_id"))
 

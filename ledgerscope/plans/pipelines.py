@@ -173,3 +173,29 @@ def results_table(flagged: DataFrame) -> DataFrame:
                           F.coalesce("pattern_matched", F.lit("N/A")).alias("pattern"),
                           F.format_string("%.1f", F.col("confidence")).alias("confidence"),
                           F.col("evidence_count").alias("evidence"))
+
+
+def pipeline_pattern(txn: DataFrame, pattern: str = "structuring", params: Params = DEFAULT_PARAMS,
+                     min_transfer: float | None = None) -> DataFrame:
+    """Rule pipeline of a pattern query: features -> rule -> consensus -> gate -> risk -> action -> explanation.
+
+    ``pattern``: "structuring" (threshold rule) or "layering" (transfer chains;
+    ``min_transfer`` filters transfers). No model stage, as in a pattern
+    query; evidence of an item = its rule evidence.
+    """
+    from ledgerscope.operators.graph import build_transfer_graph, detect_layering, layering_evidence
+    from ledgerscope.operators.structuring import detect_structuring, structuring_evidence
+    from ledgerscope.schemas import ML_HIT
+
+    if pattern == "layering":
+        hits = detect_layering(build_transfer_graph(txn, min_transfer))
+        evidence = layering_evidence(hits)
+    else:
+        hits = detect_structuring(txn, params)
+        evidence = structuring_evidence(txn, hits, params)
+    no_model = txn.sparkSession.createDataFrame([], ML_HIT)
+    cons = compute_consensus(hits, no_model)
+    out = decide_consensus(cons, evidence, params)
+    return out.select("customer_id", "agreement", "verdict", "pattern_matched", "rule_score", "risk_score",
+                      "risk_level", "recommended_action", "confidence", "trust_score", "evidence_count",
+                      "explanation")

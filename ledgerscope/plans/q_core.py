@@ -177,3 +177,20 @@ _AGG_LVL = risk_level_sql('raw', "'high_transaction_frequency'")
     AS explanation FROM s""", *AGG_CTES))
 def q_pipeline_aggregation(spark, sf):
     return pipeline_aggregation(txn_view(spark, sf), AGG_FILTERS, FIX)
+
+
+def _pattern_structuring_sql():
+    lvl = risk_level_sql("greatest(rule_score, 75.0)", "'structuring'")
+    return with_ctes(f"""SELECT customer_id, 'Partial' AS agreement, 'Rule Violation' AS verdict,
+  'structuring' AS pattern_matched, rule_score,
+  {risk_score_sql('greatest(rule_score, 75.0)', "'structuring'")} AS risk_score, {lvl} AS risk_level,
+  {action_sql(lvl)} AS recommended_action, 85.0 AS confidence, 80.0 AS trust_score, txn_count AS evidence_count,
+  {explanation_sql('customer_id', "'structuring'", lvl, 'txn_count', 'total_amount')} AS explanation FROM hits""",
+                     TXN_CTE, STRUCTURING_CTE, **SUBS)
+
+
+@register("pipeline_structuring_rules", _pattern_structuring_sql())
+def q_pipeline_structuring_rules(spark, sf):
+    """Pattern query for structuring without a model stage: rule -> consensus -> risk -> action -> explanation."""
+    from ledgerscope.plans.pipelines import pipeline_pattern
+    return pipeline_pattern(txn_view(spark, sf), "structuring", FIX)

@@ -119,3 +119,27 @@ UNION ALL SELECT n0, 4, n0 || '->' || n1 || '->' || n2 || '->' || n3 || '->' ||
 @register("detect_cycles", _graph_sql(CYCLES_SELECT, CYCLES_MIN))
 def q_detect_cycles(spark, sf):
     return detect_cycles(_edges(spark, sf, CYCLES_MIN))
+
+
+_PATTERN_LAYERING_SELECT = LAYERING_SELECT.replace(
+    "SELECT a AS customer_id, 'layering' AS rule_fired", ", lay AS (SELECT a AS customer_id, 'layering' AS rule_fired"
+).rstrip() + ")"
+
+
+def _pipeline_layering_sql():
+    from ledgerscope.plans.sqlparts import action_sql, explanation_sql, risk_level_sql, risk_score_sql
+    lvl = risk_level_sql("75.0 + 10.0", "'layering'")
+    return _graph_sql(_PATTERN_LAYERING_SELECT + f"""
+SELECT customer_id, 'Partial' AS agreement, 'Rule Violation' AS verdict, 'layering' AS pattern_matched,
+  round(rule_score, 1) AS rule_score, {risk_score_sql('greatest(rule_score, 75.0)', "'layering'")} AS risk_score,
+  {risk_level_sql('greatest(rule_score, 75.0)', "'layering'")} AS risk_level,
+  {action_sql(risk_level_sql('greatest(rule_score, 75.0)', "'layering'"))} AS recommended_action,
+  85.0 AS confidence, 80.0 AS trust_score, CAST(2 AS BIGINT) AS evidence_count,
+  {explanation_sql('customer_id', "'layering'", lvl, '2', 'NULL')} AS explanation FROM lay""", CHAINS_MIN)
+
+
+@register("pipeline_layering", _pipeline_layering_sql())
+def q_pipeline_layering(spark, sf):
+    """Pattern query for layering: transfer chains -> consensus (rule only) -> risk -> action -> explanation."""
+    from ledgerscope.plans.pipelines import pipeline_pattern
+    return pipeline_pattern(txn_view(spark, sf), "layering", min_transfer=CHAINS_MIN)

@@ -68,5 +68,5 @@ def test_graph_from_transactions_keeps_latest_parallel_edge_and_drops_self(spark
 def test_layering_evidence_rows(spark):
     from ledgerscope.operators.graph import layering_evidence
     e = edge_df(spark, [("A", "B"), ("B", "C")])
-    ev = {(r.customer_id, r.transaction_id) for r in layering_evidence(e, detect_layering(e)).collect()}
+    ev = {(r.customer_id, r.transaction_id) for r in layering_evidence(detect_layering(e)).collect()}
     assert ev == {("A", "AB"), ("A", "BC")}
