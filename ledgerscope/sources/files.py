@@ -173,12 +173,13 @@ def latest_alerts(alerts: DataFrame, n: int = 20) -> DataFrame:
 
 
 # ------------------------------------------------------------------ reports and metrics
-# Fixed value: the report document, in the reference's wording (date, customer twice, session).
+# Fixed value: the report document layout (date, customer twice, session); the reporting-system line is
+# worded neutrally.
 REPORT_TEMPLATE = """# Suspicious Activity Report (SAR)
 
 **Date of Report:** %s
 **Subject:** Customer %s
-**Reported By:** Automated Agentic AML System (Confirmed via HITL Analyst Feedback)
+**Reported By:** Automated AML detection system (Confirmed via HITL Analyst Feedback)
 
 ## 1. Subject Information
 - **Customer ID:** %s
