@@ -8,6 +8,11 @@ narrow *context* row, into the next ``ceil(window / slice)`` slices. Every frame
 window runs per (key, slice) and a hot key spreads over as many tasks as it has
 slices. Context rows carry only the columns the frames read and are dropped
 after the window, so the output has exactly the input rows.
+
+For a key too dense even for that (many rows inside one frame length),
+``prefix_rolling`` computes a frame as P(t) - P(t - w) from running totals in
+fine slices plus per-slice offsets, with no copies; ``choose_rolling_strategy``
+picks between the two from the densest per-slice count.
 """
 
 from __future__ import annotations
