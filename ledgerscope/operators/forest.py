@@ -126,11 +126,18 @@ def _model_arrays(nodes: list) -> list[dict]:
     return model
 
 
-def score_forest(customers: DataFrame, nodes: DataFrame, features: list[str] | None = None) -> DataFrame:
+def score_forest(customers: DataFrame, nodes: DataFrame, features: list[str] | None = None,
+                 params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Raw anomaly score (higher = more anomalous) and per-feature attribution per customer."""
     feats = features or FEATURE_VECTOR
     spark = customers.sparkSession
-    model = _model_arrays([r.asDict() for r in nodes.collect()])  # at most trees x (2 x sample - 1) rows
+    # The model is bounded by construction (trees x (2 x sample - 1) node rows, from the parameters); one row
+    # past that bound is fetched so an unexpected input can never pull an unbounded table to the driver.
+    bound = params.forest_trees * (2 * params.forest_sample - 1)
+    rows = nodes.limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"forest model exceeds its bound of {bound} nodes")
+    model = _model_arrays([r.asDict() for r in rows])
     bc = spark.sparkContext.broadcast(model)
     out_schema = T.StructType([T.StructField("customer_id", T.StringType()),
                                T.StructField("raw_score", T.DoubleType()),
@@ -193,7 +200,7 @@ def detect_anomaly(customer_features: DataFrame, params: Params = DEFAULT_PARAMS
     cols += [c for c in ("max_zscore", "max_rolling_7d_count", "amount_max") if c not in cols]
     cf = cut_lineage(customer_features.select(*cols))
     nodes = fit_forest(cf, features, params)
-    scored = score_forest(cf, nodes, features)
+    scored = score_forest(cf, nodes, features, params)
     norm = minmax_scale(scored, "raw_score", "score")
     n = cf.agg(F.count(F.lit(1)).alias("_n"))
     j = attach_global(norm.join(cf, "customer_id"), n)
