@@ -177,11 +177,12 @@ def results_table(flagged: DataFrame) -> DataFrame:
 
 def pipeline_pattern(txn: DataFrame, pattern: str = "structuring", params: Params = DEFAULT_PARAMS,
                      min_transfer: float | None = None) -> DataFrame:
-    """Rule pipeline of a pattern query: features -> rule -> consensus -> gate -> risk -> action -> explanation.
+    """Rule pipeline of a pattern query: rule -> consensus -> gate -> risk -> action -> explanation.
 
-    ``pattern``: "structuring" (threshold rule) or "layering" (transfer chains;
-    ``min_transfer`` filters transfers). No model stage, as in a pattern
-    query; evidence of an item = its rule evidence.
+    ``pattern``: "structuring" (threshold rule on the rows; it needs no other
+    feature) or "layering" (transfer chains; ``min_transfer`` filters
+    transfers). No model stage, as in a pattern query; evidence of an item =
+    its rule evidence.
     """
     from ledgerscope.operators.graph import build_transfer_graph, detect_layering, layering_evidence
     from ledgerscope.operators.structuring import detect_structuring, structuring_evidence
