@@ -17,9 +17,18 @@ from ledgerscope.sources.files import scratch_path
 from ledgerscope.streaming import jobs
 
 
+def _state_partitions(spark) -> int:
+    try:
+        return max(1, spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _run(spark, df, name, fmt="parquet"):
+    """Each registered stream starts on a fresh checkpoint with one state partition per core."""
     out = scratch_path(spark, f"stream-{name}")
-    jobs.run_available_now(df, f"{out}/data", f"{out}/_checkpoint", fmt=fmt)
+    jobs.run_available_now(df, f"{out}/data", f"{out}/_checkpoint", fmt=fmt,
+                           state_partitions=_state_partitions(spark))
     return out
 
 
@@ -40,7 +49,7 @@ def q_stream_alert_sink(spark, sf):
     out = scratch_path(spark, "stream-alert-sink")
     for _ in range(2):
         jobs.run_available_now(jobs.spike_alerts(jobs.txn_stream(spark, sf)), f"{out}/data", f"{out}/_checkpoint",
-                               fmt="json")
+                               fmt="json", state_partitions=_state_partitions(spark))
     a = spark.read.schema("transaction_id STRING, customer_id STRING, amount DOUBLE").json(f"{out}/data")
     return a.agg(F.count(F.lit(1)).alias("alerts"), F.count_distinct("transaction_id").alias("ids"))
 

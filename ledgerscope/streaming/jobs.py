@@ -138,11 +138,23 @@ def structuring_state(txn: DataFrame, params: Params = DEFAULT_PARAMS, delay: st
 
 
 def run_available_now(df: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet",
-                      mode: str = "append") -> None:
-    """Process everything available, exactly once into a file sink, then stop."""
-    q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start(out_path))
-    q.awaitTermination()
+                      mode: str = "append", state_partitions: int | None = None) -> None:
+    """Process everything available, exactly once into a file sink, then stop.
+
+    ``state_partitions``: shuffle / state-store partitions of a new query (a
+    stream keeps the count of its first start in its checkpoint); the session
+    setting is restored afterwards.
+    """
+    spark = df.sparkSession
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    if state_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    try:
+        q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start(out_path))
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     if q.exception():
         raise q.exception()
 
