@@ -93,3 +93,14 @@ def test_broadcast_needs_a_plan_bound(spark):
     assert max_rows(one) == 1 and attach_global(t, one).count() == t.count()
     with _pytest.raises(ValueError):
         bounded_broadcast(t.groupBy("customer_id").count(), 10)
+
+
+def test_exact_median_matches_numpy_for_odd_and_even_counts(spark):
+    import random
+    import statistics
+    from ledgerscope.operators.aggregates import exact_median
+    rnd = random.Random(9)
+    for n in (1, 2, 7, 40, 301):
+        vals = [float(rnd.randrange(1000)) for _ in range(n)]  # ties included
+        df = spark.createDataFrame([(v,) for v in vals], "amount DOUBLE").repartition(5)
+        assert exact_median(df, "amount").first().median == statistics.median(vals)
