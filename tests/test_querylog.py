@@ -34,3 +34,11 @@ def test_session_context_two_stage_top_n(spark):
     assert out["hot"].kept_messages == 10
     assert out["hot"].context_text == "User: m37\nAssistant: m38\nUser: m39"
     assert out["cold"].context_text == "User: hello" and out["cold"].kept_messages == 1
+
+
+def test_two_stage_top_n_with_small_blocks(spark):
+    from ledgerscope.operators.windows import top_n_per_key
+    rows = [("hot", i) for i in range(1, 200)] + [("cold", i) for i in (5, 1, 3)]
+    df = spark.createDataFrame(rows, "k STRING, pos LONG")
+    got = {(r.k, r.pos) for r in top_n_per_key(df, ["k"], [F.col("pos").desc()], 4, block_col="pos", block=7).collect()}
+    assert got == {("hot", 199), ("hot", 198), ("hot", 197), ("hot", 196), ("cold", 5), ("cold", 3), ("cold", 1)}
