@@ -162,10 +162,11 @@ def fit_quality(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", t
     return QualityModel(mean, scale, _fit(p, u, prior), prior)
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD,
+                  names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``docs`` with score (0 to 1, higher: better text) and predicted (1 if score >= threshold, else 0).
 
-    Every row keeps its columns (those named score or predicted are replaced). Null texts count as empty; texts
+    Every row keeps its columns (those of the two added names are replaced). Null texts count as empty; texts
     without words all get the same score. Only the text counts.
     """
 
@@ -174,4 +175,4 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
             s = model.scores(_matrix(batch_texts(b, text_col))) if b.num_rows else np.zeros(0)
             yield [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))]
 
-    return map_with_columns(docs, [("score", T.DoubleType()), ("predicted", T.IntegerType())], run)
+    return map_with_columns(docs, [(names[0], T.DoubleType()), (names[1], T.IntegerType())], run)

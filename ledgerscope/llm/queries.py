@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import exact_dedup, line_dedup, packing, quality, simhash
+from ledgerscope.llm import (decontamination, exact_dedup, licenses, line_dedup, lm_scoring, packing, quality, secrets, sharding,
+                             simhash)
 from ledgerscope.llm.common import table
 from ledgerscope.llm.subwords import tokenizer_path
 
@@ -54,6 +55,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
 
+@register("op2_lm_scoring")
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learnt from ids whose remainder of 7 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_scoring.score_texts(docs, id_remainder(7) != 2, tokenizer_path())
+    return scored.select("doc_id", (id_remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+                         "attention_score")
+
+
 OP3_SQL = """
 WITH t AS (SELECT doc_id, encode(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -67,6 +77,54 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(table(spark, sf_dir, "documents"), keep="largest")
 
 
+@register("op4_benchmark_decontamination")
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) of which the document holds question and answer, with the best passage."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontamination.mark_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    out = f"regexp_replace({out}, '{licenses.COPYRIGHT_LINE}', chr(10), 'g')"
+    for old, new in licenses.SPELLINGS:
+        out = f"replace({out}, '{old}', '{new}')"
+    return f"trim(regexp_replace({out}, '{licenses._GAPS}', ' ', 'g'))"
+
+
+_KNOWN = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licenses.known_texts())
+OP5_SQL = f"""
+WITH known AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(license_id) AS license_id FROM (VALUES {_KNOWN}) AS k(license_id, text) GROUP BY 1),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, text, regexp_split_to_array(text, '\n[ \t\r]*\n') AS parts FROM documents WHERE text IS NOT NULL),
+paragraphs AS (SELECT rid, doc_id, len(parts) AS n, unnest(parts) AS unit, generate_subscripts(parts, 1) - 1 AS paragraph FROM docs),
+cut AS (SELECT doc_id, paragraph, string_split(unit, chr(10)) AS ls FROM paragraphs),
+lines AS (SELECT doc_id, paragraph, len(ls) AS n, unnest(ls) AS unit, generate_subscripts(ls, 1) - 1 AS line FROM cut),
+units AS (SELECT doc_id, 'text' AS scope, 0 AS paragraph, 0 AS line, text AS unit FROM docs
+          UNION ALL SELECT doc_id, 'paragraph', paragraph, 0, unit FROM paragraphs WHERE n > 1
+          UNION ALL SELECT doc_id, 'line', paragraph, line, unit FROM lines WHERE n > 1)
+SELECT doc_id, scope, paragraph::INTEGER AS paragraph, line::INTEGER AS line, license_id, digest
+FROM (SELECT *, sha256({_canonical_sql("unit")}) AS digest FROM units WHERE regexp_matches(unit, '(?i){licenses.KEYWORDS}')) JOIN known USING (digest)
+"""
+
+
+@register("op5_license_scan", OP5_SQL)
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text, paragraph and line of the documents that is a known licence or licence notice."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@register("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the numbers of its fixed matches, their digest, and all spans."""
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    of_kind = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select("doc_id", of_kind("assign"), of_kind("access"), of_kind("hex"),
+                        F.sha2(secrets.joined(base).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+                        of_kind("markov"))
+
+
 @register("op7_simhash_near_dedup")
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest id of its component (at most 3 differing bits a link)."""
@@ -80,6 +138,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+@register("op9_sharding")
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its place in one of 16 shards, whose row counts are at most one apart."""
+    placed = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame, learn: Column | None = None) -> quality.QualityModel:
     """Model learnt from ``docs``; ``learn``: which ids may be learnt from (all unless given)."""
     labels = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")

@@ -99,11 +99,11 @@ class SubwordEncoder:
             return [" " + c for c in re.split(r"[ \t\n\r]+", text) if c]
         return [" " + c if special or not _PLAIN.fullmatch(c) else c.lower() for c in text.split()]
 
-    def encode(self, texts: list[str]) -> list[array]:
-        """Ids of each text, as unsigned 32-bit arrays."""
+    def encode(self, texts: list[str], group: int = 64) -> list[array]:
+        """Ids of each text, as unsigned 32-bit arrays; ``group`` texts share a look at the memo."""
         out = []
-        for start in range(0, len(texts), 64):
-            split = [self._chunks(t) for t in texts[start:start + 64]]
+        for start in range(0, len(texts), group):
+            split = [self._chunks(t) for t in texts[start:start + group]]
             missing = set(itertools.chain.from_iterable(split)).difference(self.memo_of)
             if len(self.memo_of) + len(missing) > self.memo and missing:
                 self.memo_of.clear()
