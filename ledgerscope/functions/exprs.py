@@ -86,3 +86,9 @@ def explanation(customer: Column, pattern: Column, level: Column, n_txn: Column,
         .otherwise(F.format_string(EXPLAIN_OTHER, customer, F.coalesce(pattern, F.lit("suspicious activity")),
                                    level, n_txn))
     )
+
+
+def zero_padded(number: Column, width: int) -> Column:
+    """Decimal digits with leading zeros up to ``width``; longer numbers keep all their digits."""
+    digits = number.cast("string")
+    return F.lpad(digits, F.greatest(F.lit(width), F.length(digits)), F.lit("0"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ledgerscope.functions.bounded import attach_global
 
 
-
 def agg_customer(txn: DataFrame, min_count: int | None = None) -> DataFrame:
     """Per customer: transaction count, total, mean; HAVING count >= min (default 1)."""
     m = 1 if min_count is None else min_count
@@ -27,16 +26,25 @@ def top_customers(agg: DataFrame, n: int, by: str = "transaction_count") -> Data
 def exact_median(df: DataFrame, col: str) -> DataFrame:
     """Exact median of a column as a one-row table, without gathering the values in one task.
 
-    Values are ranked by a range-partitioned sort (``global_row_index``); the
-    one or two middle positions are picked and averaged. Null on empty input.
+    Distinct values are counted first (partial aggregation: a popular value is one row a task) and written
+    range-partitioned by value. The totals of the partitions (one row each) say how many rows lie before a
+    partition, so the running count inside it gives every value its first and last position; the values that
+    hold the one or two middle positions are averaged. Null on empty input.
     """
-    from ledgerscope.sources.files import global_row_index
-
-    vals = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    n = vals.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = attach_global(global_row_index(vals, ["_v"], "_pos", start=1), n)
-    mid = ranked.filter((F.col("_pos") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_pos") == F.ceil((F.col("_n") + 1) / 2)))
-    return mid.agg(F.avg("_v").alias("median"))
+    from ledgerscope.session import cut_lineage
+
+    counts = (df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+              .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
+    dealt = cut_lineage(counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy("_part").agg(F.sum("_c").alias("_in_part"))
+    before = parts.select("_part", (F.sum("_in_part").over(Window.orderBy("_part")) - F.col("_in_part")).alias("_before"))
+    n = dealt.agg(F.sum("_c").alias("_n"))
+    upto = Window.partitionBy("_part").orderBy("_v")
+    placed = attach_global(dealt.join(before, "_part"), n).withColumn("_last", F.col("_before") + F.sum("_c").over(upto))
+    low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
+    holds = lambda p: ((F.col("_last") >= p) & (F.col("_last") - F.col("_c") < p)).cast("int")
+    weight = holds(low) + holds(high)
+    return placed.agg((F.sum(F.col("_v") * weight) / F.nullif(F.sum(weight), F.lit(0))).alias("median"))
 
 
 def agg_summary(txn: DataFrame) -> DataFrame:
@@ -169,21 +177,18 @@ def eval_binary(pred: DataFrame, label: str = "label", prediction: str = "predic
                     (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("total_samples"))
 
 
-def agg_run_totals(flagged: DataFrame, evidence: DataFrame, scanned: DataFrame, list_max: int = 10) -> DataFrame:
-    """Flagged entities, distinct evidence ids, scanned rows, evaluated customers; ids listed if at most ``list_max``.
-
-    Only the ``list_max + 1`` smallest ids are ever gathered (a top-k), never the whole flagged set.
-    """
-    ids = flagged.select("customer_id").distinct()
-    few = ids.orderBy("customer_id").limit(list_max + 1)
-    f = ids.agg(F.count(F.lit(1)).alias("flagged_entities"))
-    listed = few.agg(F.array_join(F.array_sort(F.collect_list("customer_id")), ", ").alias("_ids"))
+def agg_run_totals(flagged: DataFrame, evidence: DataFrame, scanned: DataFrame) -> DataFrame:
+    """Flagged entities, distinct evidence ids, scanned rows, evaluated customers (one row; ids: ``flagged_ids``)."""
+    f = flagged.agg(F.count_distinct("customer_id").alias("flagged_entities"))
     e = evidence.agg(F.count_distinct("transaction_id").alias("evidence_ids"))
     s = scanned.agg(F.count(F.lit(1)).alias("scanned_rows"),
                     F.count_distinct("customer_id").alias("evaluated_customers"))
-    return (attach_global(attach_global(attach_global(f, listed), e), s)
-            .select("flagged_entities", "evidence_ids", "scanned_rows", "evaluated_customers",
-                    F.when(F.col("flagged_entities") <= list_max, F.col("_ids")).alias("flagged_ids")))
+    return attach_global(attach_global(f, e), s).select("flagged_entities", "evidence_ids", "scanned_rows", "evaluated_customers")
+
+
+def flagged_ids(flagged: DataFrame) -> DataFrame:
+    """The flagged customers, one row each, however many they are."""
+    return flagged.select("customer_id").where("customer_id is not null").distinct()
 
 
 def daily_counts(txn: DataFrame) -> DataFrame:

@@ -39,35 +39,33 @@ def explain_template(df: DataFrame, count_col: str, total_col: str, pattern_col:
         F.coalesce(F.col(total_col).cast("double"), F.lit(0.0))))
 
 
-def verify_results(flagged: DataFrame, evidence: DataFrame, txn: DataFrame, params: Params = DEFAULT_PARAMS,
-                   strict: bool = False) -> DataFrame:
+def verify_results(flagged: DataFrame, evidence: DataFrame, params: Params = DEFAULT_PARAMS, strict: bool = False,
+                   keys: tuple[str, ...] = ("customer_id",)) -> DataFrame:
     """Re-derive and repair level and action; fact-check every ``$`` amount of the explanation.
 
-    An amount passes if it equals (2 dp) the amount of one evidence row of the
-    customer or the sum of them. Customers without evidence rows are not
-    fact-checked. ``strict=False`` also accepts the reporting threshold the
-    structuring template quotes verbatim ($10,000); ``strict=True`` does not.
-    Evidence is joined, never collected: one row per (customer, quoted amount).
+    ``evidence``: rows with ``keys``, transaction_id and amount (a decimal). An amount passes if it equals the
+    amount of one evidence row of the item or the sum of them, compared as decimals with two places, so the order of
+    the rows cannot change a verdict. Items without evidence rows are not fact-checked. ``strict=False`` also accepts
+    the reporting threshold the structuring template quotes verbatim ($10,000); ``strict=True`` does not.
+    The evidence is aggregated once per item, and only quoted amounts are looked up among its rows.
     """
+    keys, money2 = list(keys), "decimal(18,2)"
     lvl = risk_level(F.col("risk_score"), params)
     expected = F.when(forced_pattern(F.lower(F.coalesce(F.col("pattern_matched"), F.lit("")))) & (lvl == "Low"),
                       F.lit("Medium")).otherwise(lvl)
     base = flagged.withColumn("_expected_level", expected)
-    ev_amt = (evidence.select("customer_id", "transaction_id")
-              .join(txn.select("transaction_id", F.round(F.col("amount").cast("double"), 2).alias("_amt")),
-                    "transaction_id"))
-    ev_sum = ev_amt.groupBy("customer_id").agg(F.round(F.sum("_amt"), 2).alias("_ev_sum"))
-    ev_set = ev_amt.select("customer_id", "_amt").distinct()
-    quoted = base.select("customer_id", F.explode(dollar_amounts(F.col("explanation"))).alias("_q"))
-    checked = (quoted.join(ev_sum, "customer_id")  # inner: no evidence -> no check
-               .join(ev_set.withColumnRenamed("_amt", "_q_hit"),
-                     (quoted.customer_id == ev_set.customer_id) & (F.round(quoted._q, 2) == F.col("_q_hit")), "left")
-               .select(quoted.customer_id.alias("customer_id"), "_q", "_q_hit", "_ev_sum"))
-    ok = F.col("_q_hit").isNotNull() | (F.round(F.col("_q"), 2) == F.col("_ev_sum"))
+    amounts = evidence.select(*keys, F.col("amount").cast(money2).alias("_amt"))
+    quoted = (base.select(*keys, F.explode(F.array_distinct(dollar_amounts(F.col("explanation")))).alias("_q"))
+              .withColumn("_q", F.col("_q").cast("decimal(28,2)")))
+    # one pass over the evidence, joined to the few quoted amounts of its item: the sum and, per quoted amount, a hit
+    pairs = amounts.groupBy(*keys, "_amt").agg(F.count(F.lit(1)).alias("_n"))
+    per_quote = (quoted.join(pairs, keys).groupBy(*keys, "_q")
+                 .agg(F.sum(F.col("_amt") * F.col("_n")).alias("_sum"), F.max((F.col("_amt") == F.col("_q")).cast("int")).alias("_hit")))
+    ok = (F.col("_hit") == 1) | (F.col("_q") == F.col("_sum"))
     if not strict:
-        ok = ok | (F.col("_q") == F.lit(TEMPLATE_THRESHOLD))
-    bad_amounts = checked.filter(~ok).select("customer_id").distinct().withColumn("_bad_amount", F.lit(True))
-    out = base.join(bad_amounts, "customer_id", "left")
+        ok = ok | (F.col("_q") == F.lit(TEMPLATE_THRESHOLD).cast("decimal(28,2)"))
+    bad_amounts = per_quote.filter(~ok).select(*keys).distinct().withColumn("_bad_amount", F.lit(True))
+    out = base.join(bad_amounts, keys, "left")
     level_ok = F.col("risk_level") == F.col("_expected_level")
     fixed_level = F.col("_expected_level")
     action = F.col("recommended_action")

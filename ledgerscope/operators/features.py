@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.exprs import just_under
-from ledgerscope.operators.windows import (SLICE_COL, T_COL, US_PER_DAY, US_PER_HOUR, choose_rolling_strategy,
-                                           prefix_rolling, rolling_on_slices, rolling_sums, slice_copies,
-                                           slice_partials, sliced_rolling)
+from ledgerscope.operators.windows import (SLICE_COL, T_COL, US_PER_DAY, US_PER_HOUR, join_rows, prefix_rolling,
+                                           rolling_on_slices, rolling_strategy, rolling_sums, slice_copies,
+                                           slice_partials)
 from ledgerscope.params import DEFAULT_PARAMS, Params
 
 FEATURE_COLUMNS = ["is_just_under_threshold", "amount_zscore_vs_customer_avg", "velocity_hours_since_last_txn",
@@ -32,17 +32,17 @@ def customer_amount_stats(txn: DataFrame) -> DataFrame:
 def slice_summary(partials: DataFrame) -> DataFrame:
     """Per (customer, slice): latest time of the nearest earlier slice, and the customer's amount mean / std.
 
-    ``partials``: per-slice count, mean and squared deviations (``slice_partials``
-    with ``value_col="amount"``). Mean and sample std are merged with Chan et
+    ``partials``: per-slice count of amounts, mean and squared deviations (``slice_partials``
+    with ``value_col="amount"``; rows without an amount count in neither). Mean and sample std are merged with Chan et
     al.'s formula on this small table; std null or 0 -> 1.
     """
     w_all = Window.partitionBy("customer_id")
     w_ord = w_all.orderBy(SLICE_COL)
     per = (partials.withColumn("_prev_slice_last_t", F.lag("_last_t").over(w_ord))
-           .withColumn("_n_total", F.sum("_n").over(w_all))
-           .withColumn("amount_mean", F.sum(F.col("_n") * F.col("_m")).over(w_all) / F.col("_n_total")))
-    per = per.withColumn("_m2_total", F.sum(F.coalesce(F.col("_m2"), F.lit(0.0))
-                                            + F.col("_n") * F.pow(F.col("_m") - F.col("amount_mean"), 2)).over(w_all))
+           .withColumn("_n_total", F.sum("_n_values").over(w_all))
+           # a slice without amounts has no mean and weighs nothing
+           .withColumn("amount_mean", F.sum(F.col("_n_values") * F.col("_m")).over(w_all) / F.nullif("_n_total", F.lit(0))))
+    per = per.withColumn("_m2_total", F.sum(F.col("_m2") + F.col("_n_values") * F.pow(F.col("_m") - F.col("amount_mean"), 2)).over(w_all))
     std = F.when(F.col("_n_total") > 1, F.sqrt(F.greatest(F.col("_m2_total"), F.lit(0.0)) / (F.col("_n_total") - 1)))
     return per.select("customer_id", SLICE_COL, "_prev_slice_last_t", "amount_mean",
                       F.when(std.isNull() | (std == 0), F.lit(1.0)).otherwise(std).alias("amount_std"))
@@ -59,8 +59,7 @@ def _features_by_prefix(txn: DataFrame, p: Params, slice_us: int, structuring_co
     stats = (slice_summary(partials).groupBy("customer_id")
              .agg(F.first("amount_mean").alias("amount_mean"), F.first("amount_std").alias("amount_std")))
     rows = txn.withColumn(T_COL, F.unix_micros("timestamp"))
-    out = (rows.join(r, ["customer_id", T_COL, "transaction_id"], "left")
-           .join(stats, "customer_id", "left")  # per-customer table; AQE splits a hot customer's side
+    out = (join_rows(join_rows(rows, r, ["customer_id", T_COL, "transaction_id"]), stats, ["customer_id"])
            .withColumn("rolling_30d_sum", F.col("rolling_30d_sum").cast("double"))
            .withColumn("_lag_t", F.col("_prev_t")).withColumn("_prev_slice_last_t", F.lit(None).cast("long")))
     if structuring_count:
@@ -76,16 +75,17 @@ def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice
     ``t``; velocity takes the previous row in (time, transaction id) order.
     Strategy (``Params.rolling_strategy``): overlapping time slices, where one
     shuffle on (customer, slice) carries all windows; or, for customers too
-    dense for that, prefix differences over fine slices (see
-    ``choose_rolling_strategy``). ``structuring_count=True`` adds ``structuring_window_count``: just-under rows
-    in ``(t - structuring window, t]``, from the same window pass.
+    dense for that, prefix differences over fine slices. ``structuring_count=True`` adds
+    ``structuring_window_count``: just-under rows in ``(t - structuring window, t]``, from the same window pass.
+
+    Counts are of rows, null ids included; null amounts add nothing to sums, means and deviations; rows with a null
+    time are peers of each other alone. The per-slice partials are written while the plan is built (one action).
     """
     p = params
     short_us = p.rolling_short_days * US_PER_DAY
     long_us = p.rolling_long_days * US_PER_DAY
-    slice_us = int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else None
-    aggs = [("rolling_7d_count", short_us, lambda w: F.count("transaction_id").over(w)),
-            ("rolling_30d_sum", long_us, lambda w: F.sum("amount").over(w).cast("double"))]
+    aggs = [("rolling_7d_count", short_us, lambda w: F.count(F.lit(1)).over(w)),
+            ("rolling_30d_sum", long_us, lambda w: F.coalesce(F.sum("amount").over(w), F.lit(0)).cast("double"))]
     if structuring_count:
         ju = F.when(just_under(F.col("amount"), p), F.lit(1)).otherwise(F.lit(0))
         aggs.append(("structuring_window_count", p.structuring_window_days * US_PER_DAY,
@@ -93,12 +93,11 @@ def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice
     from ledgerscope.session import cut_lineage
 
     longest = max(a[1] for a in aggs)
-    # Per-(customer, slice) partials: a small table, written once; it decides the strategy and gives the
-    # customer statistics and the velocity fallback without another pass over the rows.
-    window_slice = slice_us or longest
+    strategy, slice_us = rolling_strategy(longest, p)
+    # Per-(customer, slice) partials: a small table, written once; it gives the customer statistics and the
+    # velocity fallback without another pass over the rows.
     partials = cut_lineage(slice_partials(txn.select("customer_id", "timestamp", "amount"), ["customer_id"],
-                                          "timestamp", window_slice, "amount"))
-    strategy, slice_us = choose_rolling_strategy(txn, longest, p, partials=partials)
+                                          "timestamp", slice_us, "amount"))
     if strategy == "prefix":
         joined = _features_by_prefix(txn, p, slice_us, structuring_count, partials)
         keep_slice = False
@@ -107,7 +106,7 @@ def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice
                                 ["amount", "transaction_id"], "transaction_id", slice_us)
         rolled = rolling_on_slices(prepared, ["customer_id"], aggs, lag_cols=[("_lag_t", T_COL)],
                                    tiebreak="transaction_id")
-        joined = rolled.join(slice_summary(partials), ["customer_id", SLICE_COL], "left")
+        joined = join_rows(rolled, slice_summary(partials), ["customer_id", SLICE_COL])
     prev_t = F.coalesce(F.col("_lag_t"), F.col("_prev_slice_last_t"))
     out = (joined
            .withColumn("is_just_under_threshold", just_under(F.col("amount"), p))
@@ -125,32 +124,28 @@ def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice
 def rolling_features(txn: DataFrame, days: int, params: Params = DEFAULT_PARAMS, ties: str = "all") -> DataFrame:
     """Rolling count, sum and mean over ``(t - days, t]`` per customer.
 
-    ``ties="all"``: every row tied on ``t`` is in the frame (deterministic);
-    strategy chosen as in ``compute_features``.
+    ``ties="all"``: every row tied on ``t`` is in the frame (deterministic).
     ``ties="ordered"``: tied rows see only peers ordered before them by
-    transaction id (the behaviour of an index-based rolling count); computed on
-    overlapping slices as the range count minus later peers inside the same
-    (customer, slice).
+    transaction id (the behaviour of an index-based rolling window); the frame
+    with all peers less what the later peers add. Null amounts add nothing, and the
+    mean is over the rows of the frame that have an amount (null without any).
     """
     w_us = days * US_PER_DAY
-    if ties != "ordered":
-        r = rolling_sums(txn, ["customer_id"], "timestamp", "transaction_id",
-                         [("rolling_count", w_us, F.lit(1)), ("rolling_sum", w_us, F.col("amount"))], params)
-        return (r.withColumn("rolling_count", F.col("rolling_count").cast("long"))
-                .withColumn("rolling_sum", F.col("rolling_sum").cast("double"))
-                .withColumn("rolling_avg", F.col("rolling_sum") / F.col("rolling_count")))
-    slice_us = int(params.time_slice_days * US_PER_DAY) if params.time_slice_days else None
-    r = sliced_rolling(
-        txn, ["customer_id"], "timestamp",
-        aggs=[("rolling_count", w_us, lambda w: F.count("transaction_id").over(w)),
-              ("rolling_sum", w_us, lambda w: F.sum("amount").over(w).cast("double")),
-              ("rolling_avg", w_us, lambda w: F.avg(F.col("amount").cast("double")).over(w))],
-        read_cols=["amount", "transaction_id"], slice_us=slice_us)
-    from pyspark.sql import Window
-    peers = Window.partitionBy("customer_id", SLICE_COL, T_COL)
-    later = F.count(F.lit(1)).over(peers) - F.row_number().over(peers.orderBy("transaction_id"))
-    r = r.withColumn("rolling_count", F.col("rolling_count") - later)
-    return r.drop(SLICE_COL, T_COL)
+    has = F.when(F.col("amount").isNotNull(), F.lit(1)).otherwise(F.lit(0))
+    r = rolling_sums(txn, ["customer_id"], "timestamp", "transaction_id",
+                     [("rolling_count", w_us, F.lit(1)), ("rolling_sum", w_us, F.col("amount")), ("_amounts", w_us, has)], params)
+    if ties == "ordered":
+        # only rows of one instant meet in this window
+        later = (Window.partitionBy("customer_id", "timestamp").orderBy(F.col("transaction_id").desc_nulls_first())
+                 .rowsBetween(Window.unboundedPreceding, -1))
+        over = lambda c: F.coalesce(F.sum(c).over(later), F.lit(0))
+        r = (r.withColumn("_later_n", over(F.lit(1))).withColumn("_later_sum", over(F.col("amount"))).withColumn("_later_has", over(has))
+             .withColumn("rolling_count", F.col("rolling_count") - F.col("_later_n"))
+             .withColumn("rolling_sum", F.col("rolling_sum") - F.col("_later_sum"))
+             .withColumn("_amounts", F.col("_amounts") - F.col("_later_has")).drop("_later_n", "_later_sum", "_later_has"))
+    return (r.withColumn("rolling_count", F.col("rolling_count").cast("long"))
+            .withColumn("rolling_sum", F.col("rolling_sum").cast("double"))
+            .withColumn("rolling_avg", F.col("rolling_sum") / F.nullif("_amounts", F.lit(0))).drop("_amounts"))
 
 
 def daily_txn_count(txn: DataFrame) -> DataFrame:
@@ -167,7 +162,7 @@ def daily_txn_count(txn: DataFrame) -> DataFrame:
 def burst_24h(txn: DataFrame, min_count: int, params: Params = DEFAULT_PARAMS, hours: int = 24) -> DataFrame:
     """Customers reaching ``min_count`` transactions within ``(t - hours, t]``; largest such count and when.
 
-    Rolling count (strategy as in ``compute_features``), then a grouped aggregate.
+    Rolling count, then a grouped aggregate.
     """
     r = rolling_sums(txn.select("customer_id", "timestamp", "transaction_id"), ["customer_id"], "timestamp",
                      "transaction_id", [("_c", hours * US_PER_HOUR, F.lit(1))], params)

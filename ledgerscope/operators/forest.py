@@ -79,18 +79,27 @@ def _build_tree(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tup
 
 
 def fit_forest(customers: DataFrame, features: list[str] | None = None, params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """Node table of the forest (a DataFrame; at most trees x (2 x sample - 1) rows)."""
+    """Node table of the forest (a DataFrame; at most trees x (2 x sample - 1) rows).
+
+    A customer's hash is a place on a circle, and tree k may draw from an arc of length 4 * sample / n that starts at
+    k / trees: a customer yields a row only for the trees whose arc holds it (4 * sample * trees rows in all, for any
+    number of customers). Within its arc a tree takes the ``sample`` smallest by a hash of its own.
+    """
     feats = features or FEATURE_VECTOR
     psi, trees, seed = params.forest_sample, params.forest_trees, params.forest_seed
     n = customers.agg(F.count(F.lit(1)).alias("_n"))
-    u = (F.xxhash64(F.col("customer_id"), F.col("tree_id"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1))
-         / F.lit(float(1 << 52)))
-    rows = (customers.select("customer_id", *[F.col(c).cast("double").alias(c) for c in feats])
-            .withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-            .withColumn("_u", u))
+
+    def share(*cols):
+        return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+
+    rows = customers.select("customer_id", *[F.col(c).cast("double").alias(c) for c in feats])
+    arc = F.least(F.lit(1.0), F.lit(4.0 * psi) / F.col("_n"))
+    place = share(F.col("customer_id"), F.lit(seed)) * F.lit(trees)
+    first, last = F.floor(place - arc * F.lit(trees)) + 1, F.floor(place)
     sampled = (attach_global(rows, n)
-               .filter(F.col("_u") < F.least(F.lit(1.0), F.lit(4.0 * psi) / F.col("_n")))
-               .drop("_n"))
+               .withColumn("tree_id", F.explode(F.when(first <= last, F.sequence(first, last))))
+               .withColumn("tree_id", F.pmod("tree_id", F.lit(trees)).cast("int"))
+               .withColumn("_u", share(F.col("customer_id"), F.col("tree_id"), F.lit(seed))).drop("_n"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_u", "customer_id"]).head(psi)
@@ -186,27 +195,37 @@ def score_forest(customers: DataFrame, nodes: DataFrame, features: list[str] | N
         .mapInPandas(score, out_schema)
 
 
+def forest_scores(customer_features: DataFrame, params: Params = DEFAULT_PARAMS,
+                  features: list[str] | None = None) -> DataFrame:
+    """(customer_id, score 0..1, attribution) of every customer: fit, score and min-max scale."""
+    from ledgerscope.operators.scoring import minmax_scale
+
+    nodes = fit_forest(customer_features, features, params)
+    return minmax_scale(score_forest(customer_features, nodes, features, params), "raw_score", "score").select(
+        "customer_id", "score", "attribution")
+
+
 def detect_anomaly(customer_features: DataFrame, params: Params = DEFAULT_PARAMS,
                    features: list[str] | None = None) -> DataFrame:
-    """Model hits: min-max normalised forest score >= threshold; none with fewer than 5 customers.
+    """Model hits: min-max normalised forest score >= threshold.
 
-    Output: customer_id, ml_score (3 dp), anomaly_flag, top_features, attribution.
+    Output: customer_id, ml_score (3 dp), anomaly_flag, top_features, attribution, enough_customers (false when
+    fewer than ``ml_min_customers`` were scored; no hit is dropped for it).
     """
-    from ledgerscope.operators.scoring import feature_tags, minmax_scale
+    from ledgerscope.operators.scoring import feature_tags
     from ledgerscope.session import cut_lineage
 
     # fit, score, tags and the count all read the customer table: materialise it once
     cols = ["customer_id", *(features or FEATURE_VECTOR)]
     cols += [c for c in ("max_zscore", "max_rolling_7d_count", "amount_max") if c not in cols]
     cf = cut_lineage(customer_features.select(*cols))
-    nodes = fit_forest(cf, features, params)
-    scored = score_forest(cf, nodes, features, params)
-    norm = minmax_scale(scored, "raw_score", "score")
+    norm = forest_scores(cf, params, features)
     n = cf.agg(F.count(F.lit(1)).alias("_n"))
     j = attach_global(norm.join(cf, "customer_id"), n)
-    return (j.filter((F.col("_n") >= params.ml_min_customers) & (F.col("score") >= params.ml_score_threshold))
+    return (j.filter(F.col("score") >= params.ml_score_threshold)
             .select("customer_id", F.round("score", 3).alias("ml_score"), F.lit(True).alias("anomaly_flag"),
-                    feature_tags(j, params).alias("top_features"), "attribution"))
+                    feature_tags(j, params).alias("top_features"), "attribution",
+                    (F.col("_n") >= params.ml_min_customers).alias("enough_customers")))
 
 
 def rank_attribution(hits: DataFrame) -> DataFrame:

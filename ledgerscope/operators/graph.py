@@ -1,16 +1,16 @@
 """Transfer graph: edges between customers, layering chains and closed cycles.
 
-Everything is an equi-join on edge tables. Membership (``detect_layering``)
-never enumerates paths: a customer starts a chain of two transfers iff one of
-its receivers sends to someone other than the customer, which a per-node
-summary (out-degree and two smallest receivers) decides with one join.
-Enumeration (``enumerate_chains``, ``detect_cycles``) is offered for
-investigation; its output is by nature as large as the number of paths.
+Everything is an equi-join on edge tables, and every result has at most one
+row a customer: paths are never enumerated. A customer starts a chain of two
+transfers iff one of its receivers sends to someone other than the customer,
+which a per-node summary (two smallest receivers) decides with one join.
+``enumerate_chains`` extends that chain by the least next receiver, and
+``detect_cycles`` searches wedges below their highest-degree member.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.filters import filter_transfers
@@ -50,14 +50,8 @@ def node_summary(edges: DataFrame) -> DataFrame:
     return first.join(second, "src", "left")
 
 
-def detect_layering(edges: DataFrame, score: float = 85.0, materialize: bool = True) -> DataFrame:
-    """Customers that start a simple path of two transfers; chain = lexicographically least such path.
-
-    One row per originator: chain ``a->b->c``, the two evidence transaction ids, score.
-    The edge table is read five times, so it is written once first (``materialize``).
-    """
-    if materialize:
-        edges = cut_lineage(edges)
+def _least_chains(edges: DataFrame) -> DataFrame:
+    """(a, b, c, t1, t2): for each originator the lexicographically least simple path of two transfers."""
     ns = node_summary(edges).select(F.col("src").alias("b"), "r1", "r2")
     cand = (edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
             .join(ns, "b")
@@ -66,12 +60,23 @@ def detect_layering(edges: DataFrame, score: float = 85.0, materialize: bool = T
     best = cand.groupBy("a").agg(F.min(F.struct("b", "c")).alias("_p")).select("a", "_p.b", "_p.c")
     e1 = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("txn_id").alias("t1"))
     e2 = edges.select(F.col("src").alias("b"), F.col("dst").alias("c"), F.col("txn_id").alias("t2"))
-    out = best.join(e1, ["a", "b"]).join(e2, ["b", "c"])
-    return out.select(F.col("a").alias("customer_id"), F.lit("layering").alias("rule_fired"),
-                      F.concat_ws("->", "a", "b", "c").alias("chain"),
-                      F.concat_ws(",", "t1", "t2").alias("supporting_txn_ids"),
-                      F.lit(2).cast("long").alias("txn_count"), F.lit(None).cast("double").alias("total_amount"),
-                      F.lit(float(score)).alias("rule_score"))
+    return best.join(e1, ["a", "b"]).join(e2, ["b", "c"])
+
+
+def detect_layering(edges: DataFrame, score: float = 85.0, materialize: bool = True) -> DataFrame:
+    """Customers that start a simple path of two transfers; chain = lexicographically least such path.
+
+    One row per originator: chain ``a->b->c``, the two evidence transaction ids, score.
+    The edge table is read five times, so it is written once first (``materialize``; an action).
+    """
+    if materialize:
+        edges = cut_lineage(edges)
+    return _least_chains(edges).select(
+        F.col("a").alias("customer_id"), F.lit("layering").alias("rule_fired"),
+        F.concat_ws("->", "a", "b", "c").alias("chain"),
+        F.concat_ws(",", "t1", "t2").alias("supporting_txn_ids"),
+        F.lit(2).cast("long").alias("txn_count"), F.lit(None).cast("double").alias("total_amount"),
+        F.lit(float(score)).alias("rule_score"))
 
 
 def layering_evidence(hits: DataFrame) -> DataFrame:
@@ -79,58 +84,97 @@ def layering_evidence(hits: DataFrame) -> DataFrame:
     return hits.select("customer_id", F.explode(F.split("supporting_txn_ids", ",")).alias("transaction_id"))
 
 
-def enumerate_chains(edges: DataFrame, min_hops: int = 2, max_hops: int = 4, materialize: bool = True) -> DataFrame:
-    """All simple directed paths of ``min_hops..max_hops`` transfers, one row per path.
+def smallest_receivers(edges: DataFrame, n: int) -> DataFrame:
+    """Per sender the ``n`` smallest receivers with their transactions, as an array of (dst, txn_id).
 
-    Built by repeated equi-joins of the frontier with the edge table on
-    ``last node = src``, excluding nodes already on the path. The edge table is
-    written once (``materialize``) since every hop reads it.
+    Spark limits the rank window before the shuffle as well, so a hub costs ``n`` rows a task.
+    """
+    w = Window.partitionBy("src").orderBy("dst")
+    few = edges.select("src", "dst", "txn_id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    return few.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "txn_id"))).alias("receivers"))
+
+
+def enumerate_chains(edges: DataFrame, max_hops: int = 4, materialize: bool = True) -> DataFrame:
+    """One chain per originator: its least path of two transfers, extended up to ``max_hops``.
+
+    Each further hop goes to the least receiver that is not on the chain yet; a chain without one ends. A chain
+    has at most ``max_hops`` nodes behind it, so the ``max_hops`` smallest receivers of a node decide its next hop:
+    a hop is one join with at most one row a chain.
     """
     if materialize:
         edges = cut_lineage(edges)
-    e = edges.select("src", "dst", "txn_id")
-    frontier = e.select(F.array("src", "dst").alias("nodes"), F.array("txn_id").alias("txns"),
-                        F.col("dst").alias("_last"))
-    results = []
-    for hops in range(2, max_hops + 1):
-        frontier = (frontier.join(e, frontier._last == e.src)
-                    .filter(~F.array_contains("nodes", F.col("dst")))
-                    .select(F.concat("nodes", F.array("dst")).alias("nodes"),
-                            F.concat("txns", F.array("txn_id")).alias("txns"), F.col("dst").alias("_last")))
-        if hops >= min_hops:
-            results.append(frontier.withColumn("hops", F.lit(hops)))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.select(F.col("nodes")[0].alias("originator"), F.col("_last").alias("target"), "hops",
-                      F.array_join("nodes", "->").alias("chain"),
-                      F.array_join("txns", ",").alias("txn_ids"))
-
-
-def detect_cycles(edges: DataFrame, max_len: int = 4, materialize: bool = True) -> DataFrame:
-    """Closed transfer cycles of 3..max_len customers, reported once from their least member."""
+    chains = _least_chains(edges).select(F.array("a", "b", "c").alias("nodes"), F.array("t1", "t2").alias("txns"))
+    ends = smallest_receivers(edges, max_hops + 1).withColumnRenamed("src", "_last")
+    for _ in range(3, max_hops + 1):
+        step = chains.withColumn("_last", F.element_at("nodes", -1)).join(ends, "_last", "left")
+        free = F.filter("receivers", lambda r: ~F.array_contains(F.col("nodes"), r["dst"]))
+        following = F.when(F.size(free) > 0, free[0])
+        # a chain that has ended has no free receiver, then or later
+        chains = step.select(F.when(following.isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array(following["dst"]))).alias("nodes"),
+                             F.when(following.isNull(), F.col("txns")).otherwise(F.concat("txns", F.array(following["txn_id"]))).alias("txns"))
+    return chains.select(F.col("nodes")[0].alias("originator"), F.element_at("nodes", -1).alias("target"),
+                         F.size("txns").alias("hops"), F.array_join("nodes", "->").alias("chain"), F.array_join("txns", ",").alias("txn_ids"))
+
+
+def hop_summary(edges: DataFrame, materialize: bool = True) -> DataFrame:
+    """Per originator: receivers, and the number of simple paths of two transfers.
+
+    A path's count needs no path: the receivers of the receivers, less the ways straight back.
+    """
+    if materialize:
+        edges = cut_lineage(edges)
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_d")).withColumnRenamed("src", "dst")
+    back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(1).alias("_back"))
+    return (edges.select("src", "dst").join(degree, "dst", "left").join(back, ["src", "dst"], "left").groupBy("src")
+            .agg(F.count(F.lit(1)).alias("receivers"),
+                 F.sum(F.coalesce("_d", F.lit(0)) - F.coalesce("_back", F.lit(0))).alias("two_hop_paths"))
+            .withColumnRenamed("src", "customer_id"))
+
+
+def detect_cycles(edges: DataFrame, materialize: bool = True) -> DataFrame:
+    """Closed transfer cycles of three or four customers, one row per anchor.
+
+    A cycle's anchor is its member of the highest (degree, id). Reported is the anchor's least cycle: the shorter
+    length first, then the least members in order. Only wedges anchor -> x -> y with x and y below the anchor are
+    built, so a hub is never the middle of a wedge with a smaller end (the sum over edges of the lower degree).
+    """
     if materialize:
         edges = cut_lineage(edges)
-    e = edges.select("src", "dst", "txn_id")
-    frontier = (e.filter(F.col("dst") > F.col("src"))
-                .select(F.col("src").alias("_start"), F.array("src", "dst").alias("nodes"),
-                        F.array("txn_id").alias("txns"), F.col("dst").alias("_last")))
-    results = []
-    for length in range(3, max_len + 1):
-        frontier = (frontier.join(e, frontier._last == e.src)
-                    .filter((F.col("dst") > F.col("_start")) & ~F.array_contains("nodes", F.col("dst")))
-                    .select("_start", F.concat("nodes", F.array("dst")).alias("nodes"),
-                            F.concat("txns", F.array("txn_id")).alias("txns"), F.col("dst").alias("_last")))
-        close = e.select(F.col("src").alias("_c_src"), F.col("dst").alias("_c_dst"), F.col("txn_id").alias("_c_t"))
-        closed = (frontier.join(close, (frontier._last == close._c_src) & (frontier._start == close._c_dst))
-                  .select(F.col("_start").alias("cycle_start"), F.lit(length).alias("length"),
-                          F.array_join(F.concat("nodes", F.array("_start")), "->").alias("cycle"),
-                          F.array_join(F.concat("txns", F.array("_c_t")), ",").alias("txn_ids")))
-        results.append(closed)
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    ends = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node")))
+    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("_deg"))
+    ranked = edges
+    for side in ("src", "dst"):
+        ranked = ranked.join(degree.select(F.col("node").alias(side), F.struct("_deg", F.col("node")).alias(f"{side}_rank")), side)
+    e = cut_lineage(ranked.select("src", "dst", "txn_id", "src_rank", "dst_rank"))
+    down, up = e.filter("dst_rank < src_rank"), e.filter("src_rank < dst_rank")
+    first = down.select(F.col("src").alias("v"), F.col("src_rank").alias("v_rank"), F.col("dst").alias("x"), F.col("txn_id").alias("t1"))
+    second = e.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("dst_rank").alias("y_rank"), F.col("txn_id").alias("t2"))
+    out_wedges = cut_lineage(first.join(second, "x").filter("y_rank < v_rank").select("v", "y", F.struct("x", "t1", "t2").alias("w")))
+    last = up.select(F.col("dst").alias("v"), F.col("dst_rank").alias("v_rank"), F.col("src").alias("d"), F.col("txn_id").alias("t4"))
+    third = e.select(F.col("dst").alias("d"), F.col("src").alias("y"), F.col("src_rank").alias("y_rank"), F.col("txn_id").alias("t3"))
+    in_wedges = cut_lineage(last.join(third, "d").filter("y_rank < v_rank").select("v", "y", F.struct("d", "t3", "t4").alias("w")))
+
+    def two_least(wedges: DataFrame, name: str) -> DataFrame:
+        one = wedges.groupBy("v", "y").agg(F.min("w").alias(f"{name}1"))
+        two = wedges.join(one, ["v", "y"]).filter(F.col("w") > F.col(f"{name}1")).groupBy("v", "y").agg(F.min("w").alias(f"{name}2"))
+        return one.join(two, ["v", "y"], "left")
+
+    outs = two_least(out_wedges, "o")
+    back = up.select(F.col("dst").alias("v"), F.col("src").alias("y"), F.col("txn_id").alias("t3"))
+    three = (outs.join(back, ["v", "y"]).select("v", F.struct(
+        F.lit(3).alias("length"), F.array("v", "o1.x", "y").alias("nodes"), F.array("o1.t1", "o1.t2", "t3").alias("txns")).alias("c")))
+    both = outs.join(two_least(in_wedges, "i"), ["v", "y"])
+    same = F.col("o1.x") == F.col("i1.d")
+    pair = (F.when(~same, F.struct(F.col("o1").alias("o"), F.col("i1").alias("i")))
+            .when(F.col("i2").isNotNull(), F.struct(F.col("o1").alias("o"), F.col("i2").alias("i")))
+            .when(F.col("o2").isNotNull(), F.struct(F.col("o2").alias("o"), F.col("i1").alias("i"))))
+    four = (both.select("v", "y", pair.alias("p")).filter("p is not null").select("v", F.struct(
+        F.lit(4).alias("length"), F.array("v", "p.o.x", "y", "p.i.d").alias("nodes"),
+        F.array("p.o.t1", "p.o.t2", "p.i.t3", "p.i.t4").alias("txns")).alias("c")))
+    best = three.unionByName(four).groupBy("v").agg(F.min("c").alias("c"))
+    return best.select(F.col("v").alias("cycle_start"), F.col("c.length").alias("length"),
+                       F.concat_ws("->", F.array_join("c.nodes", "->"), F.col("v")).alias("cycle"),
+                       F.array_join("c.txns", ",").alias("txn_ids"))
 
 
 def distinct_nodes(edges: DataFrame) -> DataFrame:

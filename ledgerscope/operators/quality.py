@@ -51,7 +51,6 @@ def validate_txn(df: DataFrame) -> DataFrame:
                ("timestamp_parse", "_bad_ts = 0", "Column 'timestamp' contains invalid datetime values.")]
     stack = ", ".join(f"{i + 2}, '{name}', {cond}, \"{msg}\"" for i, (name, cond, msg) in enumerate(checks))
     rows = s.selectExpr(f"stack({len(checks)}, {stack}) AS (check_order, check, passed, message)")
-    rows = F.broadcast(rows)  # one row per check (bounded)
     ok_all = rows.agg(F.bool_and("passed").alias("valid"))
     first = spark.createDataFrame([(1, "required_columns", True, "")],
                                   "check_order INT, check STRING, passed BOOLEAN, message STRING")
@@ -59,12 +58,22 @@ def validate_txn(df: DataFrame) -> DataFrame:
         .transform(lambda d: attach_global(d, ok_all))
 
 
-def quarantine_txn(df: DataFrame) -> DataFrame:
-    """Rows failing row-level checks, with an array of reasons; the rest is the clean output."""
+def with_reasons(df: DataFrame) -> DataFrame:
+    """All rows with ``reasons``: the row-level checks that a row fails (empty for a clean one)."""
     amt = _amount_num(df)
     reasons = F.array_compact(F.array(
         *[F.when(F.col(c).isNull(), F.lit(f"null_{c}")) for c in CRITICAL_COLUMNS],
         F.when(F.col("amount").isNotNull() & amt.isNull(), F.lit("amount_not_numeric")),
         F.when(amt < 0, F.lit("amount_negative")),
         F.when(F.col("timestamp").isNotNull() & ~_ts_ok(df), F.lit("timestamp_unparseable"))))
-    return df.withColumn("reasons", reasons).filter(F.size("reasons") > 0)
+    return df.withColumn("reasons", reasons)
+
+
+def quarantine_txn(df: DataFrame) -> DataFrame:
+    """Rows failing row-level checks, with an array of reasons; the rest is the clean output."""
+    return with_reasons(df).filter(F.size("reasons") > 0)
+
+
+def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(clean rows, quarantined rows with reasons); together every row of ``df`` once."""
+    return with_reasons(df).filter(F.size("reasons") == 0).drop("reasons"), quarantine_txn(df)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerscope.operators.windows import last_marker_at_or_before, top_n_per_key
 
 # Patterns and vocabularies of the reference's keyword parser and capability check.
-ENTITY_PATTERN = r"(?i)(?:customer\s*(?:id)?\s*[:#]?\s*|cust\s*)([0-9]{3,6})"
+ENTITY_PATTERN = r"(?i)(?:customer\s*(?:id)?\s*[:#]?\s*|cust\s*)([0-9]{3,6})(?![0-9])"
 DAYS_PATTERN = r"last\s+(\d+)\s+days?"
 COUNT_PATTERN = r"(\d+)\+?\s*transactions?"
 AMOUNT_PATTERN = r"under\s*\$?([\d,]+)"

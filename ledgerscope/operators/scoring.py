@@ -33,12 +33,17 @@ def feature_tags(df: DataFrame, params: Params = DEFAULT_PARAMS) -> F.Column:
 
 
 def score_threshold_flag(scored: DataFrame, params: Params = DEFAULT_PARAMS, score_col: str = "score") -> DataFrame:
-    """Model hits: customers with score >= threshold, score to 3 dp, tags; none when < 5 customers."""
+    """Model hits: customers with score >= threshold, score to 3 dp, tags.
+
+    ``enough_customers`` is false when fewer than ``ml_min_customers`` were scored: such a score says little, and
+    the reader decides; no hit is dropped for it.
+    """
     n = scored.agg(F.count(F.lit(1)).alias("_n"))
     return (attach_global(scored, n)
-            .filter((F.col("_n") >= params.ml_min_customers) & (F.col(score_col) >= params.ml_score_threshold))
+            .filter(F.col(score_col) >= params.ml_score_threshold)
             .select("customer_id", F.round(F.col(score_col), 3).alias("ml_score"),
-                    F.lit(True).alias("anomaly_flag"), feature_tags(scored, params).alias("top_features")))
+                    F.lit(True).alias("anomaly_flag"), feature_tags(scored, params).alias("top_features"),
+                    (F.col("_n") >= params.ml_min_customers).alias("enough_customers")))
 
 
 def score_aggregation(agg: DataFrame) -> DataFrame:

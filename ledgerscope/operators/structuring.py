@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.exprs import just_under
-from ledgerscope.operators.windows import US_PER_DAY, sliced_rolling
+from ledgerscope.operators.windows import US_PER_DAY, rolling_sums
 from ledgerscope.params import DEFAULT_PARAMS, Params
 
 
@@ -17,30 +17,12 @@ def just_under_rows(txn: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFram
 def structuring_windows(txn: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Just-under rows with the count of just-under rows in ``(t - window, t]``.
 
-    The filter runs before any shuffle; the windows use the strategy of
-    ``choose_rolling_strategy`` (overlapping slices, or prefix differences for a
-    customer too dense for them).
+    The filter runs before any shuffle; the windows use the strategy of ``Params.rolling_strategy``.
     """
-    from ledgerscope.operators.features import choose_rolling_strategy
-    from ledgerscope.operators.windows import prefix_rolling
-
-    from ledgerscope.session import cut_lineage
-
-    p = params
-    w_us = p.structuring_window_days * US_PER_DAY
-    rows = just_under_rows(txn.select("customer_id", "transaction_id", "timestamp", "amount"), p)
-    if p.rolling_strategy == "auto" and not p.time_slice_days:
-        rows = cut_lineage(rows)  # a small filtered fraction, read by the density check and the windows
-    strategy, slice_us = choose_rolling_strategy(rows, w_us, p)
-    if strategy == "prefix":
-        r = prefix_rolling(rows, ["customer_id"], "timestamp", "transaction_id",
-                           [("window_count", w_us, F.lit(1))], slice_us)
-        return (rows.withColumn("_t_us", F.unix_micros("timestamp"))
-                .join(r, ["customer_id", "_t_us", "transaction_id"]).drop("_t_us")
-                .withColumn("window_count", F.col("window_count").cast("long")))
-    return sliced_rolling(rows, ["customer_id"], "timestamp",
-                          aggs=[("window_count", w_us, lambda w: F.count("transaction_id").over(w))],
-                          read_cols=["transaction_id"], slice_us=slice_us).drop("_slice", "_t_us")
+    rows = just_under_rows(txn.select("customer_id", "transaction_id", "timestamp", "amount"), params)
+    counted = rolling_sums(rows, ["customer_id"], "timestamp", "transaction_id",
+                           [("window_count", params.structuring_window_days * US_PER_DAY, F.lit(1))], params)
+    return counted.withColumn("window_count", F.col("window_count").cast("long"))
 
 
 def detect_structuring(txn: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
@@ -52,7 +34,7 @@ def detect_structuring(txn: DataFrame, params: Params = DEFAULT_PARAMS) -> DataF
     p = params
     per_cust = (structuring_windows(txn, p).groupBy("customer_id")
                 .agg(F.max("window_count").alias("max_window_count"),
-                     F.count("transaction_id").alias("txn_count"),
+                     F.count(F.lit(1)).alias("txn_count"),
                      F.sum("amount").alias("_total")))
     return (per_cust.filter(F.col("max_window_count") >= p.structuring_min_count)
             .select("customer_id",

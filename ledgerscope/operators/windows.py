@@ -9,10 +9,10 @@ window runs per (key, slice) and a hot key spreads over as many tasks as it has
 slices. Context rows carry only the columns the frames read and are dropped
 after the window, so the output has exactly the input rows.
 
-For a key too dense even for that (many rows inside one frame length),
+For keys too dense even for that (many rows inside one frame length),
 ``prefix_rolling`` computes a frame as P(t) - P(t - w) from running totals in
-fine slices plus per-slice offsets, with no copies; ``choose_rolling_strategy``
-picks between the two from the densest per-slice count.
+fine slices plus per-slice offsets, with no copies. ``Params.rolling_strategy``
+says which of the two is used; both give the same values, nulls included.
 """
 
 from __future__ import annotations
@@ -157,7 +157,7 @@ def prefix_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
     vcols = [f"_v{i}" for i in range(len(measures))]
     base = with_slices(df, ts_col, slice_us).select(
         *keys, F.col(T_COL).alias("_t0"), F.col(id_col).alias("_id"),
-        *[m[2].alias(v) for m, v in zip(measures, vcols)])
+        *[F.coalesce(m[2], F.lit(0)).alias(v) for m, v in zip(measures, vcols)])
     # j = -1: the data point itself; j >= 0: the query point t - lengths[j]
     pts = base.withColumn("_j", F.explode(F.sequence(F.lit(-1), F.lit(len(lengths) - 1))))
     shift = F.element_at(F.array(*[F.lit(int(x)) for x in lengths]), (F.col("_j") + 1).cast("int"))
@@ -180,12 +180,12 @@ def prefix_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
         .groupBy(*keys, SLICE_COL).agg(*[F.sum(v).alias(f"{v}_tot") for v in vcols],
                                        F.max("_t0").alias("_slice_last"))
     needed = pts.select(*keys, SLICE_COL).distinct()
-    tbl = needed.join(per, [*keys, SLICE_COL], "left")
+    tbl = join_rows(needed, per, [*keys, SLICE_COL])
     earlier = Window.partitionBy(*keys).orderBy(SLICE_COL).rowsBetween(Window.unboundedPreceding, -1)
     offs = tbl.select(*keys, SLICE_COL, *[F.coalesce(F.sum(f"{v}_tot").over(earlier), F.lit(0)).alias(f"{v}_off")
                                           for v in vcols],
                       F.max("_slice_last").over(earlier).alias("_prev_slice_last"))
-    allp = pts.join(offs, [*keys, SLICE_COL], "left")
+    allp = join_rows(pts, offs, [*keys, SLICE_COL])
     prefix = {v: F.col(f"{v}_off") + F.col(f"{v}_run") for v in vcols}
     value_at = allp.select(*keys, "_t0", "_id", "_j", *[prefix[v].alias(v) for v in vcols],
                            *([F.coalesce("_lag_t", "_prev_slice_last").alias("_prev")] if prev_time else []))
@@ -201,49 +201,44 @@ def prefix_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
 
 def slice_partials(df: DataFrame, keys: Sequence[str], ts_col: str, slice_us: int,
                    value_col: str | None = None) -> DataFrame:
-    """Per (keys, slice): row count, latest time and, for ``value_col``, mean and squared deviations.
+    """Per (keys, slice): row count, latest time and, for ``value_col``, its non-null count, mean and squared deviations.
 
     A grouped aggregate, partial before its shuffle: small next to the rows.
     """
     aggs = [F.count(F.lit(1)).alias("_n"), F.max(T_COL).alias("_last_t")]
     if value_col:
         v = F.col(value_col).cast("double")
-        aggs += [F.avg(v).alias("_m"), (F.var_pop(v) * F.count(v)).alias("_m2")]
+        aggs += [F.count(v).alias("_n_values"), F.avg(v).alias("_m"), (F.var_pop(v) * F.count(v)).alias("_m2")]
     return with_slices(df, ts_col, slice_us).groupBy(*keys, SLICE_COL).agg(*aggs)
 
 
-def choose_rolling_strategy(df: DataFrame, longest_us: int, params, keys: Sequence[str] = ("customer_id",),
-                            ts_col: str = "timestamp", partials: DataFrame | None = None) -> tuple[str, int]:
-    """(strategy, slice length in microseconds) for rolling frames up to ``longest_us``.
+def rolling_strategy(longest_us: int, params) -> tuple[str, int]:
+    """(strategy, slice length in microseconds) for rolling frames up to ``longest_us``, from the parameters alone."""
+    if params.rolling_strategy not in ("slices", "prefix"):
+        raise ValueError("rolling_strategy is slices or prefix")
+    default = longest_us if params.rolling_strategy == "slices" else US_PER_DAY
+    return params.rolling_strategy, int(params.time_slice_days * US_PER_DAY) if params.time_slice_days else default
 
-    ``auto`` reads the densest (key, window-length slice) from the per-slice
-    counts (``partials``, computed here if not given): one scalar reaches the
-    driver. When it exceeds ``max_rows_per_slice``, prefix differences are used
-    with slices short enough to split that density.
-    """
-    p = params
-    if p.rolling_strategy == "slices" or (p.rolling_strategy == "auto" and p.time_slice_days):
-        return "slices", int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else longest_us
-    if p.rolling_strategy == "prefix":
-        return "prefix", int(p.time_slice_days * US_PER_DAY) if p.time_slice_days else US_PER_DAY
-    if partials is None:
-        partials = slice_partials(df.select(*keys, ts_col), keys, ts_col, longest_us)
-    densest = partials.agg(F.max("_n")).first()[0] or 0
-    if densest <= p.max_rows_per_slice:
-        return "slices", longest_us
-    return "prefix", max(US_PER_SECOND, longest_us * p.max_rows_per_slice // densest)
+
+def join_rows(rows: DataFrame, values: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``rows`` with the other columns of ``values``, matched null-safely on ``cols``; no row is lost."""
+    renamed = values.select(*[F.col(c).alias(f"_k_{c}") for c in cols], *[c for c in values.columns if c not in cols])
+    on = F.lit(True)
+    for c in cols:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return rows.join(renamed, on, "left").drop(*[f"_k_{c}" for c in cols])
 
 
 def rolling_sums(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str, measures: Sequence[PrefixMeasure],
                  params) -> DataFrame:
-    """``df`` with additive rolling sums over ``(t - w, t]`` per key, using the chosen strategy."""
+    """``df`` with additive rolling sums over ``(t - w, t]`` per key; nulls add nothing, so a sum is never null."""
     longest = max(m[1] for m in measures)
-    strategy, slice_us = choose_rolling_strategy(df, longest, params, keys, ts_col)
+    strategy, slice_us = rolling_strategy(longest, params)
     if strategy == "prefix":
         r = prefix_rolling(df, keys, ts_col, id_col, measures, slice_us)
-        return df.withColumn(T_COL, F.unix_micros(F.col(ts_col))).join(r, [*keys, T_COL, id_col]).drop(T_COL)
+        return join_rows(df.withColumn(T_COL, F.unix_micros(F.col(ts_col))), r, [*keys, T_COL, id_col]).drop(T_COL)
     read = sorted({c for m in measures for c in _columns_of(m[2], df)} | {id_col})
-    aggs = [(name, length, (lambda w, v=v: F.sum(v).over(w))) for name, length, v in measures]
+    aggs = [(name, length, (lambda w, v=v: F.coalesce(F.sum(v).over(w), F.lit(0)))) for name, length, v in measures]
     return sliced_rolling(df, keys, ts_col, aggs=aggs, read_cols=read, slice_us=slice_us).drop(SLICE_COL, T_COL)
 
 

@@ -24,6 +24,7 @@ class Params:
     risk_high_max: float = 90.0
     ml_score_threshold: float = 0.6
     ml_contamination: float = 0.05
+    # Below this many customers a model hit is marked as not enough_customers (it stays in the result).
     ml_min_customers: int = 5
     default_lookback_days: int = 90
     large_amount: float = 50000.0
@@ -36,13 +37,12 @@ class Params:
     forest_seed: int = 42
     layering_score: float = 85.0
     # Length of the time slices that split one key's rows over many tasks for
-    # rolling windows (None: the window length itself, i.e. one context copy per row).
+    # rolling windows (None: the window length itself, i.e. one context copy per row; one day with "prefix").
     time_slice_days: float | None = None
     # "slices": overlapping time slices (one exchange, one context copy per row);
-    # "prefix": prefix differences over fine slices (no copies; for keys too dense for that);
-    # "auto": "slices" unless one (customer, window-length slice) holds more than max_rows_per_slice rows.
-    rolling_strategy: str = "auto"
-    max_rows_per_slice: int = 2_000_000
+    # "prefix": prefix differences over fine slices (narrow points, a join back; for keys with very many rows
+    # inside one frame length). The caller chooses; both give the same values, whatever the size of the input.
+    rolling_strategy: str = "slices"
 
     def replace(self, **kw) -> "Params":
         return dataclasses.replace(self, **kw)

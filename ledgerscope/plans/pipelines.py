@@ -1,16 +1,24 @@
-"""Composed pipelines: each is one lazy DataFrame plan Catalyst optimises as a whole."""
+"""Composed pipelines. Each starts from the rows that pass the input check.
+
+A pipeline is a DataFrame plan; those that read a small intermediate table in several branches write it while the plan
+is built (their docstrings say so).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.exprs import NOT_FOUND_TEXT
+from ledgerscope.functions.exprs import NOT_FOUND_TEXT, just_under
 from ledgerscope.operators.aggregates import agg_customer, agg_customer_features, top_customers
 from ledgerscope.operators.consensus import compute_consensus, evidence_counts
 from ledgerscope.operators.decide import classify_risk, explain_template, flag_gate, recommend_action
 from ledgerscope.operators.features import compute_features
 from ledgerscope.operators.filters import Filters, filter_txn
+from ledgerscope.operators.quality import split_valid
 from ledgerscope.operators.scoring import minmax_scale, score_aggregation, score_threshold_flag
 from ledgerscope.params import DEFAULT_PARAMS, Params
 
@@ -38,53 +46,75 @@ def decide_consensus(consensus: DataFrame, evidence: DataFrame, params: Params =
     return explain_template(g, "evidence_count", "rule_total_amount")
 
 
-def flagship_structuring(txn: DataFrame, params: Params = DEFAULT_PARAMS,
-                         scored_customers: DataFrame | None = None) -> DataFrame:
-    """Features -> structuring -> model hits -> consensus -> gate -> risk -> action -> explanation.
+Model = Callable[[DataFrame], DataFrame]
+
+
+def minmax_model(customers: DataFrame) -> DataFrame:
+    """A deterministic score (min-max of ``amount_max``): the surrogate of the registered fixture queries."""
+    return minmax_scale(customers, "amount_max").select("customer_id", "score")
+
 
-    The rows are shuffled once (the feature windows, which also count the
-    structuring window) and aggregated once per customer; rule hits, model
-    scores, consensus and evidence counts are then computed on the customer
-    table. Evidence of an item is the distinct union of its rule evidence
-    (just-under rows) and model evidence (all rows of the customer), so its size
-    is the row count with a model hit and the just-under count otherwise.
+def flagship_items(txn: DataFrame, params: Params = DEFAULT_PARAMS, model: Model | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, evidence) of features -> structuring -> model hits -> consensus -> gate -> risk -> action -> explanation.
 
-    ``scored_customers``: (customer_id, score 0..1), e.g. the forest output; by
-    default a min-max of ``amount_max``.
+    Quarantined rows are left out first. The rows are shuffled once (the feature windows, which also count the
+    structuring window) and aggregated once per customer; rule hits, model scores, consensus and evidence counts are
+    then computed on the customer table, which is written while the plan is built (an action).
+
+    ``model``: from the customer table to (customer_id, score 0..1 and, if it has one, attribution), for instance
+    ``lambda c: forest_scores(c, params)``; without it there is no model stage, and only rules flag.
+
+    Evidence of an item is the distinct union of its rule evidence (just-under rows) and model evidence (all rows of
+    the customer): (customer_id, transaction_id, amount), one more scan of narrow columns.
     """
     from ledgerscope.operators.structuring import structuring_from_customers
-
+    from ledgerscope.schemas import ML_HIT
     from ledgerscope.session import cut_lineage
 
-    feats = compute_features(txn, params, structuring_count=True)
+    clean, _ = split_valid(txn)
+    feats = compute_features(clean, params, structuring_count=True)
     cf = cut_lineage(agg_customer_features(feats))  # one row per customer, read by every branch below
     hits = structuring_from_customers(cf, params)
-    if scored_customers is None:
-        scored = minmax_scale(cf, "amount_max")
+    if model is None:
+        ml = txn.sparkSession.createDataFrame([], ML_HIT).withColumn("top_features", F.array().cast("array<string>"))
+        extra = ml.select("customer_id", "top_features", F.lit(None).cast("map<string,double>").alias("attribution"))
     else:
-        scored = cf.join(scored_customers.select("customer_id", "score"), "customer_id")
-    ml = score_threshold_flag(scored, params)
+        scores = cut_lineage(model(cf))
+        ml = score_threshold_flag(cf.join(scores.select("customer_id", "score"), "customer_id"), params)
+        attribution = "attribution" if "attribution" in scores.columns else F.lit(None).cast("map<string,double>").alias("attribution")
+        extra = ml.select("customer_id", "top_features").join(scores.select("customer_id", attribution), "customer_id")
     counts = cf.select("customer_id", "n_txn", "n_just_under")
-    cons = (compute_consensus(hits, ml).join(ml.select("customer_id", "top_features"), "customer_id", "left")
-            .join(counts, "customer_id", "left")
+    cons = (compute_consensus(hits, ml).join(extra, "customer_id", "left").join(counts, "customer_id", "left")
             .withColumn("evidence_count", F.when(F.col("has_ml"), F.col("n_txn"))
                         .when(F.col("has_rule"), F.col("n_just_under")).otherwise(F.lit(0))))
     g = recommend_action(classify_risk(flag_gate(cons), params))
     g = g.withColumn("confidence", F.round(F.least(F.lit(100.0), F.col("trust_score") + 5.0), 1))
-    out = explain_template(g, "evidence_count", "rule_total_amount")
-    return out.select("customer_id", "agreement", "verdict", "pattern_matched", "rule_score", "ml_score",
-                      "risk_score", "risk_level", "recommended_action", "confidence", "trust_score",
-                      "evidence_count", F.array_join("top_features", ",").alias("top_features"), "explanation")
-
-
-def pipeline_aggregation(txn: DataFrame, filters: Filters, params: Params = DEFAULT_PARAMS,
-                         scored: int = 10) -> DataFrame:
-    """Filter -> per-customer aggregate -> top ``scored`` by count -> score -> risk -> action -> explanation."""
-    agg = agg_customer(filter_txn(txn, filters, params), filters.min_transaction_count)
-    if filters.limit:
-        agg = top_customers(agg, filters.limit)
-    top = top_customers(agg, scored)
-    s = score_aggregation(top).withColumn("pattern_matched", F.lit("high_transaction_frequency"))
+    items = cut_lineage(explain_template(g, "evidence_count", "rule_total_amount").select(
+        "customer_id", "agreement", "verdict", "pattern_matched", "rule_score", "ml_score",
+        "risk_score", "risk_level", "recommended_action", "confidence", "trust_score",
+        "evidence_count", F.array_join("top_features", ",").alias("top_features"), "explanation", "attribution", "has_ml"))
+    rows = clean.select("customer_id", "transaction_id", "amount")
+    evidence = (rows.join(items.select("customer_id", "has_ml"), "customer_id")
+                .filter(F.col("has_ml") | just_under(F.col("amount"), params)).select("customer_id", "transaction_id", "amount"))
+    return items.drop("has_ml"), evidence
+
+
+def flagship_structuring(txn: DataFrame, params: Params = DEFAULT_PARAMS, model: Model | None = None) -> DataFrame:
+    """The items of ``flagship_items`` without the attribution map."""
+    return flagship_items(txn, params, model)[0].drop("attribution")
+
+
+def _aggregated(clean: DataFrame, filters: Filters, params: Params) -> DataFrame:
+    agg = agg_customer(filter_txn(clean, filters, params), filters.min_transaction_count)
+    return top_customers(agg, filters.limit) if filters.limit else agg
+
+
+def pipeline_aggregation(txn: DataFrame, filters: Filters, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """Filter -> per-customer aggregate -> score -> risk -> action -> explanation.
+
+    Every customer that meets the filters is an item, unless the user asks for a top n (``filters.limit``).
+    """
+    s = score_aggregation(_aggregated(split_valid(txn)[0], filters, params)).withColumn("pattern_matched", F.lit("high_transaction_frequency"))
     s = recommend_action(classify_risk(s, params, score_col="risk_score_raw"))
     s = explain_template(s, "transaction_count", "total_amount")
     return s.select("customer_id", "transaction_count", F.round("total_amount", 2).alias("total_amount"),
@@ -94,19 +124,38 @@ def pipeline_aggregation(txn: DataFrame, filters: Filters, params: Params = DEFA
                     F.lit("aggregation_threshold_hit").alias("pattern_matched"), "explanation")
 
 
+def evidence_aggregation(txn: DataFrame, filters: Filters, params: Params = DEFAULT_PARAMS) -> DataFrame:
+    """Evidence rows (customer_id, transaction_id, amount) of ``pipeline_aggregation``: the filtered rows of its items."""
+    clean = split_valid(txn)[0]
+    rows = filter_txn(clean, filters, params).select("customer_id", "transaction_id", "amount")
+    return rows.join(_aggregated(clean, filters, params).select("customer_id"), "customer_id", "left_semi")
+
+
+def _requested_ids(requested: DataFrame) -> DataFrame:
+    from ledgerscope.operators.filters import normalize_entity_id
+
+    return requested.select(normalize_entity_id(F.col("customer_id")).alias("customer_id")).distinct()
+
+
+def evidence_entity(txn: DataFrame, requested: DataFrame) -> DataFrame:
+    """Evidence rows (customer_id, transaction_id, amount) of an entity lookup: every row of a requested customer."""
+    rows = split_valid(txn)[0].select(F.upper("customer_id").alias("customer_id"), "transaction_id", "amount")
+    return rows.join(_requested_ids(requested), "customer_id", "left_semi")
+
+
 def lookup_entity(txn: DataFrame, requested: DataFrame, params: Params = DEFAULT_PARAMS) -> DataFrame:
     """Profile many requested customer ids in one job.
 
     Ids are normalised (upper, trim, ``CUST`` prefix for digits). Score: 10
     baseline; structuring hit -> max(score, rule score); largest amount above
     the large-amount limit -> tag and at least 75. Unknown ids: found = false, 0.
+    Its evidence rows: ``evidence_entity``.
     """
     from ledgerscope.operators.aggregates import agg_entity_profile
-    from ledgerscope.operators.filters import normalize_entity_id
     from ledgerscope.operators.structuring import structuring_for_customers
 
-    req = requested.select(normalize_entity_id(F.col("customer_id")).alias("customer_id")).distinct()
-    rows = txn.withColumn("customer_id", F.upper("customer_id"))
+    req = _requested_ids(requested)
+    rows = split_valid(txn)[0].withColumn("customer_id", F.upper("customer_id"))
     prof = agg_entity_profile(rows, req)
     st = structuring_for_customers(rows, req, params).select("customer_id", F.col("rule_score").alias("_rs"))
     j = req.join(prof, "customer_id", "left").join(st, "customer_id", "left")
@@ -148,23 +197,67 @@ FLAGGED_COLUMNS = ["customer_id", "pattern_matched", "risk_score", "risk_level",
                    "trust_score", "evidence_count", "explanation"]
 
 
-def assemble_flagged(entity: DataFrame | None, aggregation: DataFrame | None,
-                     consensus: DataFrame | None) -> DataFrame:
+#: Modes in the order of their precedence.
+MODES = ["entity_lookup", "aggregation_rule", "consensus"]
+
+
+def assemble_flagged(entity: DataFrame | None, aggregation: DataFrame | None, consensus: DataFrame | None,
+                     precedence: bool = True) -> DataFrame:
     """Flagged items of the three modes in one table, tagged by mode.
 
-    The reference answers one question at a time and therefore only one mode
-    is present; here several can be assembled, each row labelled by its mode.
+    A customer that several modes report keeps the item of the first of them (entity lookup, aggregation,
+    consensus); ``precedence=False`` keeps one item a mode.
     """
-    parts = []
-    for mode, df in (("entity_lookup", entity), ("aggregation_rule", aggregation), ("consensus", consensus)):
-        if df is not None:
-            parts.append(df.select(F.lit(mode).alias("mode"), *FLAGGED_COLUMNS))
+    parts = [df.select(F.lit(mode).alias("mode"), *FLAGGED_COLUMNS) for mode, df in zip(MODES, (entity, aggregation, consensus)) if df is not None]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    if not precedence:
+        return out
+    rank = F.array_position(F.array(*[F.lit(m) for m in MODES]), F.col("mode"))
+    best = out.groupBy("customer_id").agg(F.min_by(F.struct("mode", *FLAGGED_COLUMNS[1:]), rank).alias("_i"))
+    return best.select("_i.mode", "customer_id", *[f"_i.{c}" for c in FLAGGED_COLUMNS[1:]])
+
+
+def assemble_evidence(entity: DataFrame | None, aggregation: DataFrame | None, consensus: DataFrame | None) -> DataFrame:
+    """Evidence rows of the three modes in one long table (mode, customer_id, transaction_id, amount)."""
+    parts = [df.select(F.lit(mode).alias("mode"), "customer_id", "transaction_id", "amount")
+             for mode, df in zip(MODES, (entity, aggregation, consensus)) if df is not None]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+@dataclass
+class RunResponse:
+    """A whole run: items, their evidence rows, bias warnings, item checks, totals and the quarantined rows."""
+
+    items: DataFrame
+    evidence: DataFrame
+    bias: DataFrame
+    verification: DataFrame
+    totals: DataFrame
+    quarantined: DataFrame
+
+
+def run_response(txn: DataFrame, params: Params = DEFAULT_PARAMS, model: Model | None = None, requested: DataFrame | None = None,
+                 filters: Filters | None = None) -> RunResponse:
+    """Input check, the three modes (entity lookup and aggregation if asked for), then audit and verification of all items."""
+    from ledgerscope.operators.aggregates import agg_run_totals
+    from ledgerscope.operators.decide import bias_audit, verify_results
+
+    clean, quarantined = split_valid(txn)
+    consensus, rows = flagship_items(txn, params, model)
+    items = assemble_flagged(pipeline_entity(txn, requested, params) if requested is not None else None,
+                             pipeline_aggregation(txn, filters, params) if filters is not None else None, consensus)
+    evidence = assemble_evidence(evidence_entity(txn, requested) if requested is not None else None,
+                                 evidence_aggregation(txn, filters, params) if filters is not None else None, rows)
+    evidence = evidence.join(items.select("mode", "customer_id"), ["mode", "customer_id"], "left_semi")
+    return RunResponse(items, evidence, bias_audit(items, clean), verify_results(items, evidence, params, keys=("mode", "customer_id")),
+                       agg_run_totals(items, evidence, clean), quarantined)
+
+
 def results_table(flagged: DataFrame) -> DataFrame:
     """Presentation projection of flagged items."""
     return flagged.select("customer_id",
@@ -188,6 +281,7 @@ def pipeline_pattern(txn: DataFrame, pattern: str = "structuring", params: Param
     from ledgerscope.operators.structuring import detect_structuring, structuring_evidence
     from ledgerscope.schemas import ML_HIT
 
+    txn = split_valid(txn)[0]
     if pattern == "layering":
         hits = detect_layering(build_transfer_graph(txn, min_transfer))
         evidence = layering_evidence(hits)

@@ -11,7 +11,7 @@ from ledgerscope.operators.filters import Filters
 from ledgerscope.operators.scoring import score_threshold_flag
 from ledgerscope.operators.structuring import detect_structuring, structuring_evidence
 from ledgerscope.params import Params
-from ledgerscope.plans.pipelines import (customer_scores_minmax, flagship_structuring, model_evidence,
+from ledgerscope.plans.pipelines import (customer_scores_minmax, flagship_structuring, minmax_model, model_evidence,
                                          pipeline_aggregation)
 from ledgerscope.plans.registry import register
 from ledgerscope.plans.sqlparts import (CONSENSUS_CTE, CUSTOMER_FEATURES_CTE, MINMAX_ML_CTE, action_sql,
@@ -23,7 +23,7 @@ from ledgerscope.sources.tables import txn_view
 # so that structuring fires on the driver tables. Defaults stay as in Params.
 FIX = Params(structuring_lower_bound=8000.0, structuring_threshold=12000.0)
 SUBS = structuring_subs(FIX)
-ML_SUBS = {"tags": tags_sql(FIX), "thr": FIX.ml_score_threshold, "min_customers": FIX.ml_min_customers}
+ML_SUBS = {"tags": tags_sql(FIX), "thr": FIX.ml_score_threshold}
 
 
 def _feature_select(df):
@@ -73,7 +73,7 @@ CONS_SUBS = {**SUBS, **ML_SUBS, "rules": "hits"}
 
 
 @register("score_threshold_flag", with_ctes(
-    "SELECT customer_id, ml_score, true AS anomaly_flag, top_features FROM ml",
+    "SELECT customer_id, ml_score, true AS anomaly_flag, top_features, (SELECT count(*) FROM sc) >= 5 AS enough_customers FROM ml",
     TXN_CTE, FEATURES_CTE, CUSTOMER_FEATURES_CTE, MINMAX_ML_CTE, **SUBS, **ML_SUBS))
 def q_score_threshold_flag(spark, sf):
     feats = compute_features(txn_view(spark, sf), FIX)
@@ -146,7 +146,7 @@ def _flagship_sql():
 
 @register("flagship_structuring", _flagship_sql())
 def q_flagship(spark, sf):
-    return flagship_structuring(txn_view(spark, sf), FIX)
+    return flagship_structuring(txn_view(spark, sf), FIX, minmax_model)
 
 
 @register("explain_template", _flagship_sql().replace(
@@ -154,7 +154,7 @@ def q_flagship(spark, sf):
     "SELECT customer_id, explanation FROM (SELECT customer_id, agreement, verdict, pattern_matched, rule_score, "
     "ml_score, risk_score, risk_level,") + ") x")
 def q_explain(spark, sf):
-    return flagship_structuring(txn_view(spark, sf), FIX).select("customer_id", "explanation")
+    return flagship_structuring(txn_view(spark, sf), FIX, minmax_model).select("customer_id", "explanation")
 
 
 AGG_FILTERS = Filters(amount_threshold=10000.0, min_transaction_count=10)
@@ -163,7 +163,7 @@ AGG_FILTERS = Filters(amount_threshold=10000.0, min_transaction_count=10)
 AGG_CTES = (TXN_CTE, """a AS (
   SELECT customer_id, count(transaction_id) AS transaction_count, CAST(sum(amount) AS DOUBLE) AS total_amount
   FROM txn WHERE amount < 10000.0 GROUP BY customer_id HAVING count(transaction_id) >= 10
-  ORDER BY transaction_count DESC, customer_id ASC LIMIT 10)""",
+)""",
   "s AS (SELECT *, least(95.0, 40.0 + 4.0 * transaction_count) AS raw FROM a)")
 _AGG_LVL = risk_level_sql('raw', "'high_transaction_frequency'")
 

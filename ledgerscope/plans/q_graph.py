@@ -1,15 +1,13 @@
-"""Registered graph queries (cycles fixture: transfers >= 20 000; chains fixture: >= 30 000)."""
+"""Registered graph queries, over all transfers."""
 
 from __future__ import annotations
 
 from ledgerscope.operators.graph import (build_transfer_graph, detect_cycles, detect_layering, distinct_nodes,
-                                         enumerate_chains)
+                                         enumerate_chains, hop_summary)
 from ledgerscope.plans.registry import register
 from ledgerscope.plans.sqlviews import TXN_CTE, with_ctes
 from ledgerscope.sources.tables import txn_view
 
-CYCLES_MIN, CHAINS_MIN = 20000.0, 30000.0
-
 GRAPH_CTE = """own AS (
   SELECT account_id, customer_id AS owner FROM (
     SELECT account_id, customer_id, row_number() OVER (PARTITION BY account_id
@@ -18,7 +16,7 @@ tr AS (
   SELECT t.transaction_id, t.timestamp, t.amount, coalesce(o1.owner, t.account_id) AS src,
          coalesce(o2.owner, t.counterparty_id) AS dst
   FROM txn t LEFT JOIN own o1 ON o1.account_id = t.account_id LEFT JOIN own o2 ON o2.account_id = t.counterparty_id
-  WHERE lower(t.transaction_type) = 'transfer' AND t.counterparty_id IS NOT NULL AND t.amount >= {min_amount}),
+  WHERE lower(t.transaction_type) = 'transfer' AND t.counterparty_id IS NOT NULL),
 edges AS (
   SELECT src, dst, transaction_id AS txn_id, CAST(amount AS DOUBLE) AS amount FROM (
     SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY timestamp DESC, transaction_id DESC) AS rn
@@ -33,18 +31,18 @@ SELECT a AS customer_id, 'layering' AS rule_fired, a || '->' || b || '->' || c A
        85.0 AS rule_score FROM best WHERE rn = 1"""
 
 
-def _graph_sql(select: str, min_amount: float) -> str:
-    s = with_ctes("SELECT 1", TXN_CTE, GRAPH_CTE, min_amount=min_amount)
+def _graph_sql(select: str) -> str:
+    s = with_ctes("SELECT 1", TXN_CTE, GRAPH_CTE)
     return s[: -len("SELECT 1")].rstrip() + select
 
 
-def _edges(spark, sf, min_amount):
-    return build_transfer_graph(txn_view(spark, sf), min_amount)
+def _edges(spark, sf):
+    return build_transfer_graph(txn_view(spark, sf))
 
 
-@register("build_transfer_graph", _graph_sql("\nSELECT * FROM edges", CYCLES_MIN))
+@register("build_transfer_graph", _graph_sql("\nSELECT * FROM edges"))
 def q_build_graph(spark, sf):
-    return _edges(spark, sf, CYCLES_MIN)
+    return _edges(spark, sf)
 
 
 @register("filter_transfers", with_ctes(
@@ -57,68 +55,68 @@ def q_filter_transfers(spark, sf):
                                                         F.col("amount").cast("double").alias("amount"))
 
 
-@register("join_account_owner", _graph_sql("\nSELECT account_id, owner FROM own", 0))
+@register("join_account_owner", _graph_sql("\nSELECT account_id, owner FROM own"))
 def q_account_owner(spark, sf):
     from ledgerscope.operators.graph import account_owners
     return account_owners(txn_view(spark, sf))
 
 
-@register("detect_layering", _graph_sql(LAYERING_SELECT, CHAINS_MIN))
+@register("detect_layering", _graph_sql(LAYERING_SELECT))
 def q_detect_layering(spark, sf):
-    return detect_layering(_edges(spark, sf, CHAINS_MIN))
+    return detect_layering(_edges(spark, sf))
 
 
-@register("distinct_nodes", _graph_sql("\nSELECT src AS node FROM edges UNION SELECT dst FROM edges", CYCLES_MIN))
+@register("distinct_nodes", _graph_sql("\nSELECT src AS node FROM edges UNION SELECT dst FROM edges"))
 def q_distinct_nodes(spark, sf):
-    return distinct_nodes(_edges(spark, sf, CYCLES_MIN))
+    return distinct_nodes(_edges(spark, sf))
 
 
-CHAINS_SELECT = """, c2 AS (
+CHAINS_SELECT = """, p2 AS (
   SELECT e1.src AS n0, e1.dst AS n1, e2.dst AS n2, e1.txn_id AS t1, e2.txn_id AS t2
   FROM edges e1 JOIN edges e2 ON e1.dst = e2.src WHERE e2.dst <> e1.src),
-c3 AS (
-  SELECT c2.*, e.dst AS n3, e.txn_id AS t3 FROM c2 JOIN edges e ON c2.n2 = e.src
-  WHERE e.dst NOT IN (c2.n0, c2.n1, c2.n2)),
-c4 AS (
-  SELECT c3.*, e.dst AS n4, e.txn_id AS t4 FROM c3 JOIN edges e ON c3.n3 = e.src
-  WHERE e.dst NOT IN (c3.n0, c3.n1, c3.n2, c3.n3))
-SELECT n0 AS originator, n2 AS target, 2 AS hops, n0 || '->' || n1 || '->' || n2 AS chain, t1 || ',' || t2 AS txn_ids
-FROM c2
-UNION ALL SELECT n0, n3, 3, n0 || '->' || n1 || '->' || n2 || '->' || n3, t1 || ',' || t2 || ',' || t3 FROM c3
-UNION ALL SELECT n0, n4, 4, n0 || '->' || n1 || '->' || n2 || '->' || n3 || '->' || n4,
-  t1 || ',' || t2 || ',' || t3 || ',' || t4 FROM c4"""
-
-
-@register("enumerate_chains", _graph_sql(CHAINS_SELECT, CHAINS_MIN))
+b2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n0 ORDER BY n1, n2) AS rn FROM p2) WHERE rn = 1),
+b3 AS (
+  SELECT b2.*, x.dst AS n3, x.txn_id AS t3 FROM b2 LEFT JOIN (
+    SELECT b.n0 AS k, min(e.dst) AS dst, arg_min(e.txn_id, e.dst) AS txn_id FROM b2 b JOIN edges e ON e.src = b.n2
+    WHERE e.dst NOT IN (b.n0, b.n1, b.n2) GROUP BY b.n0) x ON x.k = b2.n0),
+b4 AS (
+  SELECT b3.*, x.dst AS n4, x.txn_id AS t4 FROM b3 LEFT JOIN (
+    SELECT b.n0 AS k, min(e.dst) AS dst, arg_min(e.txn_id, e.dst) AS txn_id FROM b3 b JOIN edges e ON e.src = b.n3
+    WHERE e.dst NOT IN (b.n0, b.n1, b.n2, b.n3) GROUP BY b.n0) x ON x.k = b3.n0)
+SELECT n0 AS originator, coalesce(n4, n3, n2) AS target, 2 + (n3 IS NOT NULL)::INTEGER + (n4 IS NOT NULL)::INTEGER AS hops,
+  concat_ws('->', n0, n1, n2, n3, n4) AS chain, concat_ws(',', t1, t2, t3, t4) AS txn_ids FROM b4"""
+
+
+@register("enumerate_chains", _graph_sql(CHAINS_SELECT))
 def q_enumerate_chains(spark, sf):
-    return enumerate_chains(_edges(spark, sf, CHAINS_MIN))
+    return enumerate_chains(_edges(spark, sf))
 
 
-@register("self_join_hops", _graph_sql(CHAINS_SELECT, CYCLES_MIN))
+@register("self_join_hops", _graph_sql("""
+SELECT e1.src AS customer_id, count(DISTINCT e1.dst) AS receivers, count(e2.dst) AS two_hop_paths
+FROM edges e1 LEFT JOIN edges e2 ON e1.dst = e2.src AND e2.dst <> e1.src GROUP BY e1.src"""))
 def q_self_join_hops(spark, sf):
-    return enumerate_chains(_edges(spark, sf, CYCLES_MIN))
-
-
-CYCLES_SELECT = """, k3 AS (
-  SELECT e1.src AS n0, e1.dst AS n1, e2.dst AS n2, e1.txn_id AS t1, e2.txn_id AS t2, e3.txn_id AS t3
-  FROM edges e1 JOIN edges e2 ON e1.dst = e2.src JOIN edges e3 ON e2.dst = e3.src AND e3.dst = e1.src
-  WHERE e1.dst > e1.src AND e2.dst > e1.src AND e2.dst <> e1.dst),
-k4 AS (
-  SELECT e1.src AS n0, e1.dst AS n1, e2.dst AS n2, e3.dst AS n3, e1.txn_id AS t1, e2.txn_id AS t2,
-         e3.txn_id AS t3, e4.txn_id AS t4
-  FROM edges e1 JOIN edges e2 ON e1.dst = e2.src JOIN edges e3 ON e2.dst = e3.src
-  JOIN edges e4 ON e3.dst = e4.src AND e4.dst = e1.src
-  WHERE e1.dst > e1.src AND e2.dst > e1.src AND e3.dst > e1.src
-    AND e2.dst <> e1.dst AND e3.dst NOT IN (e1.dst, e2.dst))
-SELECT n0 AS cycle_start, 3 AS length, n0 || '->' || n1 || '->' || n2 || '->' || n0 AS cycle,
-       t1 || ',' || t2 || ',' || t3 AS txn_ids FROM k3
-UNION ALL SELECT n0, 4, n0 || '->' || n1 || '->' || n2 || '->' || n3 || '->' || n0,
-       t1 || ',' || t2 || ',' || t3 || ',' || t4 FROM k4"""
-
-
-@register("detect_cycles", _graph_sql(CYCLES_SELECT, CYCLES_MIN))
+    return hop_summary(_edges(spark, sf))
+
+
+CYCLES_SELECT = """, deg AS (
+  SELECT node, count(*) AS d FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node),
+r AS (SELECT e.*, (a.d, e.src) AS rs, (b.d, e.dst) AS rd FROM edges e JOIN deg a ON a.node = e.src JOIN deg b ON b.node = e.dst),
+k AS (
+  SELECT 3 AS length, e1.src AS n0, e1.dst AS n1, e2.dst AS n2, NULL AS n3, e1.txn_id AS t1, e2.txn_id AS t2, e3.txn_id AS t3, NULL AS t4
+  FROM r e1 JOIN r e2 ON e1.dst = e2.src JOIN r e3 ON e2.dst = e3.src AND e3.dst = e1.src
+  WHERE e1.rd < e1.rs AND e2.rd < e1.rs
+  UNION ALL
+  SELECT 4, e1.src, e1.dst, e2.dst, e3.dst, e1.txn_id, e2.txn_id, e3.txn_id, e4.txn_id
+  FROM r e1 JOIN r e2 ON e1.dst = e2.src JOIN r e3 ON e2.dst = e3.src JOIN r e4 ON e3.dst = e4.src AND e4.dst = e1.src
+  WHERE e1.rd < e1.rs AND e2.rd < e1.rs AND e3.rd < e1.rs AND e3.dst <> e1.dst)
+SELECT n0 AS cycle_start, length, concat_ws('->', n0, n1, n2, n3, n0) AS cycle, concat_ws(',', t1, t2, t3, t4) AS txn_ids
+FROM (SELECT *, row_number() OVER (PARTITION BY n0 ORDER BY length, n1, n2, n3) AS rn FROM k) WHERE rn = 1"""
+
+
+@register("detect_cycles", _graph_sql(CYCLES_SELECT))
 def q_detect_cycles(spark, sf):
-    return detect_cycles(_edges(spark, sf, CYCLES_MIN))
+    return detect_cycles(_edges(spark, sf))
 
 
 _PATTERN_LAYERING_SELECT = LAYERING_SELECT.replace(
@@ -135,11 +133,11 @@ SELECT customer_id, 'Partial' AS agreement, 'Rule Violation' AS verdict, 'layeri
   {risk_level_sql('greatest(rule_score, 75.0)', "'layering'")} AS risk_level,
   {action_sql(risk_level_sql('greatest(rule_score, 75.0)', "'layering'"))} AS recommended_action,
   85.0 AS confidence, 80.0 AS trust_score, CAST(2 AS BIGINT) AS evidence_count,
-  {explanation_sql('customer_id', "'layering'", lvl, '2', 'NULL')} AS explanation FROM lay""", CHAINS_MIN)
+  {explanation_sql('customer_id', "'layering'", lvl, '2', 'NULL')} AS explanation FROM lay""")
 
 
 @register("pipeline_layering", _pipeline_layering_sql())
 def q_pipeline_layering(spark, sf):
     """Pattern query for layering: transfer chains -> consensus (rule only) -> risk -> action -> explanation."""
     from ledgerscope.plans.pipelines import pipeline_pattern
-    return pipeline_pattern(txn_view(spark, sf), "layering", min_transfer=CHAINS_MIN)
+    return pipeline_pattern(txn_view(spark, sf), "layering")

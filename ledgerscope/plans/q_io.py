@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.exprs import zero_padded
 from ledgerscope.operators.aggregates import eval_binary
 from ledgerscope.operators.feedback import params_from_override, tune_threshold
 from ledgerscope.operators.filters import label_ground_truth
 from ledgerscope.operators.quality import quarantine_txn, validate_txn
 from ledgerscope.plans.registry import register
 from ledgerscope.plans.sqlviews import TXN_CTE, with_ctes
+from ledgerscope.schemas import TXN_TEXT
 from ledgerscope.sources import files as io
 from ledgerscope.sources.tables import feedback_view, table, txn_view
 
@@ -47,35 +49,34 @@ def q_sink_txn_csv(spark, sf):
 
 
 @register("src_csv_capped", with_ctes(
-    "SELECT transaction_id, CAST(amount AS DOUBLE) AS amount FROM txn ORDER BY transaction_id LIMIT 500", TXN_CTE))
+    "SELECT transaction_id, CAST(amount AS DOUBLE) AS amount FROM txn", TXN_CTE))
 def q_src_csv_capped(spark, sf):
+    """All rows of a tree of CSV files (the key keeps its name; nothing is cut)."""
     root = io.scratch_path(spark, "csv-tree")
     t = txn_view(spark, sf)
-    # Two files in a tree; the first by path holds the rows in id order.
-    io.write_txn_csv(t.orderBy("transaction_id").coalesce(1), f"{root}/a/first")
-    io.write_txn_csv(t.filter(F.col("transaction_type") == "fee"), f"{root}/b/second")
-    capped = io.read_csv_capped(spark, root, 500, schema=None)
-    return capped.select("transaction_id", F.col("amount").cast("double").alias("amount"))
+    io.write_txn_csv(t.filter(F.col("transaction_type").eqNullSafe("fee")), f"{root}/a/fees")
+    io.write_txn_csv(t.filter(~F.col("transaction_type").eqNullSafe("fee")), f"{root}/b/rest")
+    return io.typed_txn(io.read_csv_tree(spark, root, TXN_TEXT)).select("transaction_id", F.col("amount").cast("double").alias("amount"))
 
 
 def _bank_fixture(spark, sf):
     """Bank-benchmark layout rows from ``txn`` (stand-in input; the adapter does the work)."""
     t = label_ground_truth(txn_view(spark, sf))
-    return t.orderBy("transaction_id").coalesce(1).select(
+    return t.orderBy("transaction_id").select(
         F.date_format("timestamp", "yyyy/MM/dd HH:mm").alias("Timestamp"), F.lit("010").alias("From Bank"),
-        F.substring("customer_id", 5, 5).alias("Account"), F.lit("020").alias("To Bank"),
-        F.coalesce(F.substring("counterparty_id", 9, 5), F.substring("customer_id", 5, 5)).alias("Account2"),
+        F.expr("substring(customer_id, 5)").alias("Account"), F.lit("020").alias("To Bank"),
+        F.expr("coalesce(substring(counterparty_id, 9), substring(customer_id, 5))").alias("Account2"),
         F.col("amount").cast("string").alias("Amount Received"), F.lit("US Dollar").alias("Receiving Currency"),
         F.when(F.col("channel") == "atm", F.lit(None)).otherwise(F.col("amount").cast("string")).alias("Amount Paid"),
         F.lit("US Dollar").alias("Payment Currency"), F.initcap("channel").alias("Payment Format"),
         F.col("is_laundering_ground_truth").cast("string").alias("Is Laundering"))
 
 
-_BANK_SQL = with_ctes("""SELECT 'IBM' || lpad(CAST(row_number() OVER (ORDER BY transaction_id) - 1 AS VARCHAR), 7, '0')
-    AS transaction_id, '010_' || substr(customer_id, 5, 5) AS customer_id, substr(customer_id, 5, 5) AS account_id,
+_BANK_SQL = with_ctes("""SELECT 'IBM' || printf('%07d', row_number() OVER (ORDER BY transaction_id) - 1)
+    AS transaction_id, '010_' || substr(customer_id, 5) AS customer_id, substr(customer_id, 5) AS account_id,
   CAST(strftime(CAST(timestamp AS TIMESTAMP), '%Y-%m-%d %H:%M') || ':00' AS TIMESTAMP) AS timestamp,
-  CAST(amount AS DOUBLE) AS amount, 'US Dollar' AS currency, channel AS transaction_type,
-  '020_' || coalesce(substr(counterparty_id, 9, 5), substr(customer_id, 5, 5)) AS counterparty_id,
+  CASE WHEN channel = 'atm' THEN NULL ELSE CAST(amount AS DOUBLE) END AS amount, 'US Dollar' AS currency, channel AS transaction_type,
+  '020_' || coalesce(substr(counterparty_id, 9), substr(customer_id, 5)) AS counterparty_id,
   CAST(coalesce((amount >= 9000.0 AND amount < 10000.0 AND transaction_type = 'cash_deposit')
     OR (amount > 50000.0 AND transaction_type = 'transfer'), false) AS INTEGER) AS is_laundering_ground_truth
 FROM txn""", TXN_CTE)
@@ -114,7 +115,7 @@ def q_src_audit_tail(spark, sf):
     return io.read_audit_tail(spark, _audit(spark, sf), 50).select("timestamp", "event_type")
 
 
-_FEEDBACK_SQL = ("SELECT 'CUST' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS customer_id, "
+_FEEDBACK_SQL = ("SELECT 'CUST' || printf('%05d', doc_id) AS customer_id, "
                  "CASE WHEN quality = 1 THEN 'True Positive' ELSE 'False Positive' END AS feedback, "
                  "'S' || CAST(doc_id AS VARCHAR) AS session_id FROM labels")
 
@@ -169,9 +170,12 @@ _REPORT_SQL = ("SELECT 'SAR_' || customer_id || '_1706745600' AS report_name, pr
                + _FEEDBACK_SQL + ") f WHERE feedback = 'True Positive'")
 
 
-@register("sink_report_text", _REPORT_SQL)
+@register("sink_report_text", f"SELECT report_name, content, length(content) AS n_chars FROM ({_REPORT_SQL}) r")
 def q_sink_report_text(spark, sf):
-    return io.report_texts(feedback_view(spark, sf)).select("report_name", "content")
+    """The report documents, written and read back."""
+    p = io.scratch_path(spark, "report-sink")
+    io.write_reports(io.report_texts(feedback_view(spark, sf)), p)
+    return spark.read.parquet(p).select("report_name", "content", F.length("content").cast("long").alias("n_chars"))
 
 
 @register("fn_report_text", _REPORT_SQL.replace("SELECT 'SAR_' || customer_id || '_1706745600' AS report_name,",
@@ -228,7 +232,7 @@ def q_tune_threshold(spark, sf):
 def q_tune_threshold_toxic(spark, sf):
     lab = table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
     fb = feedback_view(spark, sf).join(
-        lab.select(F.concat(F.lit("CUST"), F.lpad(F.col("doc_id").cast("string"), 5, "0")).alias("customer_id")),
+        lab.select(F.concat(F.lit("CUST"), zero_padded(F.col("doc_id"), 5)).alias("customer_id")),
         "customer_id", "left_semi")
     return tune_threshold(fb, 0.6)
 

@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerscope.functions.bounded import attach_global
 
 from ledgerscope.operators.aggregates import agg_customer_features, agg_summary, eval_binary
-from ledgerscope.operators.backtest import backtest_unsupervised, split_features, train_supervised
+from ledgerscope.operators.backtest import (backtest_metrics, backtest_unsupervised, split_features,
+                                            train_supervised)
 from ledgerscope.operators.consensus import compute_consensus
 from ledgerscope.operators.features import compute_features
 from ledgerscope.operators.filters import label_ground_truth
-from ledgerscope.operators.forest import detect_anomaly, rank_attribution
-from ledgerscope.plans.pipelines import decide_consensus, model_evidence
-from ledgerscope.plans.q_core import FIX
+from ledgerscope.operators.forest import detect_anomaly, fit_forest, forest_scores, rank_attribution, score_forest
+from ledgerscope.operators.scoring import minmax_scale
+from ledgerscope.plans.pipelines import decide_consensus, flagship_items, model_evidence
+from ledgerscope.plans.q_core import FIX, SUBS
 from ledgerscope.plans.registry import register
+from ledgerscope.plans.sqlviews import STRUCTURING_CTE, TXN_CTE, with_ctes
 from ledgerscope.schemas import RULE_HIT
+from ledgerscope.session import cut_lineage
+from ledgerscope.sources.files import scratch_path, write_metrics
 from ledgerscope.sources.tables import txn_view
 
 
@@ -45,15 +51,58 @@ def q_rank_attribution(spark, sf):
 
 @register("pipeline_broad")
 def q_pipeline_broad(spark, sf):
-    """Summary + features + forest -> consensus (no rules) -> risk -> action -> explanation."""
+    """Summary + features + forest -> consensus (no rules) -> risk -> action -> explanation, with tags and attribution."""
     txn, ml = _hits(spark, sf)
+    ml = cut_lineage(ml)
     no_rules = spark.createDataFrame([], RULE_HIT)
     cons = compute_consensus(no_rules, ml)
     out = decide_consensus(cons, model_evidence(txn, ml), FIX)
+    out = out.join(ml.select("customer_id", F.array_join("top_features", ",").alias("top_features"), "attribution"), "customer_id", "left")
     summary = agg_summary(txn)  # one row, attached to each item
     return attach_global(out, summary).select(
         "customer_id", "agreement", "verdict", "pattern_matched", "risk_score", "risk_level", "recommended_action",
-        "confidence", "evidence_count", "explanation", "total_transactions", "median_amount")
+        "confidence", "evidence_count", "explanation", "top_features", F.to_json("attribution").alias("attribution"),
+        "total_transactions", "median_amount")
+
+
+def _forest_run(spark, sf):
+    return flagship_items(txn_view(spark, sf), FIX, lambda customers: forest_scores(customers, FIX))
+
+
+@register("flagship_forest")
+def q_flagship_forest(spark, sf):
+    """Rules and forest in one run: items with agreement, tags and attribution."""
+    return _forest_run(spark, sf)[0].withColumn("attribution", F.to_json("attribution"))
+
+
+@register("flagship_forest_rules", with_ctes("SELECT customer_id, rule_score FROM hits", TXN_CTE, STRUCTURING_CTE, **SUBS))
+def q_flagship_forest_rules(spark, sf):
+    """The rule side of the run with the forest: every structuring hit is an item, whatever the model says."""
+    return _forest_run(spark, sf)[0].where("agreement <> 'Disagreement'").select("customer_id", "rule_score")
+
+
+@register("detect_anomaly_facts", with_ctes("""SELECT count(DISTINCT customer_id) AS customers, 100 AS trees,
+  CAST(100 * least(256, count(DISTINCT customer_id)) AS BIGINT) AS sampled, 0.0 AS lowest, 1.0 AS highest FROM txn""", TXN_CTE))
+def q_detect_anomaly_facts(spark, sf):
+    """What must hold of any forest run: one score a customer from 0 to 1, the trees, and the rows they were grown on."""
+    customers = cut_lineage(agg_customer_features(compute_features(txn_view(spark, sf), FIX)))
+    nodes = cut_lineage(fit_forest(customers, None, FIX))
+    trees = nodes.groupBy("tree_id").agg(F.max("sample_size").alias("n")).agg(
+        F.count(F.lit(1)).cast("int").alias("trees"), F.sum("n").cast("long").alias("sampled"))
+    scored = minmax_scale(score_forest(customers, nodes, None, FIX), "raw_score", "score")
+    s = scored.agg(F.count_distinct("customer_id").alias("customers"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+    return attach_global(s, trees).select("customers", "trees", "sampled", "lowest", "highest")
+
+
+@register("rank_attribution_facts", "SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS rank, true AS every_hit, true AS falling")
+def q_rank_attribution_facts(spark, sf):
+    """Every hit has all seven features, ranked 1 to 7 by falling contribution."""
+    hits = cut_lineage(_hits(spark, sf)[1])
+    ranked = rank_attribution(hits)
+    before = F.lag("contribution").over(Window.partitionBy("customer_id").orderBy("rank"))
+    r = ranked.withColumn("ok", F.coalesce(before >= F.col("contribution"), F.lit(True))).groupBy("rank").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("falling"))
+    return attach_global(r, hits.agg(F.count(F.lit(1)).alias("hits"))).select("rank", (F.col("n") == F.col("hits")).alias("every_hit"), "falling")
 
 
 def _split(spark, sf):
@@ -69,3 +118,22 @@ def q_train_supervised(spark, sf):
 @register("backtest_unsupervised")
 def q_backtest_unsupervised(spark, sf):
     return backtest_unsupervised(_split(spark, sf), FIX)
+
+
+_BACKTEST_SQL = with_ctes("""SELECT count(*) AS total_test_samples, sum(y) AS illicit_cases_in_test, CAST(2 AS BIGINT) AS models FROM (
+  SELECT CAST(coalesce((amount >= 9000.0 AND amount < 10000.0 AND transaction_type = 'cash_deposit')
+           OR (amount > 50000.0 AND transaction_type = 'transfer'), false) AS BIGINT) AS y,
+         row_number() OVER (ORDER BY customer_id, timestamp, transaction_id) AS i, count(*) OVER () AS n FROM txn) x
+WHERE i > floor(n * 0.7)""", TXN_CTE)
+
+
+@register("backtest_document", _BACKTEST_SQL)
+def q_backtest_document(spark, sf):
+    """The results document of both models, written as JSON and read back: the counts that any model must report."""
+    split = cut_lineage(_split(spark, sf))
+    document = backtest_metrics(eval_binary(train_supervised(split, "forest")), backtest_unsupervised(split, FIX))
+    p = scratch_path(spark, "backtest")
+    write_metrics(document, p)
+    back = spark.read.schema(document.schema).json(p)
+    models = F.size(F.filter(F.array("supervised_model.precision", "unsupervised_model.precision"), lambda x: x.between(0, 1)))
+    return back.select("total_test_samples", "illicit_cases_in_test", models.cast("long").alias("models"))

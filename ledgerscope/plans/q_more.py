@@ -6,9 +6,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.exprs import NOT_FOUND_TEXT, currency_short, dollar_amounts, money
+from ledgerscope.functions.exprs import NOT_FOUND_TEXT, currency_short, dollar_amounts, money, zero_padded
 from ledgerscope.operators import aggregates as A
-from ledgerscope.operators.decide import bias_audit, segment_shares, verification_status, verify_results
+from ledgerscope.operators.decide import bias_audit, segment_shares, verification_status
 from ledgerscope.operators.features import (compute_features, customer_amount_stats, daily_txn_count,
                                             rolling_features)
 from ledgerscope.operators.filters import (Filters, extract_evidence_rows, filter_last_n_days, filter_txn,
@@ -19,8 +19,9 @@ from ledgerscope.operators.sets import (distinct_demographics, join_rule_ml_oute
 from ledgerscope.operators.structuring import (detect_structuring, structuring_evidence, structuring_for_customers,
                                                structuring_windows)
 from ledgerscope.operators.graph import build_transfer_graph, detect_layering
-from ledgerscope.plans.pipelines import (assemble_flagged, customer_scores_minmax, flagship_structuring,
-                                         lookup_entity, pipeline_aggregation, pipeline_entity, results_table)
+from ledgerscope.plans.pipelines import (assemble_flagged, customer_scores_minmax, evidence_aggregation, evidence_entity,
+                                         flagship_items, flagship_structuring, lookup_entity, minmax_model,
+                                         pipeline_aggregation, pipeline_entity, results_table, run_response)
 from ledgerscope.plans.q_core import (AGG_FILTERS, CONS_SQL_CTES, CONS_SUBS, FEATURE_SELECT_SQL, FIX, ML_SUBS,
                                       SUBS, _flagship_sql)
 from ledgerscope.plans.registry import register
@@ -224,7 +225,7 @@ def q_agg_histogram(spark, sf):
 
 @register("agg_risk_breakdown", "SELECT risk_level, count(*) AS n FROM (" + _flagship_sql() + ") f GROUP BY 1")
 def q_agg_risk_breakdown(spark, sf):
-    return A.agg_risk_breakdown(flagship_structuring(txn_view(spark, sf), FIX))
+    return A.agg_risk_breakdown(flagship_structuring(txn_view(spark, sf), FIX, minmax_model))
 
 
 @register("agg_kpis", with_ctes(
@@ -258,7 +259,7 @@ def q_agg_customer_features(spark, sf):
     return cf.select("customer_id", *[F.round(c, 4).alias(c) for c in _CF_COLS], "n_txn")
 
 
-_REQ_SQL = "SELECT DISTINCT 'CUST' || lpad(CAST(doc_id AS VARCHAR), 5, '0') AS customer_id FROM labels"
+_REQ_SQL = "SELECT DISTINCT 'CUST' || printf('%05d', doc_id) AS customer_id FROM labels"
 
 
 def _requested(spark, sf):
@@ -368,9 +369,7 @@ def q_eval_binary(spark, sf):
 
 @register("agg_run_totals", with_ctes("""SELECT (SELECT count(DISTINCT customer_id) FROM hits) AS flagged_entities,
   (SELECT count(DISTINCT transaction_id) FROM ju WHERE customer_id IN (SELECT customer_id FROM hits)) AS evidence_ids,
-  (SELECT count(*) FROM txn) AS scanned_rows, (SELECT count(DISTINCT customer_id) FROM txn) AS evaluated_customers,
-  CASE WHEN (SELECT count(DISTINCT customer_id) FROM hits) <= 10
-       THEN (SELECT string_agg(customer_id, ', ' ORDER BY customer_id) FROM hits) END AS flagged_ids""",
+  (SELECT count(*) FROM txn) AS scanned_rows, (SELECT count(DISTINCT customer_id) FROM txn) AS evaluated_customers""",
     TXN_CTE, STRUCTURING_CTE, **SUBS))
 def q_agg_run_totals(spark, sf):
     txn = txn_view(spark, sf)
@@ -378,6 +377,11 @@ def q_agg_run_totals(spark, sf):
     return A.agg_run_totals(hits, structuring_evidence(txn, hits, FIX), txn)
 
 
+@register("agg_run_flagged_ids", with_ctes("SELECT DISTINCT customer_id FROM hits", TXN_CTE, STRUCTURING_CTE, **SUBS))
+def q_agg_run_flagged_ids(spark, sf):
+    return A.flagged_ids(detect_structuring(txn_view(spark, sf), FIX))
+
+
 # ---------------------------------------------------------------- 2.F windows
 @register("win_velocity", with_ctes(
     "SELECT transaction_id, round(velocity_hours_since_last_txn, 4) AS velocity_hours_since_last_txn FROM feat",
@@ -408,27 +412,25 @@ def q_win_zscore(spark, sf):
     return f.select("transaction_id", F.round("amount_zscore_vs_customer_avg", 4).alias("amount_zscore_vs_customer_avg"))
 
 
-@register("features_orders_ties", with_ctes(FEATURE_SELECT_SQL.replace("FROM feat", "FROM feat"),
+@register("features_orders_ties", with_ctes(FEATURE_SELECT_SQL,
                                             ORDERS_TXN_CTE, FEATURES_CTE, src="otxn", **SUBS))
 def q_features_orders_ties(spark, sf):
     from ledgerscope.plans.q_core import _feature_select
     return _feature_select(compute_features(orders_txn_view(spark, sf), FIX))
 
 
-_TIES_SQL = """SELECT transaction_id,
-  count(transaction_id) OVER (PARTITION BY customer_id ORDER BY epoch_us(timestamp)
-      RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW)
-  - (count(*) OVER (PARTITION BY customer_id, timestamp)
-     - row_number() OVER (PARTITION BY customer_id, timestamp ORDER BY transaction_id)) AS rolling_count,
-  round(CAST(sum(amount) OVER (PARTITION BY customer_id ORDER BY epoch_us(timestamp)
-      RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS DOUBLE), 2) AS rolling_sum
-FROM otxn"""
+_TIES_SQL = """SELECT a.transaction_id, count(*) AS rolling_count, round(CAST(sum(b.amount) AS DOUBLE), 2) AS rolling_sum,
+  round(CAST(sum(b.amount) AS DOUBLE) / count(*), 4) AS rolling_avg
+FROM otxn a JOIN otxn b ON b.customer_id = a.customer_id AND b.timestamp > a.timestamp - INTERVAL 7 DAY
+  AND (b.timestamp < a.timestamp OR (b.timestamp = a.timestamp AND b.transaction_id <= a.transaction_id))
+GROUP BY a.transaction_id"""
 
 
 @register("win_rolling_ties_ordered", with_ctes(_TIES_SQL, ORDERS_TXN_CTE))
 def q_win_rolling_ties_ordered(spark, sf):
     r = rolling_features(orders_txn_view(spark, sf), 7, FIX, ties="ordered")
-    return r.select("transaction_id", "rolling_count", F.round("rolling_sum", 2).alias("rolling_sum"))
+    return r.select("transaction_id", "rolling_count", F.round("rolling_sum", 2).alias("rolling_sum"),
+                    F.round("rolling_avg", 4).alias("rolling_avg"))
 
 
 @register("rolling_7d_avg", with_ctes("""SELECT transaction_id, round(avg(CAST(amount AS DOUBLE)) OVER (
@@ -521,11 +523,11 @@ def q_topk_count(spark, sf):
     *__import__("ledgerscope.plans.q_graph", fromlist=["GRAPH_CTE"]).GRAPH_CTE.split("\n", 0),
     """lay AS (SELECT a AS customer_id, 'layering' AS rule_fired, 85.0 AS rule_score FROM (
       SELECT DISTINCT e1.src AS a FROM edges e1 JOIN edges e2 ON e1.dst = e2.src WHERE e2.dst <> e1.src))""",
-    min_amount=30000.0, **SUBS))
+    **SUBS))
 def q_union_rule_hits(spark, sf):
     txn = txn_view(spark, sf)
     s = detect_structuring(txn, FIX).select("customer_id", "rule_fired", "rule_score")
-    lay = detect_layering(build_transfer_graph(txn, 30000.0)).select("customer_id", "rule_fired", "rule_score")
+    lay = detect_layering(build_transfer_graph(txn)).select("customer_id", "rule_fired", "rule_score")
     return union_rule_hits(s, lay)
 
 
@@ -564,17 +566,17 @@ def q_fn_money_fmt(spark, sf):
     "'\\$([\\d,]+(?:\\.\\d+)?)', 1), lambda x: CAST(replace(x, ',', '') AS DOUBLE)) AS a FROM ("
     + _flagship_sql() + ") f) x")
 def q_fn_extract_amounts(spark, sf):
-    f = flagship_structuring(txn_view(spark, sf), FIX)
+    f = flagship_structuring(txn_view(spark, sf), FIX, minmax_model)
     a = dollar_amounts(F.col("explanation"))
     return f.select("customer_id", F.size(a).cast("long").alias("n_amounts"),
                     F.round(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x), 2).alias("sum_amounts"))
 
 
-@register("fn_pad_id", "SELECT event_id, 'TXN' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS transaction_id, "
+@register("fn_pad_id", "SELECT event_id, 'TXN' || printf('%09d', event_id) AS transaction_id, "
                        "printf('IBM%07d', event_id) AS bank_txn_id FROM events")
 def q_fn_pad_id(spark, sf):
     e = table(spark, sf, "events")
-    return e.select("event_id", F.concat(F.lit("TXN"), F.lpad(F.col("event_id").cast("string"), 9, "0"))
+    return e.select("event_id", F.concat(F.lit("TXN"), zero_padded(F.col("event_id"), 9))
                     .alias("transaction_id"), F.format_string("IBM%07d", "event_id").alias("bank_txn_id"))
 
 
@@ -666,15 +668,13 @@ def q_pipeline_entity(spark, sf):
 
 _VERIFY_SELECT = """
 , f AS (SELECT * FROM (""" + "{flagship}" + """) x),
-ev_amt AS (SELECT DISTINCT ev.customer_id, round(CAST(t.amount AS DOUBLE), 2) AS amt FROM ev JOIN txn t
-           ON ev.transaction_id = t.transaction_id),
-ev_sum AS (SELECT ev.customer_id, round(sum(round(CAST(t.amount AS DOUBLE), 2)), 2) AS s FROM ev JOIN txn t
-           ON ev.transaction_id = t.transaction_id GROUP BY 1),
+ev_amt AS (SELECT DISTINCT ev.customer_id, t.amount AS amt FROM ev JOIN txn t ON ev.transaction_id = t.transaction_id),
+ev_sum AS (SELECT ev.customer_id, sum(t.amount) AS s FROM ev JOIN txn t ON ev.transaction_id = t.transaction_id GROUP BY 1),
 quoted AS (SELECT customer_id, CAST(replace(unnest(regexp_extract_all(explanation, '\\$([\\d,]+(?:\\.\\d+)?)', 1)),
-                  ',', '') AS DOUBLE) AS q FROM f),
+                  ',', '') AS DECIMAL(18,2)) AS q FROM f),
 bad AS (SELECT DISTINCT q.customer_id FROM quoted q JOIN ev_sum s ON q.customer_id = s.customer_id
-        WHERE NOT EXISTS (SELECT 1 FROM ev_amt a WHERE a.customer_id = q.customer_id AND a.amt = round(q.q, 2))
-          AND round(q.q, 2) <> s.s AND q.q <> 10000.0),
+        WHERE NOT EXISTS (SELECT 1 FROM ev_amt a WHERE a.customer_id = q.customer_id AND a.amt = q.q)
+          AND q.q <> s.s AND q.q <> 10000.0),
 chk AS (SELECT f.*, CASE WHEN coalesce(lower(pattern_matched) IN ('structuring','smurfing','layering'), false)
                           AND risk_score <= 30.0 THEN 'Medium' ELSE {level} END AS exp_level,
                f.customer_id IN (SELECT customer_id FROM bad) AS has_bad FROM f),
@@ -695,14 +695,9 @@ def _verify_sql():
 
 
 def _verify(spark, sf):
-    from ledgerscope.operators.consensus import consensus_evidence
-    from ledgerscope.plans.pipelines import model_evidence
-    txn = txn_view(spark, sf)
-    flagged = flagship_structuring(txn, FIX)
-    hits = detect_structuring(txn, FIX)
-    ml = score_threshold_flag(customer_scores_minmax(compute_features(txn, FIX)), FIX)
-    ev = consensus_evidence(structuring_evidence(txn, hits, FIX), model_evidence(txn, ml))
-    return verify_results(flagged, ev, txn, FIX)
+    from ledgerscope.operators.decide import verify_results
+    items, evidence = flagship_items(txn_view(spark, sf), FIX, minmax_model)
+    return verify_results(items, evidence, FIX)
 
 
 @register("verify_results", _verify_sql())
@@ -724,21 +719,138 @@ def q_verification_status(spark, sf):
                            "printf('%.1f', confidence) AS confidence, evidence_count AS evidence FROM ("
                            + _flagship_sql() + ") f")
 def q_results_table(spark, sf):
-    return results_table(flagship_structuring(txn_view(spark, sf), FIX))
+    return results_table(flagship_structuring(txn_view(spark, sf), FIX, minmax_model))
 
 
-def _assemble_sql():
+def _assemble_sql(precedence: bool = True):
     from ledgerscope.plans.registry import ORACLES
     cols = "customer_id, pattern_matched, risk_score, risk_level, recommended_action, confidence, trust_score, " \
            "evidence_count, explanation"
     parts = [("entity_lookup", ORACLES["pipeline_entity"]), ("aggregation_rule", ORACLES["pipeline_aggregation"]),
              ("consensus", _flagship_sql())]
-    return " UNION ALL ".join(f"SELECT '{m}' AS mode, {cols} FROM ({sql}) x" for m, sql in parts)
+    union = " UNION ALL ".join(f"SELECT {i} AS p, '{m}' AS mode, {cols} FROM ({sql}) x{i}" for i, (m, sql) in enumerate(parts))
+    return (f"SELECT mode, {cols} FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY p) AS rn FROM ({union}) u) r "
+            "WHERE rn = 1")
 
 
 @register("assemble_flagged", _assemble_sql())
 def q_assemble_flagged(spark, sf):
-    """Entity, aggregation and consensus items of one run in one table (rows only)."""
+    """Entity, aggregation and consensus items of one run; a customer keeps the item of the first mode."""
     txn = txn_view(spark, sf)
     return assemble_flagged(pipeline_entity(txn, _requested(spark, sf), FIX),
-                            pipeline_aggregation(txn, AGG_FILTERS, FIX), flagship_structuring(txn, FIX))
+                            pipeline_aggregation(txn, AGG_FILTERS, FIX), flagship_structuring(txn, FIX, minmax_model))
+
+
+_EVIDENCE_ENTITY = f"SELECT customer_id, transaction_id, CAST(amount AS DOUBLE) AS amount FROM txn WHERE customer_id IN ({_REQ_SQL})"
+_EVIDENCE_AGG = """SELECT customer_id, transaction_id, CAST(amount AS DOUBLE) AS amount FROM txn WHERE amount < 10000.0 AND customer_id IN (
+  SELECT customer_id FROM txn WHERE amount < 10000.0 GROUP BY customer_id HAVING count(transaction_id) >= 10)"""
+
+
+def _evidence(df):
+    return df.withColumn("amount", F.col("amount").cast("double"))
+
+
+@register("evidence_entity", with_ctes(_EVIDENCE_ENTITY, TXN_CTE))
+def q_evidence_entity(spark, sf):
+    """Evidence rows of the requested customers."""
+    return _evidence(evidence_entity(txn_view(spark, sf), _requested(spark, sf)))
+
+
+@register("evidence_aggregation", with_ctes(_EVIDENCE_AGG, TXN_CTE))
+def q_evidence_aggregation(spark, sf):
+    """Evidence rows of the aggregation items: their filtered rows."""
+    return _evidence(evidence_aggregation(txn_view(spark, sf), AGG_FILTERS, FIX))
+
+
+@register("evidence_consensus", with_ctes(
+    "SELECT e.customer_id, e.transaction_id, CAST(t.amount AS DOUBLE) AS amount FROM ("
+    "SELECT customer_id, transaction_id FROM ju WHERE customer_id IN (SELECT customer_id FROM hits) "
+    "UNION SELECT customer_id, transaction_id FROM txn WHERE customer_id IN (SELECT customer_id FROM ml)) e "
+    "JOIN txn t USING (transaction_id)", *CONS_SQL_CTES, **CONS_SUBS))
+def q_evidence_consensus(spark, sf):
+    """Evidence rows of the flagship items."""
+    return _evidence(flagship_items(txn_view(spark, sf), FIX, minmax_model)[1])
+
+
+def _verify_modes_sql():
+    from ledgerscope.plans.sqlparts import level_sql
+    evidence = " UNION ALL ".join(
+        f"SELECT '{m}' AS mode, customer_id, CAST(amount AS DECIMAL(18,2)) AS amt FROM ({sql}) e{i}"
+        for i, (m, sql) in enumerate([("entity_lookup", with_ctes(_EVIDENCE_ENTITY, TXN_CTE)),
+                                      ("aggregation_rule", with_ctes(_EVIDENCE_AGG, TXN_CTE)),
+                                      ("consensus", _ORACLES()["evidence_consensus"])]))
+    return f"""WITH f AS ({_assemble_sql()}), ev AS ({evidence}),
+s AS (SELECT mode, customer_id, sum(amt) AS s FROM ev GROUP BY 1, 2),
+q AS (SELECT mode, customer_id, CAST(replace(unnest(regexp_extract_all(explanation, '\\$([\\d,]+(?:\\.\\d+)?)', 1)), ',', '') AS DECIMAL(18,2)) AS q FROM f),
+bad AS (SELECT DISTINCT q.mode, q.customer_id FROM q JOIN s USING (mode, customer_id)
+        WHERE q.q <> s.s AND q.q <> 10000.0 AND NOT EXISTS (
+          SELECT 1 FROM ev WHERE ev.mode = q.mode AND ev.customer_id = q.customer_id AND ev.amt = q.q))
+SELECT f.mode, f.customer_id, f.risk_level = CASE WHEN coalesce(f.pattern_matched IN ('structuring','smurfing','layering'), false)
+         AND f.risk_score <= 30.0 THEN 'Medium' ELSE {level_sql('f.risk_score')} END AS level_ok,
+       b.customer_id IS NULL AS amounts_ok
+FROM f LEFT JOIN bad b ON b.mode = f.mode AND b.customer_id = f.customer_id"""
+
+
+def _ORACLES():
+    from ledgerscope.plans.registry import ORACLES
+    return ORACLES
+
+
+def _response(spark, sf):
+    return run_response(txn_view(spark, sf), FIX, minmax_model, _requested(spark, sf), AGG_FILTERS)
+
+
+@register("verify_all_modes", _verify_modes_sql())
+def q_verify_all_modes(spark, sf):
+    """The items of all three modes of one run, each checked against its evidence."""
+    return _response(spark, sf).verification.select("mode", "customer_id", "level_ok", "amounts_ok")
+
+
+@register("run_response_totals", f"""WITH f AS ({_assemble_sql()}),
+e AS ({" UNION ALL ".join(f"SELECT '{m}' AS mode, customer_id, transaction_id FROM ({sql}) e{i}" for i, (m, sql) in enumerate([
+    ("entity_lookup", with_ctes(_EVIDENCE_ENTITY, TXN_CTE)), ("aggregation_rule", with_ctes(_EVIDENCE_AGG, TXN_CTE)),
+    ("consensus", _ORACLES()["evidence_consensus"])]))})
+SELECT (SELECT count(DISTINCT customer_id) FROM f) AS flagged_entities,
+  (SELECT count(DISTINCT transaction_id) FROM e WHERE (mode, customer_id) IN (SELECT mode, customer_id FROM f)) AS evidence_ids,
+  (SELECT count(*) FROM events) AS scanned_rows, (SELECT count(DISTINCT user_id) FROM events) AS evaluated_customers""")
+def q_run_response_totals(spark, sf):
+    """Totals of a whole run over the three modes."""
+    return _response(spark, sf).totals
+
+
+@register("split_valid", with_ctes("""SELECT customer_id, round(avg(a), 4) AS amount_mean, count(*) AS clean_rows FROM (
+  SELECT customer_id, CASE WHEN transaction_type = 'fee' THEN -CAST(amount AS DOUBLE)
+                           WHEN channel = 'atm' AND amount < 100 THEN NULL ELSE CAST(amount AS DOUBLE) END AS a FROM txn) x
+WHERE a >= 0 GROUP BY 1""", TXN_CTE))
+def q_split_valid(spark, sf):
+    """Customer statistics over the clean side of an input with missing and negative amounts."""
+    from ledgerscope.operators.quality import split_valid
+    from ledgerscope.plans.q_io import _txn_text
+    from ledgerscope.sources.files import typed_txn
+    clean, _ = split_valid(_txn_text(spark, sf))
+    txn = typed_txn(clean)
+    n = txn.groupBy("customer_id").agg(F.count(F.lit(1)).alias("clean_rows"))
+    return (customer_amount_stats(txn).join(n, "customer_id")
+            .select("customer_id", F.round("amount_mean", 4).alias("amount_mean"), "clean_rows"))
+
+
+_NULLS_CTE = """ntxn AS (
+  SELECT * REPLACE (CASE WHEN CAST(substr(transaction_id, 4) AS BIGINT) % 7 = 0 THEN NULL ELSE amount END AS amount,
+                    CASE WHEN CAST(substr(transaction_id, 4) AS BIGINT) % 11 = 0 THEN NULL ELSE country END AS country) FROM txn)"""
+
+
+@register("features_null_amounts", with_ctes("""SELECT transaction_id,
+  round(coalesce((CAST(t.amount AS DOUBLE) - s.amount_mean) / (s.amount_std + 1e-6), -999.0), 4) AS zscore,
+  count(*) OVER w7 AS rolling_7d_count, round(CAST(coalesce(sum(t.amount) OVER w30, 0) AS DOUBLE), 2) AS rolling_30d_sum
+FROM ntxn t JOIN stats s USING (customer_id)
+WINDOW w7 AS (PARTITION BY t.customer_id ORDER BY epoch_us(t.timestamp) RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW),
+  w30 AS (PARTITION BY t.customer_id ORDER BY epoch_us(t.timestamp) RANGE BETWEEN 2591999999999 PRECEDING AND CURRENT ROW)""",
+    TXN_CTE, _NULLS_CTE, FEATURES_CTE.split(",\nfeat AS")[0], src="ntxn", **SUBS))
+def q_features_null_amounts(spark, sf):
+    """Features of an input in which a seventh of the amounts is missing, by prefix differences."""
+    t = txn_view(spark, sf)
+    n = F.expr("CAST(substring(transaction_id, 4) AS BIGINT)")
+    t = t.withColumn("amount", F.when(n % 7 != 0, F.col("amount"))).withColumn("country", F.when(n % 11 != 0, F.col("country")))
+    f = compute_features(t, FIX.replace(rolling_strategy="prefix"))
+    return f.select("transaction_id", F.round(F.coalesce("amount_zscore_vs_customer_avg", F.lit(-999.0)), 4).alias("zscore"),
+                    "rolling_7d_count", F.round("rolling_30d_sum", 2).alias("rolling_30d_sum"))

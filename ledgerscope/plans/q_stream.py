@@ -8,8 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.bounded import attach_global
-
 from ledgerscope.plans.q_core import FIX
 from ledgerscope.plans.registry import register
 from ledgerscope.plans.sqlviews import TXN_CTE, with_ctes
@@ -32,6 +30,33 @@ def _run(spark, df, name, fmt="parquet"):
     return out
 
 
+DELIVERIES = 5
+
+
+def _chunks(spark, sf, n: int = DELIVERIES):
+    """The events in ``n`` chunks of equal length of time, the oldest first (stand-in deliveries of a stream)."""
+    ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = ev.agg(F.min(us), F.max(us)).first()
+    if lo is None:
+        return [ev]
+    part = F.least(F.floor((us - lo) * n / (hi - lo + 1)), F.lit(n - 1))
+    return [ev.where(part == i) for i in range(n)]
+
+
+def _run_deliveries(spark, sf, name, job, chunks=None):
+    """The job over a stream whose rows arrive in several deliveries, each at least one micro-batch, on one checkpoint."""
+    from ledgerscope.sources.tables import txn_from_events
+    src, out = scratch_path(spark, f"deliveries-{name}"), scratch_path(spark, f"stream-{name}")
+
+    def once():
+        stream = txn_from_events(jobs.events_stream(spark, sf, path=src), spark, sf)
+        jobs.run_available_now(job(stream), f"{out}/data", f"{out}/_checkpoint", state_partitions=_state_partitions(spark))
+
+    jobs.deliver(_chunks(spark, sf) if chunks is None else chunks, src, once)
+    return out
+
+
 @register("stream_spike_alerts", with_ctes(
     "SELECT CAST(timestamp AS TIMESTAMP) AS timestamp, customer_id, CAST(amount AS DOUBLE) AS amount, "
     "'Sudden volume spike detected in stream' AS reason, transaction_id FROM txn WHERE amount > 10000", TXN_CTE))
@@ -64,8 +89,7 @@ GROUP BY 1, 2, 3 HAVING count(*) >= 2""", TXN_CTE, "tr AS (SELECT * FROM txn WHE
 
 @register("stream_high_frequency", _HF_SQL)
 def q_stream_high_frequency(spark, sf):
-    df = jobs.high_frequency(jobs.txn_stream(spark, sf), 2, "1 day", None, "1 hour")
-    out = _run(spark, df, "hf")
+    out = _run_deliveries(spark, sf, "hf", lambda txn: jobs.high_frequency(txn, 2, "1 day", None, "1 hour"))
     r = spark.read.parquet(f"{out}/data")
     return r.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
                     F.col("window_end").cast("timestamp_ntz").alias("window_end"), "customer_id", "txn_count",
@@ -110,19 +134,14 @@ def q_stream_customer_sessions(spark, sf):
 
 @register("stream_dedup", with_ctes("SELECT DISTINCT transaction_id FROM txn", TXN_CTE))
 def q_stream_dedup(spark, sf):
-    """The events are delivered twice (a replayed file); the stream keeps each transaction id once."""
-    src = scratch_path(spark, "replay")
-    ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
-    ev.write.mode("overwrite").parquet(f"{src}/first")
-    ev.write.mode("overwrite").parquet(f"{src}/replay")
-    stream = jobs.events_stream(spark, sf, path=f"{src}/*")
-    from ledgerscope.sources.tables import txn_from_events
-    out = _run(spark, jobs.dedup(txn_from_events(stream, spark, sf)).select("transaction_id"), "dedup")
+    """Every delivery comes twice (a replayed file); the stream keeps each transaction id once."""
+    chunks = [c for chunk in _chunks(spark, sf) for c in (chunk.unionAll(chunk), chunk)]
+    out = _run_deliveries(spark, sf, "dedup", lambda txn: jobs.dedup(txn).select("transaction_id"), chunks)
     return spark.read.parquet(f"{out}/data")
 
 
 _STRUCT_STATE_SQL = with_ctes("""SELECT customer_id, make_timestamp(t) AS alert_time, cnt AS window_count,
-  transaction_id FROM walk WHERE alerted""", "RECURSIVE " + TXN_CTE, """jw AS (
+  transaction_id FROM walk WHERE alerted AND t <= (SELECT (max(t) // 1000 - 86400000) * 1000 FROM jw)""", "RECURSIVE " + TXN_CTE, """jw AS (
   SELECT customer_id, transaction_id, epoch_us(timestamp) AS t,
          count(*) OVER (PARTITION BY customer_id ORDER BY epoch_us(timestamp)
                         RANGE BETWEEN {w_m1} PRECEDING AND CURRENT ROW) AS cnt,
@@ -142,36 +161,37 @@ _STRUCT_STATE_SQL = with_ctes("""SELECT customer_id, make_timestamp(t) AS alert_
 
 @register("stream_structuring", _STRUCT_STATE_SQL)
 def q_stream_structuring(spark, sf):
-    """Keyed-state structuring alerts over the stream (an alert per crossing of the minimum count)."""
-    out = _run(spark, jobs.structuring_state(jobs.txn_stream(spark, sf), FIX), "structuring")
+    """Keyed-state structuring alerts (one per crossing of the minimum count), up to the last watermark."""
+    out = _run_deliveries(spark, sf, "structuring", lambda txn: jobs.structuring_state(txn, FIX))
     r = spark.read.parquet(f"{out}/data")
     return r.select("customer_id", F.col("alert_time").cast("timestamp_ntz").alias("alert_time"), "window_count",
                     "transaction_id")
 
 
-@register("stream_late_data", """WITH e AS (SELECT epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events),
-m AS (SELECT median(us) AS m FROM e),
-wm AS (SELECT max(us) - 3600000000 AS wm FROM e, m WHERE us >= m.m)
-SELECT 0 AS batch, count(*) AS input_rows, CAST(0 AS BIGINT) AS late_rows FROM e, m WHERE us >= m.m
-UNION ALL
-SELECT 1, count(*), count(*) FILTER (WHERE us < (SELECT wm FROM wm)) FROM e, m WHERE us < m.m""")
+_LATE_SQL = """WITH e AS (SELECT epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events),
+r AS (SELECT min(us) AS lo, max(us) AS hi FROM e),
+c AS (SELECT us, least(CAST(floor((us - lo) * 5.0 / (hi - lo + 1)) AS INTEGER), 4) AS chunk FROM e, r),
+b AS (SELECT us, CASE chunk WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 3 ELSE 4 END AS batch FROM c),
+m AS (SELECT batch, max(us) AS hi FROM b GROUP BY 1)
+SELECT CAST(b.batch AS BIGINT) AS batch, count(*) AS input_rows,
+  count(*) FILTER (WHERE us < (SELECT max(m.hi) FROM m WHERE m.batch < b.batch) - 3600000000) AS late_rows FROM b GROUP BY b.batch"""
+
+
+@register("stream_late_data", _LATE_SQL)
 def q_stream_late_data(spark, sf):
-    """Two deliveries: the second holds the first half of the month, older than the watermark; late rows per batch."""
-    src = scratch_path(spark, "late")
-    ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    mid = ev.select(F.median(us).alias("m"))
-    ev2 = attach_global(ev, mid)
-    ev2.filter(us >= F.col("m")).drop("m").write.mode("overwrite").parquet(f"{src}/a")
-    ev2.filter(us < F.col("m")).drop("m").write.mode("overwrite").parquet(f"{src}/b")
+    """Five deliveries, the second and third and the fourth and fifth in the wrong order; late rows per batch."""
     from ledgerscope.sources.tables import txn_from_events
-    stream = txn_from_events(jobs.events_stream(spark, sf, max_files=1, path=f"{src}/*"), spark, sf)
-    out = scratch_path(spark, "stream-late")
-    jobs.route_late_rows(stream.select("transaction_id", "customer_id", "timestamp"), "timestamp",
-                         3_600_000_000, f"{out}/rows", f"{out}/_checkpoint")
-    r = spark.read.parquet(f"{out}/rows")
-    return r.groupBy("batch").agg(F.count(F.lit(1)).alias("input_rows"),
-                                  F.count_if("late").alias("late_rows"))
+    chunks = _chunks(spark, sf)
+    src, out = scratch_path(spark, "late"), scratch_path(spark, "stream-late")
+
+    def once():
+        stream = txn_from_events(jobs.events_stream(spark, sf, path=src), spark, sf)
+        jobs.route_late_rows(stream.select("transaction_id", "customer_id", "timestamp"), "timestamp", 3_600_000_000, f"{out}/sorted",
+                             f"{out}/_checkpoint")
+
+    jobs.deliver([chunks[i] for i in (0, 2, 1, 4, 3)], src, once)
+    r = spark.read.parquet(f"{out}/sorted/rows")
+    return r.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("input_rows"), F.count_if("late").alias("late_rows"))
 
 
 @register("sink_alert_stream", with_ctes(

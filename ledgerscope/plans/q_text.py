@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.querylog import (AMOUNT_PATTERN, CAPABILITY_WORDS, COUNT_PATTERN, DAYS_PATTERN, EDA_WORDS,
-                                            ENTITY_PATTERN, LIMIT_PATTERN, PARSER_DOMAIN_WORDS, filter_in_domain,
+                                            LIMIT_PATTERN, PARSER_DOMAIN_WORDS, filter_in_domain,
                                             pair_queries_responses, session_context, tag_queries)
 from ledgerscope.plans.registry import register
 from ledgerscope.sources.tables import table
@@ -22,6 +22,8 @@ EXAMPLE_QUERIES = [
     "Any layering through wire transfers? limit 3",
     "What's the weather today?",
     "cash deposit overview chart",
+    "What about customer 1234567?",
+    "customer 12 or customer id: 77001",
 ]
 
 
@@ -35,11 +37,12 @@ def _queries(spark, sf):
     return conv.unionByName(spark.createDataFrame([(q,) for q in EXAMPLE_QUERIES], "text STRING"))
 
 
-_ENT = ENTITY_PATTERN
+# A number of 3 to 6 digits after the word; written out, since DuckDB's expressions have no look-ahead.
+_ENT = ("list_filter(regexp_extract_all(text, '(?i)(?:customer\\s*(?:id)?\\s*[:#]?\\s*|cust\\s*)([0-9]+)', 1), "
+        "lambda x: length(x) BETWEEN 3 AND 6)[1]")
 
 
-@register("tag_entity_id", f"""SELECT text, CASE WHEN regexp_extract(text, '{_ENT}', 1) <> ''
-  THEN 'CUST' || regexp_extract(text, '{_ENT}', 1) END AS entity_id FROM ({_example_sql()}) q""")
+@register("tag_entity_id", f"""SELECT text, 'CUST' || {_ENT} AS entity_id FROM ({_example_sql()}) q""")
 def q_tag_entity_id(spark, sf):
     return tag_queries(_queries(spark, sf)).select("text", "entity_id")
 
@@ -76,7 +79,7 @@ FROM (SELECT *, (NOT {_any(_PARSER_WORDS)} AND intent = 'broad_exploration' AND
          WHEN has_ent THEN 'entity_lookup' ELSE 'broad_exploration' END AS intent,
     CASE WHEN st THEN 'structuring' WHEN ly THEN 'layering' WHEN cd THEN 'structuring' ELSE 'none' END
       AS target_pattern
-  FROM (SELECT text, regexp_extract(text, '{_ENT}', 1) <> '' AS has_ent,
+  FROM (SELECT text, {_ENT} IS NOT NULL AS has_ent,
           regexp_extract(lower(text), '{COUNT_PATTERN}', 0) <> '' AS cnt,
           regexp_extract(lower(text), '{AMOUNT_PATTERN}', 1) <> '' AS amt,
           regexp_extract(lower(text), '{LIMIT_PATTERN}', 1) <> '' AS lim,
@@ -95,7 +98,7 @@ def q_tag_intent(spark, sf):
 
 
 @register("filter_in_domain", f"""SELECT text FROM ({_example_sql()}) q
-  WHERE {_any(_CAP_WORDS)} OR regexp_extract(text, '{_ENT}', 1) <> ''""")
+  WHERE {_any(_CAP_WORDS)} OR {_ENT} IS NOT NULL""")
 def q_filter_in_domain(spark, sf):
     return filter_in_domain(_queries(spark, sf)).select("text")
 
@@ -116,6 +119,24 @@ def q_win_query_pairs(spark, sf):
                                                  "response_text")
 
 
+@register("win_query_pairs_equal", """WITH l AS (
+  SELECT conv_id, 2 * turn AS pos, 'query' AS kind, text FROM conversations WHERE role = 'user'
+  UNION ALL SELECT conv_id, 2 * turn + 1, 'response', CASE WHEN turn % 4 = 0 THEN text ELSE 'other' END FROM conversations WHERE role = 'user')
+SELECT q.conv_id, q.pos AS query_pos, q.text AS query_text, min(r.pos) AS response_pos FROM l q
+LEFT JOIN l r ON r.conv_id = q.conv_id AND r.kind = 'response' AND r.text = q.text AND r.pos > q.pos
+  AND NOT EXISTS (SELECT 1 FROM l x WHERE x.conv_id = q.conv_id AND x.kind = 'query' AND x.pos > q.pos AND x.pos < r.pos)
+WHERE q.kind = 'query' GROUP BY 1, 2, 3""")
+def q_win_query_pairs_equal(spark, sf):
+    """The audit-log form: a response is of a query if it repeats the query's text (stand-in log of user turns)."""
+    c = table(spark, sf, "conversations").where("role = 'user'")
+    log = c.select("conv_id", F.explode(F.array(
+        F.struct((F.col("turn") * 2).alias("pos"), F.lit("query").alias("kind"), "text"),
+        F.struct((F.col("turn") * 2 + 1).alias("pos"), F.lit("response").alias("kind"),
+                 F.when(F.col("turn") % 4 == 0, F.col("text")).otherwise(F.lit("other")).alias("text")))).alias("e")).select("conv_id", "e.*")
+    return pair_queries_responses(log, "conv_id", "pos", F.col("kind") == "query", F.col("kind") == "response", "text", match=True).select(
+        "conv_id", "query_pos", "query_text", "response_pos")
+
+
 @register("last_n_per_key", """WITH r AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rk FROM conversations)
 SELECT conv_id, count(*) AS kept_messages,

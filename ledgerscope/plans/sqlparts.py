@@ -60,7 +60,7 @@ MINMAX_ML_CTE = """sc AS (
   FROM cf, (SELECT min(amount_max) AS mn, max(amount_max) AS mx FROM cf) m),
 ml AS (
   SELECT customer_id, round(score, 3) AS ml_score, {tags} AS top_features
-  FROM sc WHERE score >= {thr} AND (SELECT count(*) FROM sc) >= {min_customers})"""
+  FROM sc WHERE score >= {thr})"""
 
 CONSENSUS_CTE = """cons AS (
   SELECT coalesce(h.customer_id, m.customer_id) AS customer_id,

@@ -4,9 +4,9 @@ The same column expressions as ``ledgerscope.sources.tables``; see FIXTURES.md B
 """
 
 TXN_CTE = """txn AS (
-  SELECT 'TXN' || lpad(CAST(e.event_id AS VARCHAR), 9, '0') AS transaction_id,
-         'CUST' || lpad(CAST(e.user_id AS VARCHAR), 5, '0') AS customer_id,
-         'ACC_CUST' || lpad(CAST(e.user_id AS VARCHAR), 5, '0') AS account_id,
+  SELECT 'TXN' || printf('%09d', e.event_id) AS transaction_id,
+         'CUST' || printf('%05d', e.user_id) AS customer_id,
+         'ACC_CUST' || printf('%05d', e.user_id) AS account_id,
          CAST(e.ts AS TIMESTAMP) AS timestamp,
          CAST(CAST(e.value AS DECIMAL(18,2)) * 200 AS DECIMAL(18,2)) AS amount,
          'USD' AS currency,
@@ -15,7 +15,7 @@ TXN_CTE = """txn AS (
            AS transaction_type,
          ['branch','atm','wire','online'][CAST((e.event_id % 4) + 1 AS INTEGER)] AS channel,
          CASE WHEN e.event_type = 'purchase'
-              THEN 'ACC_CUST' || lpad(CAST((e.event_id * 31 + 7) % 150 AS VARCHAR), 5, '0') END AS counterparty_id,
+              THEN 'ACC_CUST' || printf('%05d', (e.event_id * 31 + 7) % (SELECT count(*) FROM customer)) END AS counterparty_id,
          n.n_name AS country,
          c.c_mktsegment AS customer_segment
   FROM events e
@@ -23,8 +23,8 @@ TXN_CTE = """txn AS (
   LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey)"""
 
 ORDERS_TXN_CTE = """otxn AS (
-  SELECT 'ORD' || lpad(CAST(o.o_orderkey AS VARCHAR), 9, '0') AS transaction_id,
-         'CUST' || lpad(CAST(o.o_custkey AS VARCHAR), 5, '0') AS customer_id,
+  SELECT 'ORD' || printf('%09d', o.o_orderkey) AS transaction_id,
+         'CUST' || printf('%05d', o.o_custkey) AS customer_id,
          CAST(o.o_orderdate AS TIMESTAMP) AS timestamp,
          CAST(o.o_totalprice AS DECIMAL(18,2)) AS amount,
          n.n_name AS country, c.c_mktsegment AS customer_segment

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,26 +48,48 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and is read, never replaced.
-    Only when it is unset (local tests) a fresh scratch folder is created.
+    On a cluster the deployment must set it; it is read, never replaced, and an unset folder is an error there.
+    Only a ``local`` master, where driver and executors are one process, gets a scratch folder of its own.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(id(spark))
+    current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         return current
-    path = tempfile.mkdtemp(prefix="ledgerscope-ckpt-", dir=os.environ.get("LEDGERSCOPE_SCRATCH", "/tmp"))
-    try:
-        spark.conf.set("spark.checkpoint.dir", path)
-    except Exception:  # core conf may be read-only at run time; the folder is still used
-        _LOCAL_DIRS[id(spark)] = path
-        return _LOCAL_DIRS[id(spark)]
-    try:
-        spark.sparkContext.setCheckpointDir(path)
-    except Exception:  # sessions without a SparkContext handle
-        pass
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^]]*\])?", master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share "
+                         f"(it is unset, and the master is {master or 'unknown'})")
+    own = spark.sparkContext.getCheckpointDir()
+    if own is None:
+        spark.sparkContext.setCheckpointDir(
+            tempfile.mkdtemp(prefix="ledgerscope-ckpt-", dir=os.environ.get("LEDGERSCOPE_SCRATCH", "/tmp")))
+        own = spark.sparkContext.getCheckpointDir()
+    return own
+
+
+_WRITTEN: list[str] = []
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, removed by ``clear_scratch`` or when the driver process ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:16]}"
+    if not _WRITTEN:
+        atexit.register(clear_scratch, spark)
+    _WRITTEN.append(path)
     return path
 
 
-_LOCAL_DIRS: dict[int, str] = {}
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes every scratch path of this process (through Hadoop, so on any file system).
+
+    Call it when no DataFrame made so far is needed any more.
+    """
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return  # nothing can reach the shared folder any more; its own retention applies
+    conf = context._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = context._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df):
@@ -72,13 +97,12 @@ def cut_lineage(df):
 
     Used for an intermediate table that several branches of one plan read:
     otherwise column pruning gives every branch its own, different copy of the
-    upstream work and none of it is shared.
+    upstream work and none of it is shared. This is an action: the table is
+    written while the caller's plan is being built.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex[:16]}"
+    path = scratch_path(spark, "table")
     # A written table: computed once (checkpoint() would evaluate the plan twice
     # unless persisted), columnar, and readable after any executor is lost.
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,22 +6,17 @@ folder (``spark.checkpoint.dir``), never a machine-local temporary folder.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerscope.schemas import ALERT, AUDIT_EVENT, BANK_CSV, FEEDBACK, TXN, TXN_TEXT
-from ledgerscope.session import checkpoint_dir
+from ledgerscope.functions.exprs import zero_padded
+from ledgerscope.session import scratch_path  # noqa: F401  (re-exported for the registered queries)
 
 TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def typed_txn(raw: DataFrame) -> DataFrame:
     """Cast the text form to the transaction schema (bad values become null; see quarantine)."""
     out = []
@@ -75,31 +70,20 @@ def global_row_index(df: DataFrame, order: list[str], name: str = "row_index", s
             .drop("_pid", "_local", "_off"))
 
 
-def read_csv_capped(spark: SparkSession, root: str, n: int = 50000, schema: T.StructType | None = None) -> DataFrame:
-    """The first ``n`` rows of the first CSV file (by path) under a directory tree.
-
-    The first file is taken from the file listing (metadata, no data read);
-    only that file is scanned, and only up to ``n`` rows in file order.
-    """
-    def reader():
-        r = spark.read.option("header", True)
-        return r.schema(schema) if schema else r
-
-    listing = reader().option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
-    files = sorted(listing.inputFiles())
-    if not files:
-        return listing.limit(0)
-    one = reader().csv(files[0]).withColumn("_pos", F.monotonically_increasing_id())
-    return one.orderBy("_pos").limit(n).drop("_pos")
+def read_csv_tree(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """All rows of all CSV files (with a header line each) under a directory tree."""
+    return (spark.read.option("header", True).schema(schema).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.csv").csv(root))
 
 
 def adapt_bank_csv(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """``order``: columns giving the row position (default: file, position in file as added by ``read_bank_csv``)."""
     """Map bank-benchmark rows to the transaction schema.
 
-    id = ``IBM`` + zero-padded row position (7); customer = ``FromBank_Account``;
-    amount = paid, else received, else 0; currency default USD; type = channel =
-    lower(format), default ``wire``; counterparty = ``ToBank_Account2``; no
+    ``order``: columns giving the row position (default: file, position in file as added by ``read_bank_csv``).
+    id = ``IBM`` + row position, zero-padded to 7 digits or longer; customer = ``FromBank_Account``;
+    amount = the paid column if the table has it, else the received column, else 0 for all rows. A row whose
+    value is missing or not a number keeps a null amount, so that the input check quarantines it.
+    Currency default USD; type = channel = lower(format), default ``wire``; counterparty = ``ToBank_Account2``; no
     country / segment; label kept as ``is_laundering_ground_truth``.
     """
     cols = set(raw.columns)
@@ -109,15 +93,14 @@ def adapt_bank_csv(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
 
     idx = global_row_index(raw, order or ["_file", "_pos"])
     fmt = F.lower(col("Payment Format", "wire"))
-    paid = F.expr("try_cast(`Amount Paid` AS DOUBLE)") if "Amount Paid" in cols else F.lit(None).cast("double")
-    recv = F.expr("try_cast(`Amount Received` AS DOUBLE)") if "Amount Received" in cols \
-        else F.lit(None).cast("double")
+    source = next((c for c in ("Amount Paid", "Amount Received") if c in cols), None)
+    amount = F.expr(f"try_cast(`{source}` AS DECIMAL(18,2))") if source else F.lit(0).cast("decimal(18,2)")
     out = idx.select(
-        F.concat(F.lit("IBM"), F.lpad(F.col("row_index").cast("string"), 7, "0")).alias("transaction_id"),
+        F.concat(F.lit("IBM"), zero_padded(F.col("row_index"), 7)).alias("transaction_id"),
         F.concat_ws("_", col("From Bank", "B0"), col("Account", "A0")).alias("customer_id"),
         col("Account", "A0").alias("account_id"),
         F.expr("try_to_timestamp(`Timestamp`, 'yyyy/MM/dd HH:mm')").alias("timestamp"),
-        F.coalesce(paid, recv, F.lit(0.0)).cast("decimal(18,2)").alias("amount"),
+        amount.alias("amount"),
         col("Payment Currency", "USD").alias("currency"),
         fmt.alias("transaction_type"), fmt.alias("channel"),
         F.concat_ws("_", col("To Bank", "B0"), col("Account2", "A0")).alias("counterparty_id"),
@@ -146,7 +129,7 @@ def audit_events(events: DataFrame, event_type_col: str, payload_cols: list[str]
 
 
 def read_audit_tail(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
-    """Last ``limit`` events, newest first; a missing log gives an empty table."""
+    """Last ``limit`` events, newest first (ties by type and payload); a missing log gives an empty table."""
     try:
         df = spark.read.schema(AUDIT_EVENT).json(path)
         df.schema  # noqa: B018 - resolves the path
@@ -154,7 +137,7 @@ def read_audit_tail(spark: SparkSession, path: str, limit: int = 50) -> DataFram
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
             return spark.createDataFrame([], AUDIT_EVENT)
         raise
-    return df.orderBy(F.col("timestamp").desc_nulls_last()).limit(limit)
+    return df.orderBy(F.col("timestamp").desc_nulls_last(), "event_type", "payload").limit(limit)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
@@ -173,8 +156,8 @@ def latest_alerts(alerts: DataFrame, n: int = 20) -> DataFrame:
 
 
 # ------------------------------------------------------------------ reports and metrics
-# Fixed value: the report document layout (date, customer twice, session); the reporting-system line is
-# worded neutrally.
+# Fixed value: the report document layout (date, customer twice, session). One line does not match the
+# original: the reporting-system line is worded neutrally.
 REPORT_TEMPLATE = """# Suspicious Activity Report (SAR)
 
 **Date of Report:** %s
@@ -210,16 +193,13 @@ def report_texts(feedback: DataFrame) -> DataFrame:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """One text file per report (directory per name); the writer adds the final line break itself."""
-    (reports.select("report_name", F.regexp_replace("content", "\n$", "").alias("content"))
-     .write.mode("append").partitionBy("report_name").text(path))
+    """Report documents, many a file: each row keeps its name and its text, so equal names stay apart."""
+    reports.select("report_name", "content").write.mode("append").parquet(path)
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Report documents, newest name first, whole-file content."""
-    df = spark.read.text(path, wholetext=True)  # the keyword; .option() is overridden by text()'s default
-    return df.select(F.col("report_name"), F.col("value").alias("content")) \
-        .orderBy(F.col("report_name").desc())
+    """Report documents, newest name first."""
+    return spark.read.schema("report_name string, content string").parquet(path).orderBy(F.col("report_name").desc())
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

@@ -9,44 +9,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.exprs import zero_padded
+
 # Fixed values of the stand-in view (see FIXTURES.md B1): event type mapping,
-# channel list, counterparty rule and its modulus.
+# channel list and counterparty rule (modulo the number of customers).
 EVENT_TO_TXN_TYPE = {"purchase": "transfer", "click": "cash_deposit", "view": "deposit",
                      "signup": "withdrawal", "error": "fee"}
 CHANNELS = ["branch", "atm", "wire", "online"]
-COUNTERPARTY_MULT, COUNTERPARTY_ADD, COUNTERPARTY_MOD = 31, 7, 150
-
-
-_HANDLES: dict[tuple, DataFrame] = {}
-
-
-def _memo(spark: SparkSession, key: tuple, build) -> DataFrame:
-    """One DataFrame handle per session and key: the plan is built once (metadata and expression
-    construction on the driver); every query still reads the data itself."""
-    k = (id(spark), spark.conf.get("spark.sql.session.timeZone"), *key)
-    if k not in _HANDLES:
-        _HANDLES[k] = build()
-    return _HANDLES[k]
+COUNTERPARTY_MULT, COUNTERPARTY_ADD = 31, 7
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return _memo(spark, ("table", path), lambda: spark.read.parquet(path))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _cust_id(col) -> F.Column:
-    return F.concat(F.lit("CUST"), F.lpad(col.cast("string"), 5, "0"))
+    return F.concat(F.lit("CUST"), zero_padded(col, 5))
 
 
 def txn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions from ``events`` with country / segment from ``customer`` and ``nation``."""
-    return _memo(spark, ("txn", sf_dir), lambda: txn_from_events(table(spark, sf_dir, "events"), spark, sf_dir))
+    return txn_from_events(table(spark, sf_dir, "events"), spark, sf_dir)
 
 
 def txn_from_events(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transaction columns over an events table or stream (stream-static join for demographics)."""
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    customers = max(1, cust.count())  # answered from the file footers
     ttype = F.lit(None).cast("string")
     for src, dst in EVENT_TO_TXN_TYPE.items():
         ttype = F.when(F.col("event_type") == src, F.lit(dst)).otherwise(ttype)
@@ -57,7 +47,7 @@ def txn_from_events(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
         ev.join(cust, ev.user_id == cust.c_custkey, "left")
         .join(nat, F.col("c_nationkey") == nat.n_nationkey, "left")
         .select(
-            F.concat(F.lit("TXN"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("transaction_id"),
+            F.concat(F.lit("TXN"), zero_padded(F.col("event_id"), 9)).alias("transaction_id"),
             _cust_id(F.col("user_id")).alias("customer_id"),
             F.concat(F.lit("ACC_"), _cust_id(F.col("user_id"))).alias("account_id"),
             F.col("ts").cast("timestamp").alias("timestamp"),
@@ -68,7 +58,7 @@ def txn_from_events(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
                          (F.pmod(F.col("event_id"), F.lit(len(CHANNELS))) + 1).cast("int")).alias("channel"),
             F.when(F.col("event_type") == "purchase",
                    F.concat(F.lit("ACC_"), _cust_id(F.pmod(F.col("event_id") * COUNTERPARTY_MULT + COUNTERPARTY_ADD,
-                                                            F.lit(COUNTERPARTY_MOD))))).alias("counterparty_id"),
+                                                            F.lit(customers))))).alias("counterparty_id"),
             F.col("n_name").alias("country"),
             F.col("c_mktsegment").alias("customer_segment"),
         )
@@ -77,10 +67,6 @@ def txn_from_events(ev: DataFrame, spark: SparkSession, sf_dir: str) -> DataFram
 
 def orders_txn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Larger relational stand-in: orders as deposits (FIXTURES.md B3); has (customer, time) ties."""
-    return _memo(spark, ("orders_txn", sf_dir), lambda: _orders_txn(spark, sf_dir))
-
-
-def _orders_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -88,7 +74,7 @@ def _orders_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
         o.join(cust, o.o_custkey == cust.c_custkey, "left")
         .join(nat, F.col("c_nationkey") == nat.n_nationkey, "left")
         .select(
-            F.concat(F.lit("ORD"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("transaction_id"),
+            F.concat(F.lit("ORD"), zero_padded(F.col("o_orderkey"), 9)).alias("transaction_id"),
             _cust_id(F.col("o_custkey")).alias("customer_id"),
             F.concat(F.lit("ACC_"), _cust_id(F.col("o_custkey"))).alias("account_id"),
             F.col("o_orderdate").cast("timestamp").alias("timestamp"),
@@ -105,10 +91,6 @@ def _orders_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyst verdicts from ``labels``: quality 1 -> True Positive, 0 -> False Positive."""
-    return _memo(spark, ("feedback", sf_dir), lambda: _feedback(spark, sf_dir))
-
-
-def _feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels")
     return lab.select(
         F.lit("2024-02-01T00:00:00").alias("timestamp"),

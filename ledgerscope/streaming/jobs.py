@@ -7,9 +7,12 @@ and the file sinks are exactly-once through their checkpoints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,16 +83,16 @@ ALERT_SCHEMA = T.StructType([
     T.StructField("window_count", T.LongType()), T.StructField("transaction_id", T.StringType())])
 STATE_SCHEMA = T.StructType([T.StructField("times", T.ArrayType(T.LongType())),
                              T.StructField("ids", T.ArrayType(T.StringType())),
-                             T.StructField("last_alert", T.LongType())])
+                             T.StructField("last_alert", T.LongType()), T.StructField("judged", T.LongType())])
 
 
 def structuring_state(txn: DataFrame, params: Params = DEFAULT_PARAMS, delay: str = "1 day") -> DataFrame:
-    """Keyed state per customer: just-under times of the last window; alert when the count reaches the minimum.
+    """Keyed state per customer: an alert when the just-under rows of ``(t - w, t]`` reach the minimum.
 
-    State keeps only times inside the window behind the newest event (bounded
-    by the window length) and times out with the watermark. An alert is emitted
-    for an event whose window ``(t - w, t]`` holds at least ``min_count``
-    just-under rows, unless an alert was already emitted inside that window.
+    An event is judged once, when the watermark has passed it: all rows up to its time are then known, so the alerts
+    do not depend on how the rows are spread over micro-batches. An alert is emitted for an event whose window holds
+    at least ``min_count`` just-under rows, unless an alert was already emitted inside that window. State holds the
+    rows after the watermark (they wait) and those up to one window before it; it is removed when neither is left.
     """
     p = params
     w_us = p.structuring_window_days * 86_400_000_000
@@ -98,38 +101,37 @@ def structuring_state(txn: DataFrame, params: Params = DEFAULT_PARAMS, delay: st
           .withWatermark("timestamp", delay))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times, ids, last_alert = [], [], None
+        times, ids, last_alert, judged = [], [], None, None
         if state.exists:
-            s = state.get
-            times, ids, last_alert = list(s[0]), list(s[1]), s[2]
+            times, ids, last_alert, judged = (list(x) if isinstance(x, (list, tuple, np.ndarray)) else x for x in state.get)
         for pdf in batches:
-            ts = (pd.to_datetime(pdf["timestamp"]).astype("int64") // 1000).tolist()
-            times += ts
+            times += (pdf["timestamp"].to_numpy("datetime64[us]").astype("int64")).tolist()
             ids += pdf["transaction_id"].tolist()
         order = sorted(range(len(times)), key=lambda i: (times[i], ids[i]))
-        times = [times[i] for i in order]
-        ids = [ids[i] for i in order]
-        out = []
-        lo = 0
+        times, ids = [times[i] for i in order], [ids[i] for i in order]
+        mark = state.getCurrentWatermarkMs() * 1000
+        out, lo = [], 0
         for i, t in enumerate(times):
+            if t > mark:
+                break
+            if judged is not None and t <= judged:
+                continue
             while times[lo] <= t - w_us:
                 lo += 1
-            cnt = i - lo + 1
-            # peers with the same time count as inside the frame
-            j = i + 1
-            while j < len(times) and times[j] == t:
-                j += 1
-            cnt = j - lo
-            if cnt >= p.structuring_min_count and (last_alert is None or last_alert <= t - w_us):
+            count = bisect_right(times, t) - lo  # peers of the same time are inside the frame
+            if count >= p.structuring_min_count and (last_alert is None or last_alert <= t - w_us):
                 last_alert = t
-                out.append((key[0], pd.Timestamp(t * 1000, unit="ns"), cnt, ids[i]))
-        keep = [k for k, t in enumerate(times) if t > times[-1] - w_us] if times else []
-        state.update(([times[k] for k in keep], [ids[k] for k in keep], last_alert))
-        if times:
-            state.setTimeoutTimestamp(int(times[-1] // 1000) + int(w_us // 1000))
+                out.append((key[0], pd.Timestamp(t, unit="us"), count, ids[i]))
+        judged = max(mark, judged or 0)
+        keep = [k for k, t in enumerate(times) if t > judged - w_us]
+        if keep:
+            state.update(([times[k] for k in keep], [ids[k] for k in keep], last_alert, judged))
+            waiting = [times[k] for k in keep if times[k] > judged]
+            # woken when the next waiting row is passed, or else when the last row has left the window
+            wake = (waiting[0] if waiting else times[keep[-1]] + w_us) // 1000 + 1
+            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         if out:
             yield pd.DataFrame(out, columns=["customer_id", "alert_time", "window_count", "transaction_id"])
 
@@ -159,29 +161,38 @@ def run_available_now(df: DataFrame, out_path: str, checkpoint: str, fmt: str =
         raise q.exception()
 
 
+def deliver(chunks: list[DataFrame], folder: str, run: Callable[[], None]) -> None:
+    """Appends each chunk of rows (any number of files) to a stream's folder and processes it before the next."""
+    for chunk in chunks:
+        chunk.write.mode("append").parquet(folder)
+        run()
+
+
 def route_late_rows(stream: DataFrame, ts_col: str, delay_us: int, out_dir: str, checkpoint: str) -> None:
     """Split each micro-batch into on-time and late rows (older than the watermark) and store both.
 
     The watermark of batch k is the largest event time of batches before k
     minus the delay, as in Spark's own operators. Each batch is written to its
-    own ``batch=<id>`` folder with overwrite, so a replayed batch is idempotent;
-    the running maximum is one scalar per batch and is recovered from the
-    written output on restart.
+    own ``rows/batch=<id>`` folder with overwrite, then its largest time to ``times/batch=<id>``; the watermark
+    is read from the times of earlier batches only, so a batch that is replayed after a crash is judged as before.
     """
-    import os
-
     spark = stream.sparkSession
-    state = {"max": None}
-    if os.path.exists(out_dir) and any(n.startswith("batch=") for n in os.listdir(out_dir)):
-        state["max"] = spark.read.parquet(out_dir).agg(F.max(F.unix_micros(ts_col))).first()[0]
+
+    def latest_before(batch_id: int) -> int | None:
+        try:
+            times = spark.read.schema("t long, batch long").parquet(f"{out_dir}/times")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None  # no batch has been written yet
+        return times.where(F.col("batch") < batch_id).agg(F.max("t")).first()[0]  # one scalar
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        wm = state["max"] - delay_us if state["max"] is not None else None
-        late = (F.unix_micros(F.col(ts_col)) < F.lit(wm)) if wm is not None else F.lit(False)
-        batch.withColumn("late", late).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
-        m = batch.agg(F.max(F.unix_micros(ts_col))).first()[0]  # one scalar
-        if m is not None:
-            state["max"] = m if state["max"] is None else max(state["max"], m)
+        latest = latest_before(batch_id)
+        late = F.lit(False) if latest is None else F.unix_micros(F.col(ts_col)) < F.lit(latest - delay_us)
+        batch.withColumn("late", F.coalesce(late, F.lit(False))).write.mode("overwrite").parquet(f"{out_dir}/rows/batch={batch_id}")
+        written = spark.read.schema(batch.schema).parquet(f"{out_dir}/rows/batch={batch_id}")
+        (written.agg(F.max(F.unix_micros(ts_col)).alias("t")).write.mode("overwrite").parquet(f"{out_dir}/times/batch={batch_id}"))
 
     q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
