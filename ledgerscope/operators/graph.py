@@ -108,10 +108,10 @@ def enumerate_chains(edges: DataFrame, max_hops: int = 4, materialize: bool = Tr
     for _ in range(3, max_hops + 1):
         step = chains.withColumn("_last", F.element_at("nodes", -1)).join(ends, "_last", "left")
         free = F.filter("receivers", lambda r: ~F.array_contains(F.col("nodes"), r["dst"]))
-        following = F.when(F.size(free) > 0, free[0])
+        step = step.withColumn("_next", F.when(F.size(free) > 0, free[0]))
         # a chain that has ended has no free receiver, then or later
-        chains = step.select(F.when(following.isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array(following["dst"]))).alias("nodes"),
-                             F.when(following.isNull(), F.col("txns")).otherwise(F.concat("txns", F.array(following["txn_id"]))).alias("txns"))
+        chains = step.select(F.when(F.col("_next").isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array("_next.dst"))).alias("nodes"),
+                             F.when(F.col("_next").isNull(), F.col("txns")).otherwise(F.concat("txns", F.array("_next.txn_id"))).alias("txns"))
     return chains.select(F.col("nodes")[0].alias("originator"), F.element_at("nodes", -1).alias("target"),
                          F.size("txns").alias("hops"), F.array_join("nodes", "->").alias("chain"), F.array_join("txns", ",").alias("txn_ids"))
 

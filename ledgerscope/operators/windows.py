@@ -58,7 +58,8 @@ def slice_copies(df: DataFrame, keys: Sequence[str], ts_col: str, longest_us: in
     copies = int(math.ceil(longest_us / slice_us))
     keep = set(keys) | set(read_cols) | {ts_col} | ({tiebreak} if tiebreak else set())
     base = with_slices(df, ts_col, slice_us)
-    exploded = base.withColumn(SHIFT_COL, F.explode(F.sequence(F.lit(0), F.lit(copies))))
+    exploded = base.withColumn(SHIFT_COL, F.explode(
+        F.when(F.col(T_COL).isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(copies)))))  # no time, no later slice
     # Context copies keep only what the frames read; other columns become null
     # so the shuffle carries narrow rows for them.
     narrowed = exploded.select(
@@ -192,8 +193,9 @@ def prefix_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str,
     aggs = []
     for (name, length, _), v in zip(measures, vcols):
         j = lengths.index(length)
-        aggs.append((F.max(F.when(F.col("_j") == -1, F.col(v))) - F.max(F.when(F.col("_j") == j, F.col(v))))
-                    .alias(name))
+        # rows without a time are peers of each other, and nothing lies before their frame
+        start = F.when(F.col("_t0").isNull(), F.lit(0)).otherwise(F.max(F.when(F.col("_j") == j, F.col(v))))
+        aggs.append((F.max(F.when(F.col("_j") == -1, F.col(v))) - start).alias(name))
     if prev_time:
         aggs.append(F.max(F.when(F.col("_j") == -1, F.col("_prev"))).alias(prev_time))
     return value_at.groupBy(*keys, F.col("_t0").alias(T_COL), F.col("_id").alias(id_col)).agg(*aggs)

@@ -189,10 +189,10 @@ def route_late_rows(stream: DataFrame, ts_col: str, delay_us: int, out_dir: str,
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         latest = latest_before(batch_id)
-        late = F.lit(False) if latest is None else F.unix_micros(F.col(ts_col)) < F.lit(latest - delay_us)
+        late = F.lit(False) if latest is None else F.unix_micros(F.col(ts_col).cast("timestamp")) < F.lit(latest - delay_us)
         batch.withColumn("late", F.coalesce(late, F.lit(False))).write.mode("overwrite").parquet(f"{out_dir}/rows/batch={batch_id}")
         written = spark.read.schema(batch.schema).parquet(f"{out_dir}/rows/batch={batch_id}")
-        (written.agg(F.max(F.unix_micros(ts_col)).alias("t")).write.mode("overwrite").parquet(f"{out_dir}/times/batch={batch_id}"))
+        (written.agg(F.max(F.unix_micros(F.col(ts_col).cast("timestamp"))).alias("t")).write.mode("overwrite").parquet(f"{out_dir}/times/batch={batch_id}"))
 
     q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

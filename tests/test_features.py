@@ -72,6 +72,10 @@ def test_ties_ordered_matches_index_rolling(spark):
     r = rolling_features(make_txn(spark, rows), 7, ties="ordered")
     got = [x.rolling_count for x in r.orderBy("transaction_id").collect()]
     assert got == [1, 1, 2, 3, 1]  # the pandas index-rolling result for d1, d8, d8, d8, d15
+    rows = [("o1", "C1", day(1), 1), ("o2", "C1", day(1), 2), ("o3", "C1", day(1), 4)]
+    for strategy in ("slices", "prefix"):
+        r = rolling_features(make_txn(spark, rows), 7, Params(rolling_strategy=strategy), ties="ordered").orderBy("transaction_id").collect()
+        assert [x.rolling_sum for x in r] == [1, 3, 7] and [x.rolling_avg for x in r] == [1, 1.5, 7 / 3]
 
 
 def test_daily_count(spark):
@@ -98,17 +102,52 @@ def test_prefix_strategy_matches_brute_force_for_a_dense_hot_customer(spark):
         rows.append((f"p{i:04d}", cid, day(rnd.randrange(75), rnd.randrange(4) * 6), rnd.randrange(1, 20000)))
     txn = make_txn(spark, rows)
     check(compute_features(txn, Params(rolling_strategy="prefix", time_slice_days=0.25)), rows)
-    # auto switches to prefix differences when a (customer, 30-day slice) is denser than the limit
-    from ledgerscope.operators.features import choose_rolling_strategy
-    strategy, slice_us = choose_rolling_strategy(txn, 30 * 86_400_000_000, Params(max_rows_per_slice=20))
-    assert strategy == "prefix" and slice_us < 30 * 86_400_000_000
-    check(compute_features(txn, Params(max_rows_per_slice=20)), rows)
-    feats = compute_features(txn, Params(max_rows_per_slice=20), structuring_count=True)
+    feats = compute_features(txn, Params(rolling_strategy="prefix"), structuring_count=True)
     base = compute_features(txn, Params(rolling_strategy="slices"), structuring_count=True)
     assert sorted(feats.select("transaction_id", "structuring_window_count").collect()) == \
         sorted(base.select("transaction_id", "structuring_window_count").collect())
 
 
+def nulls_txn(spark):
+    """Null ids, amounts, times and customers among ordinary rows."""
+    from ledgerscope.schemas import TXN
+    from pyspark.sql import types as T
+    from decimal import Decimal
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in TXN.fields])
+    rnd = random.Random(5)
+    rows = []
+    for i in range(160):
+        rows.append((None if i % 9 == 0 else f"n{i:03d}", None if i % 31 == 0 else f"C{i % 4}", "A",
+                     None if i % 17 == 0 else day(rnd.randrange(50), rnd.randrange(3) * 8), None if i % 5 == 0 else Decimal(rnd.randrange(1, 20000)),
+                     "USD", "deposit", "branch", None, None, None))
+    rows += [("z1", "EMPTY", "A", day(1), None, "USD", "deposit", "branch", None, None, None)]
+    return spark.createDataFrame(rows, schema)
+
+
+def test_nulls_give_the_same_values_under_both_strategies(spark):
+    txn = nulls_txn(spark)
+    one = compute_features(txn, Params(rolling_strategy="slices"), structuring_count=True)
+    for slice_days in (None, 0.5):
+        two = compute_features(txn, Params(rolling_strategy="prefix", time_slice_days=slice_days), structuring_count=True)
+        cols = [c for c in one.columns if c != "velocity_hours_since_last_txn"]  # rows tied on time and null id have no order
+        rounded = lambda d: sorted((repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in d.select(*cols).collect()))
+        assert rounded(one) == rounded(two)
+    assert one.count() == txn.count() and one.where("rolling_30d_sum is null or rolling_7d_count < 1").count() == 0
+    a, b = (sorted(map(repr, rolling_features(txn, 7, Params(rolling_strategy=s)).select("transaction_id", "rolling_count", "rolling_sum").collect()))
+            for s in ("slices", "prefix"))
+    assert a == b and len(a) == txn.count()
+
+
+def test_zscore_of_null_amounts_agrees_with_customer_stats(spark):
+    from ledgerscope.operators.features import customer_amount_stats
+    txn = nulls_txn(spark).where("customer_id is not null")
+    stats = {r.customer_id: r for r in customer_amount_stats(txn).collect()}
+    for r in compute_features(txn).collect():
+        if r.amount is not None:
+            s = stats[r.customer_id]
+            assert abs(r.amount_zscore_vs_customer_avg - (float(r.amount) - s.amount_mean) / (s.amount_std + 1e-6)) < 1e-9
+
+
 def test_rolling_features_and_bursts_same_under_both_strategies(spark):
     from ledgerscope.operators.features import burst_24h
     rnd = random.Random(4)
@@ -116,8 +155,8 @@ def test_rolling_features_and_bursts_same_under_both_strategies(spark):
             for i in range(200)]
     txn = make_txn(spark, rows)
     a = rolling_features(txn, 7, Params(rolling_strategy="slices"))
-    b = rolling_features(txn, 7, Params(max_rows_per_slice=10))
+    b = rolling_features(txn, 7, Params(rolling_strategy="prefix"))
     cols = ["transaction_id", "rolling_count", "rolling_sum", "rolling_avg"]
     assert sorted(a.select(*cols).collect()) == sorted(b.select(*cols).collect())
     assert sorted(burst_24h(txn, 4, Params(rolling_strategy="slices")).collect()) == \
-        sorted(burst_24h(txn, 4, Params(max_rows_per_slice=10)).collect())
+        sorted(burst_24h(txn, 4, Params(rolling_strategy="prefix")).collect())

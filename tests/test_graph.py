@@ -2,7 +2,7 @@
 
 import random
 
-from ledgerscope.operators.graph import build_transfer_graph, detect_cycles, detect_layering, enumerate_chains
+from ledgerscope.operators.graph import build_transfer_graph, detect_cycles, detect_layering, enumerate_chains, hop_summary
 from tests.conftest import day, make_txn
 
 
@@ -40,13 +40,54 @@ def test_layering_and_chains_match_brute_force(spark):
     edges = sorted(edges)
     e = edge_df(spark, edges)
     p = paths(edges)
-    got = {tuple(r.chain.split("->")) for r in enumerate_chains(e).collect()}
-    assert got == p
+    chains = {r.originator: r for r in enumerate_chains(e).collect()}
     lay = {r.customer_id: r.chain for r in detect_layering(e).collect()}
     starters = {x[0] for x in p}
     assert set(lay) == starters
     for a, chain in lay.items():
-        assert chain == "->".join(min(x for x in p if x[0] == a and len(x) == 3))
+        least = min(x for x in p if x[0] == a and len(x) == 3)
+        assert chain == "->".join(least)
+        while len(least) < 5:  # each further hop goes to the least receiver off the chain
+            free = [d for s, d in edges if s == least[-1] and d not in least]
+            if not free:
+                break
+            least += (min(free),)
+        got = chains.pop(a)
+        assert got.chain == "->".join(least) and got.hops == len(least) - 1 and got.target == least[-1]
+        assert got.txn_ids == ",".join(x + y for x, y in zip(least, least[1:]))
+    assert not chains
+    for r in hop_summary(e).collect():
+        assert r.two_hop_paths == sum(x[0] == r.customer_id and len(x) == 3 for x in p)
+        assert r.receivers == sum(s == r.customer_id for s, _ in edges)
+
+
+def brute_cycles(edges):
+    """Least cycle of three or four members per anchor (member of highest degree, then id)."""
+    adj, degree = {}, {}
+    for s, d in edges:
+        adj.setdefault(s, []).append(d)
+        for n in (s, d):
+            degree[n] = degree.get(n, 0) + 1
+    rank = lambda n: (degree[n], n)
+    best = {}
+
+    def go(path):
+        for n in adj.get(path[-1], []):
+            if n == path[0] and len(path) >= 3:
+                best[path[0]] = min(best.get(path[0], (9,)), (len(path), *path))
+            elif n not in path and len(path) < 4 and rank(n) < rank(path[0]):
+                go(path + [n])
+    for s in list(adj):
+        go([s])
+    return {(v[1], v[0], "->".join(v[1:]) + "->" + v[1]) for v in best.values()}
+
+
+def test_cycles_match_brute_force(spark):
+    rnd = random.Random(8)
+    for nodes, m in ((12, 40), (30, 90), (9, 60)):
+        edges = sorted({tuple(rnd.sample([f"N{i:02d}" for i in range(nodes)], 2)) for _ in range(m)})
+        got = {(r.cycle_start, r.length, r.cycle) for r in detect_cycles(edge_df(spark, edges)).collect()}
+        assert got == brute_cycles(edges)
 
 
 def test_two_cycle_not_flagged_three_cycle_once(spark):
@@ -54,7 +95,7 @@ def test_two_cycle_not_flagged_three_cycle_once(spark):
     lay = {r.customer_id for r in detect_layering(e).collect()}
     assert lay == {"C", "D", "E"}  # A->B->A is not simple
     cyc = [(r.cycle_start, r.cycle, r.length) for r in detect_cycles(e).collect()]
-    assert cyc == [("C", "C->D->E->C", 3)]
+    assert cyc == [("E", "E->C->D->E", 3)]  # equal degrees: the largest id is the anchor
 
 
 def test_graph_from_transactions_keeps_latest_parallel_edge_and_drops_self(spark):

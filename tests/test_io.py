@@ -1,5 +1,6 @@
 """Sources, sinks and input checks."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.quality import quarantine_txn, validate_txn
@@ -30,7 +31,8 @@ def test_bank_adapter_positions_and_fallbacks(spark):
     assert [r.transaction_id for r in a] == ["IBM0000000", "IBM0000001"]
     assert a[1].customer_id == "03208_8000F4580"  # leading zero kept, duplicate header read by position
     assert a[1].counterparty_id == "001_8000F5340"
-    assert float(a[1].amount) == 0.01 and a[1].transaction_type == "cheque" and a[1].is_laundering_ground_truth == 1
+    assert a[1].amount is None  # the paid column is read; what is missing there is quarantined, not replaced
+    assert float(a[0].amount) == 3697.34 and a[1].transaction_type == "cheque" and a[1].is_laundering_ground_truth == 1
     assert a[0].country is None and str(a[0].timestamp) == "2022-09-01 00:20:00"
 
 
@@ -69,20 +71,78 @@ def test_checkpoint_dir_read_from_session_or_created_when_unset(spark, tmp_path,
     from ledgerscope import session as S
     assert S.checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
-    class Conf:
+    class Unset:
+        def __init__(self, master):
+            self.master = master
+
         def get(self, k, default=None):
-            return None
+            return self.master if k == "spark.master" else default
+
+    class Context:
+        path = None
+
+        def getCheckpointDir(self):
+            return self.path
 
-        def set(self, k, v):
-            raise RuntimeError("core conf is read-only")
+        def setCheckpointDir(self, path):
+            self.path = path
 
-    class Stub:
-        conf = Conf()
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext = Unset(master), Context()
 
     monkeypatch.setenv("LEDGERSCOPE_SCRATCH", str(tmp_path))
-    stub = Stub()
-    d = S.checkpoint_dir(stub)
-    assert d.startswith(str(tmp_path)) and S.checkpoint_dir(stub) == d
+    local = Session("local[4]")
+    d = S.checkpoint_dir(local)
+    assert d.startswith(str(tmp_path)) and S.checkpoint_dir(local) == d
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            S.checkpoint_dir(Session(master))
+
+
+def test_scratch_is_removed_through_hadoop(spark, monkeypatch):
+    import os
+    from ledgerscope import session as S
+    monkeypatch.setattr(S, "_WRITTEN", [])
+    path = S.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.exists(path)
+    S.clear_scratch(spark)
+    assert not os.path.exists(path) and S._WRITTEN == []
+
+
+def test_ids_are_never_cut(spark):
+    from ledgerscope.functions.exprs import zero_padded
+    rows = spark.createDataFrame([(7,), (9_999_999,), (10_000_000,), (123_456_789,)], "n long")
+    got = [r.s for r in rows.select(zero_padded(F.col("n"), 7).alias("s")).collect()]
+    assert got == ["0000007", "9999999", "10000000", "123456789"]
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").limit(2).withColumn("user_id", F.lit(100000).cast("long") + F.monotonically_increasing_id())
+    from ledgerscope.sources.tables import txn_from_events
+    assert {r.customer_id for r in txn_from_events(ev, spark, SF_SMALL).collect()} == {"CUST100000", "CUST100001"}
+
+
+def test_split_valid_keeps_every_row_once(spark):
+    from ledgerscope.operators.quality import split_valid
+    from tests.test_features import nulls_txn
+    txn = nulls_txn(spark)
+    clean, bad = split_valid(txn)
+    assert clean.count() + bad.count() == txn.count() and bad.count() > 0
+    assert clean.where("transaction_id is null or customer_id is null or timestamp is null or amount is null").count() == 0
+
+
+def test_csv_tree_reads_all_files(spark):
+    from ledgerscope.schemas import TXN_TEXT
+    root = io.scratch_path(spark, "t-tree")
+    t = txn_view(spark, SF_SMALL)
+    io.write_txn_csv(t.repartition(3), f"{root}/a/x")
+    io.write_txn_csv(t.limit(5), f"{root}/b")
+    assert io.read_csv_tree(spark, root, TXN_TEXT).count() == t.count() + 5
+
+
+def test_reports_of_equal_name_stay_apart(spark):
+    p = io.scratch_path(spark, "t-reports")
+    io.write_reports(spark.createDataFrame([("r1", "one"), ("r1", "two"), ("r2", "a\nb")], "report_name string, content string"), p)
+    assert sorted(map(tuple, io.read_reports(spark, p).collect())) == [("r1", "one"), ("r1", "two"), ("r2", "a\nb")]
 
 
 def test_broadcast_needs_a_plan_bound(spark):

@@ -35,8 +35,10 @@ def test_forest_flags_planted_outlier_and_is_partition_invariant(spark):
     assert s.min() == 0.0 and s.max() == 1.0
 
 
-def test_forest_needs_five_customers(spark):
-    assert detect_anomaly(_customers(spark, 3, outlier=False)).count() == 0
+def test_few_customers_are_marked_not_dropped(spark):
+    few = detect_anomaly(_customers(spark, 3)).collect()
+    assert [r.customer_id for r in few] == ["OUT"] and not few[0].enough_customers
+    assert detect_anomaly(_customers(spark)).where("enough_customers").count() >= 1
 
 
 def test_tune_threshold_branches(spark):
@@ -72,6 +74,8 @@ def test_query_tagging(spark):
     t = r["Tell me about transaction trends"]
     assert (t.intent_type, t.requires_full_eda, t.requires_ml_detection) == ("broad_exploration", True, True)
     assert r["What's the weather today?"].intent_type == "out_of_domain"
+    long = tag_queries(spark.createDataFrame([("customer 1234567?",), ("customer 12, customer id: 77001",)], "text STRING")).collect()
+    assert [x.entity_id for x in long] == [None, "CUST77001"]  # an id is never cut to six digits
     c = r["CUST4521 transactions"]
     assert (c.intent_type, c.min_transaction_count) == ("aggregation_query", 4521)  # kept order effect
     kept = {x.text for x in filter_in_domain(q).collect()}

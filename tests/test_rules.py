@@ -69,16 +69,17 @@ def test_verifier_repairs_and_fact_checks(spark):
          ("C3", 95.0, "Critical", "report", "x", "invented $123.45")],
         "customer_id STRING, risk_score DOUBLE, risk_level STRING, recommended_action STRING, "
         "pattern_matched STRING, explanation STRING")
-    ev = spark.createDataFrame([("C1", "t1"), ("C1", "t2"), ("C3", "t1")], "customer_id STRING, transaction_id STRING")
-    v = {r.customer_id: r for r in verify_results(flagged, ev, txn).collect()}
+    ev = spark.createDataFrame([("C1", "t1"), ("C1", "t2"), ("C3", "t1")], "customer_id STRING, transaction_id STRING").join(
+        txn.select("transaction_id", "amount"), "transaction_id")
+    v = {r.customer_id: r for r in verify_results(flagged, ev).collect()}
     assert (v["C1"].risk_level, v["C1"].recommended_action, v["C1"].level_ok, v["C1"].amounts_ok) == \
         ("High", "report", False, True)
     assert (v["C2"].recommended_action, v["C2"].amounts_ok) == ("monitor", True)  # no evidence: not checked
     assert v["C3"].amounts_ok is False
-    again = verify_results(verify_results(flagged, ev, txn).select(*flagged.columns), ev, txn)
+    again = verify_results(verify_results(flagged, ev).select(*flagged.columns), ev)
     assert {r.customer_id: (r.risk_level, r.recommended_action) for r in again.collect()} == \
         {k: (x.risk_level, x.recommended_action) for k, x in v.items()}  # idempotent
-    assert verification_status(verify_results(flagged, ev, txn)).first().status == "Needs Review"
+    assert verification_status(verify_results(flagged, ev)).first().status == "Needs Review"
 
 
 def test_bias_audit_threshold(spark):
@@ -96,7 +97,7 @@ def test_structuring_prefix_strategy_equals_slices(spark):
     rows += [(f"c{i}", "C2", day(i * 2), 9500) for i in range(6)]
     txn = make_txn(spark, rows)
     a = sorted(detect_structuring(txn, Params(rolling_strategy="slices")).collect())
-    b = sorted(detect_structuring(txn, Params(max_rows_per_slice=5)).collect())
+    b = sorted(detect_structuring(txn, Params(rolling_strategy="prefix")).collect())
     assert a == b and [r.customer_id for r in a] == ["HOT"] and a[0].max_window_count == 15
 
 
