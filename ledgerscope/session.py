@@ -92,17 +92,17 @@ def clear_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def cut_lineage(df):
+def cut_lineage(df, compression: str | None = None):
     """Materialise a table in the shared checkpoint folder and read it back (survives executor loss).
 
     Used for an intermediate table that several branches of one plan read:
     otherwise column pruning gives every branch its own, different copy of the
     upstream work and none of it is shared. This is an action: the table is
-    written while the caller's plan is being built.
+    written while the caller's plan is being built. ``compression``: a Parquet codec (the session's unless given).
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
     # A written table: computed once (checkpoint() would evaluate the plan twice
     # unless persisted), columnar, and readable after any executor is lost.
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
