@@ -66,15 +66,17 @@ class Index:
     questions: list = field(default_factory=list)
     answers: list = field(default_factory=list)
     postings: dict = field(default_factory=dict)
-    #: words of which a retrieved item must have one: without them its score stays below the threshold
-    essential: frozenset = frozenset()
+    #: Word -> (item number, impact) of the items' heaviest words. An item's other words weigh half the threshold at
+    #: most, so a passage that retrieves it has heavy words of at least ``needed`` weight.
+    heavy: dict = field(default_factory=dict)
+    needed: list = field(default_factory=list)
     longest: int = 0
     threshold: float = THRESHOLD
 
 
 def build_index(items: list[tuple[int, str]], frequency: dict[str, int], n_items: int, mean_length: float,
                 threshold: float = THRESHOLD) -> Index:
-    index, postings, essential = Index(threshold=threshold), defaultdict(list), set()
+    index, postings, heavy = Index(threshold=threshold), defaultdict(list), defaultdict(list)
     for item_id, text in items:
         words = words_in(text)
         if not words:
@@ -91,21 +93,30 @@ def build_index(items: list[tuple[int, str]], frequency: dict[str, int], n_items
         whole = sum(impact.values())
         for w, x in impact.items():
             postings[w].append((number, x / whole))
-        # Smallest set of the heaviest (of equal weight the longest) words without which the rest is below the threshold.
-        rest = 1.0
+        rest = 1.0  # weight of the words that are not counted as heavy
         for w, x in sorted(impact.items(), key=lambda p: (-p[1], -len(p[0]), p[0])):
-            if rest < threshold - 1e-9:
+            if rest <= threshold / 2:
                 break
-            essential.add(w)
+            heavy[w].append((number, x / whole))
             rest -= x / whole
+        index.needed.append(threshold - rest - 1e-9)
     for w, pairs in postings.items():
         numbers, impacts = [p[0] for p in pairs], [p[1] for p in pairs]
         blocks = [(numbers[min(i + BLOCK, len(numbers)) - 1], max(impacts[i:i + BLOCK])) for i in range(0, len(numbers), BLOCK)]
         index.postings[w] = (numbers, impacts, [b[0] for b in blocks], [b[1] for b in blocks], max(impacts))
-    index.essential = frozenset(essential)
+    index.heavy = dict(heavy)
     return index
 
 
+def may_retrieve(index: Index, words: set[str]) -> bool:
+    """Whether the heavy words of a passage reach what some item needs; without that no item reaches the threshold."""
+    sums: dict[int, float] = {}
+    for w in words:
+        for number, x in index.heavy[w]:
+            sums[number] = sums.get(number, 0.0) + x
+    return any(x >= index.needed[number] for number, x in sums.items())
+
+
 def search(index: Index, query: set[str]) -> list[tuple[int, float]]:
     """All (item number, score) at or above the threshold for a bag of words, by block-max WAND."""
     floor = index.threshold - 1e-9
@@ -162,13 +173,18 @@ def leaks_in(index: Index, text: str | None, overlap: float = OVERLAP) -> list[t
     words = words_in(text)
     if not words or not index.ids:
         return []
-    essential = index.essential
-    at = [i for i, w in enumerate(words) if w in essential]
-    if not at:
-        return []
-    step, best = index.longest, {}
-    # passages [k * step, k * step + 2 * step) that hold an essential word
-    for k in sorted({k for i in at for k in (i // step - 1, i // step) if k >= 0}):
+    heavy, step = index.heavy, index.longest
+    found: dict[int, set[str]] = defaultdict(set)  # heavy words of each passage
+    for i, w in enumerate(words):
+        if w in heavy:
+            k = i // step
+            found[k].add(w)
+            if k:
+                found[k - 1].add(w)
+    best = {}
+    for k in sorted(found):
+        if not may_retrieve(index, found[k]):
+            continue
         passage = words[k * step:(k + 2) * step]
         for number, score in search(index, set(passage)):
             def held(part: list[str]) -> float:
