@@ -1,8 +1,9 @@
 """A small causal self-attention model over subword slots, in numpy: scoring, gradients and local training.
 
 Slots: the most frequent subword ids have a slot of their own, all others share the last one, within which their
-corpus frequencies decide. Slots form clusters, and a token's probability is that of its cluster times that of the
-slot within the cluster, so that a token costs two short softmaxes instead of one over the vocabulary.
+corpus frequencies decide. The ``DIRECT`` most frequent slots stand in the first softmax themselves; the others form
+groups that stand there as one entry each, and a second softmax chooses within the group. So a token costs one or
+two short softmaxes instead of one over the vocabulary.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ import numpy as np
 
 WIDTH = 16
 WINDOW = 32
-STRIDE = 24
-CLUSTERS = 64
-SIZE = 64
-SLOTS = CLUSTERS * SIZE
-#: Tokens whose windows are scored at once.
-TOKENS_AT_ONCE = 16_000
+STRIDE = 26
+DIRECT = 40
+GROUPS = 24
+SIZE = 96
+SLOTS = DIRECT + GROUPS * SIZE
+#: Windows attended to at once, and rows of logits made at once: small enough for the cache.
+WINDOWS_AT_ONCE = 80
+ROWS_AT_ONCE = 2048
 
 
 @dataclass
@@ -44,15 +47,21 @@ def vocabulary_of(counts: np.ndarray) -> Vocabulary:
     return Vocabulary(slot_of, inside, np.bincount(slot_of, weights=counts, minlength=SLOTS))
 
 
+def _entries(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entry of the first softmax and place in the group (of no meaning for direct slots)."""
+    group, place = np.divmod(y - DIRECT, SIZE)
+    return np.where(y < DIRECT, y, DIRECT + group), place
+
+
 def initial_weights(vocabulary: Vocabulary, seed: int = 11) -> dict[str, np.ndarray]:
     """Starts as the unigram model of the corpus."""
     rng = np.random.default_rng(seed)
     n = lambda *shape, s: rng.normal(0, s, shape).astype(np.float32)
-    counts = vocabulary.counts.reshape(CLUSTERS, SIZE)
-    cluster = np.log((counts.sum(1) + 1) / (counts.sum() + CLUSTERS))
+    counts = vocabulary.counts[DIRECT:].reshape(GROUPS, SIZE)
+    first = np.concatenate([vocabulary.counts[:DIRECT], counts.sum(1)])
     inner = np.log((counts + 0.5) / (counts + 0.5).sum(1, keepdims=True))
-    return {"ein": n(SLOTS, WIDTH, s=0.3), "eout": n(SLOTS, WIDTH, s=0.1), "bout": inner.reshape(-1).astype(np.float32),
-            "ecl": n(CLUSTERS, WIDTH, s=0.1), "bcl": cluster.astype(np.float32),
+    return {"ein": n(SLOTS, WIDTH, s=0.3), "eout": n(GROUPS * SIZE, WIDTH, s=0.1), "bout": inner.reshape(-1).astype(np.float32),
+            "ecl": n(DIRECT + GROUPS, WIDTH, s=0.1), "bcl": np.log((first + 1) / (first + 1).sum()).astype(np.float32),
             "wq": n(WIDTH, WIDTH, s=0.25), "wk": n(WIDTH, WIDTH, s=0.25), "wv": n(WIDTH, WIDTH, s=0.25), "wo": n(WIDTH, WIDTH, s=0.25),
             "rel": (-0.1 * np.arange(WINDOW)).astype(np.float32)}
 
@@ -111,11 +120,13 @@ def _log_softmax_(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _by_cluster(y: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    cluster = y // SIZE
-    order = np.argsort(cluster, kind="stable")
-    edges = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-    return [(c, order[a:b]) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+def _by_group(entry: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Rows of each group that has some; direct slots are in none."""
+    rows = np.flatnonzero(entry >= DIRECT)
+    group = entry[rows] - DIRECT
+    rows = rows[np.argsort(group, kind="stable")]
+    edges = np.cumsum(np.bincount(group, minlength=GROUPS))
+    return [(g, rows[a:b]) for g, (a, b) in enumerate(zip(np.concatenate([[0], edges[:-1]]), edges)) if b > a]
 
 
 def _log_prob_of(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -126,11 +137,24 @@ def _log_prob_of(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def log_probs(w: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Natural-log probability of each slot ``y`` after the state ``h``."""
-    out = _log_prob_of(h @ w["ecl"].T + w["bcl"], y // SIZE)
-    eout, bout = w["eout"].reshape(CLUSTERS, SIZE, WIDTH), w["bout"].reshape(CLUSTERS, SIZE)
-    for c, at in _by_cluster(y):
-        out[at] += _log_prob_of(h[at] @ eout[c].T + bout[c], y[at] % SIZE)
+    """Natural-log probability of each slot ``y`` after the state ``h``.
+
+    Logits are made ``ROWS_AT_ONCE`` rows at a time, which keeps them in the cache; the bias is a last row of the weights.
+    """
+    out = np.empty(len(y), np.float32)
+    wide = np.ones((len(y), WIDTH + 1), h.dtype)
+    wide[:, :WIDTH] = h
+    head = np.concatenate([w["ecl"].T, w["bcl"][None]])
+    entry, inner = _entries(y)
+    for i in range(0, len(y), ROWS_AT_ONCE):
+        part = slice(i, i + ROWS_AT_ONCE)
+        out[part] = _log_prob_of(wide[part] @ head, entry[part])
+    eout, bout = w["eout"].reshape(GROUPS, SIZE, WIDTH), w["bout"].reshape(GROUPS, SIZE)
+    for c, at in _by_group(entry):
+        weights = np.concatenate([eout[c].T, bout[c][None]])
+        for i in range(0, len(at), ROWS_AT_ONCE):
+            rows = at[i:i + ROWS_AT_ONCE]
+            out[rows] += _log_prob_of(wide[rows] @ weights, inner[rows])
     return out
 
 
@@ -153,19 +177,20 @@ def score_tokens(w: dict[str, np.ndarray], slots: np.ndarray, lengths: np.ndarra
     inputs[1:] = slots[:-1]
     inputs[first] = start_slot
     text, start, is_first = windows_of(lengths)
-    out = np.zeros(len(slots), np.float32)
-    step = max(1, TOKENS_AT_ONCE // WINDOW)
-    for i in range(0, len(text), step):
-        t, s = text[i:i + step], start[i:i + step]
+    state, where, filled = np.empty((len(slots), WIDTH), np.float32), np.empty(len(slots), np.int64), 0
+    for i in range(0, len(text), WINDOWS_AT_ONCE):
+        t, s = text[i:i + WINDOWS_AT_ONCE], start[i:i + WINDOWS_AT_ONCE]
         place = s[:, None] + np.arange(WINDOW)
         inside = place < lengths[t][:, None]
         width = int(inside.sum(1).max())
         place, inside = place[:, :width], inside[:, :width]
         at = first[t][:, None] + np.minimum(place, lengths[t][:, None] - 1)
-        scored = inside & (is_first[i:i + step, None] | (np.arange(width) >= WINDOW - STRIDE))
+        scored = inside & (is_first[i:i + WINDOWS_AT_ONCE, None] | (np.arange(width) >= WINDOW - STRIDE))
         h = states(w, inputs[at])[scored]
-        where = at[scored]
-        out[where] = log_probs(w, h, slots[where].astype(np.int64))
+        state[filled:filled + len(h)], where[filled:filled + len(h)] = h, at[scored]
+        filled += len(h)
+    out = np.zeros(len(slots), np.float32)
+    out[where[:filled]] = log_probs(w, state[:filled], slots[where[:filled]].astype(np.int64))
     return out
 
 
@@ -176,20 +201,21 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, valid: np.
     n = len(target)
     g = {name: np.zeros_like(p) for name, p in w.items()}
     rows = np.arange(n)
+    entry, place = _entries(target)
     lp = _log_softmax_(h @ w["ecl"].T + w["bcl"])
-    loss = -lp[rows, target // SIZE].sum()
+    loss = -lp[rows, entry].sum()
     d = np.exp(lp)
-    d[rows, target // SIZE] -= 1
+    d[rows, entry] -= 1
     d /= n
     g["ecl"], g["bcl"] = d.T @ h, d.sum(0)
     dh = d @ w["ecl"]
-    for c, at in _by_cluster(target):
+    for c, at in _by_group(entry):
         part = slice(c * SIZE, (c + 1) * SIZE)
         lp = _log_softmax_(h[at] @ w["eout"][part].T + w["bout"][part])
         mine = np.arange(len(at))
-        loss -= lp[mine, target[at] % SIZE].sum()
+        loss -= lp[mine, place[at]].sum()
         d = np.exp(lp)
-        d[mine, target[at] % SIZE] -= 1
+        d[mine, place[at]] -= 1
         d /= n
         g["eout"][part], g["bout"][part] = d.T @ h[at], d.sum(0)
         dh[at] += d @ w["eout"][part]

@@ -16,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write to the shared checkpoint folder and read back: cuts lineage, survives lost executors."""
-    return cut_lineage(df)
+    return cut_lineage(df, compression)
 
 
 def text_or_empty(col: str) -> Column:

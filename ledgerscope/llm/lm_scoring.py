@@ -6,8 +6,9 @@ number grows with the square root of the corpus (one of sqrt(words / ``UNIT_WORD
 takes another slice of their windows, every task trains a copy of the weights on its part, and the copies are
 averaged by Spark, piece by piece.
 
-Scoring. Texts are cut into blocks of ``BLOCK_BYTES``. A block's distinct words are joined to the corpus counts,
-and the block meets its own small dictionary in a cogroup: nothing that grows with the corpus is broadcast. Overlapping
+Scoring. Texts are cut into blocks of ``BLOCK_BYTES``. A block's distinct words are joined to the corpus counts and
+subword ids (each distinct word of the corpus is tokenised once), and the block meets its own small dictionary in a
+cogroup: nothing that grows with the corpus is broadcast. Overlapping
 context windows score each subword once in batches. The score of a text is the log probability under a mixture,
 word by word, of the attention model and the word frequencies, with a uniform prior over the mixture weight of
 each text. White space is not modelled. An unknown word has the frequencies' unknown share times its attention
@@ -17,6 +18,7 @@ probability.
 from __future__ import annotations
 
 import binascii
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +33,7 @@ from ledgerscope.llm import attention as A
 from ledgerscope.llm.common import materialise, text_or_empty, words_of
 from ledgerscope.llm.subwords import SubwordEncoder
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 28 << 20
 #: Words of training text up to which every text gives windows to train on; see the module's first lines.
 UNIT_WORDS = 500_000
 #: Learning rate of each round.
@@ -39,7 +41,7 @@ RATES = (0.02, 0.014, 0.007, 0.002)
 TOKENS_A_TASK = 1_000_000
 BATCH_WINDOWS = 48
 #: Mixture weights of the attention model.
-WEIGHTS = (0.0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0)
+WEIGHTS = (0.0, 0.15, 0.4, 0.7, 1.0)
 _PIECE = 8192
 
 
@@ -90,23 +92,45 @@ def _texts_of(words: list[bytes]) -> list[str]:
     return [w.decode("utf-8", "replace") for w in words]
 
 
-def _subword_counts(tokenizer: str):
+def _subwords(tokenizer: str):
+    """(word, c, ids): the ids of each distinct word in as few bytes as fit; the end of a text has the id after the last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = SubwordEncoder.of(tokenizer)
-        total = np.zeros(encoder.size + 1)
         for b in batches:
-            words, counts = b.column(0).to_pylist(), b.column(1).to_numpy()
-            ids = encoder.encode(_texts_of(words), group=20_000)
-            encoder.memo_of.clear()
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.concatenate([np.frombuffer(x, np.uint32) for x in ids if len(x)] or [np.zeros(0, np.uint32)])
-            total += np.bincount(flat, weights=np.repeat(counts, lengths), minlength=len(total))
-            total[-1] += sum(c for w, c in zip(words, counts.tolist()) if not w)
+            words = b.column(0).to_pylist()
+            ids = encoder.encode_words(_texts_of(words))
+            encoder.memo_of.clear()  # the words are distinct: what was learnt is not met again
+            kind = _id_type(encoder.size)
+            end = np.array([encoder.size], kind).tobytes()
+            flat = np.fromiter(itertools.chain.from_iterable(ids), kind).tobytes()
+            stops = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * kind.itemsize
+            data = [flat[i:j] if w else end for w, i, j in zip(words, [0, *stops[:-1].tolist()], stops.tolist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary())], names=["word", "c", "ids"])
+    return run
+
+
+def _subword_counts(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            flat, lengths = _flat_ids(b.column(1), size - 1)
+            total += np.bincount(flat, weights=np.repeat(b.column(0).to_numpy(), lengths), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some].astype(np.int64))], names=["id", "n"])
     return run
 
 
+def _id_type(end: int) -> np.dtype:
+    return np.dtype("<u2" if end < 1 << 16 else "<u4")
+
+
+def _flat_ids(column, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a column of binaries end to end, and how many each row has (``end``: the largest id)."""
+    data, kind = column.to_pylist(), _id_type(end)
+    return np.frombuffer(b"".join(data), kind), np.fromiter(map(len, data), np.int64, len(data)) // kind.itemsize
+
+
 def _windows(tokenizer: str, vocabulary: A.Vocabulary):
     """(round, window): start slot and up to ``WINDOW`` slots of a training text, as 16-bit integers."""
 
@@ -171,7 +195,7 @@ def train_attention(texts: DataFrame, vocabulary: A.Vocabulary, tokenizer: str,
     weights = A.initial_weights(vocabulary)
     for r, rate in enumerate(RATES):
         part = windows.where(F.col("round") == r).select("window", F.xxhash64("window").alias("h"))
-        part = part.repartition(tasks, "h").sortWithinPartitions("h").select("window")  # an order without runs of one text
+        part = part.repartition(tasks).sortWithinPartitions("h").select("window")  # an order without runs of one text
         rows = (part.mapInArrow(_local_training(weights, rate), "piece int, tokens long, values binary")
                 .groupBy("piece").applyInArrow(_average, "piece int, values binary").orderBy("piece").collect())
         if rows:
@@ -179,22 +203,15 @@ def train_attention(texts: DataFrame, vocabulary: A.Vocabulary, tokenizer: str,
     return weights
 
 
-def _score_block(weights: dict[str, np.ndarray], vocabulary: A.Vocabulary, tokenizer: str, denominator: float):
+def _score_block(weights: dict[str, np.ndarray], vocabulary: A.Vocabulary, denominator: float):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        encoder = SubwordEncoder.of(tokenizer)
-        count_of = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist()))
-        known_words = list(count_of)
-        number = {w: i for i, w in enumerate(known_words)}
-        counts = np.fromiter(count_of.values(), np.int64, len(count_of))
-        ids = encoder.encode(_texts_of(known_words), group=20_000)
-        encoder.memo_of.clear()
-        ids[number[b""]].append(encoder.size)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        number = {w: i for i, w in enumerate(words.column("word").to_pylist())}  # of equal rows the last serves
+        counts = words.column("c").to_numpy()
+        flat, lengths = _flat_ids(words.column("ids"), len(vocabulary.slot_of) - 1)
         starts = np.cumsum(lengths) - lengths
-        flat = np.concatenate([np.frombuffer(x, np.uint32) for x in ids if len(x)])
         slots, inside = vocabulary.slot_of[flat], vocabulary.inside[flat]
         base10, base = np.log10((counts + 1) / denominator), np.log((counts + 1) / denominator)
-        end_slot = int(vocabulary.slot_of[encoder.size])
+        end_slot = int(vocabulary.slot_of[-1])
         doc_ids, column = texts.column("doc_id").to_pylist(), texts.column("text")
         out: list[tuple] = []
 
@@ -223,7 +240,7 @@ def _score_block(weights: dict[str, np.ndarray], vocabulary: A.Vocabulary, token
             own.append(b"")
             group.append(np.fromiter(map(get, own), np.int64, len(own)))
             held += len(own)
-            if held > 100_000:
+            if held > 30_000:
                 score(group)
                 group, held = [], 0
         if group:
@@ -245,20 +262,21 @@ def score_texts(docs: DataFrame, training: Column, tokenizer: str, id_col: str =
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"),
                        text_or_empty(f"`{text_col}`").alias("text"))
-    blocks = materialise(rows.mapInArrow(_blocks, "block long, doc_id long, train boolean, text string"))
+    blocks = materialise(rows.mapInArrow(_blocks, "block long, doc_id long, train boolean, text string"), compression="zstd")
     words = materialise(blocks.select("block", "train", "text").mapInArrow(_block_words, "block long, word binary, n long"))
     counts = materialise(words.groupBy("word").agg(F.sum("n").alias("c")))
     total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     denominator = float(total.n + 1 * (total.v + 1))
     frequency = np.zeros(SubwordEncoder.of(tokenizer).size + 1)
-    for r in (counts.where("c > 0").mapInArrow(_subword_counts(tokenizer), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-              .limit(len(frequency)).collect()):
+    encoded = materialise(counts.mapInArrow(_subwords(tokenizer), "word binary, c long, ids binary"))
+    for r in (encoded.where("c > 0").select("c", "ids").mapInArrow(_subword_counts(len(frequency)), "id long, n long")
+              .groupBy("id").agg(F.sum("n").alias("n")).limit(len(frequency)).collect()):
         frequency[r.id] = r.n
     vocabulary = A.vocabulary_of(frequency)
     share = max(1, math.ceil(math.sqrt(total.n / UNIT_WORDS)))
     weights = train_attention(blocks.where("train"), vocabulary, tokenizer, share)
-    dictionary = words.select("block", "word").join(counts, "word").select("block", "word", "c")
+    dictionary = words.select("block", "word").join(encoded, "word").select("block", "word", "c", "ids")
     scored = (blocks.select("block", "doc_id", "text").groupBy("block").cogroup(dictionary.groupBy("block"))
-              .applyInArrow(_score_block(weights, vocabulary, tokenizer, denominator),
+              .applyInArrow(_score_block(weights, vocabulary, denominator),
                             "doc_id long, n_tokens long, n_known long, base_score double, score double, attention_score double"))
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(int(total.n)).cast("long").alias("train_tokens"), "base_score", "score", "attention_score")

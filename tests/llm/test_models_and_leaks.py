@@ -197,5 +197,10 @@ def test_subwords_equal_plain_encoding():
     texts += ["<|endoftext|> a<|startoftext|>b", "it's we'll '' 's", "__##__'s", ""]
     plain = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [list(x) for x in encoder.encode(texts)] == plain
+    words = sorted({w.decode("utf-8", "surrogatepass") for t in texts for w in lm_scoring.words_of(t)} | {"", "<|endoftext|>", "a\xa0b"})
+    alone = [x.ids for x in encoder.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert [list(x) for x in encoder.encode_words(words)] == alone
+    latin = [w for w in words if w.isascii() and "<|" not in w]
+    assert [list(x) for x in encoder.encode_words(latin)] == [a for w, a in zip(words, alone) if w in set(latin)]
     small = SubwordEncoder(tokenizer_path(), memo=50)
     assert [list(x) for x in small.encode(texts[:500], group=8)] == plain[:500]
