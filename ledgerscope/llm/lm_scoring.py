@@ -263,12 +263,12 @@ def score_texts(docs: DataFrame, training: Column, tokenizer: str, id_col: str =
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"),
                        text_or_empty(f"`{text_col}`").alias("text"))
     blocks = materialise(rows.mapInArrow(_blocks, "block long, doc_id long, train boolean, text string"), compression="zstd")
-    words = materialise(blocks.select("block", "train", "text").mapInArrow(_block_words, "block long, word binary, n long"))
-    counts = materialise(words.groupBy("word").agg(F.sum("n").alias("c")))
+    words = materialise(blocks.select("block", "train", "text").mapInArrow(_block_words, "block long, word binary, n long"), compression="zstd")
+    counts = materialise(words.groupBy("word").agg(F.sum("n").alias("c")), compression="zstd")
     total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     denominator = float(total.n + 1 * (total.v + 1))
     frequency = np.zeros(SubwordEncoder.of(tokenizer).size + 1)
-    encoded = materialise(counts.mapInArrow(_subwords(tokenizer), "word binary, c long, ids binary"))
+    encoded = materialise(counts.mapInArrow(_subwords(tokenizer), "word binary, c long, ids binary"), compression="zstd")
     for r in (encoded.where("c > 0").select("c", "ids").mapInArrow(_subword_counts(len(frequency)), "id long, n long")
               .groupBy("id").agg(F.sum("n").alias("n")).limit(len(frequency)).collect()):
         frequency[r.id] = r.n
