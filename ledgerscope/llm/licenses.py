@@ -25,7 +25,8 @@ SPELLINGS = [
 #: Lines that only say whose copyright it is, or reserve rights, after an optional comment mark.
 COPYRIGHT_LINE = r"(^|\n)[ \t\r]*[#*/;.-]*[ \t]*(copyright|\(c\)|©|portions copyright)[ \t]+[^\n]*"
 _GAPS = r"[\p{P}\p{S}\x00-\x20]+"
-#: Every known text has one of these words; a unit without any is not hashed.
+#: Words of whole licences and of many notices. Only OP5_SQL still filters by them: notices such as "released under the GPLv3"
+#: have none, so ``scan_licenses`` looks up every unit.
 KEYWORDS = r"licen[cs]|permission|redistribut|public domain|rights reserved|warrant"
 
 _NO_WARRANTY = ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
@@ -127,9 +128,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     none. Null ids stay null; repeated rows give repeated rows; other columns are not read. ``known`` is
     (digest, license_id); digests made elsewhere must use ``canonical``.
     """
-    known = known_digests(docs.sparkSession) if known is None else known
-    has = lambda c: c.rlike("(?i)" + KEYWORDS)
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where(has(F.col("text")))
+    known = F.broadcast(known_digests(docs.sparkSession)) if known is None else known
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     unit = lambda scope, p, n, t: F.struct(
         F.lit(scope).alias("scope"), p.cast("int").alias("paragraph"), n.cast("int").alias("line"), t.alias("unit"))
     paragraphs = texts.select("doc_id", "text", F.split("text", r"\n[ \t\r]*\n").alias("parts"))
@@ -140,6 +140,6 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
         F.array(unit("text", zero, zero, F.col("text"))),
         F.when(F.size("parts") > 1, F.transform("parts", lambda p, i: unit("paragraph", i, zero, p))).otherwise(
             F.array().cast("array<struct<scope:string,paragraph:int,line:int,unit:string>>")),
-        F.flatten(F.transform("parts", lines_of)))).alias("u")).select("doc_id", "u.*").where(has(F.col("unit")))
+        F.flatten(F.transform("parts", lines_of)))).alias("u")).select("doc_id", "u.*").where("unit <> ''")
     return (units.select("doc_id", "scope", "paragraph", "line", digest(F.col("unit")).alias("digest"))
             .join(known, "digest").select("doc_id", "scope", "paragraph", "line", "license_id", "digest"))

@@ -59,6 +59,20 @@ def test_license_odd_input(odd_docs, clashing, no_docs):
     assert all(re.search(licenses.KEYWORDS, t, re.I) for _, t in licenses.known_texts() if "under" not in t)
 
 
+def test_license_scan_finds_every_known_text(docs_of):
+    known = licenses.known_texts()
+    assert any(not re.search(licenses.KEYWORDS, t, re.I) for _, t in known)
+    rows = [(i, t) for i, (_, t) in enumerate(known)]
+    rows += [(len(known) + i, "first line\n" + t + "\nlast line") for i, (_, t) in enumerate(known) if "\n" not in t]
+    found = {(x.doc_id, x.scope) for x in licenses.scan_licenses(docs_of(rows)).collect()}
+    assert all((i, "text" if i < len(known) else "line") in found for i, _ in rows)
+
+
+def test_license_scan_takes_digests_of_any_text(spark, docs_of):
+    known = licenses.known_digests(spark, [("Own", "Free as in beer.")])
+    assert [x.license_id for x in licenses.scan_licenses(docs_of([(1, "a\n\nfree as in BEER\n\nb")]), known).collect()] == ["Own"]
+
+
 def brute_secrets(text):
     text, out = text or "", []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
