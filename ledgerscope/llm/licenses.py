@@ -2,7 +2,11 @@
 
 A text is brought to a canonical form (case, copyright lines, equivalent spellings, punctuation and white space),
 and the SHA-256 of the form is looked up among the digests of known licences by an equi-join. Looked up are whole
-texts, their paragraphs and their lines, each entire. DataFrame functions only.
+texts, their paragraphs and their lines, each entire, and every run of neighbouring lines, across paragraphs too, that
+begins with the first word of a known text and has the length of one. DataFrame functions only.
+
+The canonical form is taken once a line: no replacement goes beyond a line, so that of several lines is theirs
+joined by blanks.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.bounded import attach_global
 from ledgerscope.llm.common import ascii_lower
 
 #: Equivalent spellings, left to right.
@@ -109,37 +114,83 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, _GAPS, " "))
 
 
+def _sha(form: Column) -> Column:
+    return F.sha2(form.cast("binary"), 256)
+
+
 def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+    return _sha(canonical(text))
+
+
+def bare_names() -> list[tuple[str, str]]:
+    """(licence id, text): a licence's name alone, as in a title line."""
+    return [(name_id, f"{the}{name}") for name_id, names in NAMES for name in names for the in ("", "The ")]
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license_id), one row a digest (of equal canonical texts the smallest id)."""
-    rows = known_texts() if texts is None else texts
-    return (spark.createDataFrame(rows, "license_id string, text string")
-            .groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id")))
+    """(digest, license_id, head, length), one row a digest (of equal canonical texts the smallest id).
+
+    ``head`` and ``length``: first word and number of characters of the canonical text.
+    """
+    rows = known_texts() + bare_names() if texts is None else texts
+    form = spark.createDataFrame(rows, "license_id string, text string").select("license_id", canonical(F.col("text")).alias("form"))
+    return (form.groupBy(_sha(F.col("form")).alias("digest")).agg(
+        F.min("license_id").alias("license_id"), F.min(F.substring_index("form", " ", 1)).alias("head"), F.min(F.length("form")).alias("length")))
+
+
+def _runs(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, scope, paragraph, line, digest) of the runs of two lines or more that may be known texts.
+
+    ``lines``: doc_id, lines (array of the lines whose canonical form is not empty). Left out are runs that are a
+    whole text or a whole paragraph. Each line that begins with a known head gives a window of the longest known
+    length, whatever follows; known lengths of the head that end at a line's end in it are runs.
+    """
+    sizes = known.where("length > 0").select("head", "length").distinct()
+    heads = sizes.agg(F.array_join(F.transform(F.array_sort(F.collect_set("head")), lambda h: F.concat(F.lit(r"\Q"), h, F.lit(r"\E"))), "|").alias("any_head"),
+                      F.coalesce(F.max("length"), F.lit(0)).cast("string").alias("most"))
+    first = F.concat(F.lit("^(?:"), F.col("any_head"), F.lit(")(?![^ \n])"))
+    window = F.concat(F.lit("(?m)^(?=((?:"), F.col("any_head"), F.lit(")(?![^ \n])[^\\x00]{0,"), F.col("most"), F.lit("}))"))
+    starts = (attach_global(lines.where(F.size("lines") > 1), heads).where("any_head <> ''")
+              .withColumn("whole", F.array_join(F.transform("lines", lambda x: x["form"]), "\n"))
+              .withColumn("at", F.filter("lines", lambda x: F.regexp_like(x["form"], first))).where(F.size("at") > 0)
+              .select("doc_id", F.length("whole").alias("size"), F.explode(F.arrays_zip(
+                  "at", F.regexp_extract_all("whole", window, F.lit(1)).alias("window"))).alias("s"))
+              .select("doc_id", "size", "s.at.*", "s.window").withColumn("head", F.regexp_extract("window", "^[^ \n]+", 0)))
+    cut = starts.join(F.broadcast(sizes), "head").where((F.length("window") >= F.col("length")) & (F.col("length") < F.col("size")))
+    cut = cut.where(F.expr("substring(window, length + 1, 1) in ('', '\n')")).withColumn("unit", F.expr("substring(window, 1, length)"))
+    n = F.size(F.split("unit", "\n"))
+    return (cut.where((n > 1) & ~((F.col("place") == 0) & (n == F.col("of"))))
+            .select("doc_id", F.lit("run").alias("scope"), "paragraph", "line", _sha(F.translate("unit", "\n", " ")).alias("digest")))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per entire unit that is a known licence: doc_id, scope, paragraph, line, license_id, digest.
 
     Units: the whole text (scope 'text'; paragraph and line 0), each paragraph (parts between blank lines) of a text
-    that has several, and each line of a paragraph that has several; places count from 0. Null and empty texts have
-    none. Null ids stay null; repeated rows give repeated rows; other columns are not read. ``known`` is
-    (digest, license_id); digests made elsewhere must use ``canonical``.
+    that has several, each line of a paragraph that has several, and each run of neighbouring lines that is no such
+    unit (scope 'run'; paragraph and line of its first line; blank and copyright lines inside do not count); places
+    count from 0. Null and empty texts have none. Null ids stay null; repeated rows give repeated rows; other columns
+    are not read. ``known`` is (digest, license_id), and head and length as ``known_digests`` gives them, without which
+    no runs are looked up; digests made elsewhere must use ``canonical``.
     """
     known = F.broadcast(known_digests(docs.sparkSession)) if known is None else known
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    unit = lambda scope, p, n, t: F.struct(
-        F.lit(scope).alias("scope"), p.cast("int").alias("paragraph"), n.cast("int").alias("line"), t.alias("unit"))
-    paragraphs = texts.select("doc_id", "text", F.split("text", r"\n[ \t\r]*\n").alias("parts"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text <> ''")
+    unit = lambda scope, p, n, form: F.struct(
+        F.lit(scope).alias("scope"), p.cast("int").alias("paragraph"), n.cast("int").alias("line"), form.alias("form"))
+    filled = lambda forms: F.filter(forms, lambda x: x != "")
+    joined = lambda forms: F.array_join(filled(forms), " ")
+    none = F.array().cast("array<struct<scope:string,paragraph:int,line:int,form:string>>")
+    forms = texts.select("doc_id", F.transform(F.split("text", r"\n[ \t\r]*\n"), lambda p: F.transform(F.split(p, "\n"), canonical)).alias("parts"))
     zero = F.lit(0)
-    lines_of = lambda p, i: F.when(F.instr(p, "\n") > 0, F.transform(
-        F.split(p, "\n"), lambda t, j: unit("line", i, j, t))).otherwise(F.array().cast("array<struct<scope:string,paragraph:int,line:int,unit:string>>"))
-    units = paragraphs.select("doc_id", F.explode(F.concat(
-        F.array(unit("text", zero, zero, F.col("text"))),
-        F.when(F.size("parts") > 1, F.transform("parts", lambda p, i: unit("paragraph", i, zero, p))).otherwise(
-            F.array().cast("array<struct<scope:string,paragraph:int,line:int,unit:string>>")),
-        F.flatten(F.transform("parts", lines_of)))).alias("u")).select("doc_id", "u.*").where("unit <> ''")
-    return (units.select("doc_id", "scope", "paragraph", "line", digest(F.col("unit")).alias("digest"))
-            .join(known, "digest").select("doc_id", "scope", "paragraph", "line", "license_id", "digest"))
+    units = forms.select("doc_id", F.explode(F.concat(
+        F.array(unit("text", zero, zero, joined(F.flatten("parts")))),
+        F.when(F.size("parts") > 1, F.transform("parts", lambda p, i: unit("paragraph", i, zero, joined(p)))).otherwise(none),
+        F.flatten(F.transform("parts", lambda p, i: F.when(F.size(p) > 1, F.transform(p, lambda x, j: unit("line", i, j, x))).otherwise(none)))
+    )).alias("u")).select("doc_id", "u.*").where("form <> ''").select("doc_id", "scope", "paragraph", "line", _sha(F.col("form")).alias("digest"))
+    if {"head", "length"} <= set(known.columns):
+        numbered = lambda p: F.filter(F.transform(p, lambda x, j: F.struct(j.alias("line"), x.alias("form"))), lambda x: x["form"] != "")
+        lines = forms.select("doc_id", F.flatten(F.transform("parts", lambda p, i: F.transform(numbered(p), lambda x, k: F.struct(
+            i.cast("int").alias("paragraph"), x["line"].cast("int").alias("line"), x["form"].alias("form"), k.alias("place"),
+            F.size(filled(p)).alias("of"))))).alias("lines"))
+        units = units.unionByName(_runs(lines, known))
+    return units.join(known.select("digest", "license_id"), "digest").select("doc_id", "scope", "paragraph", "line", "license_id", "digest")

@@ -4,6 +4,7 @@ import collections
 import random
 import re
 import string
+import textwrap
 
 from ledgerscope.llm import licenses, line_dedup, secrets
 from tests.conftest import SF_MID
@@ -73,6 +74,22 @@ def test_license_scan_takes_digests_of_any_text(spark, docs_of):
     assert [x.license_id for x in licenses.scan_licenses(docs_of([(1, "a\n\nfree as in BEER\n\nb")]), known).collect()] == ["Own"]
 
 
+def test_license_laid_out_in_paragraphs_and_wrapped_lines(docs_of):
+    mit, bsd, apache = (dict(licenses.TEXTS)[k] for k in ("MIT", "BSD-3-Clause", "Apache-2.0"))
+    spread = lambda t: t.replace("\n", "\n\n")
+    wrapped = lambda t: "\n\n".join(textwrap.fill(p, 70) for p in t.split("\n"))
+    comment = "\n".join("# " + x for x in textwrap.wrap(apache, 50, break_on_hyphens=False))
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + spread(mit)), (2, "intro\n\n" + wrapped(bsd) + "\n\noutro\n"),
+            (3, "The MIT License (MIT)\nCopyright 2020 X\n" + mit), (4, "# Copyright 2020 X\n#\n" + comment + "\nimport os\nprint()"),
+            (5, wrapped(mit) + "\n\nand more\n\n" + wrapped(mit)), (6, spread(mit)[:-9] + "\nother\nlines"),
+            (7, "Permission\n" * 500 + mit), (8, "this work is licensed\nunder the\n\nMIT License\nx"), (9, "é 😀\n\n" + spread(mit))]
+    got = [(x.doc_id, x.scope, x.paragraph, x.line, x.license_id) for x in licenses.scan_licenses(docs_of(rows)).collect()]
+    assert sorted(x for x in got if x[1] != "line" and x[1] != "paragraph") == [
+        (1, "run", 2, 0, "MIT"), (2, "run", 1, 0, "BSD-3-Clause"), (3, "run", 0, 2, "MIT"), (4, "run", 0, 2, "Apache-2.0"), (5, "run", 0, 0, "MIT"),
+        (5, "run", len(mit.split("\n")) + 1, 0, "MIT"), (7, "run", 0, 500, "MIT"), (8, "run", 0, 0, "MIT"), (9, "run", 1, 0, "MIT")]
+    assert (1, "paragraph", 0, 0, "MIT") in got and (3, "line", 0, 0, "MIT") in got  # title lines
+
+
 def brute_secrets(text):
     text, out = text or "", []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
