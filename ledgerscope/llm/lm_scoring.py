@@ -1,10 +1,9 @@
 """LM scoring: a causal self-attention model over subword ids, learnt from the training texts, scores every text.
 
 Learning. Word counts come from all training texts (a shuffle of per-block partial counts). Subword counts follow
-from the distinct words, since subwords never cross words. Attention weights are learnt from whole texts whose
-number grows with the square root of the corpus (one of sqrt(words / ``UNIT_WORDS``) training texts): each round
-takes another slice of their windows, every task trains a copy of the weights on its part, and the copies are
-averaged by Spark, piece by piece.
+from the distinct words, since subwords never cross words. Attention weights are learnt from all windows of all
+training texts: each round takes another slice of the windows, every task trains a copy of the weights on its part,
+and the copies are averaged by Spark, piece by piece.
 
 Scoring. Texts are cut into blocks of ``BLOCK_BYTES``. A block's distinct words are joined to the corpus counts and
 subword ids (each distinct word of the corpus is tokenised once), and the block meets its own small dictionary in a
@@ -34,8 +33,6 @@ from ledgerscope.llm.common import materialise, text_or_empty, words_of
 from ledgerscope.llm.subwords import SubwordEncoder
 
 BLOCK_BYTES = 28 << 20
-#: Words of training text up to which every text gives windows to train on; see the module's first lines.
-UNIT_WORDS = 500_000
 #: Learning rate of each round.
 RATES = (0.02, 0.014, 0.007, 0.002)
 TOKENS_A_TASK = 1_000_000
@@ -187,10 +184,9 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"piece": pa.array([table.column("piece")[0].as_py()], pa.int32()), "values": pa.array([(total / mass).astype(np.float32).tobytes()], pa.binary())})
 
 
-def train_attention(texts: DataFrame, vocabulary: A.Vocabulary, tokenizer: str, share: int) -> dict[str, np.ndarray]:
-    """Weights learnt from one of ``share`` rows of ``texts`` (doc_id, text), over all windows of their whole texts."""
-    chosen = texts.where(F.pmod(F.xxhash64("doc_id", F.lit("share")), F.lit(share)) == 0).select("doc_id", "text")
-    windows = materialise(chosen.mapInArrow(_windows(tokenizer, vocabulary), "round int, window binary"))
+def train_attention(texts: DataFrame, vocabulary: A.Vocabulary, tokenizer: str) -> dict[str, np.ndarray]:
+    """Weights learnt from all windows of ``texts`` (doc_id, text)."""
+    windows = materialise(texts.select("doc_id", "text").mapInArrow(_windows(tokenizer, vocabulary), "round int, window binary"))
     tasks = max(1, -(-windows.count() * A.WINDOW // (len(RATES) * TOKENS_A_TASK)))
     weights = A.initial_weights(vocabulary)
     for r, rate in enumerate(RATES):
@@ -273,8 +269,7 @@ def score_texts(docs: DataFrame, training: Column, tokenizer: str, id_col: str =
               .groupBy("id").agg(F.sum("n").alias("n")).limit(len(frequency)).collect()):
         frequency[r.id] = r.n
     vocabulary = A.vocabulary_of(frequency)
-    share = max(1, math.ceil(math.sqrt(total.n / UNIT_WORDS)))
-    weights = train_attention(blocks.where("train"), vocabulary, tokenizer, share)
+    weights = train_attention(blocks.where("train"), vocabulary, tokenizer)
     dictionary = words.select("block", "word").join(encoded, "word").select("block", "word", "c", "ids")
     scored = (blocks.select("block", "doc_id", "text").groupBy("block").cogroup(dictionary.groupBy("block"))
               .applyInArrow(_score_block(weights, vocabulary, denominator),

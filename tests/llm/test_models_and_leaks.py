@@ -189,6 +189,20 @@ def test_model_beats_word_frequencies_on_held_out_texts(spark):
     assert sum(x.score for x in held) > sum(x.base_score for x in held)
 
 
+def test_model_is_trained_on_every_training_text(docs_of, monkeypatch):
+    seen = []
+    text = "alpha beta gamma delta " * 500
+    rows = [(i, text) for i in range(300)]  # 600 000 words
+
+    def train(texts, vocabulary, tokenizer, *share):
+        assert share in ((), (1,))
+        seen.extend(x.doc_id for x in texts.select("doc_id").collect())
+        return A.initial_weights(vocabulary)
+    monkeypatch.setattr(lm_scoring, "train_attention", train)
+    lm_scoring.score_texts(docs_of(rows), F.lit(True), tokenizer_path())
+    assert sorted(seen) == list(range(300))
+
+
 def test_subwords_equal_plain_encoding():
     encoder = SubwordEncoder.of(tokenizer_path())
     r = random.Random(1)
