@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
-Fixed kinds (assign, access, hex) are found by regular expressions. Their matches in the scanned corpus are the
-labelled samples of random strings; the plain words of the same documents are the samples of ordinary identifiers.
-Both give counts of character pairs, hence two first-order Markov models. Every other token long enough to be a key
-is scored by the log-likelihood ratio of the two, and becomes a span of kind ``markov`` above the threshold.
+Fixed kinds (assign, access, hex) are found by regular expressions. Their matches in the scanned corpus, with
+``RANDOM_SAMPLE``, are the labelled samples of random strings; samples of ordinary identifiers are the whole runs of key
+characters of all documents that are too short to be judged (a longer one may be a key itself). Both give counts of
+character pairs, hence two first-order Markov models. Every other token long enough to be a key is scored by the
+log-likelihood ratio of the two, and becomes a span of kind ``markov`` above the threshold.
 
 DataFrame functions only. A text is cut at its matches once a pattern: the pieces between them give the places.
 Spans become rows early (one row a match), so neither many matches in one text nor many texts gather anywhere.
@@ -11,6 +12,10 @@ Spans become rows early (one row a match), so neither many matches in one text n
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,9 +28,12 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN_MIN = 6
-#: A candidate: a whole run of key characters, 16 or more, with a digit and a letter.
-TOKEN = r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
-WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][a-z]{5,}(?![A-Za-z0-9+/_=-])"
+#: A candidate: a whole run of 16 key characters or more; the ratio alone decides.
+TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+#: An ordinary sample: a whole run that is no candidate.
+SHORT = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{2,15}(?![A-Za-z0-9+/_=-])"
+#: Labelled random strings of letters and digits, the same for every corpus: base64 of SHA-256 digests of 0, 1, ..., 255.
+RANDOM_SAMPLE = [re.sub("[+/=]", "", base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode()) for i in range(256)]
 #: Natural-log likelihood ratio that a token needs, in all and per character pair.
 MIN_TOTAL, MIN_MEAN = 8.0, 0.3
 _WIDTH = 128
@@ -64,14 +72,15 @@ def _blanked(column: Column, pattern: str, passes) -> Column:
 def markov_table(samples: DataFrame) -> DataFrame:
     """One row: ``ratios``, the log-likelihood ratio of each character pair (code of the first * 128 + second).
 
-    ``samples``: (random boolean, sample string). Counts cover all samples; a pair backs off to the
+    ``samples``: (random boolean, sample string, n: how often). Counts cover all samples; a pair backs off to the
     frequency of its second character in the kind. The table is a global aggregate of 128 * 128 numbers at most, whatever the samples. Without samples
     of either kind every ratio is zero.
     """
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("sample") - 1),
                                  lambda i: (F.ascii(F.substring("sample", i, 1)) * _WIDTH + F.ascii(F.substring("sample", i + 1, 1))).cast("int")))
-    counts = (samples.where(F.length("sample") > 1).select("random", pair.alias("pair"))
-              .groupBy("pair").agg(F.sum(F.col("random").cast("long")).alias("r"), F.sum((~F.col("random")).cast("long")).alias("o")))
+    counts = (samples.where(F.length("sample") > 1).select("random", "n", pair.alias("pair"))
+              .groupBy("pair").agg(F.sum(F.when(F.col("random"), F.col("n")).otherwise(0)).alias("r"),
+                                   F.sum(F.when(F.col("random"), 0).otherwise(F.col("n"))).alias("o")))
     spark = samples.sparkSession
     grid = (spark.range(_WIDTH * _WIDTH).select(F.col("id").cast("int").alias("pair")).join(counts, "pair", "left").fillna(0, ["r", "o"])
             .withColumn("first", F.floor(F.col("pair") / _WIDTH)).withColumn("second", F.col("pair") % _WIDTH))
@@ -93,8 +102,11 @@ def log_ratio(token: Column, ratios: Column) -> Column:
         ratios, (F.ascii(F.substring(token, i, F.lit(1))) * _WIDTH + F.ascii(F.substring(token, i + 1, F.lit(1))) + 1).cast("int")))
 
 
-def secret_spans(docs: DataFrame) -> DataFrame:
-    """(key, kind, start, end, match) of all spans of ``docs`` (key, text; one row a key, text not null)."""
+def secret_spans(docs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(key, kind, start, end, match) of all spans of ``docs`` (key, text; one row a key, text not null).
+
+    ``corpus`` (text, not null): all texts, for the ordinary samples. Equal runs are counted first (a partial aggregate).
+    """
     any_fixed = F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")
     fixed_docs = docs.where(any_fixed)
     assign = _matches(fixed_docs, "assign", ASSIGN).where(F.length(_value(F.col("match"))) >= ASSIGN_MIN)
@@ -104,9 +116,12 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     rest = F.col("text")
     for pattern, passes in ((ASSIGN, lambda m: F.length(_value(m)) >= ASSIGN_MIN), (ACCESS, yes), (HEX, yes)):
         rest = _blanked(rest, pattern, passes)
-    words = fixed_docs.select(F.explode(F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))).alias("sample"))
-    table = markov_table(random.union(words.select(F.lit(False), "sample")))
-    candidates = docs.where(F.col("text").rlike(TOKEN)).select("key", F.when(any_fixed, rest).otherwise(F.col("text")).alias("text"))
+    unmatched = F.when(any_fixed, rest).otherwise(F.col("text"))
+    words = (corpus.select(F.explode(F.regexp_extract_all(unmatched, F.lit(SHORT), F.lit(0))).alias("sample"))
+             .groupBy("sample").agg(F.count(F.lit(1)).alias("n")))
+    shipped = docs.sparkSession.createDataFrame([(True, x, 1) for x in RANDOM_SAMPLE], "random boolean, sample string, n long")
+    table = markov_table(shipped.union(random.select("random", "sample", F.lit(1).cast("long"))).union(words.select(F.lit(False), "sample", "n")))
+    candidates = docs.where(F.col("text").rlike(TOKEN)).select("key", unmatched.alias("text"))
     scored = attach_global(_matches(candidates, "markov", TOKEN), table).withColumn("score", log_ratio(F.col("match"), F.col("ratios")))
     found = scored.where((F.col("score") >= MIN_TOTAL) & (F.col("score") >= MIN_MEAN * (F.length("match") - 1)))
     return base.union(found.select("key", "kind", "start", "end", "match"))
@@ -117,12 +132,12 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``spans`` is an array of (start, rank, kind, match, end) by start, then kind as listed in ``KINDS``; places are
     code points, ends exclusive; it is empty for texts without secrets, null or empty texts. Null ids stay null;
-    repeated rows are scanned once and each get the spans; other columns are not read. In a corpus without
-    any fixed match nothing is learnt and no ``markov`` span is found.
+    repeated rows are scanned once and each get the spans; other columns are not read. A corpus without
+    any run of 2 to 15 key characters has no ordinary sample, and no ``markov`` span.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_key(f"`{id_col}`", f"`{text_col}`").alias("key"), text_or_empty(f"`{text_col}`").alias("text"))
     suspects = rows.where(F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}|{TOKEN}")).select("key", "text").dropDuplicates(["key"])
-    spans = secret_spans(materialise(suspects))
+    spans = secret_spans(materialise(suspects), rows.select("text"))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     of_key = spans.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", "match"))).alias("spans"))
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,match:string>>")

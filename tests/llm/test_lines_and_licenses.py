@@ -130,6 +130,16 @@ def test_secret_model_adds_random_strings_and_leaves_identifiers(docs_of):
     assert all(k == ["assign"] for k in ([x for x, _ in got[i]] for i in range(60)))
 
 
+def test_secret_model_needs_neither_fixed_matches_nor_digits(docs_of):
+    prose = "please configure the connection_pool handler v2 before starting another background-job in 2024 or 10 services "
+    rows = [(i, prose * 4) for i in range(40)]
+    rows += [(100, "see xKqZvWbTjHfRgQmYpLdN here"), (101, "see qzxkvjwqpbzgxhfd here"), (102, "see a8Zq0Lr5Xw2Kt9Vb here"),
+             (103, "reconfigurations of connection_handler and background-services"), (104, "-" * 40)]
+    got = {x.doc_id: [(s.kind, s.match) for s in x.spans] for x in secrets.scan_secrets(docs_of(rows)).collect()}
+    assert [k for i in (100, 101, 102) for k, _ in got[i]] == ["markov"] * 3
+    assert not any(got[i] for i in [*range(40), 103, 104])
+
+
 def test_secret_query_on_given_documents(spark):
     from ledgerscope.llm.queries import QUERIES
     texts = {x.doc_id: x.text for x in spark.read.parquet(f"{SF_MID}/documents.parquet").collect()}
