@@ -177,5 +177,50 @@ def detect_cycles(edges: DataFrame, materialize: bool = True) -> DataFrame:
                        F.array_join("c.txns", ",").alias("txn_ids"))
 
 
+def cycle_members(edges: DataFrame, materialize: bool = True) -> DataFrame:
+    """One row for every customer that is in a closed cycle of three or four: its least cycle, beginning with it.
+
+    Least is the shorter length first, then the least members in order. Each cycle is closed at its member of the
+    highest (degree, id), whose wedges (as in ``detect_cycles``) meet at the member across; then each member takes the
+    least. All ways through a wedge end are kept for every member of it: for the member between the ends only the two
+    least ways on the other side can follow.
+    """
+    if materialize:
+        edges = cut_lineage(edges)
+    ends = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node")))
+    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("_deg"))
+    ranked = edges
+    for side in ("src", "dst"):
+        ranked = ranked.join(degree.select(F.col("node").alias(side), F.struct("_deg", F.col("node")).alias(f"{side}_rank")), side)
+    e = cut_lineage(ranked.select("src", "dst", "txn_id", "src_rank", "dst_rank"))
+    down, up = e.filter("dst_rank < src_rank"), e.filter("src_rank < dst_rank")
+    first = down.select(F.col("src").alias("v"), F.col("src_rank").alias("v_rank"), F.col("dst").alias("x"), F.col("txn_id").alias("t1"))
+    second = e.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("dst_rank").alias("y_rank"), F.col("txn_id").alias("t2"))
+    outs = cut_lineage(first.join(second, "x").filter("y_rank < v_rank").select("v", "y", F.struct(F.col("x").alias("m"), "t1", "t2").alias("o")))
+    last = up.select(F.col("dst").alias("v"), F.col("dst_rank").alias("v_rank"), F.col("src").alias("d"), F.col("txn_id").alias("t4"))
+    third = e.select(F.col("dst").alias("d"), F.col("src").alias("y"), F.col("src_rank").alias("y_rank"), F.col("txn_id").alias("t3"))
+    ins = cut_lineage(last.join(third, "d").filter("y_rank < v_rank").select("v", "y", F.struct(F.col("d").alias("m"), "t3", "t4").alias("i")))
+
+    def two_least(wedges: DataFrame, c: str) -> DataFrame:
+        one = wedges.groupBy("v", "y").agg(F.min(c).alias("one"))
+        two = wedges.join(one, ["v", "y"]).filter(F.col(c) > F.col("one")).groupBy("v", "y").agg(F.min(c).alias("two"))
+        return one.join(two, ["v", "y"], "left")
+
+    back = up.select(F.col("dst").alias("v"), F.col("src").alias("y"), F.col("txn_id").alias("t3"))
+    three = outs.join(back, ["v", "y"]).select(F.array("v", "o.m", "y").alias("n"), F.array("o.t1", "o.t2", "t3").alias("t"))
+    # each wedge of one side with the least wedge of the other side through another member
+    other = F.when(F.col("one.m") != F.col("own"), F.col("one")).otherwise(F.col("two"))
+    by_out = outs.withColumn("own", F.col("o.m")).join(two_least(ins, "i"), ["v", "y"]).withColumn("i", other)
+    by_in = ins.withColumn("own", F.col("i.m")).join(two_least(outs, "o"), ["v", "y"]).withColumn("o", other)
+    four = (by_out.select("v", "y", "o", "i").unionByName(by_in.select("v", "y", "o", "i")).filter("o is not null and i is not null")
+            .select(F.array("v", "o.m", "y", "i.m").alias("n"), F.array("o.t1", "o.t2", "i.t3", "i.t4").alias("t")))
+    turn = lambda c, k: F.concat(F.slice(c, k + 1, F.size(c)), F.slice(c, 1, k))
+    each = three.unionByName(four).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("n") - 1), lambda k: F.struct(
+        F.size("n").alias("length"), turn(F.col("n"), k).alias("nodes"), turn(F.col("t"), k).alias("txns")))).alias("c"))
+    best = each.groupBy(F.col("c.nodes")[0].alias("customer_id")).agg(F.min("c").alias("c"))
+    return best.select("customer_id", F.col("c.length").alias("length"), F.concat_ws("->", F.array_join("c.nodes", "->"), "customer_id").alias("cycle"),
+                       F.array_join("c.txns", ",").alias("txn_ids"))
+
+
 def distinct_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerscope.operators.graph import (build_transfer_graph, detect_cycles, detect_layering, distinct_nodes,
+from ledgerscope.operators.graph import (build_transfer_graph, cycle_members, detect_cycles, detect_layering, distinct_nodes,
                                          enumerate_chains, hop_summary)
 from ledgerscope.plans.registry import register
 from ledgerscope.plans.sqlviews import TXN_CTE, with_ctes
@@ -119,6 +119,22 @@ def q_detect_cycles(spark, sf):
     return detect_cycles(_edges(spark, sf))
 
 
+MEMBERS_SELECT = """, k AS (
+  SELECT 3 AS length, e1.src AS n0, e1.dst AS n1, e2.dst AS n2, NULL AS n3, e1.txn_id AS t1, e2.txn_id AS t2, e3.txn_id AS t3, NULL AS t4
+  FROM edges e1 JOIN edges e2 ON e1.dst = e2.src JOIN edges e3 ON e2.dst = e3.src AND e3.dst = e1.src
+  UNION ALL
+  SELECT 4, e1.src, e1.dst, e2.dst, e3.dst, e1.txn_id, e2.txn_id, e3.txn_id, e4.txn_id
+  FROM edges e1 JOIN edges e2 ON e1.dst = e2.src JOIN edges e3 ON e2.dst = e3.src JOIN edges e4 ON e3.dst = e4.src AND e4.dst = e1.src
+  WHERE e2.dst <> e1.src AND e3.dst <> e1.dst)
+SELECT n0 AS customer_id, length, concat_ws('->', n0, n1, n2, n3, n0) AS cycle, concat_ws(',', t1, t2, t3, t4) AS txn_ids
+FROM (SELECT *, row_number() OVER (PARTITION BY n0 ORDER BY length, n1, n2, n3) AS rn FROM k) WHERE rn = 1"""
+
+
+@register("cycle_members", _graph_sql(MEMBERS_SELECT))
+def q_cycle_members(spark, sf):
+    return cycle_members(_edges(spark, sf))
+
+
 _PATTERN_LAYERING_SELECT = LAYERING_SELECT.replace(
     "SELECT a AS customer_id, 'layering' AS rule_fired", ", lay AS (SELECT a AS customer_id, 'layering' AS rule_fired"
 ).rstrip() + ")"

@@ -2,7 +2,7 @@
 
 import random
 
-from ledgerscope.operators.graph import build_transfer_graph, detect_cycles, detect_layering, enumerate_chains, hop_summary
+from ledgerscope.operators.graph import build_transfer_graph, cycle_members, detect_cycles, detect_layering, enumerate_chains, hop_summary
 from tests.conftest import day, make_txn
 
 
@@ -90,6 +90,26 @@ def test_cycles_match_brute_force(spark):
         assert got == brute_cycles(edges)
 
 
+def test_every_member_of_a_cycle_has_its_least_cycle(spark):
+    rnd = random.Random(8)
+    hub = [x for i in range(100) for x in (("HUB", f"A{i:03d}"), (f"A{i:03d}", f"B{i:03d}"), (f"B{i:03d}", "HUB"))]
+    for edges in (hub, *(sorted({tuple(rnd.sample([f"N{i:02d}" for i in range(n)], 2)) for _ in range(m)}) for n, m in ((12, 40), (30, 70)))):
+        adj, best = {}, {}
+        for s, d in edges:
+            adj.setdefault(s, []).append(d)
+
+        def go(path):
+            for n in adj.get(path[-1], []):
+                if n == path[0] and len(path) >= 3:
+                    best[path[0]] = min(best.get(path[0], (9,)), (len(path), *path))
+                elif n not in path and len(path) < 4:
+                    go(path + [n])
+        for s in list(adj):
+            go([s])
+        got = {(r.customer_id, r.length, r.cycle) for r in cycle_members(edge_df(spark, edges)).collect()}
+        assert got == {(k, v[0], "->".join((*v[1:], k))) for k, v in best.items()}
+
+
 def test_two_cycle_not_flagged_three_cycle_once(spark):
     e = edge_df(spark, [("A", "B"), ("B", "A"), ("C", "D"), ("D", "E"), ("E", "C")])
     lay = {r.customer_id for r in detect_layering(e).collect()}
