@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerscope.llm import (decontamination, exact_dedup, licenses, line_dedup, lm_scoring, packing, quality, secrets, sharding,
-                             simhash)
+from ledgerscope.llm import (bpe, decontamination, exact_dedup, licenses, line_dedup, lm_scoring, packing, quality, ranked_search, runs,
+                             secrets, sharding, simhash)
 from ledgerscope.llm.common import table
 from ledgerscope.llm.subwords import tokenizer_path
 
@@ -160,3 +160,90 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_model(spark, sf_dir, docs, id_remainder(5) != 0)
     scored = quality.score_quality(docs, model)
     return scored.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+_TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS_SQL} AS terms FROM documents),
+totals AS (SELECT count(*) AS nn, sum(len(terms))::BIGINT AS ll FROM docs WHERE len(terms) > 0),
+postings AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, totals GROUP BY term, nn),
+items AS (SELECT row_number() OVER () AS qid, item_id, {_TERMS_SQL} AS terms FROM benchmark),
+asked AS (SELECT qid, item_id, term, count(*) AS q FROM (SELECT qid, item_id, unnest(terms) AS term FROM items) GROUP BY ALL),
+scores AS (SELECT qid, item_id, rid, doc_id,
+             sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nn) // ll))))::BIGINT AS score
+           FROM asked JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY qid, item_id, rid, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@register("op11_ranked_search", OP11_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of the highest score for every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where a tenth of the ids' checksums fall, the words from a place on repeat with a period (a fixed rule of the query)."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+        again = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), F.slice(again, F.lit(1), n - a)), " ")).otherwise("")
+
+    words = F.filter(F.split(F.coalesce(F.col("text"), F.lit("")), "[ \\x09-\\x0D]+"), lambda w: w != "")
+    bound = F.transform(F.array(words), planted)[0]  # a lambda's variable: the words are split once
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, bound).otherwise(F.col("text")).alias("text"))
+
+
+OP12_SQL = r"""
+WITH bits AS (SELECT list(list_reduce([b] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS t
+              FROM range(256) AS r(b)),
+hashed AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+             xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                 lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM documents, bits),
+placed AS (SELECT *, len(words) AS n, h // 10 AS g, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a FROM hashed),
+docs AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: words[1 + CASE WHEN i >= a
+             THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) ELSE words END AS words FROM placed),
+tokens AS (SELECT rid, n, unnest(words) AS w, unnest(range(n)) AS i FROM docs),
+matches AS (SELECT x.rid, x.i, x.i - y.i AS d FROM tokens x JOIN tokens y ON x.rid = y.rid AND x.w = y.w AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+islands AS (SELECT rid, d, i, i - row_number() OVER (PARTITION BY rid, d ORDER BY i) AS island FROM matches),
+stretches AS (SELECT rid, d, min(i) - d AS start, count(*) + d AS length FROM islands GROUP BY rid, d, island HAVING count(*) + d >= greatest(6, 4 * d)),
+runs AS (SELECT rid, start, length, min(d) AS period FROM stretches GROUP BY rid, start, length),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY (length // period) DESC, ((length % period)::DOUBLE / period) DESC, start, period) AS r
+         FROM runs) WHERE r = 1),
+listed AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS txt FROM runs GROUP BY rid),
+dropped AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS txt FROM tokens ANTI JOIN dropped USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+  sha256(coalesce(l.txt, '')) AS runs_sha256, sha256(coalesce(k.txt, '')) AS collapsed_sha256
+FROM docs LEFT JOIN listed l USING (rid) LEFT JOIN best b USING (rid) LEFT JOIN kept k USING (rid)
+"""
+
+
+@register("op12_periodic_runs", OP12_SQL)
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of runs, its run of the greatest exponent, and digests of all runs and of the text without repeats."""
+    found = runs.find_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    best = F.aggregate("runs", none, lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                    F.floor(F.expr("1000 * best.length div best.period")).alias("exponent_milli"),
+                    F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
+@register("op13_bpe")
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's byte-level BPE ids (number and digest) and the digest of the text decoded from them."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    encoded = bpe.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path).select("doc_id", "n_tokens", "ids")
+    decoded = bpe.decode_ids(encoded, path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
