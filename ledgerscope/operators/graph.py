@@ -1,11 +1,11 @@
 """Transfer graph: edges between customers, layering chains and closed cycles.
 
-Everything is an equi-join on edge tables, and every result has at most one
-row a customer: paths are never enumerated. A customer starts a chain of two
-transfers iff one of its receivers sends to someone other than the customer,
-which a per-node summary (two smallest receivers) decides with one join.
-``enumerate_chains`` extends that chain by the least next receiver, and
-``detect_cycles`` searches wedges below their highest-degree member.
+Everything is an equi-join on edge tables, and no result lists paths: rows are
+per customer, or per edge and hop. A customer starts a chain of two transfers
+iff one of its receivers sends to someone other than the customer, which a
+per-node summary (two smallest receivers) decides with one join.
+``least_chains`` extends that chain by the least next receiver;
+``enumerate_chains``, ``hop_summary`` and ``detect_cycles`` use ``paths``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.filters import filter_transfers
+from ledgerscope.operators.paths import chain_relation, least_cycles, path_counts
 from ledgerscope.session import cut_lineage
 
 
@@ -94,7 +95,7 @@ def smallest_receivers(edges: DataFrame, n: int) -> DataFrame:
     return few.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "txn_id"))).alias("receivers"))
 
 
-def enumerate_chains(edges: DataFrame, max_hops: int = 4, materialize: bool = True) -> DataFrame:
+def least_chains(edges: DataFrame, max_hops: int = 4, materialize: bool = True) -> DataFrame:
     """One chain per originator: its least path of two transfers, extended up to ``max_hops``.
 
     Each further hop goes to the least receiver that is not on the chain yet; a chain without one ends. A chain
@@ -116,110 +117,26 @@ def enumerate_chains(edges: DataFrame, max_hops: int = 4, materialize: bool = Tr
                          F.size("txns").alias("hops"), F.array_join("nodes", "->").alias("chain"), F.array_join("txns", ",").alias("txn_ids"))
 
 
-def hop_summary(edges: DataFrame, materialize: bool = True) -> DataFrame:
-    """Per originator: receivers, and the number of simple paths of two transfers.
+def enumerate_chains(edges: DataFrame, max_hops: int = 4) -> DataFrame:
+    """All simple paths of two to ``max_hops`` transfers, factorised: (hop, src, dst, txn_id, paths through the edge at that hop)."""
+    return chain_relation(path_counts(edges), max_hops)
 
-    A path's count needs no path: the receivers of the receivers, less the ways straight back.
-    """
-    if materialize:
-        edges = cut_lineage(edges)
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("_d")).withColumnRenamed("src", "dst")
-    back = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.lit(1).alias("_back"))
-    return (edges.select("src", "dst").join(degree, "dst", "left").join(back, ["src", "dst"], "left").groupBy("src")
-            .agg(F.count(F.lit(1)).alias("receivers"),
-                 F.sum(F.coalesce("_d", F.lit(0)) - F.coalesce("_back", F.lit(0))).alias("two_hop_paths"))
-            .withColumnRenamed("src", "customer_id"))
 
+def hop_summary(edges: DataFrame) -> DataFrame:
+    """Per originator: receivers, and the number of simple paths of two, three and four transfers that it starts."""
+    paths = {"two": "n2_1", "three": "n3_1", "four": "n4_1"}
+    return (path_counts(edges).groupBy(F.col("src").alias("customer_id"))
+            .agg(F.count(F.lit(1)).alias("receivers"), *[F.sum(c).alias(f"{n}_hop_paths") for n, c in paths.items()]))
 
-def detect_cycles(edges: DataFrame, materialize: bool = True) -> DataFrame:
-    """Closed transfer cycles of three or four customers, one row per anchor.
 
-    A cycle's anchor is its member of the highest (degree, id). Reported is the anchor's least cycle: the shorter
-    length first, then the least members in order. Only wedges anchor -> x -> y with x and y below the anchor are
-    built, so a hub is never the middle of a wedge with a smaller end (the sum over edges of the lower degree).
-    """
-    if materialize:
-        edges = cut_lineage(edges)
-    ends = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node")))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("_deg"))
-    ranked = edges
-    for side in ("src", "dst"):
-        ranked = ranked.join(degree.select(F.col("node").alias(side), F.struct("_deg", F.col("node")).alias(f"{side}_rank")), side)
-    e = cut_lineage(ranked.select("src", "dst", "txn_id", "src_rank", "dst_rank"))
-    down, up = e.filter("dst_rank < src_rank"), e.filter("src_rank < dst_rank")
-    first = down.select(F.col("src").alias("v"), F.col("src_rank").alias("v_rank"), F.col("dst").alias("x"), F.col("txn_id").alias("t1"))
-    second = e.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("dst_rank").alias("y_rank"), F.col("txn_id").alias("t2"))
-    out_wedges = cut_lineage(first.join(second, "x").filter("y_rank < v_rank").select("v", "y", F.struct("x", "t1", "t2").alias("w")))
-    last = up.select(F.col("dst").alias("v"), F.col("dst_rank").alias("v_rank"), F.col("src").alias("d"), F.col("txn_id").alias("t4"))
-    third = e.select(F.col("dst").alias("d"), F.col("src").alias("y"), F.col("src_rank").alias("y_rank"), F.col("txn_id").alias("t3"))
-    in_wedges = cut_lineage(last.join(third, "d").filter("y_rank < v_rank").select("v", "y", F.struct("d", "t3", "t4").alias("w")))
-
-    def two_least(wedges: DataFrame, name: str) -> DataFrame:
-        one = wedges.groupBy("v", "y").agg(F.min("w").alias(f"{name}1"))
-        two = wedges.join(one, ["v", "y"]).filter(F.col("w") > F.col(f"{name}1")).groupBy("v", "y").agg(F.min("w").alias(f"{name}2"))
-        return one.join(two, ["v", "y"], "left")
-
-    outs = two_least(out_wedges, "o")
-    back = up.select(F.col("dst").alias("v"), F.col("src").alias("y"), F.col("txn_id").alias("t3"))
-    three = (outs.join(back, ["v", "y"]).select("v", F.struct(
-        F.lit(3).alias("length"), F.array("v", "o1.x", "y").alias("nodes"), F.array("o1.t1", "o1.t2", "t3").alias("txns")).alias("c")))
-    both = outs.join(two_least(in_wedges, "i"), ["v", "y"])
-    same = F.col("o1.x") == F.col("i1.d")
-    pair = (F.when(~same, F.struct(F.col("o1").alias("o"), F.col("i1").alias("i")))
-            .when(F.col("i2").isNotNull(), F.struct(F.col("o1").alias("o"), F.col("i2").alias("i")))
-            .when(F.col("o2").isNotNull(), F.struct(F.col("o2").alias("o"), F.col("i1").alias("i"))))
-    four = (both.select("v", "y", pair.alias("p")).filter("p is not null").select("v", F.struct(
-        F.lit(4).alias("length"), F.array("v", "p.o.x", "y", "p.i.d").alias("nodes"),
-        F.array("p.o.t1", "p.o.t2", "p.i.t3", "p.i.t4").alias("txns")).alias("c")))
-    best = three.unionByName(four).groupBy("v").agg(F.min("c").alias("c"))
-    return best.select(F.col("v").alias("cycle_start"), F.col("c.length").alias("length"),
-                       F.concat_ws("->", F.array_join("c.nodes", "->"), F.col("v")).alias("cycle"),
-                       F.array_join("c.txns", ",").alias("txn_ids"))
-
-
-def cycle_members(edges: DataFrame, materialize: bool = True) -> DataFrame:
+def detect_cycles(edges: DataFrame) -> DataFrame:
     """One row for every customer that is in a closed cycle of three or four: its least cycle, beginning with it.
 
-    Least is the shorter length first, then the least members in order. Each cycle is closed at its member of the
-    highest (degree, id), whose wedges (as in ``detect_cycles``) meet at the member across; then each member takes the
-    least. All ways through a wedge end are kept for every member of it: for the member between the ends only the two
-    least ways on the other side can follow.
+    Least is the shorter length first, then the least members in order. See ``paths.least_cycles`` for the work.
     """
-    if materialize:
-        edges = cut_lineage(edges)
-    ends = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node")))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("_deg"))
-    ranked = edges
-    for side in ("src", "dst"):
-        ranked = ranked.join(degree.select(F.col("node").alias(side), F.struct("_deg", F.col("node")).alias(f"{side}_rank")), side)
-    e = cut_lineage(ranked.select("src", "dst", "txn_id", "src_rank", "dst_rank"))
-    down, up = e.filter("dst_rank < src_rank"), e.filter("src_rank < dst_rank")
-    first = down.select(F.col("src").alias("v"), F.col("src_rank").alias("v_rank"), F.col("dst").alias("x"), F.col("txn_id").alias("t1"))
-    second = e.select(F.col("src").alias("x"), F.col("dst").alias("y"), F.col("dst_rank").alias("y_rank"), F.col("txn_id").alias("t2"))
-    outs = cut_lineage(first.join(second, "x").filter("y_rank < v_rank").select("v", "y", F.struct(F.col("x").alias("m"), "t1", "t2").alias("o")))
-    last = up.select(F.col("dst").alias("v"), F.col("dst_rank").alias("v_rank"), F.col("src").alias("d"), F.col("txn_id").alias("t4"))
-    third = e.select(F.col("dst").alias("d"), F.col("src").alias("y"), F.col("src_rank").alias("y_rank"), F.col("txn_id").alias("t3"))
-    ins = cut_lineage(last.join(third, "d").filter("y_rank < v_rank").select("v", "y", F.struct(F.col("d").alias("m"), "t3", "t4").alias("i")))
-
-    def two_least(wedges: DataFrame, c: str) -> DataFrame:
-        one = wedges.groupBy("v", "y").agg(F.min(c).alias("one"))
-        two = wedges.join(one, ["v", "y"]).filter(F.col(c) > F.col("one")).groupBy("v", "y").agg(F.min(c).alias("two"))
-        return one.join(two, ["v", "y"], "left")
-
-    back = up.select(F.col("dst").alias("v"), F.col("src").alias("y"), F.col("txn_id").alias("t3"))
-    three = outs.join(back, ["v", "y"]).select(F.array("v", "o.m", "y").alias("n"), F.array("o.t1", "o.t2", "t3").alias("t"))
-    # each wedge of one side with the least wedge of the other side through another member
-    other = F.when(F.col("one.m") != F.col("own"), F.col("one")).otherwise(F.col("two"))
-    by_out = outs.withColumn("own", F.col("o.m")).join(two_least(ins, "i"), ["v", "y"]).withColumn("i", other)
-    by_in = ins.withColumn("own", F.col("i.m")).join(two_least(outs, "o"), ["v", "y"]).withColumn("o", other)
-    four = (by_out.select("v", "y", "o", "i").unionByName(by_in.select("v", "y", "o", "i")).filter("o is not null and i is not null")
-            .select(F.array("v", "o.m", "y", "i.m").alias("n"), F.array("o.t1", "o.t2", "i.t3", "i.t4").alias("t")))
-    turn = lambda c, k: F.concat(F.slice(c, k + 1, F.size(c)), F.slice(c, 1, k))
-    each = three.unionByName(four).select(F.explode(F.transform(F.sequence(F.lit(0), F.size("n") - 1), lambda k: F.struct(
-        F.size("n").alias("length"), turn(F.col("n"), k).alias("nodes"), turn(F.col("t"), k).alias("txns")))).alias("c"))
-    best = each.groupBy(F.col("c.nodes")[0].alias("customer_id")).agg(F.min("c").alias("c"))
-    return best.select("customer_id", F.col("c.length").alias("length"), F.concat_ws("->", F.array_join("c.nodes", "->"), "customer_id").alias("cycle"),
-                       F.array_join("c.txns", ",").alias("txn_ids"))
+    return least_cycles(edges).select(
+        F.col("node").alias("cycle_start"), "length", F.concat_ws("->", F.array_join("nodes", "->"), F.col("node")).alias("cycle"),
+        F.array_join("txns", ",").alias("txn_ids"))
 
 
 def distinct_nodes(edges: DataFrame) -> DataFrame:

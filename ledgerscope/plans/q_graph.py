@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerscope.operators.graph import (build_transfer_graph, cycle_members, detect_cycles, detect_layering, distinct_nodes,
-                                         enumerate_chains, hop_summary)
+from ledgerscope.operators.graph import (build_transfer_graph, detect_cycles, detect_layering, distinct_nodes, enumerate_chains,
+                                         hop_summary, least_chains)
 from ledgerscope.plans.registry import register
-from ledgerscope.plans.sqlviews import TXN_CTE, with_ctes
-from ledgerscope.sources.tables import txn_view
+from ledgerscope.plans.sqlviews import ORDERS_TRANSFER_CTE, TXN_CTE, with_ctes
+from ledgerscope.sources.tables import orders_transfer_view, txn_view
 
 GRAPH_CTE = """own AS (
   SELECT account_id, customer_id AS owner FROM (
@@ -31,11 +31,21 @@ SELECT a AS customer_id, 'layering' AS rule_fired, a || '->' || b || '->' || c A
        85.0 AS rule_score FROM best WHERE rn = 1"""
 
 
-def _graph_sql(select: str) -> str:
-    s = with_ctes("SELECT 1", TXN_CTE, GRAPH_CTE)
+#: Transfers above this amount make the sparser graph of ``cycle_members``, most of which lies outside its cyclic core.
+LARGE_TRANSFER = 300_000.0
+
+
+def _graph_sql(select: str, txn: str = TXN_CTE, min_amount: float | None = None) -> str:
+    s = with_ctes("SELECT 1", txn, GRAPH_CTE)
+    if min_amount is not None:
+        s = s.replace("AND t.counterparty_id IS NOT NULL", f"AND t.counterparty_id IS NOT NULL AND t.amount >= {min_amount}")
     return s[: -len("SELECT 1")].rstrip() + select
 
 
+def _order_edges(spark, sf, min_amount=None):
+    return build_transfer_graph(orders_transfer_view(spark, sf), min_amount)
+
+
 def _edges(spark, sf):
     return build_transfer_graph(txn_view(spark, sf))
 
@@ -87,36 +97,52 @@ SELECT n0 AS originator, coalesce(n4, n3, n2) AS target, 2 + (n3 IS NOT NULL)::I
   concat_ws('->', n0, n1, n2, n3, n4) AS chain, concat_ws(',', t1, t2, t3, t4) AS txn_ids FROM b4"""
 
 
-@register("enumerate_chains", _graph_sql(CHAINS_SELECT))
+@register("least_chains", _graph_sql(CHAINS_SELECT))
+def q_least_chains(spark, sf):
+    return least_chains(_edges(spark, sf))
+
+
+# Every simple path of two to four transfers, then counted by its edges.
+PATHS_SELECT = """, p2 AS (
+  SELECT a.src AS n0, a.dst AS n1, b.dst AS n2 FROM edges a JOIN edges b ON b.src = a.dst WHERE b.dst <> a.src),
+p3 AS (SELECT p2.*, e.dst AS n3 FROM p2 JOIN edges e ON e.src = n2 WHERE e.dst NOT IN (n0, n1)),
+p4 AS (SELECT p3.*, e.dst AS n4 FROM p3 JOIN edges e ON e.src = n3 WHERE e.dst NOT IN (n0, n1, n2))"""
+CHAIN_RELATION_SELECT = PATHS_SELECT + """, hops AS (
+  SELECT 1 AS hop, n0 AS src, n1 AS dst, count(*) AS paths FROM p2 GROUP BY n0, n1 UNION ALL
+  SELECT 2, n1, n2, count(*) FROM p2 GROUP BY n1, n2 UNION ALL
+  SELECT 1, n0, n1, count(*) FROM p3 GROUP BY n0, n1 UNION ALL
+  SELECT 2, n1, n2, count(*) FROM p3 GROUP BY n1, n2 UNION ALL
+  SELECT 3, n2, n3, count(*) FROM p3 GROUP BY n2, n3 UNION ALL
+  SELECT 1, n0, n1, count(*) FROM p4 GROUP BY n0, n1 UNION ALL
+  SELECT 2, n1, n2, count(*) FROM p4 GROUP BY n1, n2 UNION ALL
+  SELECT 3, n2, n3, count(*) FROM p4 GROUP BY n2, n3 UNION ALL
+  SELECT 4, n3, n4, count(*) FROM p4 GROUP BY n3, n4)
+SELECT hop, src, dst, any_value(txn_id) AS txn_id, sum(paths)::BIGINT AS paths FROM hops JOIN edges USING (src, dst) GROUP BY hop, src, dst"""
+
+
+@register("enumerate_chains", _graph_sql(CHAIN_RELATION_SELECT, ORDERS_TRANSFER_CTE))
 def q_enumerate_chains(spark, sf):
-    return enumerate_chains(_edges(spark, sf))
+    """All simple paths of two to four transfers, as paths through each edge and hop."""
+    return enumerate_chains(_order_edges(spark, sf))
 
 
-@register("self_join_hops", _graph_sql("""
-SELECT e1.src AS customer_id, count(DISTINCT e1.dst) AS receivers, count(e2.dst) AS two_hop_paths
-FROM edges e1 LEFT JOIN edges e2 ON e1.dst = e2.src AND e2.dst <> e1.src GROUP BY e1.src"""))
-def q_self_join_hops(spark, sf):
-    return hop_summary(_edges(spark, sf))
+HOPS_SELECT = PATHS_SELECT + """
+SELECT customer_id, receivers, coalesce(x2, 0) AS two_hop_paths, coalesce(x3, 0) AS three_hop_paths, coalesce(x4, 0) AS four_hop_paths
+FROM (SELECT src AS customer_id, count(*) AS receivers FROM edges GROUP BY src)
+LEFT JOIN (SELECT n0, count(*) AS x2 FROM p2 GROUP BY n0) a ON a.n0 = customer_id
+LEFT JOIN (SELECT n0, count(*) AS x3 FROM p3 GROUP BY n0) b ON b.n0 = customer_id
+LEFT JOIN (SELECT n0, count(*) AS x4 FROM p4 GROUP BY n0) c ON c.n0 = customer_id"""
 
 
-CYCLES_SELECT = """, deg AS (
-  SELECT node, count(*) AS d FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY node),
-r AS (SELECT e.*, (a.d, e.src) AS rs, (b.d, e.dst) AS rd FROM edges e JOIN deg a ON a.node = e.src JOIN deg b ON b.node = e.dst),
-k AS (
-  SELECT 3 AS length, e1.src AS n0, e1.dst AS n1, e2.dst AS n2, NULL AS n3, e1.txn_id AS t1, e2.txn_id AS t2, e3.txn_id AS t3, NULL AS t4
-  FROM r e1 JOIN r e2 ON e1.dst = e2.src JOIN r e3 ON e2.dst = e3.src AND e3.dst = e1.src
-  WHERE e1.rd < e1.rs AND e2.rd < e1.rs
-  UNION ALL
-  SELECT 4, e1.src, e1.dst, e2.dst, e3.dst, e1.txn_id, e2.txn_id, e3.txn_id, e4.txn_id
-  FROM r e1 JOIN r e2 ON e1.dst = e2.src JOIN r e3 ON e2.dst = e3.src JOIN r e4 ON e3.dst = e4.src AND e4.dst = e1.src
-  WHERE e1.rd < e1.rs AND e2.rd < e1.rs AND e3.rd < e1.rs AND e3.dst <> e1.dst)
-SELECT n0 AS cycle_start, length, concat_ws('->', n0, n1, n2, n3, n0) AS cycle, concat_ws(',', t1, t2, t3, t4) AS txn_ids
-FROM (SELECT *, row_number() OVER (PARTITION BY n0 ORDER BY length, n1, n2, n3) AS rn FROM k) WHERE rn = 1"""
+@register("self_join_hops", _graph_sql(HOPS_SELECT))
+def q_self_join_hops(spark, sf):
+    return hop_summary(_edges(spark, sf))
 
 
-@register("detect_cycles", _graph_sql(CYCLES_SELECT))
-def q_detect_cycles(spark, sf):
-    return detect_cycles(_edges(spark, sf))
+@register("self_join_hops_orders", _graph_sql(HOPS_SELECT, ORDERS_TRANSFER_CTE))
+def q_self_join_hops_orders(spark, sf):
+    """The same over the denser graph, where reciprocal transfers, triangles and cycles of four occur."""
+    return hop_summary(_order_edges(spark, sf))
 
 
 MEMBERS_SELECT = """, k AS (
@@ -126,13 +152,20 @@ MEMBERS_SELECT = """, k AS (
   SELECT 4, e1.src, e1.dst, e2.dst, e3.dst, e1.txn_id, e2.txn_id, e3.txn_id, e4.txn_id
   FROM edges e1 JOIN edges e2 ON e1.dst = e2.src JOIN edges e3 ON e2.dst = e3.src JOIN edges e4 ON e3.dst = e4.src AND e4.dst = e1.src
   WHERE e2.dst <> e1.src AND e3.dst <> e1.dst)
-SELECT n0 AS customer_id, length, concat_ws('->', n0, n1, n2, n3, n0) AS cycle, concat_ws(',', t1, t2, t3, t4) AS txn_ids
+SELECT n0 AS cycle_start, length, concat_ws('->', n0, n1, n2, n3, n0) AS cycle, concat_ws(',', t1, t2, t3, t4) AS txn_ids
 FROM (SELECT *, row_number() OVER (PARTITION BY n0 ORDER BY length, n1, n2, n3) AS rn FROM k) WHERE rn = 1"""
 
 
-@register("cycle_members", _graph_sql(MEMBERS_SELECT))
+@register("detect_cycles", _graph_sql(MEMBERS_SELECT, ORDERS_TRANSFER_CTE))
+def q_detect_cycles(spark, sf):
+    """Every member of a closed cycle of three or four, with its least one."""
+    return detect_cycles(_order_edges(spark, sf))
+
+
+@register("cycle_members", _graph_sql(MEMBERS_SELECT.replace("n0 AS cycle_start", "n0 AS customer_id"), ORDERS_TRANSFER_CTE, LARGE_TRANSFER))
 def q_cycle_members(spark, sf):
-    return cycle_members(_edges(spark, sf))
+    """The same among large transfers only, named by customer."""
+    return detect_cycles(_order_edges(spark, sf, LARGE_TRANSFER)).withColumnRenamed("cycle_start", "customer_id")
 
 
 _PATTERN_LAYERING_SELECT = LAYERING_SELECT.replace(

@@ -32,6 +32,16 @@ ORDERS_TXN_CTE = """otxn AS (
   LEFT JOIN customer c ON c.c_custkey = o.o_custkey
   LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey)"""
 
+ORDERS_TRANSFER_CTE = """txn AS (
+  SELECT 'ORD' || printf('%09d', o_orderkey) AS transaction_id,
+         'CUST' || printf('%05d', o_custkey) AS customer_id,
+         'ACC_CUST' || printf('%05d', o_custkey) AS account_id,
+         CAST(o_orderdate AS TIMESTAMP) AS timestamp,
+         CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
+         'transfer' AS transaction_type,
+         'ACC_CUST' || printf('%05d', (o_orderkey * 31 + 7) % (SELECT count(*) FROM customer)) AS counterparty_id
+  FROM orders)"""
+
 FEATURES_CTE = """stats AS (
   SELECT customer_id, avg(CAST(amount AS DOUBLE)) AS amount_mean,
          CASE WHEN stddev_samp(CAST(amount AS DOUBLE)) IS NULL OR stddev_samp(CAST(amount AS DOUBLE)) = 0

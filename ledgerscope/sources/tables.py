@@ -89,6 +89,20 @@ def orders_txn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def orders_transfer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Denser stand-in for the transfer graph: each order is a transfer to another customer's account (FIXTURES.md B4)."""
+    customers = F.lit(table(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("n")).first()["n"] or 1)
+    receiver = F.pmod(F.col("o_orderkey") * COUNTERPARTY_MULT + COUNTERPARTY_ADD, customers)
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("ORD"), zero_padded(F.col("o_orderkey"), 9)).alias("transaction_id"),
+        _cust_id(F.col("o_custkey")).alias("customer_id"),
+        F.concat(F.lit("ACC_"), _cust_id(F.col("o_custkey"))).alias("account_id"),
+        F.col("o_orderdate").cast("timestamp").alias("timestamp"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"),
+        F.lit("transfer").alias("transaction_type"),
+        F.concat(F.lit("ACC_"), _cust_id(receiver)).alias("counterparty_id"))
+
+
 def feedback_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyst verdicts from ``labels``: quality 1 -> True Positive, 0 -> False Positive."""
     lab = table(spark, sf_dir, "labels")
