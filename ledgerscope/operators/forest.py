@@ -8,11 +8,13 @@ Each group builds one tree (numpy, seeded by tree id) and returns flat node
 rows.
 
 Score: the model has at most ``trees x (2 x sample - 1)`` nodes (100 x 511 by
-default), a proven bound, so it is collected once and broadcast; every
-partition of the customer table is scored in ``mapInPandas`` with vectorised
-numpy descents. Anomaly score = 2^(-E[h(x)] / c(sample)); attribution per
-feature = mean over trees of (share of the path's splits on the feature) x
-(c(sample) - h(x)), absolute value.
+default), a proven bound, so it is collected once and goes to the tasks with
+the function; every partition of the customer table is scored in
+``mapInPandas`` with vectorised numpy descents, in a pass that hands the
+customer's other columns on. Anomaly score = 2^(-E[h(x)] / c(sample)).
+
+Attribution: path-dependent Shapley values of E[h(x)] (``shapley``), made for
+the rows asked for only; they sum to E[h(x)] less the forest's expected path.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import types as T
 from ledgerscope.functions.bounded import attach_global
 
 from ledgerscope.operators.aggregates import FEATURE_VECTOR
+from ledgerscope.operators.shapley import ForestShapley
 from ledgerscope.params import DEFAULT_PARAMS, Params
 
 EULER = 0.5772156649015329
@@ -129,80 +132,106 @@ def _model_arrays(nodes: list) -> list[dict]:
             "threshold": np.array([r["threshold"] for r in rows], dtype=float),
             "left": np.array([r["left"] for r in rows], dtype=np.int64),
             "right": np.array([r["right"] for r in rows], dtype=np.int64),
+            "size": np.array([r["size"] for r in rows], dtype=np.int64),
             "leaf_c": _c_vec(np.array([r["size"] for r in rows], dtype=float)),
             "psi": int(rows[0]["sample_size"]),
         })
     return model
 
 
-def score_forest(customers: DataFrame, nodes: DataFrame, features: list[str] | None = None,
-                 params: Params = DEFAULT_PARAMS) -> DataFrame:
-    """Raw anomaly score (higher = more anomalous) and per-feature attribution per customer."""
-    feats = features or FEATURE_VECTOR
-    spark = customers.sparkSession
-    # The model is bounded by construction (trees x (2 x sample - 1) node rows, from the parameters); one row
-    # past that bound is fetched so an unexpected input can never pull an unbounded table to the driver.
+def collect_forest(nodes: DataFrame, params: Params = DEFAULT_PARAMS) -> list[dict]:
+    """The trees as arrays.
+
+    The model is bounded by construction (trees x (2 x sample - 1) node rows, from the parameters); one row
+    past that bound is fetched so an unexpected input can never pull an unbounded table to the driver.
+    """
     bound = params.forest_trees * (2 * params.forest_sample - 1)
     rows = nodes.limit(bound + 1).collect()
     if len(rows) > bound:
         raise ValueError(f"forest model exceeds its bound of {bound} nodes")
-    model = _model_arrays([r.asDict() for r in rows])
-    bc = spark.sparkContext.broadcast(model)
-    out_schema = T.StructType([T.StructField("customer_id", T.StringType()),
-                               T.StructField("raw_score", T.DoubleType()),
-                               T.StructField("path_length", T.DoubleType()),
-                               T.StructField("attribution", T.MapType(T.StringType(), T.DoubleType()))])
+    return _model_arrays([r.asDict() for r in rows])
+
+
+def path_lengths(trees: list[dict], x: np.ndarray) -> np.ndarray:
+    """Mean path length of each row; 0 without trees."""
+    total, rows = np.zeros(len(x)), np.arange(len(x))
+    for t in trees:
+        node, depth = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+        while True:
+            f = t["feature"][node]
+            inner = f >= 0
+            if not inner.any():
+                break
+            go_left = x[rows, np.where(inner, f, 0)] < t["threshold"][node]
+            node = np.where(inner, np.where(go_left, t["left"][node], t["right"][node]), node)
+            depth += inner
+        total += depth + t["leaf_c"][node]
+    return total / max(len(trees), 1)
+
+
+def score_forest(customers: DataFrame, nodes: DataFrame | list[dict], features: list[str] | None = None,
+                 params: Params = DEFAULT_PARAMS, keep: list[str] | None = None) -> DataFrame:
+    """(customer_id, columns ``keep`` and features as doubles, raw_score, path_length) per customer.
+
+    ``raw_score``: higher = more anomalous, 0 without trees. ``nodes``: the node table, or the model of ``collect_forest``.
+    """
+    feats = features or FEATURE_VECTOR
+    trees = collect_forest(nodes, params) if isinstance(nodes, DataFrame) else nodes
+    psi = (c_factor(trees[0]["psi"]) if trees else 0.0) or 1.0
+    rows = customers.select("customer_id", *[c for c in keep or [] if c not in feats], *[F.col(c).cast("double").alias(c) for c in feats])
+    schema = T.StructType([*rows.schema.fields, T.StructField("raw_score", T.DoubleType()), T.StructField("path_length", T.DoubleType())])
 
     def score(batches):
-        trees = bc.value
         for pdf in batches:
-            x = pdf[feats].to_numpy(dtype=float)
-            n = x.shape[0]
-            if not trees or n == 0:
-                yield pd.DataFrame({"customer_id": pdf["customer_id"], "raw_score": 0.0, "path_length": 0.0,
-                                    "attribution": [{} for _ in range(n)]})
-                continue
-            rows = np.arange(n)
-            h_sum = np.zeros(n)
-            attr = np.zeros((n, len(feats)))
-            for t in trees:
-                node = np.zeros(n, dtype=np.int64)
-                depth = np.zeros(n)
-                split_counts = np.zeros((n, len(feats)))
-                while True:
-                    f = t["feature"][node]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    fi = np.where(inner, f, 0)
-                    go_left = x[rows, fi] < t["threshold"][node]
-                    split_counts[rows[inner], fi[inner]] += 1
-                    node = np.where(inner, np.where(go_left, t["left"][node], t["right"][node]), node)
-                    depth += inner
-                h = depth + t["leaf_c"][node]
-                h_sum += h
-                dev = c_factor(t["psi"]) - h
-                attr += split_counts / np.maximum(depth, 1.0)[:, None] * dev[:, None]
-            e_h = h_sum / len(trees)
-            c_psi = c_factor(trees[0]["psi"]) or 1.0
-            raw = np.power(2.0, -e_h / c_psi)
-            attr = np.abs(attr / len(trees))
-            yield pd.DataFrame({
-                "customer_id": pdf["customer_id"].to_numpy(), "raw_score": raw, "path_length": e_h,
-                "attribution": [dict(zip(feats, map(float, a))) for a in attr]})
-
-    return customers.select("customer_id", *[F.col(c).cast("double").alias(c) for c in feats]) \
-        .mapInPandas(score, out_schema)
+            h = path_lengths(trees, pdf[feats].to_numpy(dtype=float))
+            yield pdf.assign(raw_score=np.power(2.0, -h / psi) if trees else 0.0, path_length=h)
 
+    return rows.mapInPandas(score, schema)
 
-def forest_scores(customer_features: DataFrame, params: Params = DEFAULT_PARAMS,
-                  features: list[str] | None = None) -> DataFrame:
-    """(customer_id, score 0..1, attribution) of every customer: fit, score and min-max scale."""
+
+def explain_forest(scored: DataFrame, nodes: DataFrame | list[dict], features: list[str] | None = None,
+                   params: Params = DEFAULT_PARAMS, least_score: float | None = None) -> DataFrame:
+    """All columns of ``scored`` plus ``shapley`` (feature -> signed part of the path length), ``attribution`` (their absolute
+    values) and ``expected_path``: the parts sum to ``path_length - expected_path``.
+
+    ``least_score``: rows whose ``score`` lies below it get nulls instead. The tables are built once a task that has rows.
+    """
+    feats = features or FEATURE_VECTOR
+    trees = collect_forest(nodes, params) if isinstance(nodes, DataFrame) else nodes
+    added = {"shapley": T.MapType(T.StringType(), T.DoubleType()), "attribution": T.MapType(T.StringType(), T.DoubleType()), "expected_path": T.DoubleType()}
+    rows = scored.drop(*added)
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, t) for n, t in added.items()]])
+
+    def explain(batches):
+        tables = None
+        for pdf in batches:
+            wanted = np.ones(len(pdf), bool) if least_score is None else pdf["score"].to_numpy(dtype=float) >= least_score
+            signed = [None] * len(pdf)
+            if wanted.any():
+                tables = tables or ForestShapley(trees, len(feats))
+                for i, v in zip(np.flatnonzero(wanted), tables.values(pdf.loc[wanted, feats].to_numpy(dtype=float))):
+                    signed[i] = dict(zip(feats, map(float, v)))
+            yield pdf.assign(shapley=signed, attribution=[s and {f: abs(v) for f, v in s.items()} for s in signed],
+                             expected_path=np.where(wanted, tables.expected if tables else 0.0, np.nan))
+
+    out = rows.mapInPandas(explain, schema)
+    return out.withColumn("expected_path", F.nanvl("expected_path", F.lit(None).cast("double")))
+
+
+def _scored(customer_features: DataFrame, params: Params, features: list[str] | None, keep: list[str]) -> tuple[DataFrame, list[dict]]:
+    """(scored customers with ``score`` 0..1, written once since scaling reads them twice; the model)."""
     from ledgerscope.operators.scoring import minmax_scale
+    from ledgerscope.session import cut_lineage
+
+    trees = collect_forest(fit_forest(customer_features, features, params), params)
+    return minmax_scale(cut_lineage(score_forest(customer_features, trees, features, params, keep)), "raw_score", "score"), trees
+
 
-    nodes = fit_forest(customer_features, features, params)
-    return minmax_scale(score_forest(customer_features, nodes, features, params), "raw_score", "score").select(
-        "customer_id", "score", "attribution")
+def forest_scores(customer_features: DataFrame, params: Params = DEFAULT_PARAMS,
+                  features: list[str] | None = None) -> DataFrame:
+    """(customer_id, score 0..1, attribution) of every customer: fit, score, min-max scale; attribution of the hits, else null."""
+    scored, trees = _scored(customer_features, params, features, [])
+    return explain_forest(scored, trees, features, params, params.ml_score_threshold).select("customer_id", "score", "attribution")
 
 
 def detect_anomaly(customer_features: DataFrame, params: Params = DEFAULT_PARAMS,
@@ -210,22 +239,22 @@ def detect_anomaly(customer_features: DataFrame, params: Params = DEFAULT_PARAMS
     """Model hits: min-max normalised forest score >= threshold.
 
     Output: customer_id, ml_score (3 dp), anomaly_flag, top_features, attribution, enough_customers (false when
-    fewer than ``ml_min_customers`` were scored; no hit is dropped for it).
+    fewer than ``ml_min_customers`` were scored; no hit is dropped for it). The scoring pass hands on the columns
+    that the tags need, and only the hits are explained.
     """
     from ledgerscope.operators.scoring import feature_tags
     from ledgerscope.session import cut_lineage
 
-    # fit, score, tags and the count all read the customer table: materialise it once
+    tagged = ["max_zscore", "max_rolling_7d_count", "amount_max"]
+    # the fit and the scoring pass read the customer table: materialise it once
     cols = ["customer_id", *(features or FEATURE_VECTOR)]
-    cols += [c for c in ("max_zscore", "max_rolling_7d_count", "amount_max") if c not in cols]
-    cf = cut_lineage(customer_features.select(*cols))
-    norm = forest_scores(cf, params, features)
-    n = cf.agg(F.count(F.lit(1)).alias("_n"))
-    j = attach_global(norm.join(cf, "customer_id"), n)
-    return (j.filter(F.col("score") >= params.ml_score_threshold)
-            .select("customer_id", F.round("score", 3).alias("ml_score"), F.lit(True).alias("anomaly_flag"),
-                    feature_tags(j, params).alias("top_features"), "attribution",
-                    (F.col("_n") >= params.ml_min_customers).alias("enough_customers")))
+    cf = cut_lineage(customer_features.select(*cols, *[c for c in tagged if c not in cols]))
+    scored, trees = _scored(cf, params, features, tagged)
+    n = scored.agg(F.count(F.lit(1)).alias("_n"))
+    hits = explain_forest(attach_global(scored, n).filter(F.col("score") >= params.ml_score_threshold), trees, features, params)
+    return hits.select("customer_id", F.round("score", 3).alias("ml_score"), F.lit(True).alias("anomaly_flag"),
+                       feature_tags(hits, params).alias("top_features"), "attribution",
+                       (F.col("_n") >= params.ml_min_customers).alias("enough_customers"))
 
 
 def rank_attribution(hits: DataFrame) -> DataFrame:

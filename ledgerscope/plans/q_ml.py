@@ -13,7 +13,7 @@ from ledgerscope.operators.backtest import (backtest_metrics, backtest_unsupervi
 from ledgerscope.operators.consensus import compute_consensus
 from ledgerscope.operators.features import compute_features
 from ledgerscope.operators.filters import label_ground_truth
-from ledgerscope.operators.forest import detect_anomaly, fit_forest, forest_scores, rank_attribution, score_forest
+from ledgerscope.operators.forest import collect_forest, detect_anomaly, explain_forest, fit_forest, forest_scores, rank_attribution, score_forest
 from ledgerscope.operators.scoring import minmax_scale
 from ledgerscope.plans.pipelines import decide_consensus, flagship_items, model_evidence
 from ledgerscope.plans.q_core import FIX, SUBS
@@ -94,15 +94,31 @@ def q_detect_anomaly_facts(spark, sf):
     return attach_global(s, trees).select("customers", "trees", "sampled", "lowest", "highest")
 
 
-@register("rank_attribution_facts", "SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS rank, true AS every_hit, true AS falling")
+def _explained(spark, sf):
+    """Every customer, hit or not, with score, path and attribution."""
+    customers = cut_lineage(agg_customer_features(compute_features(txn_view(spark, sf), FIX)))
+    trees = collect_forest(fit_forest(customers, None, FIX), FIX)
+    return explain_forest(score_forest(customers, trees, None, FIX), trees, None, FIX)
+
+
+@register("rank_attribution_facts", with_ctes("SELECT r::INTEGER AS rank, (SELECT count(DISTINCT customer_id) FROM txn) AS customers, true AS falling "
+                                              "FROM range(1, 8) AS x(r)", TXN_CTE))
 def q_rank_attribution_facts(spark, sf):
-    """Every hit has all seven features, ranked 1 to 7 by falling contribution."""
-    hits = cut_lineage(_hits(spark, sf)[1])
-    ranked = rank_attribution(hits)
+    """Every customer has all seven features, ranked 1 to 7 by falling contribution."""
+    ranked = rank_attribution(_explained(spark, sf))
     before = F.lag("contribution").over(Window.partitionBy("customer_id").orderBy("rank"))
-    r = ranked.withColumn("ok", F.coalesce(before >= F.col("contribution"), F.lit(True))).groupBy("rank").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("falling"))
-    return attach_global(r, hits.agg(F.count(F.lit(1)).alias("hits"))).select("rank", (F.col("n") == F.col("hits")).alias("every_hit"), "falling")
+    return ranked.withColumn("ok", F.coalesce(before >= F.col("contribution"), F.lit(True))).groupBy("rank").agg(
+        F.count_distinct("customer_id").alias("customers"), F.bool_and("ok").alias("falling"))
+
+
+@register("anomaly_attribution_facts", with_ctes(
+    "SELECT count(DISTINCT customer_id) AS customers, count(DISTINCT customer_id) AS efficient, 1 AS expectations FROM txn", TXN_CTE))
+def q_anomaly_attribution_facts(spark, sf):
+    """Efficiency: each customer's signed parts sum to its path length less the expectation, which is the same for all."""
+    parts = F.aggregate(F.map_values("shapley"), F.lit(0.0), lambda a, v: a + v)
+    exact = F.abs(parts - (F.col("path_length") - F.col("expected_path"))) < 1e-9
+    return _explained(spark, sf).agg(F.count_distinct("customer_id").alias("customers"), F.count_if(exact).alias("efficient"),
+                                     F.count_distinct("expected_path").cast("int").alias("expectations"))
 
 
 def _split(spark, sf):

@@ -1,10 +1,14 @@
 """Isolation forest invariants, feedback tuning, evaluation, query-log tagging."""
 
+import itertools
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.aggregates import eval_binary
 from ledgerscope.operators.feedback import tune_threshold
-from ledgerscope.operators.forest import detect_anomaly, fit_forest, score_forest
+from ledgerscope.operators.forest import collect_forest, detect_anomaly, explain_forest, fit_forest, forest_scores, path_lengths, score_forest
 from ledgerscope.operators.querylog import filter_in_domain, tag_queries
 from ledgerscope.operators.scoring import minmax_scale
 from ledgerscope.params import Params
@@ -35,6 +39,56 @@ def test_forest_flags_planted_outlier_and_is_partition_invariant(spark):
     assert s.min() == 0.0 and s.max() == 1.0
 
 
+def _set_value(tree, row, chosen, node=0, depth=0):
+    """Path length when the splits on ``chosen`` follow the row and the others go both ways by their sampled rows."""
+    f = int(tree["feature"][node])
+    if f < 0:
+        return depth + tree["leaf_c"][node]
+    left, right = int(tree["left"][node]), int(tree["right"][node])
+    if f in chosen:
+        return _set_value(tree, row, chosen, left if row[f] < tree["threshold"][node] else right, depth + 1)
+    share = tree["size"][left] / tree["size"][node]
+    return share * _set_value(tree, row, chosen, left, depth + 1) + (1 - share) * _set_value(tree, row, chosen, right, depth + 1)
+
+
+def test_attribution_is_the_shapley_value_of_every_subset(spark):
+    rng = np.random.default_rng(3)
+    names = ["amount_mean", "amount_max", "amount_sum", "max_rolling_7d_count", "max_rolling_30d_sum", "max_zscore", "min_velocity_hours"]
+    x = np.round(rng.lognormal(size=(80, 7)), 1)  # rounded: ties with thresholds' neighbours and constant sub-samples
+    x[:3] = np.nan
+    rows = [(f"C{i:02d}", *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    cf = spark.createDataFrame(rows, "customer_id STRING, " + ", ".join(f"{n} DOUBLE" for n in names))
+    p = Params(forest_trees=5, forest_sample=32)
+    trees = collect_forest(fit_forest(cf.na.drop(), params=p), p)
+    got = {r.customer_id: r for r in explain_forest(score_forest(cf, trees, params=p), trees, params=p).collect()}
+    assert len(got) == 80
+    for i in (0, 3, 11, 40, 79):
+        value = {s: np.mean([_set_value(t, x[i], s) for t in trees]) for k in range(8) for s in map(frozenset, itertools.combinations(range(7), k))}
+        r = got[f"C{i:02d}"]
+        assert abs(r.expected_path - value[frozenset()]) < 1e-9 and abs(r.path_length - value[frozenset(range(7))]) < 1e-9
+        for f, name in enumerate(names):
+            want = sum(math.factorial(len(s)) * math.factorial(6 - len(s)) / math.factorial(7) * (value[s | {f}] - v) for s, v in value.items() if f not in s)
+            assert abs(r.shapley[name] - want) < 1e-9 and abs(r.attribution[name] - abs(want)) < 1e-9
+    for r in got.values():
+        assert abs(sum(r.shapley.values()) - (r.path_length - r.expected_path)) < 1e-9
+
+
+def test_only_hits_are_explained_and_the_planted_one_by_its_features(spark):
+    scores = {r.customer_id: r for r in forest_scores(_customers(spark), Params()).collect()}
+    assert all((r.attribution is not None) == (r.score >= Params().ml_score_threshold) for r in scores.values())
+    out = detect_anomaly(_customers(spark)).where("customer_id = 'OUT'").first()
+    assert out.attribution == scores["OUT"].attribution and min(out.attribution.values()) > 0
+    assert path_lengths([], np.zeros((2, 7))).tolist() == [0.0, 0.0]
+
+
+def test_a_feature_without_effect_has_no_attribution(spark):
+    """Of features that are constant no split is made; the old split shares would still be zero, but a copy shares its part."""
+    rows = [(f"C{i:03d}", float(i % 10), float(i % 10), 5.0, 1.0, 1.0, 1.0, 1.0) for i in range(60)] + [("OUT", 900.0, 900.0, 5.0, 1.0, 1.0, 1.0, 1.0)]
+    cf = spark.createDataFrame(rows, _customers(spark).schema)
+    hit = detect_anomaly(cf).where("customer_id = 'OUT'").first().attribution
+    assert hit["amount_sum"] == hit["max_zscore"] == 0.0 and hit["amount_mean"] > 0 and hit["amount_max"] > 0
+
+
 def test_few_customers_are_marked_not_dropped(spark):
     few = detect_anomaly(_customers(spark, 3)).collect()
     assert [r.customer_id for r in few] == ["OUT"] and not few[0].enough_customers
