@@ -33,27 +33,36 @@ def _run(spark, df, name, fmt="parquet"):
 DELIVERIES = 5
 
 
-def _chunks(spark, sf, n: int = DELIVERIES):
-    """The events in ``n`` chunks of equal length of time, the oldest first (stand-in deliveries of a stream)."""
+def _chunks(spark, sf, n: int = DELIVERIES, jitter_us: int = 0):
+    """The events in ``n`` chunks of equal length of time, the oldest first (stand-in deliveries of a stream).
+
+    ``jitter_us``: each row is delivered up to that much later than its time, so that chunks overlap in event time.
+    """
     ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     lo, hi = ev.agg(F.min(us), F.max(us)).first()
     if lo is None:
         return [ev]
-    part = F.least(F.floor((us - lo) * n / (hi - lo + 1)), F.lit(n - 1))
+    at = us + F.pmod(F.xxhash64("event_id"), F.lit(jitter_us)) if jitter_us else us
+    part = F.least(F.floor((at - lo) * n / (hi - lo + 1)), F.lit(n - 1))
     return [ev.where(part == i) for i in range(n)]
 
 
-def _run_deliveries(spark, sf, name, job, chunks=None):
-    """The job over a stream whose rows arrive in several deliveries, each at least one micro-batch, on one checkpoint."""
-    from ledgerscope.sources.tables import txn_from_events
-    src, out = scratch_path(spark, f"deliveries-{name}"), scratch_path(spark, f"stream-{name}")
+def _delivered(spark, sf, name, chunks):
+    """The chunks written one after the other, as a stream that takes the files of about one chunk a micro-batch."""
+    src = scratch_path(spark, f"deliveries-{name}")
+    for chunk in chunks:
+        chunk.write.mode("append").parquet(src)
+    files = len(spark.read.parquet(src).inputFiles())
+    return jobs.events_stream(spark, sf, path=src, max_files=-(-files // len(chunks)))
 
-    def once():
-        stream = txn_from_events(jobs.events_stream(spark, sf, path=src), spark, sf)
-        jobs.run_available_now(job(stream), f"{out}/data", f"{out}/_checkpoint", state_partitions=_state_partitions(spark))
 
-    jobs.deliver(_chunks(spark, sf) if chunks is None else chunks, src, once)
+def _run_deliveries(spark, sf, name, job, chunks=None, rocksdb=False):
+    """The job over a stream whose rows arrive in several deliveries; one start takes them in turn."""
+    from ledgerscope.sources.tables import txn_from_events
+    out = scratch_path(spark, f"stream-{name}")
+    stream = txn_from_events(_delivered(spark, sf, name, _chunks(spark, sf) if chunks is None else chunks), spark, sf)
+    jobs.run_available_now(job(stream), f"{out}/data", f"{out}/_checkpoint", state_partitions=_state_partitions(spark), rocksdb=rocksdb)
     return out
 
 
@@ -125,7 +134,9 @@ HAVING max(timestamp) + INTERVAL 2 HOUR <= (SELECT max(timestamp) FROM txn) - IN
 
 @register("stream_customer_sessions", _SESS_SQL)
 def q_stream_customer_sessions(spark, sf):
-    out = _run(spark, jobs.customer_sessions(jobs.txn_stream(spark, sf), "2 hours", "1 hour"), "sessions")
+    """Five deliveries that overlap by up to 40 minutes: sessions that a delivery cuts are carried on and closed later."""
+    chunks = _chunks(spark, sf, jitter_us=2_400_000_000)
+    out = _run_deliveries(spark, sf, "sessions", lambda txn: jobs.customer_sessions(txn, "2 hours", "1 hour"), chunks)
     r = spark.read.parquet(f"{out}/data")
     return r.select(F.col("session_start").cast("timestamp_ntz").alias("session_start"),
                     F.col("session_end").cast("timestamp_ntz").alias("session_end"), "customer_id", "txn_count",
@@ -162,7 +173,7 @@ _STRUCT_STATE_SQL = with_ctes("""SELECT customer_id, make_timestamp(t) AS alert_
 @register("stream_structuring", _STRUCT_STATE_SQL)
 def q_stream_structuring(spark, sf):
     """Keyed-state structuring alerts (one per crossing of the minimum count), up to the last watermark."""
-    out = _run_deliveries(spark, sf, "structuring", lambda txn: jobs.structuring_state(txn, FIX))
+    out = _run_deliveries(spark, sf, "structuring", lambda txn: jobs.structuring_state(txn, FIX), rocksdb=True)
     r = spark.read.parquet(f"{out}/data")
     return r.select("customer_id", F.col("alert_time").cast("timestamp_ntz").alias("alert_time"), "window_count",
                     "transaction_id")
@@ -179,19 +190,40 @@ SELECT CAST(b.batch AS BIGINT) AS batch, count(*) AS input_rows,
 
 @register("stream_late_data", _LATE_SQL)
 def q_stream_late_data(spark, sf):
-    """Five deliveries, the second and third and the fourth and fifth in the wrong order; late rows per batch."""
+    """Five deliveries, the second and third and the fourth and fifth in the wrong order; late rows per batch, as observed."""
     from ledgerscope.sources.tables import txn_from_events
     chunks = _chunks(spark, sf)
-    src, out = scratch_path(spark, "late"), scratch_path(spark, "stream-late")
+    out = scratch_path(spark, "stream-late")
+    stream = txn_from_events(_delivered(spark, sf, "late", [chunks[i] for i in (0, 2, 1, 4, 3)]), spark, sf)
+    jobs.route_late_rows(stream.select("transaction_id", "customer_id", "timestamp"), "timestamp", 3_600_000_000, f"{out}/sorted",
+                         f"{out}/_checkpoint")
+    return jobs.late_batches(spark, f"{out}/sorted")
 
-    def once():
-        stream = txn_from_events(jobs.events_stream(spark, sf, path=src), spark, sf)
-        jobs.route_late_rows(stream.select("transaction_id", "customer_id", "timestamp"), "timestamp", 3_600_000_000, f"{out}/sorted",
-                             f"{out}/_checkpoint")
 
-    jobs.deliver([chunks[i] for i in (0, 2, 1, 4, 3)], src, once)
-    r = spark.read.parquet(f"{out}/sorted/rows")
-    return r.groupBy(F.col("batch").cast("long").alias("batch")).agg(F.count(F.lit(1)).alias("input_rows"), F.count_if("late").alias("late_rows"))
+_DROPPED_SQL = """WITH e AS (SELECT epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events),
+r AS (SELECT min(us) AS lo, max(us) AS hi FROM e),
+c AS (SELECT us, least(CAST(floor((us - lo) * 5.0 / (hi - lo + 1)) AS INTEGER), 4) AS chunk FROM e, r),
+b AS (SELECT us, CASE chunk WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 1 THEN 3 ELSE 4 END AS batch FROM c),
+m AS (SELECT batch, max(us) AS hi FROM b GROUP BY 1)
+SELECT CAST(b.batch AS BIGINT) AS batch, count(*) AS input_rows,
+  count(*) FILTER (WHERE us <= (SELECT max(m.hi) FROM m WHERE m.batch < b.batch - 1) // 1000 * 1000 - 3600000000) AS dropped_rows FROM b GROUP BY b.batch"""
+
+
+@register("stream_dropped_rows", _DROPPED_SQL)
+def q_stream_dropped_rows(spark, sf):
+    """What the engine reports of a de-duplication whose second delivery comes after the fourth: rows in and dropped per batch.
+
+    A stateful operator judges a batch by the watermark that the batch before ran with.
+    """
+    from ledgerscope.sources.tables import txn_from_events
+    from ledgerscope.streaming.progress import hear
+    chunks = _chunks(spark, sf)
+    out = scratch_path(spark, "stream-dropped")
+    stream = txn_from_events(_delivered(spark, sf, "dropped", [chunks[i] for i in (0, 2, 3, 1, 4)]), spark, sf)
+    with hear(spark) as log:
+        jobs.run_available_now(jobs.dedup(stream.select("transaction_id", "timestamp")), f"{out}/data", f"{out}/_checkpoint",
+                               state_partitions=_state_partitions(spark))
+    return log.table(spark).where("input_rows > 0").select("batch", "input_rows", "dropped_rows")
 
 
 @register("sink_alert_stream", with_ctes(

@@ -7,19 +7,14 @@ and the file sinks are exactly-once through their checkpoints.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerscope.params import DEFAULT_PARAMS, Params
 from ledgerscope.sources.tables import table, txn_from_events
+from ledgerscope.streaming.keyed import ALERT_SCHEMA, StructuringProcessor
 
 
 def events_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None, path: str | None = None) -> DataFrame:
@@ -78,85 +73,49 @@ def dedup(txn: DataFrame, delay: str = "1 hour") -> DataFrame:
     return txn.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(["transaction_id"])
 
 
-ALERT_SCHEMA = T.StructType([
-    T.StructField("customer_id", T.StringType()), T.StructField("alert_time", T.TimestampType()),
-    T.StructField("window_count", T.LongType()), T.StructField("transaction_id", T.StringType())])
-STATE_SCHEMA = T.StructType([T.StructField("times", T.ArrayType(T.LongType())),
-                             T.StructField("ids", T.ArrayType(T.StringType())),
-                             T.StructField("last_alert", T.LongType()), T.StructField("judged", T.LongType())])
-
-
 def structuring_state(txn: DataFrame, params: Params = DEFAULT_PARAMS, delay: str = "1 day") -> DataFrame:
     """Keyed state per customer: an alert when the just-under rows of ``(t - w, t]`` reach the minimum.
 
     An event is judged once, when the watermark has passed it: all rows up to its time are then known, so the alerts
     do not depend on how the rows are spread over micro-batches. An alert is emitted for an event whose window holds
     at least ``min_count`` just-under rows, unless an alert was already emitted inside that window. State holds the
-    rows after the watermark (they wait) and those up to one window before it; it is removed when neither is left.
+    rows after the watermark (they wait) and those up to one window before it, in bounded values by time slot
+    (``keyed.StructuringProcessor``); timers remove it when neither is left. State variables of this kind need the
+    RocksDB state store: start the query with ``run_available_now(..., rocksdb=True)`` or set the provider of the session.
     """
     p = params
-    w_us = p.structuring_window_days * 86_400_000_000
     ju = (txn.filter((F.col("amount") >= p.structuring_lower_bound) & (F.col("amount") < p.structuring_threshold))
           .select("customer_id", "timestamp", "transaction_id")
           .withWatermark("timestamp", delay))
+    return ju.groupBy("customer_id").transformWithStateInPandas(
+        statefulProcessor=StructuringProcessor(p), outputStructType=ALERT_SCHEMA, outputMode="Append", timeMode="EventTime")
+
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, ids, last_alert, judged = [], [], None, None
-        if state.exists:
-            times, ids, last_alert, judged = (list(x) if isinstance(x, (list, tuple, np.ndarray)) else x for x in state.get)
-        for pdf in batches:
-            times += (pdf["timestamp"].to_numpy("datetime64[us]").astype("int64")).tolist()
-            ids += pdf["transaction_id"].tolist()
-        order = sorted(range(len(times)), key=lambda i: (times[i], ids[i]))
-        times, ids = [times[i] for i in order], [ids[i] for i in order]
-        mark = state.getCurrentWatermarkMs() * 1000
-        out, lo = [], 0
-        for i, t in enumerate(times):
-            if t > mark:
-                break
-            if judged is not None and t <= judged:
-                continue
-            while times[lo] <= t - w_us:
-                lo += 1
-            count = bisect_right(times, t) - lo  # peers of the same time are inside the frame
-            if count >= p.structuring_min_count and (last_alert is None or last_alert <= t - w_us):
-                last_alert = t
-                out.append((key[0], pd.Timestamp(t, unit="us"), count, ids[i]))
-        judged = max(mark, judged or 0)
-        keep = [k for k, t in enumerate(times) if t > judged - w_us]
-        if keep:
-            state.update(([times[k] for k in keep], [ids[k] for k in keep], last_alert, judged))
-            waiting = [times[k] for k in keep if times[k] > judged]
-            # woken when the next waiting row is passed, or else when the last row has left the window
-            wake = (waiting[0] if waiting else times[keep[-1]] + w_us) // 1000 + 1
-            state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["customer_id", "alert_time", "window_count", "transaction_id"])
-
-    return ju.groupBy("customer_id").applyInPandasWithState(
-        step, ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_available_now(df: DataFrame, out_path: str, checkpoint: str, fmt: str = "parquet",
-                      mode: str = "append", state_partitions: int | None = None) -> None:
+                      mode: str = "append", state_partitions: int | None = None, rocksdb: bool = False) -> None:
     """Process everything available, exactly once into a file sink, then stop.
 
     ``state_partitions``: shuffle / state-store partitions of a new query (a
-    stream keeps the count of its first start in its checkpoint); the session
-    setting is restored afterwards.
+    stream keeps the count of its first start in its checkpoint); ``rocksdb``:
+    the state store that keyed state variables need. The session settings are
+    restored afterwards.
     """
     spark = df.sparkSession
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    if state_partitions:
-        spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions))
+    wanted = {"spark.sql.shuffle.partitions": str(state_partitions) if state_partitions else None,
+              "spark.sql.streaming.stateStore.providerClass": ROCKSDB if rocksdb else None}
+    previous = {k: spark.conf.get(k) for k, v in wanted.items() if v is not None}
+    for k in previous:
+        spark.conf.set(k, wanted[k])
     try:
         q = (df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start(out_path))
         q.awaitTermination()
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
+        for k, v in previous.items():
+            spark.conf.set(k, v)
     if q.exception():
         raise q.exception()
 
@@ -171,31 +130,34 @@ def deliver(chunks: list[DataFrame], folder: str, run: Callable[[], None]) -> No
 def route_late_rows(stream: DataFrame, ts_col: str, delay_us: int, out_dir: str, checkpoint: str) -> None:
     """Split each micro-batch into on-time and late rows (older than the watermark) and store both.
 
-    The watermark of batch k is the largest event time of batches before k
-    minus the delay, as in Spark's own operators. Each batch is written to its
-    own ``rows/batch=<id>`` folder with overwrite, then its largest time to ``times/batch=<id>``; the watermark
-    is read from the times of earlier batches only, so a batch that is replayed after a crash is judged as before.
+    The watermark of batch k is the largest event time of batches before k minus the delay, as in Spark's own operators.
+    Each batch is written to its own ``rows/batch=<id>`` folder with overwrite. What the write observes, its rows, its late
+    rows and the largest time of all batches so far, goes to ``batches/batch=<id>``: one row, and the only one that the next
+    batch reads. A batch that is replayed after a crash reads its predecessor's row again and is judged as before.
     """
-    spark = stream.sparkSession
-
-    def latest_before(batch_id: int) -> int | None:
-        try:
-            times = spark.read.schema("t long, batch long").parquet(f"{out_dir}/times")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None  # no batch has been written yet
-        return times.where(F.col("batch") < batch_id).agg(F.max("t")).first()[0]  # one scalar
+    us = F.unix_micros(F.col(ts_col).cast("timestamp"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        latest = latest_before(batch_id)
-        late = F.lit(False) if latest is None else F.unix_micros(F.col(ts_col).cast("timestamp")) < F.lit(latest - delay_us)
-        batch.withColumn("late", F.coalesce(late, F.lit(False))).write.mode("overwrite").parquet(f"{out_dir}/rows/batch={batch_id}")
-        written = spark.read.schema(batch.schema).parquet(f"{out_dir}/rows/batch={batch_id}")
-        (written.agg(F.max(F.unix_micros(F.col(ts_col).cast("timestamp"))).alias("t")).write.mode("overwrite").parquet(f"{out_dir}/times/batch={batch_id}"))
+        spark, latest = batch.sparkSession, None
+        if batch_id > 0:
+            latest = spark.read.schema("t long").parquet(f"{out_dir}/batches/batch={batch_id - 1}").first()[0]
+        late = F.lit(False) if latest is None else us < F.lit(latest - delay_us)
+        seen = Observation()
+        (batch.withColumn("late", F.coalesce(late, F.lit(False)))
+         .observe(seen, F.count(F.lit(1)).alias("input_rows"), F.count_if("late").alias("late_rows"), F.max(us).alias("t"))
+         .write.mode("overwrite").parquet(f"{out_dir}/rows/batch={batch_id}"))
+        got = seen.get
+        times = [t for t in (latest, got["t"]) if t is not None]
+        (spark.createDataFrame([(max(times, default=None), got["input_rows"], got["late_rows"])], "t long, input_rows long, late_rows long")
+         .coalesce(1).write.mode("overwrite").parquet(f"{out_dir}/batches/batch={batch_id}"))
 
     q = (stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise q.exception()
+
+
+def late_batches(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(batch, input_rows, late_rows) of every batch that ``route_late_rows`` has written to ``out_dir``."""
+    return spark.read.schema("input_rows long, late_rows long, batch long").parquet(f"{out_dir}/batches").select("batch", "input_rows", "late_rows")
