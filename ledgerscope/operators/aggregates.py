@@ -23,25 +23,48 @@ def top_customers(agg: DataFrame, n: int, by: str = "transaction_count") -> Data
     return agg.orderBy(F.col(by).desc(), F.col("customer_id").asc()).limit(n)
 
 
-def exact_median(df: DataFrame, col: str) -> DataFrame:
-    """Exact median of a column as a one-row table, without gathering the values in one task.
+def middle_bounds(values: DataFrame, accuracy: int) -> tuple[float, float] | None:
+    """Two values between which the middle of ``_v`` lies, from a mergeable quantile sketch (two numbers to the driver).
 
-    Distinct values are counted first (partial aggregation: a popular value is one row a task) and written
-    range-partitioned by value. The totals of the partitions (one row each) say how many rows lie before a
-    partition, so the running count inside it gives every value its first and last position; the values that
-    hold the one or two middle positions are averaged. Null on empty input.
+    The sketch's ranks are off by at most one in ``accuracy`` rows, and the bounds are taken two off the middle.
+    """
+    off = 2.0 / accuracy
+    r = values.agg(F.percentile_approx("_v", [0.5 - off, 0.5 + off], accuracy).alias("q")).first()
+    return None if r.q is None else (r.q[0], r.q[1])
+
+
+def exact_median(df: DataFrame, col: str, accuracy: int = 10_000) -> DataFrame:
+    """Exact median of a column as a one-row table; null on empty input.
+
+    A quantile sketch bounds the middle (one pass); a second pass counts the rows below and the distinct values inside,
+    about 4 in ``accuracy`` of the rows, and only these are shuffled, written and ordered. Popular values are one row a task.
+    The values inside are range-partitioned; the totals of the partitions (one row each) say how many rows lie before
+    a partition, so the running count gives every value its first and last position; the values that hold the one or
+    two middle positions are averaged. An action: small tables are written while the plan is built.
     """
     from ledgerscope.session import cut_lineage
 
-    counts = (df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-              .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
-    dealt = cut_lineage(counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
+    values = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    bounds = middle_bounds(values, accuracy)
+    if bounds is None:
+        return values.agg(F.max("_v").alias("median"))
+
+    def split(low: float, high: float) -> tuple[DataFrame, int, int, int]:
+        """(distinct values inside with their counts, rows below, inside and in all); rows outside are two groups."""
+        side = F.when(F.col("_v") < low, -1).when(F.col("_v") > high, 1).otherwise(0)
+        counts = cut_lineage(values.groupBy(side.alias("_side"), F.when(side == 0, F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+        rows = {r["_side"]: r["n"] for r in counts.groupBy("_side").agg(F.sum("_c").alias("n")).collect()}  # three rows
+        return counts.where("_side = 0").select("_v", "_c"), rows.get(-1, 0), rows.get(0, 0), sum(rows.values())
+
+    inside, below, held, n = split(*bounds)
+    low, high = (n + 1) // 2, n // 2 + 1
+    if not below < low <= high <= below + held:  # the sketch missed: take all values
+        inside, below, held, n = split(float("-inf"), float("nan"))
+    dealt = cut_lineage(inside.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
     parts = dealt.groupBy("_part").agg(F.sum("_c").alias("_in_part"))
-    before = parts.select("_part", (F.sum("_in_part").over(Window.orderBy("_part")) - F.col("_in_part")).alias("_before"))
-    n = dealt.agg(F.sum("_c").alias("_n"))
+    before = parts.select("_part", (F.sum("_in_part").over(Window.orderBy("_part")) - F.col("_in_part") + F.lit(below)).alias("_before"))
     upto = Window.partitionBy("_part").orderBy("_v")
-    placed = attach_global(dealt.join(before, "_part"), n).withColumn("_last", F.col("_before") + F.sum("_c").over(upto))
-    low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
+    placed = dealt.join(before, "_part").withColumn("_last", F.col("_before") + F.sum("_c").over(upto))
     holds = lambda p: ((F.col("_last") >= p) & (F.col("_last") - F.col("_c") < p)).cast("int")
     weight = holds(low) + holds(high)
     return placed.agg((F.sum(F.col("_v") * weight) / F.nullif(F.sum(weight), F.lit(0))).alias("median"))

@@ -112,7 +112,11 @@ def q_sink_audit_jsonl(spark, sf):
 @register("src_audit_tail", """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, event_type FROM events
   ORDER BY ts DESC LIMIT 50""")
 def q_src_audit_tail(spark, sf):
-    return io.read_audit_tail(spark, _audit(spark, sf), 50).select("timestamp", "event_type")
+    """The last events of a log with a folder a day, of which the newest are read."""
+    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    p = io.scratch_path(spark, "audit-days")
+    io.append_audit_log(io.audit_events(ev, "event_type", ["event_id", "value", "props"], "ts"), p)
+    return io.read_audit_tail(spark, p, 50).select("timestamp", "event_type")
 
 
 _FEEDBACK_SQL = ("SELECT 'CUST' || printf('%05d', doc_id) AS customer_id, "
@@ -159,6 +163,21 @@ def q_src_alert_stream(spark, sf):
     return a.agg(F.count(F.lit(1)).alias("alerts"), F.count_distinct("customer_id").alias("customers"))
 
 
+@register("src_alert_stream_live", with_ctes(_ALERT_SQL, TXN_CTE))
+def q_src_alert_stream_live(spark, sf):
+    """The alert log read as a live stream, started after each of two deliveries on one checkpoint; every line arrives once."""
+    from ledgerscope.streaming.jobs import run_available_now
+    t = txn_view(spark, sf).filter(F.col("amount") > 10000)
+    alerts = t.select(F.date_format("timestamp", io.TS_FORMAT).alias("timestamp"), "customer_id", F.lit("STREAM_ALERT").alias("event_type"),
+                      F.col("amount").cast("double").alias("amount"), F.lit("Sudden volume spike detected in stream").alias("reason"))
+    log, out = io.scratch_path(spark, "alert-log"), io.scratch_path(spark, "alerts-live")
+    early = F.dayofmonth(F.to_timestamp("timestamp")) <= 15
+    for part in (alerts.where(early), alerts.where(~early)):
+        io.append_jsonl(part, log)
+        run_available_now(io.alert_stream(spark, log), f"{out}/data", f"{out}/_checkpoint")
+    return spark.read.parquet(f"{out}/data").select("timestamp", "customer_id", "amount")
+
+
 @register("latest_alerts", with_ctes(f"{_ALERT_SQL} ORDER BY timestamp DESC, customer_id LIMIT 20", TXN_CTE))
 def q_latest_alerts(spark, sf):
     return io.latest_alerts(_alerts(spark, sf), 20).select("timestamp", "customer_id", "amount")

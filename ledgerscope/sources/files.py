@@ -128,16 +128,44 @@ def audit_events(events: DataFrame, event_type_col: str, payload_cols: list[str]
                          F.to_json(F.struct(*payload_cols)).alias("payload"))
 
 
+def append_audit_log(events: DataFrame, path: str) -> None:
+    """Appends audit events to a log with one folder a day (``day=<date of the timestamp>``)."""
+    events.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").json(path)
+
+
+def log_days(spark: SparkSession, path: str) -> list[str] | None:
+    """The day folders of a log, newest first, undated last (a listing: no file is read); None if there is no log."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
+    days = [n.removeprefix("day=") for n in names if n.startswith("day=")]
+    return sorted([d for d in days if d[:1].isdigit()], reverse=True) + [d for d in days if not d[:1].isdigit()]
+
+
 def read_audit_tail(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
-    """Last ``limit`` events, newest first (ties by type and payload); a missing log gives an empty table."""
-    try:
-        df = spark.read.schema(AUDIT_EVENT).json(path)
-        df.schema  # noqa: B018 - resolves the path
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], AUDIT_EVENT)
-        raise
-    return df.orderBy(F.col("timestamp").desc_nulls_last(), "event_type", "payload").limit(limit)
+    """Last ``limit`` events, newest first (ties by type and payload); a missing log gives an empty table.
+
+    The log's days are listed, and the newest are read, twice as many at each step, until they hold ``limit`` events: what is
+    read depends on the last days, not on the log's age. A log without day folders is read as a whole.
+    """
+    days = log_days(spark, path)
+    if days is None:
+        return spark.createDataFrame([], AUDIT_EVENT)
+    newest = [F.col("timestamp").desc_nulls_last(), "event_type", "payload"]
+    if not days:
+        return spark.read.schema(AUDIT_EVENT).json(path).orderBy(*newest).limit(limit)
+    taken, held = 1, 0
+    while True:
+        df = spark.read.schema(AUDIT_EVENT).json([f"{path.rstrip('/')}/day={d}" for d in days[:taken]])
+        if taken >= len(days):
+            break
+        held += df.limit(limit).count()
+        if held >= limit:
+            break
+        held, taken = 0, min(2 * taken, len(days))
+    return df.orderBy(*newest).limit(limit)
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
@@ -151,6 +179,12 @@ def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ALERT).json(path)
 
 
+def alert_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The alert log as a live stream: lines that a writer appends, to old files or new ones, arrive once each."""
+    from ledgerscope.sources.lines import appended_json
+    return appended_json(spark, path, ALERT, ".json" if not path.endswith((".json", ".jsonl")) else "")
+
+
 def latest_alerts(alerts: DataFrame, n: int = 20) -> DataFrame:
     return alerts.orderBy(F.col("timestamp").desc_nulls_last(), F.col("customer_id")).limit(n)
 

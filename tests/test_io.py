@@ -164,3 +164,118 @@ def test_exact_median_matches_numpy_for_odd_and_even_counts(spark):
         vals = [float(rnd.randrange(1000)) for _ in range(n)]  # ties included
         df = spark.createDataFrame([(v,) for v in vals], "amount DOUBLE").repartition(5)
         assert exact_median(df, "amount").first().median == statistics.median(vals)
+
+
+def test_exact_median_shuffles_only_the_values_around_the_middle(spark, monkeypatch):
+    """100 000 distinct values: what is written is a few dozen of them; a value that fills the middle is one group."""
+    import statistics
+    from ledgerscope import session
+    from ledgerscope.operators import aggregates
+    written = []
+    keep = session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df, *a: written.append(keep(df, *a)) or written[-1])
+    df = spark.range(100_001).selectExpr("(id * 7919 % 100003) * 1.5 v")
+    vals = [r.v for r in df.collect()]
+    assert aggregates.exact_median(df, "v").first().median == statistics.median(vals)
+    assert max(w.count() for w in written) <= 100_001 * 8 // 10_000 + 4
+    hot = spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN 5.0 ELSE CAST(id % 11 AS DOUBLE) END v")
+    assert aggregates.exact_median(hot, "v").first().median == statistics.median([r.v for r in hot.collect()])
+
+
+def test_exact_median_survives_a_sketch_that_misses(spark, monkeypatch):
+    from ledgerscope.operators import aggregates
+    df = spark.createDataFrame([(float(v),) for v in (9, 1, 5, 3, 7, 100)] + [(None,)], "v DOUBLE")
+    for bounds in ((50.0, 60.0), (-2.0, -1.0), (9.0, 9.0), (5.0, 5.0)):
+        monkeypatch.setattr(aggregates, "middle_bounds", lambda values, accuracy, b=bounds: b)
+        assert aggregates.exact_median(df, "v").first().median == 6.0
+
+
+AUDIT = "timestamp STRING, event_type STRING, payload STRING"
+
+
+def test_audit_tail_reads_the_newest_days_only(spark):
+    path = io.scratch_path(spark, "audit-tail")
+    rows = [(f"2024-{m:02d}-{d:02d}T{h:02d}:00:00.000000", f"E{h}", "{}") for m in (1, 2, 3) for d in range(1, 29) for h in (1, 5)]
+    events = spark.createDataFrame(rows + [(None, "undated", "{}")], AUDIT)
+    io.append_audit_log(events.where("timestamp < '2024-02' or timestamp is null"), path)
+    io.append_audit_log(events.where("timestamp >= '2024-02'"), path)
+    want = sorted((r for r in rows), reverse=True)
+    for n in (1, 2, 3, 9, 50):
+        tail = io.read_audit_tail(spark, path, n)
+        assert [tuple(r) for r in tail.collect()] == want[:n]
+        days = {f.split("day=")[1].split("/")[0] for f in tail.inputFiles()}
+        assert len(days) < max(2, 2 * n) and max(days) == "2024-03-28"
+    everything = io.read_audit_tail(spark, path, 1000).collect()
+    assert [tuple(r) for r in everything[:-1]] == want and everything[-1].event_type == "undated"
+    assert io.log_days(spark, path)[0] == "2024-03-28" and len(io.log_days(spark, path)) == 85
+
+
+def test_audit_tail_of_a_log_without_days_reads_all(spark):
+    path = io.scratch_path(spark, "audit-flat")
+    io.append_jsonl(spark.createDataFrame([(f"2024-01-0{i}", "E", "{}") for i in range(1, 6)], AUDIT), path)
+    assert [r.timestamp for r in io.read_audit_tail(spark, path, 2).collect()] == ["2024-01-05", "2024-01-04"]
+
+
+def test_appended_lines_arrive_once_across_restarts(spark, tmp_path, monkeypatch):
+    from ledgerscope.sources import lines
+    from ledgerscope.streaming.jobs import run_available_now
+    log, out = tmp_path / "log", str(tmp_path / "out")
+    log.mkdir()
+
+    def run():
+        run_available_now(lines.appended_lines(spark, str(log), ".jsonl"), out, str(tmp_path / "c"))
+        return sorted((r.file, r.position, r.value) for r in spark.read.schema("value string, file string, position long").parquet(out).collect())
+
+    def want():  # whole lines only
+        found = []
+        for p in log.glob("*.jsonl"):
+            at = 0
+            for line in p.read_bytes().split(b"\n")[:-1]:
+                found.append((p.name, at, line.removesuffix(b"\r").decode()))
+                at += len(line) + 1
+        return sorted(found)
+
+    a, b = log / "a.jsonl", log / "b.jsonl"
+    a.write_bytes(b"one\ntwo\r\n\nthree, still being wri")
+    assert run() == want() and len(want()) == 3
+    with a.open("ab") as f:
+        f.write("tten é\nfour\n".encode())
+    b.write_text("x\n" * 40)
+    (log / "other.txt").write_text("not read\n")
+    assert run() == want() and ("a.jsonl", 10, "three, still being written é") in want()
+    assert run() == want()  # nothing new
+    with b.open("a") as f:
+        f.write("no line end")
+    assert run() == want() and len(want()) == 45
+
+
+def test_appended_lines_parts_meet_at_line_ends(tmp_path, monkeypatch):
+    """Every part size gives each line once, whatever the read step."""
+    from ledgerscope.sources import lines
+    p = tmp_path / "l.jsonl"
+    text = [("w" * (i * 7 % 23)) + str(i) for i in range(60)]
+    p.write_text("\n".join(text) + "\nunfinished")
+    for part in (1, 2, 5, 17, 64, 10_000):
+        for step in (3, 50, 100_000):
+            monkeypatch.setattr(lines, "PART_BYTES", part)
+            monkeypatch.setattr(lines, "STEP_BYTES", step)
+            reader = lines.AppendedLinesReader(str(tmp_path), "")
+            end = reader.latestOffset()
+            got = [v for q in reader.partitions(reader.initialOffset(), end) for v, _, _ in reader.read(q)]
+            assert got == text
+            half = {k: len("\n".join(text[:30])) + 1 for k in end}
+            assert [v for q in reader.partitions(half, end) for v, _, _ in reader.read(q)] == text[30:]
+    with pytest.raises(ValueError):
+        reader.partitions({k: n + 1 for k, n in end.items()}, end)
+
+
+def test_live_alerts_of_a_missing_log_are_none_then_all(spark, tmp_path):
+    from ledgerscope.streaming.jobs import run_available_now
+    path, out = str(tmp_path / "alerts.jsonl"), str(tmp_path / "o")
+    run = lambda: run_available_now(io.alert_stream(spark, path), out, str(tmp_path / "c"))
+    run()
+    with open(path, "w") as f:
+        f.write('{"timestamp": "t1", "customer_id": "C1", "amount": 5.0}\n\n{broken\n')
+    run()
+    got = [r.customer_id for r in spark.read.parquet(out).collect()]
+    assert sorted(got, key=str) == ["C1", None]
