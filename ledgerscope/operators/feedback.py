@@ -33,12 +33,10 @@ def tune_threshold(feedback: DataFrame, current: DataFrame | float = 0.6) -> Dat
 
 def params_from_override(override: DataFrame | None, defaults: dict[str, float]) -> DataFrame:
     """One-row parameter table: values of the override file where present, else defaults."""
-    spark = override.sparkSession if override is not None else None
     if override is None:
         raise ValueError("override table required; pass an empty table for defaults")
     cols = []
     for name, val in defaults.items():
         src = F.max(F.col(name).cast("double")) if name in override.columns else F.lit(None).cast("double")
         cols.append(F.coalesce(src, F.lit(float(val))).alias(name))
-    del spark
     return override.agg(*cols)

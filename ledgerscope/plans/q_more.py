@@ -24,6 +24,7 @@ from ledgerscope.plans.pipelines import (assemble_flagged, customer_scores_minma
                                          pipeline_aggregation, pipeline_entity, results_table, run_response)
 from ledgerscope.plans.q_core import (AGG_FILTERS, CONS_SQL_CTES, CONS_SUBS, FEATURE_SELECT_SQL, FIX, ML_SUBS,
                                       SUBS, _flagship_sql)
+from ledgerscope.plans.q_graph import GRAPH_CTE
 from ledgerscope.plans.registry import register
 from ledgerscope.plans.sqlparts import CUSTOMER_FEATURES_CTE, MINMAX_ML_CTE, tags_sql
 from ledgerscope.plans.sqlviews import (FEATURES_CTE, ORDERS_TXN_CTE, STRUCTURING_CTE, TXN_CTE, with_ctes)
@@ -493,11 +494,8 @@ def q_sort_by_time(spark, sf):
 @register("sort_customer_time", with_ctes(
     "SELECT customer_id, transaction_id FROM txn ORDER BY customer_id, timestamp, transaction_id", TXN_CTE))
 def q_sort_customer_time(spark, sf):
-    # Hash partitioning by customer then a local sort: every customer's rows are
-    # contiguous and ordered without a global total order.
-    t = txn_view(spark, sf)
-    return (t.repartition("customer_id").sortWithinPartitions("customer_id", "timestamp", "transaction_id")
-            .select("customer_id", "transaction_id"))
+    # Range partitioning on all three columns: a hot customer spans as many tasks as its rows need.
+    return txn_view(spark, sf).orderBy("customer_id", "timestamp", "transaction_id").select("customer_id", "transaction_id")
 
 
 @register("topk_customers_volume", with_ctes(
@@ -520,7 +518,7 @@ def q_topk_count(spark, sf):
 @register("union_rule_hits", with_ctes(
     "SELECT customer_id, rule_fired, rule_score FROM hits UNION ALL "
     "SELECT customer_id, rule_fired, rule_score FROM lay", TXN_CTE, STRUCTURING_CTE,
-    *__import__("ledgerscope.plans.q_graph", fromlist=["GRAPH_CTE"]).GRAPH_CTE.split("\n", 0),
+    GRAPH_CTE,
     """lay AS (SELECT a AS customer_id, 'layering' AS rule_fired, 85.0 AS rule_score FROM (
       SELECT DISTINCT e1.src AS a FROM edges e1 JOIN edges e2 ON e1.dst = e2.src WHERE e2.dst <> e1.src))""",
     **SUBS))

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.operators.querylog import (AMOUNT_PATTERN, CAPABILITY_WORDS, COUNT_PATTERN, DAYS_PATTERN, EDA_WORDS,
-                                            LIMIT_PATTERN, PARSER_DOMAIN_WORDS, filter_in_domain,
-                                            pair_queries_responses, session_context, tag_queries)
+from ledgerscope.operators.querylog import filter_in_domain, pair_queries_responses, session_context, tag_queries
 from ledgerscope.plans.registry import register
 from ledgerscope.sources.tables import table
 
@@ -52,17 +50,23 @@ def _num_sql(pattern: str, typ: str = "BIGINT") -> str:
     return f"CASE WHEN {g} <> '' THEN TRY_CAST(replace({g}, ',', '') AS {typ}) END"
 
 
-@register("tag_limits", f"""SELECT text, {_num_sql(DAYS_PATTERN)} AS last_n_days,
-  {_num_sql(COUNT_PATTERN)} AS min_transaction_count,
-  {_num_sql(AMOUNT_PATTERN, 'DOUBLE')} AS amount_threshold,
-  {_num_sql(LIMIT_PATTERN)} AS "limit" FROM ({_example_sql()}) q""")
+# Patterns and words of the statements below are written out here, apart from the library's own.
+_DAYS, _COUNT, _AMOUNT, _LIMIT = "last\\s+([0-9]+)\\s+days?", "([0-9]+)\\+?\\s*transactions?", "under\\s*\\$?([0-9,]+)", "(?:top|limit)\\s+([0-9]+)"
+
+
+@register("tag_limits", f"""SELECT text, {_num_sql(_DAYS)} AS last_n_days,
+  {_num_sql(_COUNT)} AS min_transaction_count,
+  {_num_sql(_AMOUNT, 'DOUBLE')} AS amount_threshold,
+  {_num_sql(_LIMIT)} AS "limit" FROM ({_example_sql()}) q""")
 def q_tag_limits(spark, sf):
     return tag_queries(_queries(spark, sf)).select("text", "last_n_days", "min_transaction_count",
                                                    "amount_threshold", "limit")
 
 
-_PARSER_WORDS = PARSER_DOMAIN_WORDS
-_CAP_WORDS = CAPABILITY_WORDS
+_PARSER_WORDS = ("transaction customer money laundering bank account structuring smurfing layering deposit withdrawal transfer fraud "
+                 "suspicious check eda summary overview txns aml").split()
+_CAP_WORDS = _PARSER_WORDS + "flag risk data dataset table csv pattern activity".split()
+_EDA = "chart graph plot visual eda summary overview".split()
 
 
 def _any(words):
@@ -71,7 +75,7 @@ def _any(words):
 
 _INTENT_SQL = f"""SELECT text,
   CASE WHEN ood THEN 'out_of_domain' ELSE intent END AS intent_type, target_pattern,
-  (NOT ood AND (intent = 'broad_exploration' OR eda_kw)) OR {_any(EDA_WORDS)} AS requires_full_eda,
+  (NOT ood AND (intent = 'broad_exploration' OR eda_kw)) OR {_any(_EDA)} AS requires_full_eda,
   (NOT ood AND (intent = 'broad_exploration' OR eda_kw)) AS requires_ml_detection
 FROM (SELECT *, (NOT {_any(_PARSER_WORDS)} AND intent = 'broad_exploration' AND NOT has_ent) AS ood FROM (
   SELECT text, has_ent, eda_kw,
@@ -80,9 +84,9 @@ FROM (SELECT *, (NOT {_any(_PARSER_WORDS)} AND intent = 'broad_exploration' AND
     CASE WHEN st THEN 'structuring' WHEN ly THEN 'layering' WHEN cd THEN 'structuring' ELSE 'none' END
       AS target_pattern
   FROM (SELECT text, {_ENT} IS NOT NULL AS has_ent,
-          regexp_extract(lower(text), '{COUNT_PATTERN}', 0) <> '' AS cnt,
-          regexp_extract(lower(text), '{AMOUNT_PATTERN}', 1) <> '' AS amt,
-          regexp_extract(lower(text), '{LIMIT_PATTERN}', 1) <> '' AS lim,
+          regexp_extract(lower(text), '{_COUNT}', 0) <> '' AS cnt,
+          regexp_extract(lower(text), '{_AMOUNT}', 1) <> '' AS amt,
+          regexp_extract(lower(text), '{_LIMIT}', 1) <> '' AS lim,
           contains(lower(text), 'structur') OR contains(lower(text), 'smurf') AS st,
           contains(lower(text), 'layer') AS ly,
           contains(lower(text), 'cash') AND contains(lower(text), 'deposit') AS cd,
