@@ -5,8 +5,8 @@ and the SHA-256 of the form is looked up among the digests of known licences by
 texts, their paragraphs and their lines, each entire, and every run of neighbouring lines, across paragraphs too, that
 begins with the first word of a known text and has the length of one. DataFrame functions only.
 
-The canonical form is taken once a line: no replacement goes beyond a line, so that of several lines is theirs
-joined by blanks.
+The canonical form is taken once, of the whole text, line by line in place (no replacement goes beyond a line), and all
+units of a text come from it in one pass. Only units whose first word and length some known text has are hashed.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ SPELLINGS = [
     ("non-commercial", "noncommercial"), ("per cent", "percent"), ("whilst", "while"), ("wilful", "willful"),
     ("copyright owner", "copyright holder"), ("https://", "http://"), ("&", " and "), ("v. ", "version "),
 ]
-#: Lines that only say whose copyright it is, or reserve rights, after an optional comment mark.
-COPYRIGHT_LINE = r"(^|\n)[ \t\r]*[#*/;.-]*[ \t]*(copyright|\(c\)|©|portions copyright)[ \t]+[^\n]*"
+#: Lines that only say whose copyright it is, after an optional comment mark: the word with a mark, a year or "by" behind it, or
+#: the mark alone. Wrapped licence lines that begin with "copyright notice" or "copyright holder" are no such lines.
+COPYRIGHT_LINE = r"(^|\n)[ \t\r]*[#*/;.-]*[ \t]*((portions )?copyright:?[ \t]+(\(c\)|©|by[ \t]|[0-9]{4})|(\(c\)|©)[ \t])[^\n]*"
 _GAPS = r"[\p{P}\p{S}\x00-\x20]+"
-#: Words of whole licences and of many notices. Only OP5_SQL still filters by them: notices such as "released under the GPLv3"
-#: have none, so ``scan_licenses`` looks up every unit.
-KEYWORDS = r"licen[cs]|permission|redistribut|public domain|rights reserved|warrant"
+#: Marks the end of a paragraph in the canonical form of a text, in which no other control character but the line end is left.
+_PARAGRAPH = "\x01"
 
 _NO_WARRANTY = ("THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
                 "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY "
@@ -101,17 +101,27 @@ VERBS = ["licensed under ", "released under ", "distributed under ", "available
 
 
 def known_texts() -> list[tuple[str, str]]:
-    """(licence id, text): whole licences, and one-line notices made of subject, verb and licence name."""
+    """(licence id, text): whole licences, one-line notices made of subject, verb and licence name, and SPDX tags."""
     notices = [(name_id, f"{s}{v}{the}{name}") for name_id, names in NAMES for name in names
                for s, v, the in itertools.product(SUBJECTS, VERBS, ("", "the "))]
-    return TEXTS + notices
+    ids = sorted({name_id for name_id, _ in NAMES + TEXTS} - {"All-Rights-Reserved"})
+    tags = [(i, f"SPDX-License-Identifier: {i}{end}") for i in ids for end in (("", "-only", "-or-later") if "GPL" in i else ("",))]
+    return TEXTS + notices + tags
 
 
-def canonical(text: Column) -> Column:
-    out = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE, "\n")
+def _canonical_lines(text: Column) -> Column:
+    """The canonical form of every line of the text in place: line ends and paragraph marks stay as they are."""
+    start, rest = rf"(^|[\n{_PARAGRAPH}])", rf"[^\n{_PARAGRAPH}]*"
+    out = F.regexp_replace(ascii_lower(text), COPYRIGHT_LINE.replace(r"(^|\n)", start).replace(r"[^\n]*", rest), "$1")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, _GAPS, " "))
+    out = F.regexp_replace(out, r"[\p{P}\p{S}\x00\x02-\x09\x0B-\x20]+", " ")
+    return F.regexp_replace(out, rf"^ +| +$| *([\n{_PARAGRAPH}]) *", "$1")
+
+
+def canonical(text: Column) -> Column:
+    """Canonical form of a unit: the words of its lines joined by single blanks; null stays null."""
+    return F.trim(F.regexp_replace(_canonical_lines(F.translate(text, _PARAGRAPH, " ")), "[ \n]+", " "))
 
 
 def _sha(form: Column) -> Column:
@@ -138,29 +148,55 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = Non
         F.min("license_id").alias("license_id"), F.min(F.substring_index("form", " ", 1)).alias("head"), F.min(F.length("form")).alias("length")))
 
 
-def _runs(lines: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, scope, paragraph, line, digest) of the runs of two lines or more that may be known texts.
+def _sizes(known: DataFrame) -> DataFrame:
+    """(head, lengths): per first word of the known texts the distinct lengths of those that begin with it."""
+    return known.where("length > 0").groupBy("head").agg(F.array_sort(F.collect_set("length")).alias("lengths"))
+
+
+def _units(parts: Column, heads: Column, most: Column) -> Column:
+    """All units of a text, from the canonical lines of its paragraphs (array of arrays).
 
-    ``lines``: doc_id, lines (array of the lines whose canonical form is not empty). Left out are runs that are a
-    whole text or a whole paragraph. Each line that begins with a known head gives a window of the longest known
-    length, whatever follows; known lengths of the head that end at a line's end in it are runs.
+    Structs of scope, paragraph, line, form, place, of and size. Scope 'run' marks a window: the lines from one that begins with
+    a known first word on, their ends kept, as far as the longest known text reaches. ``place`` and ``of``: which of how many lines
+    with words of its paragraph the first one is; ``size``: characters of the whole text.
     """
-    sizes = known.where("length > 0").select("head", "length").distinct()
-    heads = sizes.agg(F.array_join(F.transform(F.array_sort(F.collect_set("head")), lambda h: F.concat(F.lit(r"\Q"), h, F.lit(r"\E"))), "|").alias("any_head"),
-                      F.coalesce(F.max("length"), F.lit(0)).cast("string").alias("most"))
-    first = F.concat(F.lit("^(?:"), F.col("any_head"), F.lit(")(?![^ \n])"))
-    window = F.concat(F.lit("(?m)^(?=((?:"), F.col("any_head"), F.lit(")(?![^ \n])[^\\x00]{0,"), F.col("most"), F.lit("}))"))
-    starts = (attach_global(lines.where(F.size("lines") > 1), heads).where("any_head <> ''")
-              .withColumn("whole", F.array_join(F.transform("lines", lambda x: x["form"]), "\n"))
-              .withColumn("at", F.filter("lines", lambda x: F.regexp_like(x["form"], first))).where(F.size("at") > 0)
-              .select("doc_id", F.length("whole").alias("size"), F.explode(F.arrays_zip(
-                  "at", F.regexp_extract_all("whole", window, F.lit(1)).alias("window"))).alias("s"))
-              .select("doc_id", "size", "s.at.*", "s.window").withColumn("head", F.regexp_extract("window", "^[^ \n]+", 0)))
-    cut = starts.join(F.broadcast(sizes), "head").where((F.length("window") >= F.col("length")) & (F.col("length") < F.col("size")))
-    cut = cut.where(F.expr("substring(window, length + 1, 1) in ('', '\n')")).withColumn("unit", F.expr("substring(window, 1, length)"))
-    n = F.size(F.split("unit", "\n"))
-    return (cut.where((n > 1) & ~((F.col("place") == 0) & (n == F.col("of"))))
-            .select("doc_id", F.lit("run").alias("scope"), "paragraph", "line", _sha(F.translate("unit", "\n", " ")).alias("digest")))
+    def unit(scope: str, p: Column, n: Column, form: Column, place: Column | None = None, of: Column | None = None, size: Column | None = None) -> Column:
+        zero = F.lit(0)
+        return F.struct(F.lit(scope).alias("scope"), p.cast("int").alias("paragraph"), n.cast("int").alias("line"), form.alias("form"),
+                        (zero if place is None else place).cast("int").alias("place"), (zero if of is None else of).cast("int").alias("of"),
+                        (zero if size is None else size).cast("int").alias("size"))
+
+    def of_lines(parts: Column) -> Column:
+        worded = lambda p: F.filter(F.transform(p, lambda x, j: F.struct(j.alias("line"), x.alias("form"))), lambda x: x["form"] != "")
+        flat = F.flatten(F.transform(parts, lambda p, i: F.transform(F.array(worded(p)), lambda ls: F.transform(ls, lambda x, k: F.struct(
+            i.alias("paragraph"), x["line"].alias("line"), x["form"].alias("form"), k.alias("place"), F.size(ls).alias("of"))))[0]))
+        return F.transform(F.array(flat), lambda lines: of_flat(parts, lines))[0]
+
+    def of_flat(parts: Column, lines: Column) -> Column:
+        text = F.array_join(F.transform(lines, lambda x: x["form"]), " ")
+        return F.transform(F.array(text), lambda whole: of_all(parts, lines, whole))[0]
+
+    def window(lines: Column, k: Column) -> Column:
+        part = lambda n: F.array_join(F.transform(F.slice(lines, k + 1, n), lambda x: x["form"]), "\n")
+        # a line with words takes two characters at least, so the second length holds all that the longest text can reach
+        near = F.transform(F.array(part(F.lit(64))), lambda w: F.when((F.length(w) > most) | (k + 64 >= F.size(lines)), w)
+                           .otherwise(part(F.floor(most / 2).cast("int") + 2)))[0]
+        return near.substr(F.lit(1), most + 1)
+
+    def of_all(parts: Column, lines: Column, whole: Column) -> Column:
+        zero = F.lit(0)
+        none = F.array().cast("array<struct<scope:string,paragraph:int,line:int,form:string,place:int,of:int,size:int>>")
+        joined = lambda p: F.array_join(F.filter(p, lambda x: x != ""), " ")
+        starts = F.filter(F.transform(lines, lambda x, k: F.when(
+            (k < F.size(lines) - 1) & F.array_contains(heads, F.substring_index(x["form"], " ", 1)) & (F.length(x["form"]) < most),
+            unit("run", x["paragraph"], x["line"], window(lines, k), x["place"], x["of"], F.length(whole)))), lambda u: u.isNotNull())
+        return F.concat(
+            F.array(unit("text", zero, zero, whole)),
+            F.when(F.size(parts) > 1, F.transform(parts, lambda p, i: unit("paragraph", i, zero, joined(p)))).otherwise(none),
+            F.flatten(F.transform(parts, lambda p, i: F.when(F.size(p) > 1, F.transform(p, lambda x, j: unit("line", i, j, x))).otherwise(none))),
+            starts)
+
+    return F.transform(F.array(parts), of_lines)[0]
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,28 +205,33 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, id_col: str =
     Units: the whole text (scope 'text'; paragraph and line 0), each paragraph (parts between blank lines) of a text
     that has several, each line of a paragraph that has several, and each run of neighbouring lines that is no such
     unit (scope 'run'; paragraph and line of its first line; blank and copyright lines inside do not count); places
-    count from 0. Null and empty texts have none. Null ids stay null; repeated rows give repeated rows; other columns
-    are not read. ``known`` is (digest, license_id), and head and length as ``known_digests`` gives them, without which
-    no runs are looked up; digests made elsewhere must use ``canonical``.
+    count from 0, and lines end at line feeds alone. Null and empty texts have none. Null ids stay null; repeated rows
+    give repeated rows; other columns are not read. ``known`` is (digest, license_id), and head and length as
+    ``known_digests`` gives them, without which every unit is hashed and no runs are looked up; digests made elsewhere
+    must use ``canonical``. A known table of the caller's is joined as Spark judges it, without a hint.
     """
-    known = F.broadcast(known_digests(docs.sparkSession)) if known is None else known
+    own = known is None
+    known = known_digests(docs.sparkSession) if own else known
+    hint = F.broadcast if own else (lambda df: df)  # our own table is made of the constants above
+    text = F.regexp_replace(F.translate(F.col("text"), _PARAGRAPH, "\x02"), r"\n[ \t\r]*\n", _PARAGRAPH)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text <> ''")
-    unit = lambda scope, p, n, form: F.struct(
-        F.lit(scope).alias("scope"), p.cast("int").alias("paragraph"), n.cast("int").alias("line"), form.alias("form"))
-    filled = lambda forms: F.filter(forms, lambda x: x != "")
-    joined = lambda forms: F.array_join(filled(forms), " ")
-    none = F.array().cast("array<struct<scope:string,paragraph:int,line:int,form:string>>")
-    forms = texts.select("doc_id", F.transform(F.split("text", r"\n[ \t\r]*\n"), lambda p: F.transform(F.split(p, "\n"), canonical)).alias("parts"))
-    zero = F.lit(0)
-    units = forms.select("doc_id", F.explode(F.concat(
-        F.array(unit("text", zero, zero, joined(F.flatten("parts")))),
-        F.when(F.size("parts") > 1, F.transform("parts", lambda p, i: unit("paragraph", i, zero, joined(p)))).otherwise(none),
-        F.flatten(F.transform("parts", lambda p, i: F.when(F.size(p) > 1, F.transform(p, lambda x, j: unit("line", i, j, x))).otherwise(none)))
-    )).alias("u")).select("doc_id", "u.*").where("form <> ''").select("doc_id", "scope", "paragraph", "line", _sha(F.col("form")).alias("digest"))
-    if {"head", "length"} <= set(known.columns):
-        numbered = lambda p: F.filter(F.transform(p, lambda x, j: F.struct(j.alias("line"), x.alias("form"))), lambda x: x["form"] != "")
-        lines = forms.select("doc_id", F.flatten(F.transform("parts", lambda p, i: F.transform(numbered(p), lambda x, k: F.struct(
-            i.cast("int").alias("paragraph"), x["line"].cast("int").alias("line"), x["form"].alias("form"), k.alias("place"),
-            F.size(filled(p)).alias("of"))))).alias("lines"))
-        units = units.unionByName(_runs(lines, known))
-    return units.join(known.select("digest", "license_id"), "digest").select("doc_id", "scope", "paragraph", "line", "license_id", "digest")
+    parts = F.transform(F.split(_canonical_lines(text), _PARAGRAPH), lambda p: F.split(p, "\n"))
+    with_runs = {"head", "length"} <= set(known.columns)
+    if with_runs:
+        # one row: the known first words, and the longest known text
+        most = known.agg(F.collect_set("head").alias("heads"), F.coalesce(F.max("length"), F.lit(0)).cast("int").alias("most"))
+        texts = attach_global(texts, most)
+        units = _units(parts, F.col("heads"), F.col("most"))
+    else:
+        units = _units(parts, F.array().cast("array<string>"), F.lit(0))
+    found = texts.select("doc_id", F.explode(units).alias("u")).select("doc_id", "u.*").where("form <> ''")
+    if with_runs:
+        found = found.withColumn("head", F.substring_index(F.substring_index("form", "\n", 1), " ", 1)).join(hint(_sizes(known)), "head")
+        fits = F.filter("lengths", lambda n: F.when(
+            F.col("scope") == "run", (n <= F.length("form")) & (n < F.col("size")) & F.substr("form", n.cast("int") + 1, F.lit(1)).isin("", "\n"))
+            .otherwise(n == F.length("form")))
+        found = found.withColumn("length", F.explode(fits)).withColumn("form", F.substr("form", F.lit(1), F.col("length").cast("int")))
+        lines = F.size(F.split("form", "\n"))
+        found = found.where((F.col("scope") != "run") | ((lines > 1) & ~((F.col("place") == 0) & (lines == F.col("of")))))
+    hashed = found.select("doc_id", "scope", "paragraph", "line", _sha(F.translate("form", "\n", " ")).alias("digest"))
+    return hashed.join(hint(known.select("digest", "license_id")), "digest").select("doc_id", "scope", "paragraph", "line", "license_id", "digest")

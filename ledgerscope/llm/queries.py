@@ -93,24 +93,38 @@ def _canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({out}, '{licenses._GAPS}', ' ', 'g'))"
 
 
-_KNOWN = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licenses.known_texts())
+_KNOWN = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in licenses.known_texts() + licenses.bare_names())
+# Every line by itself; a run is a start and an end line whose distance in characters is the length of a known text.
 OP5_SQL = f"""
-WITH known AS (SELECT sha256({_canonical_sql("text")}) AS digest, min(license_id) AS license_id FROM (VALUES {_KNOWN}) AS k(license_id, text) GROUP BY 1),
-docs AS (SELECT row_number() OVER () AS rid, doc_id, text, regexp_split_to_array(text, '\n[ \t\r]*\n') AS parts FROM documents WHERE text IS NOT NULL),
-paragraphs AS (SELECT rid, doc_id, len(parts) AS n, unnest(parts) AS unit, generate_subscripts(parts, 1) - 1 AS paragraph FROM docs),
-cut AS (SELECT doc_id, paragraph, string_split(unit, chr(10)) AS ls FROM paragraphs),
-lines AS (SELECT doc_id, paragraph, len(ls) AS n, unnest(ls) AS unit, generate_subscripts(ls, 1) - 1 AS line FROM cut),
-units AS (SELECT doc_id, 'text' AS scope, 0 AS paragraph, 0 AS line, text AS unit FROM docs
-          UNION ALL SELECT doc_id, 'paragraph', paragraph, 0, unit FROM paragraphs WHERE n > 1
-          UNION ALL SELECT doc_id, 'line', paragraph, line, unit FROM lines WHERE n > 1)
+WITH forms AS (SELECT license_id, {_canonical_sql("text")} AS form FROM (VALUES {_KNOWN}) AS k(license_id, text)),
+known AS (SELECT sha256(form) AS digest, min(license_id) AS license_id FROM forms GROUP BY 1),
+sizes AS (SELECT DISTINCT string_split(form, ' ')[1] AS head, length(form) AS size FROM forms),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_split_to_array(text, '\n[ \t\r]*\n') AS parts FROM documents WHERE text <> ''),
+paragraphs AS (SELECT rid, doc_id, len(parts) AS ps, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS paragraph FROM docs),
+cut AS (SELECT *, string_split(part, chr(10)) AS ls FROM paragraphs),
+lines AS (SELECT rid, doc_id, ps, paragraph, len(ls) AS n, unnest(ls) AS raw, generate_subscripts(ls, 1) - 1 AS line FROM cut),
+clean AS (SELECT *, {_canonical_sql("raw")} AS form FROM lines),
+worded AS (SELECT *, row_number() OVER d AS seq, row_number() OVER p AS place, count(*) OVER (PARTITION BY rid, paragraph) AS of_lines,
+             sum(length(form) + 1) OVER d AS until, sum(length(form) + 1) OVER (PARTITION BY rid) - 1 AS total
+           FROM clean WHERE form <> '' WINDOW d AS (PARTITION BY rid ORDER BY paragraph, line), p AS (PARTITION BY rid, paragraph ORDER BY line)),
+found AS (
+  SELECT rid, doc_id, 'text' AS scope, 0 AS paragraph, 0 AS line, string_agg(form, ' ' ORDER BY paragraph, line) AS form FROM worded GROUP BY rid, doc_id
+  UNION ALL SELECT rid, doc_id, 'paragraph', paragraph, 0, string_agg(form, ' ' ORDER BY line) FROM worded WHERE ps > 1 GROUP BY rid, doc_id, paragraph
+  UNION ALL SELECT rid, doc_id, 'line', paragraph, line, form FROM worded WHERE n > 1),
+spans AS (SELECT s.rid, s.doc_id, s.paragraph, s.line, s.seq AS a, e.seq AS b FROM worded s
+          JOIN sizes k ON k.head = string_split(s.form, ' ')[1]
+          JOIN worded e ON e.rid = s.rid AND e.seq > s.seq AND e.until - s.until + length(s.form) = k.size
+          WHERE k.size < s.total AND NOT (s.place = 1 AND e.paragraph = s.paragraph AND e.place = e.of_lines)),
+runs AS (SELECT s.rid, s.doc_id, 'run' AS scope, s.paragraph, s.line, string_agg(w.form, ' ' ORDER BY w.seq) AS form
+         FROM spans s JOIN worded w ON w.rid = s.rid AND w.seq BETWEEN s.a AND s.b GROUP BY s.rid, s.doc_id, s.paragraph, s.line, s.a, s.b)
 SELECT doc_id, scope, paragraph::INTEGER AS paragraph, line::INTEGER AS line, license_id, digest
-FROM (SELECT *, sha256({_canonical_sql("unit")}) AS digest FROM units WHERE regexp_matches(unit, '(?i){licenses.KEYWORDS}')) JOIN known USING (digest)
+FROM (SELECT *, sha256(form) AS digest FROM (SELECT * FROM found UNION ALL SELECT * FROM runs)) JOIN known USING (digest)
 """
 
 
 @register("op5_license_scan", OP5_SQL)
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text, paragraph and line of the documents that is a known licence or licence notice."""
+    """Every whole text, paragraph, line and run of lines of the documents that is a known licence, notice or licence name."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 

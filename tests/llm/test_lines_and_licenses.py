@@ -57,12 +57,10 @@ def test_license_odd_input(odd_docs, clashing, no_docs):
     for df in (odd_docs, clashing, no_docs):
         assert licenses.scan_licenses(df).count() == 0
     assert len({x for x in licenses.known_texts()}) == len(licenses.known_texts())
-    assert all(re.search(licenses.KEYWORDS, t, re.I) for _, t in licenses.known_texts() if "under" not in t)
 
 
 def test_license_scan_finds_every_known_text(docs_of):
     known = licenses.known_texts()
-    assert any(not re.search(licenses.KEYWORDS, t, re.I) for _, t in known)
     rows = [(i, t) for i, (_, t) in enumerate(known)]
     rows += [(len(known) + i, "first line\n" + t + "\nlast line") for i, (_, t) in enumerate(known) if "\n" not in t]
     found = {(x.doc_id, x.scope) for x in licenses.scan_licenses(docs_of(rows)).collect()}
@@ -90,6 +88,70 @@ def test_license_laid_out_in_paragraphs_and_wrapped_lines(docs_of):
     assert (1, "paragraph", 0, 0, "MIT") in got and (3, "line", 0, 0, "MIT") in got  # title lines
 
 
+ISC = """ISC License
+
+Copyright (c) 2004, Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+""" + textwrap.fill(licenses._NO_WARRANTY, 75, break_on_hyphens=False)
+
+
+def test_license_standard_isc_layout_and_spdx_tags(docs_of):
+    rows = [(1, ISC), (2, "intro\n\n" + ISC + "\n\noutro"), (3, "# SPDX-License-Identifier: MIT\nimport os"), (4, "// SPDX-License-Identifier: GPL-2.0-or-later"),
+            (5, "Copyright 2020 X\nCopyright by Y\n(c) Z\nPortions Copyright (c) 1999 W\nMIT License"), (6, "copyright notice\nMIT License")]
+    got = {(x.doc_id, x.scope, x.paragraph, x.line, x.license_id) for x in licenses.scan_licenses(docs_of(rows)).collect()}
+    assert {(1, "run", 2, 0, "ISC"), (2, "run", 3, 0, "ISC"), (3, "line", 0, 0, "MIT"), (4, "text", 0, 0, "GPL-2.0"), (5, "text", 0, 0, "MIT")} <= got
+    assert not [x for x in got if x[0] == 6 and x[1] != "line"]
+
+
+def test_license_other_unicode_line_ends_do_not_move_a_run(docs_of):
+    """Lines end at line feeds; a next-line, line- or paragraph-separator character elsewhere loses or moves nothing."""
+    mit, bsd, apache = (dict(licenses.TEXTS)[k] for k in ("MIT", "BSD-3-Clause", "Apache-2.0"))
+    texts = [t.replace("\n", "\n\n") for t in (mit, bsd, apache)]
+    for odd in ("\x85", "\u2028", "\u2029", "\r", "\x0b", "\x0c", "\x01", "\x02", "\x1e"):
+        rows = [(i, f"a{odd}licensed thing{odd}\n\n{t}\n\nthe end") for i, t in enumerate(texts)]
+        got = {(x.doc_id, x.paragraph, x.line, x.license_id) for x in licenses.scan_licenses(docs_of(rows)).collect() if x.scope == "run"}
+        assert got == {(0, 1, 0, "MIT"), (1, 1, 0, "BSD-3-Clause"), (2, 1, 0, "Apache-2.0")}, repr(odd)
+    crlf = [(1, ("MIT License\n\n" + texts[0] + "\n\nmore").replace("\n", "\r\n"))]
+    assert {(x.scope, x.paragraph) for x in licenses.scan_licenses(docs_of(crlf)).collect()} == {("paragraph", 0), ("run", 1)}
+
+
+def test_license_in_a_text_of_many_thousand_lines(docs_of):
+    mit = "\n".join(textwrap.wrap(dict(licenses.TEXTS)["MIT"], 60, break_on_hyphens=False))
+    filler = "\n".join(f"this {i}" if i % 3 else "permission" for i in range(9_000))
+    words = "\n".join(dict(licenses.TEXTS)["Zlib"].split())  # one word a line: the longest run of lines
+    got = [(x.doc_id, x.scope, x.line, x.license_id) for x in licenses.scan_licenses(docs_of(
+        [(1, f"{filler}\n{mit}\n{filler}\n{words}\n{filler}\nMIT License")])).collect()]
+    n = len(mit.split("\n"))
+    assert sorted(got) == [(1, "line", 27_000 + n + len(words.split("\n")), "MIT"), (1, "run", 9_000, "MIT"), (1, "run", 18_000 + n, "Zlib")]
+
+
+def test_license_statement_agrees_on_texts_with_runs(spark, docs_of):
+    """OP5_SQL on licences laid out in lines and paragraphs, bare names, odd line ends and repeated rows."""
+    import duckdb
+    from ledgerscope.llm.queries import OP5_SQL
+    mit, bsd, apache = (dict(licenses.TEXTS)[k] for k in ("MIT", "BSD-3-Clause", "Apache-2.0"))
+    spread = lambda t: t.replace("\n", "\n \t\n")
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 A\n\n" + spread(mit)), (2, "x\n\n" + "\n".join(textwrap.wrap(bsd, 60, break_on_hyphens=False)) + "\n\ny\n\n\n"),
+            (3, ISC), (3, ISC), (4, apache), (5, "GPLv3"), (6, "a\nThe MIT License\nb\n\n\nreleased under\nthe MIT License\n"), (7, None), (8, ""),
+            (None, "b\x85\n\n" + spread(apache)), (9, mit + "\n" + mit), (10, "\n\nMIT\nLicense\n\n")]
+    con = duckdb.connect()
+    documents = spark.createDataFrame(rows, "doc_id long, text string").toPandas().astype({"doc_id": "Int64"})  # noqa: F841 - read by the statement
+    con.register("documents", documents)
+    want = sorted(con.execute(OP5_SQL).fetchall(), key=repr)
+    got = sorted(map(tuple, licenses.scan_licenses(docs_of(rows)).collect()), key=repr)
+    assert got == want and sum(r[1] == "run" for r in got) >= 6
+
+
+def test_license_known_table_without_heads_has_no_runs(spark, docs_of):
+    known = licenses.known_digests(spark).select("digest", "license_id")
+    rows = [(1, ISC), (2, "first\nMIT License"), (3, dict(licenses.TEXTS)["MIT"])]
+    assert {(x.doc_id, x.scope) for x in licenses.scan_licenses(docs_of(rows), known).collect()} == {(1, "paragraph"), (2, "line"), (3, "text")}
+
+
 def brute_secrets(text):
     text, out = text or "", []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A):
