@@ -15,7 +15,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -58,6 +57,7 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = 2048, end_id: int |
         if partition >> PARTITION_BITS:
             raise ValueError("too many input partitions for a sequence id")
         numbers = [0] * max_length.bit_length()
+        end = b"" if end_id is None else end_id.to_bytes(4, "little")
         schema = pa.schema([(f.name, t) for f, t in zip(PIECES, (
             pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))])
 
@@ -68,16 +68,15 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = 2048, end_id: int |
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             rows, held = [], 0
             for first in range(0, len(doc_ids), 64):
-                for doc_id, ids in zip(doc_ids[first:first + 64], encoder.encode(texts[first:first + 64].to_pylist())):
-                    if end_id is not None:
-                        ids.append(end_id)
-                    data, start = np.frombuffer(ids, np.uint32).astype("<u4", copy=False).tobytes(), 0
-                    for length in binary_lengths(len(ids), max_length):
+                for doc_id, data in zip(doc_ids[first:first + 64], encoder.encode_bytes(texts[first:first + 64].to_pylist())):
+                    data, start = data + end, 0
+                    n = len(data) // 4
+                    for length in binary_lengths(n, max_length):
                         bucket = length.bit_length() - 1
                         piece = data[4 * start:4 * (start + length)]
                         number = bucket << (PARTITION_BITS + NUMBER_BITS) | partition << NUMBER_BITS | numbers[bucket]
                         numbers[bucket] += 1
-                        rows.append((doc_id, start, length, bucket, len(ids), number, 0, zlib.crc32(piece),
+                        rows.append((doc_id, start, length, bucket, n, number, 0, zlib.crc32(piece),
                                      piece if with_ids else None))
                         start += length
                         held += len(piece) if with_ids else 64

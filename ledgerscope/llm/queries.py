@@ -148,8 +148,8 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Power-of-two pieces of every document, each a sequence of its own without padding."""
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), max_length=2048, end_id=1)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), max_length=2048, end_id=1, with_ids=False)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 @register("op9_sharding")

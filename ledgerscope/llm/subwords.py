@@ -10,6 +10,7 @@ from __future__ import annotations
 import itertools
 import os
 import re
+import struct
 from array import array
 
 import numpy as np
@@ -40,6 +41,7 @@ class SubwordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo = memo
         self.memo_of: dict[str, tuple[int, ...]] = {}
+        self.bytes_of: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         ends = np.zeros(self.size, bool)
@@ -114,6 +116,26 @@ class SubwordEncoder:
             out += [array("I", itertools.chain.from_iterable(map(get, s))) for s in split]
         return out
 
+    def encode_bytes(self, texts: list[str], group: int = 64) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; as ``encode``, joined from the ids' bytes by chunk."""
+        out = []
+        known = self.bytes_of
+        for start in range(0, len(texts), group):
+            split = [self._chunks(t) for t in texts[start:start + group]]
+            missing = set().union(*split).difference(known)
+            if missing:
+                if len(known) + len(missing) > self.memo:
+                    known.clear()
+                    missing = set().union(*split)
+                if len(self.memo_of) + len(missing) > self.memo:
+                    self.memo_of.clear()
+                self.learn(missing.difference(self.memo_of))
+                for c in missing:
+                    ids = self.memo_of[c]
+                    known[c] = struct.pack(f"<{len(ids)}I", *ids)
+            out += [b"".join(map(known.__getitem__, s)) for s in split]
+        return out
+
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of words that hold no ASCII white space; as ``encode``, without cutting each word again."""
         if any("<|" in w for w in words) or not _PLAIN.fullmatch("\n".join(words)):
