@@ -67,19 +67,18 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = 2048, end_id: int |
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             rows, held = [], 0
-            for first in range(0, len(doc_ids), 64):
-                for doc_id, data in zip(doc_ids[first:first + 64], encoder.encode_bytes(texts[first:first + 64].to_pylist())):
-                    data, start = data + end, 0
-                    n = len(data) // 4
-                    for length in binary_lengths(n, max_length):
-                        bucket = length.bit_length() - 1
-                        piece = data[4 * start:4 * (start + length)]
-                        number = bucket << (PARTITION_BITS + NUMBER_BITS) | partition << NUMBER_BITS | numbers[bucket]
-                        numbers[bucket] += 1
-                        rows.append((doc_id, start, length, bucket, n, number, 0, zlib.crc32(piece),
-                                     piece if with_ids else None))
-                        start += length
-                        held += len(piece) if with_ids else 64
+            for doc_id, data in zip(doc_ids, encoder.encode_bytes(x.as_py() for x in texts)):
+                data, start = data + end, 0
+                n = len(data) // 4
+                for length in binary_lengths(n, max_length):
+                    bucket = length.bit_length() - 1
+                    piece = data[4 * start:4 * (start + length)]
+                    number = bucket << (PARTITION_BITS + NUMBER_BITS) | partition << NUMBER_BITS | numbers[bucket]
+                    numbers[bucket] += 1
+                    rows.append((doc_id, start, length, bucket, n, number, 0, zlib.crc32(piece),
+                                 piece if with_ids else None))
+                    start += length
+                    held += len(piece) if with_ids else 64
                 if held > 4_000_000:
                     yield flush(rows)
                     rows, held = [], 0

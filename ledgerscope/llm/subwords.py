@@ -12,8 +12,11 @@ import os
 import re
 import struct
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
@@ -24,6 +27,8 @@ _PLAIN = re.compile(r"[!-±´-¸º»¿-ɏ \t\n\r\x0b\x0c]*")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")  # white space to str.split, but not to the tokenizer
 _LETTERS = re.compile(r"[a-zß-öø-ɏ]+")
+_LETTER_WORDS = re.compile(r"[a-zß-öø-ɏ]+(?: [a-zß-öø-ɏ]+)*")
+_ENDS = tuple(".,!?;:")  # marks that are pieces by themselves
 _ENCODERS: dict[str, "SubwordEncoder"] = {}
 
 
@@ -116,25 +121,92 @@ class SubwordEncoder:
             out += [array("I", itertools.chain.from_iterable(map(get, s))) for s in split]
         return out
 
-    def encode_bytes(self, texts: list[str], group: int = 64) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; as ``encode``, joined from the ids' bytes by chunk."""
-        out = []
+    def _pack(self, text: str) -> bytes:
+        ids = self._plain(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn_bytes(self, chunks: set[str]) -> None:
+        """As ``learn``, for ``bytes_of``: chunk -> ids as little-endian unsigned 32-bit integers."""
+        known, words, pairs, pieces = self.bytes_of, [], [], []
+        for c in chunks:
+            if c.isalpha():
+                words.append(c)
+            elif c[:1] == " ":
+                known[c] = self._pack(c)
+            elif c[-1:] in _ENDS and c[:-1].isalpha():
+                pairs.append((c, c[:-1], c[-1]))
+            else:
+                pieces.append((c, _PIECES.findall(c)))
+        wanted = {p for _, *ps in pairs for p in ps}.union(*(ps for _, ps in pieces)).difference(known).union(words)
+        letters = wanted if _LETTER_WORDS.fullmatch(" ".join(wanted)) else {w for w in wanted if _LETTERS.fullmatch(w)}
+        some = list(letters)
+        for i in range(0, len(some), 4000):
+            part = some[i:i + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part) or stops[-1] != len(ids):
+                known.update((w, self._pack(w)) for w in part)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, stop in zip(part, (4 * stops).tolist()):
+                known[w] = data[at:stop]
+                at = stop
+        for w in wanted.difference(letters):
+            known[w] = self._pack(w)
+        for c, head, end in pairs:
+            known[c] = known[head] + known[end]
+        for c, ps in pieces:
+            known[c] = b"".join(map(known.__getitem__, ps))
+
+    def _bytes_of_all(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk; the memo is emptied when the distinct chunks asked for do not fit beside it."""
         known = self.bytes_of
-        for start in range(0, len(texts), group):
-            split = [self._chunks(t) for t in texts[start:start + group]]
-            missing = set().union(*split).difference(known)
-            if missing:
-                if len(known) + len(missing) > self.memo:
-                    known.clear()
-                    missing = set().union(*split)
-                if len(self.memo_of) + len(missing) > self.memo:
-                    self.memo_of.clear()
-                self.learn(missing.difference(self.memo_of))
-                for c in missing:
-                    ids = self.memo_of[c]
-                    known[c] = struct.pack(f"<{len(ids)}I", *ids)
-            out += [b"".join(map(known.__getitem__, s)) for s in split]
-        return out
+        missing = set(chunks).difference(known)
+        if missing:
+            if len(known) + len(missing) > self.memo:
+                known.clear()
+                missing = set(chunks)
+            known[""] = b""
+            missing.discard("")
+            self._learn_bytes(missing)
+        return list(map(known.__getitem__, chunks))
+
+    def encode_bytes(self, texts: list[str], group: int = 8_000_000) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; as ``encode``.
+
+        About ``group`` characters of plain texts are cut and their chunks numbered by Arrow; only the distinct ones are looked
+        up or encoded, and the ids are gathered by number.
+        """
+        held, chars = [], 0
+        for text in texts:
+            plain = "<|" not in text and _PLAIN.fullmatch(text)
+            held.append((text.lower().replace("\x85", " ").replace("\xa0", " "), True) if plain else (text, False))
+            chars += len(text)
+            if chars >= group:
+                yield from self._encode_group(held)
+                held, chars = [], 0
+        if held:
+            yield from self._encode_group(held)
+
+    def _encode_group(self, held: list[tuple[str, bool]]) -> Iterator[bytes]:
+        lists = pc.ascii_split_whitespace(pa.array([t for t, plain in held if plain], pa.large_string()))
+        chunks = lists.flatten().dictionary_encode()
+        values = self._bytes_of_all(chunks.dictionary.to_pylist())
+        size = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(values), "<u4")
+        number = chunks.indices.to_numpy(zero_copy_only=False)
+        lengths = size[number]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        data = flat[np.repeat(first[number] - upto[:-1], lengths) + np.arange(upto[-1])].tobytes()
+        cuts = lists.offsets.to_numpy()
+        ends = (4 * upto[cuts - cuts[0]]).tolist() if len(lists) else [0]
+        spans = zip(ends, ends[1:])
+        for text, plain in held:
+            if plain:
+                a, b = next(spans)
+                yield data[a:b]
+            else:
+                yield b"".join(self._bytes_of_all(self._chunks(text)))
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of words that hold no ASCII white space; as ``encode``, without cutting each word again."""
