@@ -132,6 +132,9 @@ def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3)]
     got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
+    long, rounds = [(i, i + 1) for i in range(1000)], []
+    got = {x.node: x.component for x in components.connected_components(spark.createDataFrame(long, "a long, b long"), rounds).collect()}
+    assert got == {i: 0 for i in range(1001)} and len(rounds) < 12 and rounds == sorted(rounds, reverse=True)
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
