@@ -13,6 +13,7 @@ not change a score.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from bisect import bisect_left
@@ -25,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerscope.llm.common import batch_texts, map_with_columns, text_or_empty
+from ledgerscope.llm.common import batch_texts, map_with_columns, materialise, text_or_empty
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.7
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 32
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -186,11 +187,17 @@ def leaks_in(index: Index, text: str | None, overlap: float = OVERLAP) -> list[t
         if not may_retrieve(index, found[k]):
             continue
         passage = words[k * step:(k + 2) * step]
-        for number, score in search(index, set(passage)):
-            def held(part: list[str]) -> float:
-                size = min(SHINGLE, len(part))
-                return _overlap(shingles(part, size), shingles(passage, size)) if part else 1.0
+        whole: dict[int, set] = {}  # the passage's shingles by length, made once
+
+        def held(part: list[str]) -> float:
+            if not part:
+                return 1.0
+            size = min(SHINGLE, len(part))
+            if size not in whole:
+                whole[size] = shingles(passage, size)
+            return _overlap(shingles(part, size), whole[size])
 
+        for number, score in search(index, set(passage)):
             q, a = held(index.questions[number]), held(index.answers[number])
             if q >= overlap and a >= overlap:
                 row = (index.ids[number], k * step, k * step + len(passage), score, q, a)
@@ -200,10 +207,10 @@ def leaks_in(index: Index, text: str | None, overlap: float = OVERLAP) -> list[t
 
 
 def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", threshold: float = THRESHOLD,
-                 block_words: int = BLOCK_WORDS) -> Iterator[Index]:
-    """Indexes that together hold every item, each of about ``block_words`` words (an item alone may have more).
+                 block_words: int = BLOCK_WORDS) -> Iterator[tuple[int, Index]]:
+    """(number of blocks, index) of blocks that together hold every item, each of about ``block_words`` words (an item alone may have more).
 
-    The driver holds one block at a time: its items, and the document frequencies of its words.
+    The driver holds one block at a time, if its caller lets go of it: its items, and the document frequencies of its words.
     """
     items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(f"`{text_col}`").alias("text"))
 
@@ -225,7 +232,7 @@ def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         own = [(r.id, r.text) for r in items.distinct().where(block == i).orderBy("id", "text").toLocalIterator()]
         seen = words.where(block == i).select("word").distinct()
         df = {r.word: r.df for r in frequency.join(seen, "word", "left_semi").toLocalIterator()}
-        yield build_index(own, df, totals.items, totals.words / totals.items, threshold)
+        yield blocks, build_index(own, df, totals.items, totals.words / totals.items, threshold)
 
 
 _LEAK = T.ArrayType(T.StructType([
@@ -238,27 +245,37 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", th
     """``docs`` with ``leaks``: an array with one struct for each verified item of the benchmark (a column of that name is replaced).
 
     Every row and column stays. Null and empty texts have no leaks; items without words leak nowhere; an empty
-    benchmark gives empty arrays. Repeated rows are marked alike, repeated items count once.
+    benchmark gives empty arrays. Repeated rows are marked alike, repeated items count once. An item's best passage is the
+    one of the largest overlaps, the first of equal ones.
+
+    A benchmark of one block is searched in one narrow pass. A larger one is an action: block after block is searched and
+    the leaks it finds are written by the digest of the text (few rows), then joined to ``docs``, so that driver and
+    tasks never hold more than one block.
     """
     fields = [(f.name, pa.int64() if isinstance(f.dataType, T.LongType) else pa.float64()) for f in _LEAK.elementType]
     kind = pa.list_(pa.struct(fields))
 
-    def pass_of(index: Index):
+    def searched(df: DataFrame, index: Index) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
             for b in batches:
                 yield [pa.array([[dict(zip((n for n, _ in fields), row)) for row in leaks_in(index, t, overlap)]
                                  for t in batch_texts(b, text_col)], kind)]
-        return run
-
-    out, column = docs, None
-    for index in index_blocks(benchmark, threshold=threshold, block_words=block_words):
-        if column is None:
-            out = map_with_columns(out, [("leaks", _LEAK)], pass_of(index))
-            column = True
-        else:
-            out = map_with_columns(out, [("_more_leaks", _LEAK)], pass_of(index))
-            out = out.withColumn("leaks", F.concat("leaks", "_more_leaks")).drop("_more_leaks")
-    return out if column else docs.withColumn("leaks", F.array().cast(_LEAK))
+        return map_with_columns(df, [("leaks", _LEAK)], run)
+
+    digest = F.md5(F.col(f"`{text_col}`").cast("string").cast("binary"))
+    found = []
+    for blocks, index in index_blocks(benchmark, threshold=threshold, block_words=block_words):
+        if blocks == 1:
+            return searched(docs, index)
+        hits = searched(docs.select(F.col(f"`{text_col}`")), index).where(F.size("leaks") > 0)
+        found.append(materialise(hits.groupBy(digest.alias("_leak_key")).agg(F.first("leaks").alias("_leaks")).withColumn("_block", F.lit(len(found)))))
+    if not found:
+        return docs.withColumn("leaks", F.array().cast(_LEAK))
+    ordered = F.array_sort(F.collect_list(F.struct("_block", "_leaks")))
+    leaks = functools.reduce(DataFrame.unionByName, found).groupBy("_leak_key").agg(F.flatten(F.transform(ordered, lambda x: x["_leaks"])).alias("leaks"))
+    rows = docs.drop("leaks").withColumn("_text_key", digest)
+    return (rows.join(leaks, F.col("_text_key") == F.col("_leak_key"), "left").drop("_text_key", "_leak_key")
+            .withColumn("leaks", F.coalesce("leaks", F.array().cast(_LEAK))))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
