@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ledgerscope.llm.common import materialise
 
-RATIO = 0.1
-MIN_PAGES = 5
+#: A line on one page in twenty is boilerplate with room to spare; two pages that agree may be one copy of another.
+RATIO = 0.04
+MIN_PAGES = 3
 
 
 def _lines(text: Column) -> Column:

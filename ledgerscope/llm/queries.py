@@ -50,7 +50,7 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(kept) = len(lines) THEN
 
 @register("op1_line_dedup", OP1_SQL)
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with the lines taken out that are on more than a tenth of their source's documents."""
+    """All documents with the lines taken out that are on more than one in twenty-five of their source's documents."""
     docs = table(spark, sf_dir, "documents")
     return line_dedup.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
 
