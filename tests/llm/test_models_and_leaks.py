@@ -63,7 +63,7 @@ def test_leaks_need_question_and_answer(spark, docs_of, odd_docs, clashing, no_d
     assert sorted(x.doc_id for x in D.drop_contaminated(docs, bench).collect()) == [2, 3, 4, 7]
     for df in (odd_docs, clashing):
         kept = D.drop_contaminated(df, bench)
-        assert kept.columns.sort() == list(df.columns).sort() and kept.count() == df.count()
+        assert kept.columns == df.columns and kept.count() == df.count()
     assert D.mark_leaks(no_docs, bench).count() == 0
     assert D.drop_contaminated(docs, bench.where("false")).count() == 7
 
@@ -80,20 +80,59 @@ def test_leaks_match_brute_force_on_given_documents(spark):
         assert len(own & D.shingles(texts[d])) >= 0.8 * len(own)
 
 
-def test_prior_estimate_and_risk():
+def test_prior_estimate_and_risk(spark):
+    """Unlabelled rows in several partitions, of which one holds positives alone: prior and network come from all of them."""
     rng = np.random.default_rng(1)
     good, bad = rng.normal(1.5, 1, (4000, 3)), rng.normal(-1.5, 1, (4000, 3))
+    none, one = np.zeros(3), np.ones(3)
     for share in (0.3, 0.8):
         k = int(3000 * share)
         u = np.concatenate([good[1000:1000 + k], bad[:3000 - k]])
-        u = u[rng.permutation(len(u))]
-        prior = quality.estimate_prior(good[:1000], u)
+        mixed = u[np.concatenate([np.arange(200), 200 + rng.permutation(2800)])]
+        measures = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(mixed)], "id long, x array<float>").repartitionByRange(4, "id")
+        prior = quality.estimate_prior(measures, good[:1000], none, one)
         assert abs(prior - share) < 0.1
-        w = quality._fit(good[:1000], u, prior)
+        w = quality.averaged_training(measures, good[:1000], quality.initial_weights(3), prior, quality.RATES, none, one)
         s = quality._sigmoid(quality._forward(w, np.concatenate([good[3500:], bad[3500:]]))[1])
         assert np.mean((s >= 0.5) == (np.arange(1000) < 500)) > 0.9
 
 
+def test_risk_by_brute_force_and_its_gradients():
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(1, 1, (7, 4)), rng.normal(0, 1, (9, 4))
+    seen = set()
+    for prior, push in ((None, 0), (0.3, 0), (0.9, 0), (0.9, -4)):
+        w = quality.initial_weights(4, seed=5)
+        w[4][0] = push  # a low bias makes the unlabelled part nearly all negative, and its estimate falls below zero
+        loss = lambda x, y, w: float(np.mean(np.logaddexp(0, -y * quality._forward(w, x)[1])))
+        rp, rn, ru = loss(p, 1, w), loss(p, -1, w), loss(u, -1, w)
+        risk, grads = quality.risk_gradients(w, p, u, prior)
+        negative = None if prior is None else ru - prior * rn
+        assert abs(risk - (rp + ru if prior is None else prior * rp + max(0, negative))) < 1e-12
+        seen.add(negative is None or negative >= 0)
+        down = (lambda w: loss(p, 1, w) + loss(u, -1, w)) if prior is None else \
+            (lambda w: prior * loss(p, 1, w) + loss(u, -1, w) - prior * loss(p, -1, w)) if negative >= 0 else (lambda w: prior * loss(p, -1, w) - loss(u, -1, w))
+        for i, a in enumerate(w):
+            for at in list(np.ndindex(a.shape))[:8]:
+                step = [x.copy() for x in w]
+                step[i][at] += 1e-6
+                assert abs((down(step) - down(w)) / 1e-6 - grads[i][at]) < 1e-5
+    p, u = rng.normal(3, 0.1, (50, 4)), rng.normal(3, 0.1, (50, 4))
+    w = quality.train(quality.initial_weights(4), p, u, 0.98, 0.02, rng)
+    seen.add(quality.risk_gradients(w, p, u, 0.98)[0] > 0.98 * float(np.mean(np.logaddexp(0, -quality._forward(w, p)[1]))) - 1e-9)
+    assert True in seen
+
+
+def test_training_goes_through_every_row(monkeypatch):
+    used = []
+    real = quality.risk_gradients
+    monkeypatch.setattr(quality, "STEPS", 1)
+    monkeypatch.setattr(quality, "BATCH", 4)
+    monkeypatch.setattr(quality, "risk_gradients", lambda w, zp, zu, prior: used.extend(zu[:, 0].tolist()) or real(w, zp, zu, prior))
+    quality.train(quality.initial_weights(2), np.ones((3, 2)), np.stack([np.arange(11.0), np.zeros(11)], 1), 0.5, 0.01, np.random.default_rng(0))
+    assert set(used) == set(range(11)) and len(used) == 12
+
+
 def test_quality_on_held_out_labels(spark):
     labels = {x.doc_id: x.quality for x in spark.read.parquet(f"{SF_MID}/labels.parquet").collect()}
     rows = QUERIES["op10_quality_classifier"](spark, SF_MID).collect()
