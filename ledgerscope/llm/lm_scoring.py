@@ -1,13 +1,15 @@
 """LM scoring: a causal self-attention model over subword ids, learnt from the training texts, scores every text.
 
-Learning. Word counts come from all training texts (a shuffle of per-block partial counts). Subword counts follow
+Texts are cut into blocks of ``BLOCK_BYTES`` and written as the numbers of their words, beside the block's dictionary.
+
+Learning. Word counts come from all training texts (a shuffle of the dictionaries' partial counts). Subword counts follow
 from the distinct words, since subwords never cross words. Attention weights are learnt from all windows of all
-training texts: each round takes another slice of the windows, every task trains a copy of the weights on its part,
-and the copies are averaged by Spark, piece by piece.
+training texts: each round takes another slice of the written windows in one narrow pass, every task trains a copy of
+the weights on its part, in mixed order, and the copies are averaged by Spark, piece by piece.
 
-Scoring. Texts are cut into blocks of ``BLOCK_BYTES``. A block's distinct words are joined to the corpus counts and
-subword ids (each distinct word of the corpus is tokenised once), and the block meets its own small dictionary in a
-cogroup: nothing that grows with the corpus is broadcast. Overlapping
+Scoring. The dictionaries' words are joined to the corpus counts and
+subword ids (each distinct word of the corpus is tokenised once), and a block's numbers meet its own dictionary in a
+cogroup: nothing that grows with the corpus is broadcast, and no text is shuffled. Overlapping
 context windows score each subword once in batches. The score of a text is the log probability under a mixture,
 word by word, of the attention model and the word frequencies, with a uniform prior over the mixture weight of
 each text. White space is not modelled. An unknown word has the frequencies' unknown share times its attention
@@ -19,12 +21,11 @@ from __future__ import annotations
 import binascii
 import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,54 +36,52 @@ from ledgerscope.llm.subwords import SubwordEncoder
 BLOCK_BYTES = 28 << 20
 #: Learning rate of each round.
 RATES = (0.02, 0.014, 0.007, 0.002)
-TOKENS_A_TASK = 1_000_000
 BATCH_WINDOWS = 48
 #: Mixture weights of the attention model.
 WEIGHTS = (0.0, 0.15, 0.4, 0.7, 1.0)
+TOKENS_A_TASK = 1_000_000
+#: Windows that a task holds to mix their order.
+MIXED = 16_384
 _PIECE = 8192
+_BLOCKS = "block long, doc_id long, train boolean, numbers binary, number int, word binary, n long"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers blocks of neighbouring rows: (partition << 32) + block within the partition."""
-    from pyspark import TaskContext
-
-    part, number, size = TaskContext.get().partitionId(), 0, 0
-    for b in batches:
-        blocks = np.empty(b.num_rows, np.int64)
-        lengths = pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False)
-        for i, n in enumerate(lengths.tolist()):
-            if size and size + n > BLOCK_BYTES:
-                number, size = number + 1, 0
-            size += n + 64
-            blocks[i] = (part << 32) + number
-        yield pa.RecordBatch.from_arrays([pa.array(blocks), *b.columns], names=["block", *b.schema.names])
+    """Blocks of neighbouring rows, (partition << 32) + block within the partition, as rows of two kinds.
 
-
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, word, n): the words of a block, n counting training texts only; the empty word is the end of a text."""
-    block, counts, seen = None, Counter(), set()
+    A text: doc_id, train, and the numbers of its words in the block's dictionary (unsigned 32-bit; the empty word ends it).
+    A word: its number, and how often training texts of the block have it. A block holds ``BLOCK_BYTES`` of texts, or one text.
+    """
+    part, block, size = TaskContext.get().partitionId(), 0, 0
+    number: dict[bytes, int] = {}
+    ids, trains, texts = [], [], []
 
     def flush():
-        rest = list(seen.difference(counts))
-        words = list(counts) + rest
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(words), block, np.int64)), pa.array(words, pa.binary()),
-            pa.array(list(counts.values()) + [0] * len(rest), pa.int64())], names=["block", "word", "n"])
+        def of(rows, /, **columns):
+            types = {"block": pa.int64(), "doc_id": pa.int64(), "train": pa.bool_(), "numbers": pa.binary(), "number": pa.int32(), "word": pa.binary(), "n": pa.int64()}
+            columns["block"] = np.full(rows, (part << 32) + block, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in types.items()], names=list(types))
+
+        learnt = [t for t, train in zip(texts, trains) if train]
+        n = np.bincount(np.concatenate(learnt) if learnt else np.zeros(0, np.int64), minlength=len(number))
+        for a in range(0, len(ids), 4096):
+            yield of(len(ids[a:a + 4096]), doc_id=ids[a:a + 4096], train=trains[a:a + 4096], numbers=[t.tobytes() for t in texts[a:a + 4096]])
+        yield of(len(number), number=np.arange(len(number)), word=list(number), n=n)
 
     for b in batches:
-        for own, train, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            if own != block or len(counts) + len(seen) > 600_000:
-                if counts or seen:
-                    yield flush()
-                block, counts, seen = own, Counter(), set()
+        for doc_id, train, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             words = words_of(text.as_py())
             words.append(b"")
-            if train:
-                counts.update(words)
-            else:
-                seen.update(words)
-    if counts or seen:
-        yield flush()
+            here = sum(map(len, words)) + len(words)
+            if size and size + here > BLOCK_BYTES:
+                yield from flush()
+                number, ids, trains, texts, block, size = {}, [], [], [], block + 1, 0
+            size += here
+            ids.append(doc_id)
+            trains.append(train)
+            texts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), "<u4", len(words)))
+    if ids:
+        yield from flush()
 
 
 def _texts_of(words: list[bytes]) -> list[str]:
@@ -154,17 +153,24 @@ def _batches_of(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return x[:, :-1], x[:, 1:], np.arange(A.WINDOW) < (n - 1)[:, None]
 
 
-def _local_training(weights: dict[str, np.ndarray], rate: float):
+def _local_training(weights: dict[str, np.ndarray], rate: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+
+        def mixed(held: list[bytes]):
+            order = rng.permutation(len(held)).tolist()  # an order without runs of one text
+            for i in range(0, len(held), BATCH_WINDOWS):
+                yield _batches_of([held[k] for k in order[i:i + BATCH_WINDOWS]])
+
         def groups():
             held: list[bytes] = []
             for b in batches:
                 held += b.column(0).to_pylist()
-                while len(held) >= BATCH_WINDOWS:
-                    yield _batches_of(held[:BATCH_WINDOWS])
-                    del held[:BATCH_WINDOWS]
+                if len(held) >= MIXED:
+                    yield from mixed(held)
+                    held = []
             if held:
-                yield _batches_of(held)
+                yield from mixed(held)
 
         trained, tokens = A.train_locally(weights, groups(), rate)
         if tokens:
@@ -186,13 +192,12 @@ def _average(table: pa.Table) -> pa.Table:
 
 def train_attention(texts: DataFrame, vocabulary: A.Vocabulary, tokenizer: str) -> dict[str, np.ndarray]:
     """Weights learnt from all windows of ``texts`` (doc_id, text)."""
-    windows = materialise(texts.select("doc_id", "text").mapInArrow(_windows(tokenizer, vocabulary), "round int, window binary"))
+    windows = materialise(texts.select("doc_id", "text").mapInArrow(_windows(tokenizer, vocabulary), "round int, window binary"), compression="zstd")
     tasks = max(1, -(-windows.count() * A.WINDOW // (len(RATES) * TOKENS_A_TASK)))
     weights = A.initial_weights(vocabulary)
     for r, rate in enumerate(RATES):
-        part = windows.where(F.col("round") == r).select("window", F.xxhash64("window").alias("h"))
-        part = part.repartition(tasks).sortWithinPartitions("h").select("window")  # an order without runs of one text
-        rows = (part.mapInArrow(_local_training(weights, rate), "piece int, tokens long, values binary")
+        rows = (windows.where(F.col("round") == r).select("window").coalesce(tasks)  # narrow: few tokens are not spread over many copies
+                .mapInArrow(_local_training(weights, rate, r), "piece int, tokens long, values binary")
                 .groupBy("piece").applyInArrow(_average, "piece int, values binary").orderBy("piece").collect())
         if rows:
             weights = A.unflatten(np.concatenate([np.frombuffer(x["values"], np.float32) for x in rows]), weights)
@@ -201,14 +206,14 @@ def train_attention(texts: DataFrame, vocabulary: A.Vocabulary, tokenizer: str)
 
 def _score_block(weights: dict[str, np.ndarray], vocabulary: A.Vocabulary, denominator: float):
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
-        number = {w: i for i, w in enumerate(words.column("word").to_pylist())}  # of equal rows the last serves
+        words = words.sort_by("number")
         counts = words.column("c").to_numpy()
         flat, lengths = _flat_ids(words.column("ids"), len(vocabulary.slot_of) - 1)
         starts = np.cumsum(lengths) - lengths
         slots, inside = vocabulary.slot_of[flat], vocabulary.inside[flat]
         base10, base = np.log10((counts + 1) / denominator), np.log((counts + 1) / denominator)
         end_slot = int(vocabulary.slot_of[-1])
-        doc_ids, column = texts.column("doc_id").to_pylist(), texts.column("text")
+        doc_ids = texts.column("doc_id").to_pylist()
         out: list[tuple] = []
 
         def score(group: list[np.ndarray]) -> None:
@@ -230,11 +235,10 @@ def _score_block(weights: dict[str, np.ndarray], vocabulary: A.Vocabulary, denom
             out.append((n_words, np.add.reduceat(known.astype(np.int64), first_word), np.add.reduceat(base10[word], first_word), total,
                         np.add.reduceat(a, first_word) / math.log(10)))
 
-        get, group, held = number.__getitem__, [], 0
-        for x in column:
-            own = words_of(x.as_py())
-            own.append(b"")
-            group.append(np.fromiter(map(get, own), np.int64, len(own)))
+        group, held = [], 0
+        for x in texts.column("numbers"):
+            own = np.frombuffer(x.as_py(), "<u4").astype(np.int64)
+            group.append(own)
             held += len(own)
             if held > 30_000:
                 score(group)
@@ -258,8 +262,8 @@ def score_texts(docs: DataFrame, training: Column, tokenizer: str, id_col: str =
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"),
                        text_or_empty(f"`{text_col}`").alias("text"))
-    blocks = materialise(rows.mapInArrow(_blocks, "block long, doc_id long, train boolean, text string"), compression="zstd")
-    words = materialise(blocks.select("block", "train", "text").mapInArrow(_block_words, "block long, word binary, n long"), compression="zstd")
+    blocks = materialise(rows.mapInArrow(_blocks, _BLOCKS), compression="zstd")
+    words = blocks.where("word is not null").select(F.col("block").alias("own_block"), "number", "word", "n")
     counts = materialise(words.groupBy("word").agg(F.sum("n").alias("c")), compression="zstd")
     total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     denominator = float(total.n + 1 * (total.v + 1))
@@ -269,9 +273,9 @@ def score_texts(docs: DataFrame, training: Column, tokenizer: str, id_col: str =
               .groupBy("id").agg(F.sum("n").alias("n")).limit(len(frequency)).collect()):
         frequency[r.id] = r.n
     vocabulary = A.vocabulary_of(frequency)
-    weights = train_attention(blocks.where("train"), vocabulary, tokenizer)
-    dictionary = words.select("block", "word").join(encoded, "word").select("block", "word", "c", "ids")
-    scored = (blocks.select("block", "doc_id", "text").groupBy("block").cogroup(dictionary.groupBy("block"))
+    weights = train_attention(rows.where("train"), vocabulary, tokenizer)
+    dictionary = words.select("own_block", "number", "word").join(encoded, "word").select("own_block", "number", "c", "ids")
+    scored = (blocks.where("numbers is not null").select("block", "doc_id", "numbers").groupBy("block").cogroup(dictionary.groupBy("own_block"))
               .applyInArrow(_score_block(weights, vocabulary, denominator),
                             "doc_id long, n_tokens long, n_known long, base_score double, score double, attention_score double"))
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(int(total.n)).cast("long").alias("train_tokens"), "base_score", "score", "attention_score")
