@@ -222,7 +222,7 @@ def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                                                   pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["id", "text", "word", "tf"])
 
     words = items.distinct().mapInArrow(count_words, "id long, text string, word string, tf long")
-    totals = words.groupBy("id", "text").agg(F.sum("tf").alias("n")).agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("words")).first()
+    totals = words.groupBy("id", "text").agg(F.sum("tf").alias("n")).agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("words"), F.max("n").alias("longest")).first()
     if not totals.items:
         return
     blocks = -(-totals.words // block_words)
@@ -232,7 +232,9 @@ def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         own = [(r.id, r.text) for r in items.distinct().where(block == i).orderBy("id", "text").toLocalIterator()]
         seen = words.where(block == i).select("word").distinct()
         df = {r.word: r.df for r in frequency.join(seen, "word", "left_semi").toLocalIterator()}
-        yield blocks, build_index(own, df, totals.items, totals.words / totals.items, threshold)
+        index = build_index(own, df, totals.items, totals.words / totals.items, threshold)
+        index.longest = totals.longest  # passages are the same for every block
+        yield blocks, index
 
 
 _LEAK = T.ArrayType(T.StructType([
