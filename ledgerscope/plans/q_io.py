@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerscope.functions.exprs import zero_padded
 from ledgerscope.operators.aggregates import eval_binary
 from ledgerscope.operators.feedback import params_from_override, tune_threshold
 from ledgerscope.operators.filters import label_ground_truth
@@ -238,27 +237,31 @@ _TUNE_SQL = """SELECT tp AS true_positives, fpc AS false_positives, tp + fpc AS
              WHEN fpc / (tp + fpc) < 0.1 THEN greatest(0.1, 0.6 - 0.05) ELSE 0.6 END, 3) AS new_threshold,
   CASE WHEN tp + fpc = 0 THEN 'no_feedback' WHEN fpc / (tp + fpc) > 0.5 THEN 'raise'
        WHEN fpc / (tp + fpc) < 0.1 THEN 'lower' ELSE 'keep' END AS action
-FROM (SELECT count(*) FILTER (WHERE quality = 1) AS tp, count(*) FILTER (WHERE quality <> 1) AS fpc
-      FROM labels WHERE {where}) c"""
+FROM (SELECT count(*) FILTER (WHERE {confirmed}) AS tp, count(*) FILTER (WHERE NOT ({confirmed})) AS fpc FROM labels) c"""
 
 
-@register("tune_threshold", _TUNE_SQL.format(where="true"))
+@register("tune_threshold", _TUNE_SQL.format(confirmed="quality = 1"))
 def q_tune_threshold(spark, sf):
     return tune_threshold(feedback_view(spark, sf), 0.6)
 
 
-@register("tune_threshold_toxic", _TUNE_SQL.format(where="toxic = 1"))
+def _verdicts(spark, sf, confirmed):
+    """All labels as verdicts, confirmed by another column than quality."""
+    verdict = F.when(confirmed, F.lit("True Positive")).otherwise(F.lit("False Positive"))
+    return table(spark, sf, "labels").select(F.lit("2024-02-01T00:00:00").alias("timestamp"), F.col("doc_id").cast("string").alias("customer_id"),
+                                             verdict.alias("feedback"), F.lit("S").alias("session_id"))
+
+
+@register("tune_threshold_toxic", _TUNE_SQL.format(confirmed="toxic = 1"))
 def q_tune_threshold_toxic(spark, sf):
-    lab = table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
-    fb = feedback_view(spark, sf).join(
-        lab.select(F.concat(F.lit("CUST"), zero_padded(F.col("doc_id"), 5)).alias("customer_id")),
-        "customer_id", "left_semi")
-    return tune_threshold(fb, 0.6)
+    """All verdicts, confirmed where toxic: mostly false positives, so the threshold rises."""
+    return tune_threshold(_verdicts(spark, sf, F.col("toxic") == 1), 0.6)
 
 
-@register("tune_threshold_confirmed", _TUNE_SQL.format(where="quality = 1"))
+@register("tune_threshold_confirmed", _TUNE_SQL.format(confirmed="quality = 1 OR toxic = 0"))
 def q_tune_threshold_confirmed(spark, sf):
-    return tune_threshold(feedback_view(spark, sf).filter(F.col("feedback") == "True Positive"), 0.6)
+    """All verdicts, confirmed where of quality or not toxic: few false positives, so the threshold falls."""
+    return tune_threshold(_verdicts(spark, sf, (F.col("quality") == 1) | (F.col("toxic") == 0)), 0.6)
 
 
 @register("params_override", """SELECT round(CASE WHEN tp + fpc = 0 THEN 0.6 WHEN fpc / (tp + fpc) > 0.5 THEN 0.65

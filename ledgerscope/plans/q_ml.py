@@ -65,6 +65,19 @@ def q_pipeline_broad(spark, sf):
         "total_transactions", "median_amount")
 
 
+@register("pipeline_broad_facts", with_ctes("""SELECT count(*) AS total_transactions, round(median(CAST(amount AS DOUBLE)), 2) AS median_amount,
+  true AS evidence_is_all_rows, true AS score_decides FROM txn""", TXN_CTE))
+def q_pipeline_broad_facts(spark, sf):
+    """What must hold of the broad run: the summary, the evidence of each item, and a risk score that is the model's own."""
+    items = cut_lineage(q_pipeline_broad(spark, sf))
+    txn = txn_view(spark, sf)
+    own = txn.groupBy("customer_id").agg(F.count(F.lit(1)).alias("rows"))
+    held = items.join(own, "customer_id", "left").agg(
+        F.coalesce(F.bool_and(F.col("evidence_count") == F.col("rows")), F.lit(True)).alias("evidence_is_all_rows"),
+        F.coalesce(F.bool_and((F.col("agreement") == "Disagreement") & (F.col("risk_score") >= 100 * FIX.ml_score_threshold - 0.05)), F.lit(True)).alias("score_decides"))
+    return attach_global(agg_summary(txn).select("total_transactions", "median_amount"), held)
+
+
 def _forest_run(spark, sf):
     return flagship_items(txn_view(spark, sf), FIX, lambda customers: forest_scores(customers, FIX))
 
@@ -136,6 +149,35 @@ def q_backtest_unsupervised(spark, sf):
     return backtest_unsupervised(_split(spark, sf), FIX)
 
 
+# The labelled test rows: the last 30 % by customer and time.
+_TEST_ROWS = """(SELECT * FROM (
+  SELECT customer_id, transaction_id, CAST(amount AS DOUBLE) AS amount, coalesce((amount >= 9000.0 AND amount < 10000.0 AND transaction_type = 'cash_deposit')
+           OR (amount > 50000.0 AND transaction_type = 'transfer'), false) AS y,
+         row_number() OVER (ORDER BY customer_id, timestamp, transaction_id) AS i, count(*) OVER () AS n FROM txn) WHERE i > floor(n * 0.7))"""
+
+
+@register("train_supervised_facts", with_ctes(f"""SELECT customer_id, count(*) AS rows, count(*) FILTER (WHERE y) AS labelled, round(sum(amount), 2) AS amount,
+  true AS predicted_once FROM {_TEST_ROWS} t GROUP BY customer_id""", TXN_CTE))
+def q_train_supervised_facts(spark, sf):
+    """The seeded model's predictions by customer: every test row once, with its label, and predictions of 0 or 1."""
+    split = cut_lineage(_split(spark, sf))
+    pred = train_supervised(split).join(split.select("transaction_id", F.col("amount").cast("double").alias("amount")), "transaction_id")
+    return pred.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("label") == 1).alias("labelled"), F.round(F.sum("amount"), 2).alias("amount"),
+        ((F.count_distinct("transaction_id") == F.count(F.lit(1))) & F.bool_and(F.col("prediction").isin(0, 1))).alias("predicted_once"))
+
+
+@register("backtest_unsupervised_facts", with_ctes(f"""SELECT count(*) AS total, count(*) FILTER (WHERE y) AS labelled, true AS whole_customers FROM {_TEST_ROWS} t""", TXN_CTE))
+def q_backtest_unsupervised_facts(spark, sf):
+    """The confusion counts add up to the labelled test rows, and rows predicted 1 are those of whole flagged customers."""
+    split = cut_lineage(_split(spark, sf))
+    test = split.where("not is_train")
+    hits = cut_lineage(detect_anomaly(agg_customer_features(test), FIX).select("customer_id"))
+    flagged = test.join(hits, "customer_id", "left_semi").agg(F.count(F.lit(1)).alias("flagged"))
+    r = attach_global(backtest_unsupervised(split, FIX), flagged)
+    return r.select(F.col("total_samples").alias("total"), F.col("positives").alias("labelled"), (F.col("tp") + F.col("fp") == F.col("flagged")).alias("whole_customers"))
+
+
 _BACKTEST_SQL = with_ctes("""SELECT count(*) AS total_test_samples, sum(y) AS illicit_cases_in_test, CAST(2 AS BIGINT) AS models FROM (
   SELECT CAST(coalesce((amount >= 9000.0 AND amount < 10000.0 AND transaction_type = 'cash_deposit')
            OR (amount > 50000.0 AND transaction_type = 'transfer'), false) AS BIGINT) AS y,
