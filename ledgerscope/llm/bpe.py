@@ -12,12 +12,12 @@ Encoding and decoding are narrow passes: a task holds the texts of one record ba
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import os
 import re
 import sys
 import unicodedata
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,11 +30,15 @@ from ledgerscope.llm.common import map_with_columns
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-# Fixed values of the vocabulary's kind: the pre-token pattern, in Unicode and for texts of ASCII alone.
+# Fixed values of the vocabulary's kind: the pre-token pattern, in Unicode, and its classes written out for texts of Latin-1 or ASCII alone.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ÿ]+| ?[0-9²³¹¼-¾]+"
+                          r"| ?[^\t-\r \x85\xa0A-Za-zªµºÀ-ÖØ-öø-ÿ0-9²³¹¼-¾]+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 #: Pieces kept in the memo of a worker process (it is emptied when full), and the longest one that is kept.
 MEMO, MEMO_CHARS = 500_000, 64
+#: Characters of distinct pieces in one index (a longer piece has its own).
+INDEX_CHARS = 1_000_000
 _CODECS: dict[str, "ByteBpe"] = {}
 _UNASSIGNED: list[re.Pattern] = []
 
@@ -75,9 +79,9 @@ class ByteBpe:
             self.bytes_of[i] = bytes(map(to_byte.__getitem__, token))
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
-        self.byte_id = array("q", [0] * 256)
+        self.byte_ids = np.zeros(256, np.int64)
         for token, b in to_byte.items():
-            self.byte_id[b] = self.vocab[token]
+            self.byte_ids[b] = self.vocab[token]
         self.rank: dict[int, int] = {}
         self.rules: list[tuple[int, int, int]] = []
         made = {self.vocab[c] for c in to_byte}
@@ -88,6 +92,9 @@ class ByteBpe:
             made.add(new)
             self.rank[x * self.size + y] = r
             self.rules.append((x, y, new))
+        self.byte_ranks = np.full((256, 256), -1, np.int64)
+        for (a, x), (b, y) in itertools.product([(b, self.vocab[c]) for c, b in to_byte.items()], repeat=2):
+            self.byte_ranks[a, b] = self.rank.get(x * self.size + y, -1)
         self.memo: dict[str, bytes] = {}
         self._split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._library = None
@@ -104,8 +111,8 @@ class ByteBpe:
         if text.isascii():
             return ASCII_PIECES.findall(text)
         try:
-            text.encode("latin-1")  # every Latin-1 character is assigned
-            return PIECES.findall(text)
+            text.encode("latin-1")
+            return LATIN_PIECES.findall(text)
         except UnicodeEncodeError:
             pass
         if not unassigned().search(text):
@@ -117,25 +124,27 @@ class ByteBpe:
 
     def merge(self, pieces: Iterable[str]) -> list[bytes]:
         """Ids of each piece, by one pair occurrence index over all of them."""
-        symbols, after, before, starts = array("q"), array("q"), array("q"), [0]
-        for piece in pieces:
-            data, first = piece.encode("utf-8"), len(symbols)
-            symbols.extend(map(self.byte_id.__getitem__, data))
-            last = first + len(data)
-            after.extend(range(first + 1, last + 1))
-            before.extend(range(first - 1, last - 1))
-            if data:
-                after[-1] = before[first] = -1
-            starts.append(last)
+        data = [p.encode("utf-8") for p in pieces]
+        ends = np.cumsum([0, *map(len, data)])
+        starts = ends.tolist()
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        flat = self.byte_ids[raw]
         size, rank_of, rules = self.size, self.rank.get, self.rules
-        flat = np.frombuffer(symbols, np.int64)
-        places: dict[int, list[int]] = {}
-        follows = np.flatnonzero(np.frombuffer(after, np.int64) >= 0) if len(flat) else flat
-        for p, pair in zip(follows.tolist(), (flat[follows] * size + flat[follows + 1]).tolist()):
-            r = rank_of(pair)
-            if r is not None:
-                places.setdefault(r, []).append(p)
-        del flat
+        # neighbours by place; -1 at the two ends of a piece
+        after, before = np.arange(1, len(flat) + 1), np.arange(-1, len(flat) - 1)
+        filled = ends[1:] > ends[:-1]
+        after[ends[1:][filled] - 1] = before[ends[:-1][filled]] = -1
+        # the first entries of the index, pairs of single bytes, come from a table; the lists are cut from one sorted array
+        follows = np.flatnonzero(after >= 0)
+        ranks = self.byte_ranks[raw[follows], raw[follows + 1]]
+        follows, ranks = follows[ranks >= 0], ranks[ranks >= 0]
+        order = np.argsort(ranks, kind="stable")
+        follows, ranks = follows[order], ranks[order]
+        cuts = np.flatnonzero(np.diff(ranks)) + 1
+        starts_of = [0, *cuts.tolist()] if len(ranks) else []
+        flat_places = follows.tolist()
+        places = {r: flat_places[i:j] for r, i, j in zip(ranks[starts_of].tolist(), starts_of, [*starts_of[1:], len(flat_places)])}
+        symbols, after, before = flat.tolist(), after.tolist(), before.tolist()
         active = list(places)
         heapq.heapify(active)
         while active:
@@ -165,7 +174,7 @@ class ByteBpe:
                         else:
                             places[k] = [b]
                             heapq.heappush(active, k)
-        out = np.frombuffer(symbols, np.int64) if len(symbols) else np.zeros(0, np.int64)
+        out = np.array(symbols, np.int64)
         kept = np.concatenate([[0], np.cumsum(out >= 0)])[starts].tolist()
         data = out[out >= 0].astype("<u4").tobytes()
         return [data[4 * a:4 * b] for a, b in zip(kept, kept[1:])]
@@ -208,7 +217,14 @@ class ByteBpe:
             missing = set().union(*split)
         missing = sorted(missing)
         known = self.memo
-        known.update(zip(missing, self.merge(missing)))
+        part, chars = [], 0
+        for piece in missing:
+            part.append(piece)
+            chars += len(piece)
+            if chars >= INDEX_CHARS:
+                known.update(zip(part, self.merge(part)))
+                part, chars = [], 0
+        known.update(zip(part, self.merge(part)))
         out = []
         for row, at in zip(split, special):
             ids = map(known.__getitem__, row)
