@@ -171,7 +171,7 @@ class SubwordEncoder:
             self._learn_bytes(missing)
         return list(map(known.__getitem__, chunks))
 
-    def encode_bytes(self, texts: list[str], group: int = 8_000_000) -> Iterator[bytes]:
+    def encode_bytes(self, texts: list[str], group: int = 4_000_000) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; as ``encode``.
 
         About ``group`` characters of plain texts are cut and their chunks numbered by Arrow; only the distinct ones are looked
@@ -197,7 +197,8 @@ class SubwordEncoder:
         number = chunks.indices.to_numpy(zero_copy_only=False)
         lengths = size[number]
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        data = flat[np.repeat(first[number] - upto[:-1], lengths) + np.arange(upto[-1])].tobytes()
+        small = np.int32 if upto[-1] < 1 << 31 else np.int64  # half the memory, but for the ids of a gigabyte of text
+        data = flat[np.repeat((first[number] - upto[:-1]).astype(small), lengths) + np.arange(upto[-1], dtype=small)].tobytes()
         cuts = lists.offsets.to_numpy()
         ends = (4 * upto[cuts - cuts[0]]).tolist() if len(lists) else [0]
         spans = zip(ends, ends[1:])
