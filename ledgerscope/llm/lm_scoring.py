@@ -135,8 +135,8 @@ def _windows(tokenizer: str, vocabulary: A.Vocabulary):
         end = int(vocabulary.slot_of[encoder.size])
         for b in batches:
             rounds, windows = [], []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
-                slots = np.concatenate([[end], vocabulary.slot_of[np.frombuffer(ids, np.uint32)], [end]]).astype("<u2")
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_bytes(b.column(1).to_pylist())):
+                slots = np.concatenate([[end], vocabulary.slot_of[np.frombuffer(ids, "<u4")], [end]]).astype("<u2")
                 for i in range(0, len(slots) - 1, A.WINDOW):
                     rounds.append(binascii.crc32(f"{doc_id}/{i}".encode()) % len(RATES))
                     windows.append(slots[i:i + A.WINDOW + 1].tobytes())
