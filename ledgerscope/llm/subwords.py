@@ -171,7 +171,7 @@ class SubwordEncoder:
             self._learn_bytes(missing)
         return list(map(known.__getitem__, chunks))
 
-    def encode_bytes(self, texts: list[str], group: int = 4_000_000) -> Iterator[bytes]:
+    def encode_bytes(self, texts: list[str], group: int = 12_000_000) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; as ``encode``.
 
         About ``group`` characters of plain texts are cut and their chunks numbered by Arrow; only the distinct ones are looked
