@@ -149,7 +149,7 @@ def path_counts(edges: DataFrame) -> DataFrame:
     paths of three from the edge on are out2(w) - r out(u) - back(w) + r - triangles, those with it in the middle
     (in(u) - r)(out(w) - r) - triangles; a fourth transfer sums the former over w's receivers and takes off what returns to u.
     """
-    e = described_edges(edges)
+    e = described_edges(cut_lineage(edges.select("src", "dst", "txn_id")))  # read three times there
     closed = closing_counts(e)
     e = e.join(closed, ["src", "dst"], "left").select(
         "src", "dst", "txn_id", F.col("back").alias("r"), "src_out", "src_in", "dst_out", "dst_in",

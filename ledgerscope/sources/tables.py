@@ -91,7 +91,7 @@ def orders_txn_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_transfer_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Denser stand-in for the transfer graph: each order is a transfer to another customer's account (FIXTURES.md B4)."""
+    """Denser stand-in for the transfer graph: each order is a transfer to another customer's account (FIXTURES.md B5)."""
     customers = table(spark, sf_dir, "customer").agg(F.greatest(F.lit(1), F.count(F.lit(1)))).scalar()
     receiver = F.pmod(F.col("o_orderkey") * COUNTERPARTY_MULT + COUNTERPARTY_ADD, customers)
     return table(spark, sf_dir, "orders").select(
