@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ledgerscope.llm.common import text_or_empty
+from ledgerscope.llm.common import give_back, text_or_empty
 from ledgerscope.llm.subwords import SubwordEncoder
 
 #: Bits of a sequence id: bucket (length = 2 ** bucket) | input partition | number within both.
@@ -84,6 +84,7 @@ def pack(docs: DataFrame, tokenizer: str, max_length: int = 2048, end_id: int |
                     rows, held = [], 0
             if rows:
                 yield flush(rows)
+        give_back(memos=False)
 
     narrow = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), text_or_empty(f"`{text_col}`").alias("text"))
     return narrow.mapInArrow(run, PIECES)

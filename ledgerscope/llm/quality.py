@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerscope.llm.common import batch_texts, map_with_columns, materialise, text_or_empty, words_of
+from ledgerscope.llm.common import batch_texts, give_back, map_with_columns, materialise, text_or_empty, words_of
 
 MAX_POSITIVES = 8000
 #: Rounds of averaged training with their step sizes; steps of a partition in a round (more where its rows need more); rows a step.
@@ -208,6 +208,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             x = _matrix(batch_texts(b, "text")).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32), pa.array(x.ravel()))],
                                              names=["id", "x"])
+        give_back()
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(f"`{text_col}`").alias("text")).mapInArrow(run, "id long, x array<float>")
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerscope.llm.common import materialise, row_key, text_or_empty, words_of
+from ledgerscope.llm.common import give_back, materialise, row_key, text_or_empty, words_of
 from ledgerscope.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -74,6 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             fps = np.fromiter((fingerprint_of(x.as_py(), size) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), b.column(2)], names=["doc_id", "fp", "key"])
+        give_back()
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_or_empty(f"`{text_col}`").alias("text"),
                        row_key(f"`{id_col}`", f"`{text_col}`").alias("key")).mapInArrow(run, schema)

@@ -135,3 +135,33 @@ def test_pipeline_runs_on_odd_and_empty_documents(spark, odd_docs, no_docs, tmp_
         for i in ids:
             own = [r for r in rows if r.doc_id == i]
             assert sum(r.length for r in own) == own[0].doc_tokens and len({r.start for r in own}) == len(own)
+
+
+def test_ids_are_gathered_a_few_texts_at_a_time():
+    """Three million chunks in 30 000 texts: what is held beside them is that of a part, not of all."""
+    import tracemalloc
+
+    values = [b"\1\0\0\0", b"\2\0\0\0\3\0\0\0", b""]
+    number = np.arange(3_000_000, dtype=np.int32) % 3
+    cuts = list(range(0, 3_000_001, 100))
+    tracemalloc.start()
+    n, last = 0, b""
+    for last in SubwordEncoder._gathered(values, number, cuts):
+        n += len(last)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4 * 3_000_000 and last == b"".join(values[k] for k in number[-100:]) and peak < 20e6
+    one_long = list(SubwordEncoder._gathered(values, number[:600_000], [0, 0, 599_999, 600_000, 600_000]))
+    assert [len(x) for x in one_long] == [0, 2_400_000, 0, 0]
+
+
+def test_tasks_of_other_operators_empty_the_memo():
+    from ledgerscope.llm.common import give_back
+
+    encoder = SubwordEncoder.of(tokenizer_path())
+    before = list(encoder.encode_bytes(["some words", "more"]))
+    assert encoder.bytes_of
+    give_back(memos=False)
+    assert encoder.bytes_of
+    give_back()
+    assert not encoder.bytes_of and list(encoder.encode_bytes(["some words", "more"])) == before
