@@ -6,7 +6,7 @@ import pytest
 
 from ledgerscope.operators.graph import (build_transfer_graph, detect_cycles, detect_layering, enumerate_chains, hop_summary,
                                          least_chains)
-from ledgerscope.operators.paths import chain_relation, cyclic_core, path_counts, paths_from
+from ledgerscope.operators.paths import chain_relation, cyclic_core, least_cycles, path_counts, paths_from
 from tests.conftest import day, make_txn
 
 
@@ -184,3 +184,41 @@ def test_layering_evidence_rows(spark):
     e = edge_df(spark, [("A", "B"), ("B", "C")])
     ev = {(r.customer_id, r.transaction_id) for r in layering_evidence(detect_layering(e)).collect()}
     assert ev == {("A", "AB"), ("A", "BC")}
+
+
+@pytest.mark.parametrize("work", [path_counts, least_cycles])
+def test_open_wedges_are_not_written(spark, monkeypatch, work):
+    """Three layers, each node sending to all of the next, and one triangle: of some 8 000 wedges one pair closes."""
+    from ledgerscope.operators import paths as module
+    n = 20
+    edges = [(f"{x}{i:02d}", f"{y}{j:02d}") for x, y in (("A", "B"), ("B", "C")) for i in range(n) for j in range(n)] + [("C07", "A03")]
+    written, cut = [], module.cut_lineage
+
+    def counted(df, *a):
+        out = cut(df, *a)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(module, "cut_lineage", counted)
+    rows = work(edge_df(spark, edges)).collect()
+    assert max(written) <= len(edges)
+    if work is path_counts:
+        want = {}
+        for p in paths(edges):
+            if len(p) == 4:
+                want[p[1], p[2]] = want.get((p[1], p[2]), 0) + 1
+        assert {(r.src, r.dst): r.n3_2 for r in rows if r.n3_2} == want
+    else:
+        assert {(r.node, "->".join(r.nodes), ",".join(r.txns)) for r in rows} == {
+            (k, "->".join((k, *rest)), ",".join(t)) for k, rest, t in (
+                ("A03", ("B00", "C07"), ("A03B00", "B00C07", "C07A03")), ("C07", ("A03", "B00"), ("C07A03", "A03B00", "B00C07")),
+                *((f"B{j:02d}", ("C07", "A03"), (f"B{j:02d}C07", "C07A03", f"A03B{j:02d}")) for j in range(n)))}
+
+
+def test_nodes_are_numbered_in_the_order_of_their_names(spark):
+    from ledgerscope.operators.paths import numbered
+    e = edge_df(spark, [("b", "a"), ("é", "Z"), ("Z", "b"), ("a10", "a9")]).repartition(4)
+    _, nodes, by_number = numbered(e)
+    rows = sorted((r.id, r.node, r.out) for r in nodes.collect())
+    assert [r[1] for r in rows] == sorted(r[1] for r in rows) and dict(r[1:] for r in rows)["Z"] == 1
+    name = {r[0]: r[1] for r in rows}
+    assert {(name[r.src], name[r.dst]) for r in by_number.collect()} == {("b", "a"), ("é", "Z"), ("Z", "b"), ("a10", "a9")}
