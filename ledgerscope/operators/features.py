@@ -84,12 +84,10 @@ def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice
     p = params
     short_us = p.rolling_short_days * US_PER_DAY
     long_us = p.rolling_long_days * US_PER_DAY
-    aggs = [("rolling_7d_count", short_us, lambda w: F.count(F.lit(1)).over(w)),
-            ("rolling_30d_sum", long_us, lambda w: F.coalesce(F.sum("amount").over(w), F.lit(0)).cast("double"))]
+    aggs = [("rolling_7d_count", short_us, F.lit(1)), ("rolling_30d_sum", long_us, F.col("amount"))]
     if structuring_count:
         ju = F.when(just_under(F.col("amount"), p), F.lit(1)).otherwise(F.lit(0))
-        aggs.append(("structuring_window_count", p.structuring_window_days * US_PER_DAY,
-                     lambda w: F.sum(ju).over(w).cast("long")))
+        aggs.append(("structuring_window_count", p.structuring_window_days * US_PER_DAY, ju))
     from ledgerscope.session import cut_lineage
 
     longest = max(a[1] for a in aggs)
@@ -104,8 +102,8 @@ def compute_features(txn: DataFrame, params: Params = DEFAULT_PARAMS, keep_slice
     else:
         prepared = slice_copies(txn, ["customer_id"], "timestamp", longest,
                                 ["amount", "transaction_id"], "transaction_id", slice_us)
-        rolled = rolling_on_slices(prepared, ["customer_id"], aggs, lag_cols=[("_lag_t", T_COL)],
-                                   tiebreak="transaction_id")
+        rolled = rolling_on_slices(prepared, ["customer_id"], aggs, slice_us, lag_cols=[("_lag_t", T_COL)],
+                                   tiebreak="transaction_id").withColumn("rolling_30d_sum", F.col("rolling_30d_sum").cast("double"))
         joined = join_rows(rolled, slice_summary(partials), ["customer_id", SLICE_COL])
     prev_t = F.coalesce(F.col("_lag_t"), F.col("_prev_slice_last_t"))
     out = (joined

@@ -18,10 +18,11 @@ says which of the two is used; both give the same values, nulls included.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 US_PER_SECOND = 1_000_000
 US_PER_HOUR = 3_600 * US_PER_SECOND
@@ -31,8 +32,8 @@ SLICE_COL = "_slice"
 T_COL = "_t_us"
 SHIFT_COL = "_shift"
 
-# name -> (frame length in microseconds, builder(window spec) -> Column)
-RangeAgg = tuple[str, int, Callable[[object], Column]]
+# (output name, frame length in microseconds, additive value per row: 1 for a count, the amount for a sum)
+PrefixMeasure = tuple[str, int, Column]
 
 
 def half_open_range(keys: Sequence[str], order_col: str, length_us: int):
@@ -69,9 +70,14 @@ def slice_copies(df: DataFrame, keys: Sequence[str], ts_col: str, longest_us: in
     return narrowed.repartition(*keys, SLICE_COL)
 
 
-def rolling_on_slices(prepared: DataFrame, keys: Sequence[str], aggs: Sequence[RangeAgg],
+def rolling_on_slices(prepared: DataFrame, keys: Sequence[str], aggs: Sequence[PrefixMeasure], slice_us: int,
                       lag_cols: Sequence[tuple[str, str]] = (), tiebreak: str | None = None) -> DataFrame:
-    """Windows over the output of ``slice_copies``; returns the home rows only (``_slice`` kept)."""
+    """Rolling sums over the output of ``slice_copies``; returns the home rows only (``_slice`` kept). Nulls add nothing.
+
+    A row's value enters at its time and leaves one frame length later, as a narrow row of its own within the same
+    partition, so a sum is one running total: linear in the rows, however many lie in a frame. Floating-point values would
+    leave rounding behind, so their frames are summed one by one.
+    """
     part = [*keys, SLICE_COL]
     out = prepared
     order = [T_COL] + ([tiebreak] if tiebreak else [])
@@ -79,15 +85,34 @@ def rolling_on_slices(prepared: DataFrame, keys: Sequence[str], aggs: Sequence[R
         w_rows = Window.partitionBy(*part).orderBy(*order)
         for name, c in lag_cols:
             out = out.withColumn(name, F.lag(F.col(c)).over(w_rows))
-    for name, length, build in aggs:
-        out = out.withColumn(name, build(half_open_range(part, T_COL, length)))
+    types = [f.dataType for f in prepared.select(*[v for _, _, v in aggs]).schema.fields]
+    running = [(name, length, v, t) for (name, length, v), t in zip(aggs, types) if isinstance(t, (IntegralType, DecimalType))]
+    for (name, length, v), t in zip(aggs, types):
+        if not isinstance(t, (IntegralType, DecimalType)):
+            out = out.withColumn(name, F.coalesce(F.sum(v).over(half_open_range(part, T_COL, length)), F.lit(0)))
+    if running:
+        rows = out.columns
+        lengths = sorted({length for _, length, _, _ in running})
+        until = (F.col(SLICE_COL) + 1) * F.lit(int(slice_us))  # what leaves later is seen by no home row
+        leaves = [F.when(F.col(T_COL) + F.lit(int(x)) < until, F.lit(j)) for j, x in enumerate(lengths, 1)]
+        out = out.select(*rows, *[F.coalesce(v, F.lit(0).cast(t)).alias(f"_v{i}") for i, (_, _, v, t) in enumerate(running)],
+                         F.explode(F.array_compact(F.array(F.lit(0), *leaves))).alias("_j"))
+        home = F.col("_j") == 0
+        signed = [F.when(home, F.col(f"_v{i}")).when(F.col("_j") == lengths.index(length) + 1, -F.col(f"_v{i}")).otherwise(F.lit(0).cast(t)).alias(f"_v{i}")
+                  for i, (_, length, _, t) in enumerate(running)]
+        time = F.col(T_COL) + F.when(home, F.lit(0)).otherwise(F.element_at(F.array(*[F.lit(int(x)) for x in lengths]), F.greatest(F.col("_j"), F.lit(1))))
+        out = out.select(*[F.col(c) if c in part else time.alias(c) if c == T_COL else F.when(home, F.col(c)).alias(c) for c in rows], *signed, "_j")
+        upto = Window.partitionBy(*part).orderBy(T_COL).rangeBetween(Window.unboundedPreceding, 0)
+        for i, (name, *_) in enumerate(running):
+            out = out.withColumn(name, F.sum(f"_v{i}").over(upto))
+        out = out.where(home).drop("_j", *[f"_v{i}" for i in range(len(running))])
     return out.filter(F.col(SHIFT_COL) == 0).drop(SHIFT_COL)
 
 
-def sliced_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, aggs: Sequence[RangeAgg],
+def sliced_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, aggs: Sequence[PrefixMeasure],
                    read_cols: Sequence[str], lag_cols: Sequence[tuple[str, str]] = (),
                    tiebreak: str | None = None, slice_us: int | None = None) -> DataFrame:
-    """Add rolling range aggregates (and optional previous-row values) per key.
+    """Add rolling range sums (and optional previous-row values) per key.
 
     ``read_cols``: columns the frames read (kept on context rows).
     ``lag_cols``: (output name, column) pairs for the previous row's value in
@@ -97,7 +122,7 @@ def sliced_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, aggs: Sequen
     """
     longest = max(length for _, length, _ in aggs)
     prepared = slice_copies(df, keys, ts_col, longest, read_cols, tiebreak, slice_us)
-    return rolling_on_slices(prepared, keys, aggs, lag_cols, tiebreak)
+    return rolling_on_slices(prepared, keys, aggs, int(slice_us or longest), lag_cols, tiebreak)
 
 
 def last_marker_at_or_before(df: DataFrame, keys: Sequence[str], order_col: str, marker: Column,
@@ -135,10 +160,6 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= n)
 
 
-# (output name, frame length in microseconds, additive value per row: 1 for a count, the amount for a sum)
-PrefixMeasure = tuple[str, int, Column]
-
-
 def prefix_rolling(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str, measures: Sequence[PrefixMeasure],
                    slice_us: int, prev_time: str | None = None) -> DataFrame:
     """Rolling sums over ``(t - w, t]`` as prefix differences, for keys too dense for overlapping slices.
@@ -240,8 +261,7 @@ def rolling_sums(df: DataFrame, keys: Sequence[str], ts_col: str, id_col: str, m
         r = prefix_rolling(df, keys, ts_col, id_col, measures, slice_us)
         return join_rows(df.withColumn(T_COL, F.unix_micros(F.col(ts_col))), r, [*keys, T_COL, id_col]).drop(T_COL)
     read = sorted({c for m in measures for c in _columns_of(m[2], df)} | {id_col})
-    aggs = [(name, length, (lambda w, v=v: F.coalesce(F.sum(v).over(w), F.lit(0)))) for name, length, v in measures]
-    return sliced_rolling(df, keys, ts_col, aggs=aggs, read_cols=read, slice_us=slice_us).drop(SLICE_COL, T_COL)
+    return sliced_rolling(df, keys, ts_col, aggs=measures, read_cols=read, slice_us=slice_us).drop(SLICE_COL, T_COL)
 
 
 def _columns_of(c: Column, df: DataFrame) -> list[str]:

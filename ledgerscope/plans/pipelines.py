@@ -243,16 +243,22 @@ class RunResponse:
 
 def run_response(txn: DataFrame, params: Params = DEFAULT_PARAMS, model: Model | None = None, requested: DataFrame | None = None,
                  filters: Filters | None = None) -> RunResponse:
-    """Input check, the three modes (entity lookup and aggregation if asked for), then audit and verification of all items."""
+    """Input check, the three modes (entity lookup and aggregation if asked for), then audit and verification of all items.
+
+    The items (one row a customer at most) are written while the plan is built: evidence, audit, checks and totals all read them.
+    """
     from ledgerscope.operators.aggregates import agg_run_totals
     from ledgerscope.operators.decide import bias_audit, verify_results
+    from ledgerscope.session import cut_lineage
 
     clean, quarantined = split_valid(txn)
     consensus, rows = flagship_items(txn, params, model)
-    items = assemble_flagged(pipeline_entity(txn, requested, params) if requested is not None else None,
-                             pipeline_aggregation(txn, filters, params) if filters is not None else None, consensus)
-    evidence = assemble_evidence(evidence_entity(txn, requested) if requested is not None else None,
-                                 evidence_aggregation(txn, filters, params) if filters is not None else None, rows)
+    items = cut_lineage(assemble_flagged(pipeline_entity(txn, requested, params) if requested is not None else None,
+                                         pipeline_aggregation(txn, filters, params) if filters is not None else None, consensus))
+    # the items of a mode are its customers, so its rows need no join of their own with them
+    narrow = ("customer_id", "transaction_id", "amount")
+    evidence = assemble_evidence(clean.select(F.upper("customer_id").alias("customer_id"), *narrow[1:]) if requested is not None else None,
+                                 filter_txn(clean, filters, params).select(*narrow) if filters is not None else None, rows)
     evidence = evidence.join(items.select("mode", "customer_id"), ["mode", "customer_id"], "left_semi")
     return RunResponse(items, evidence, bias_audit(items, clean), verify_results(items, evidence, params, keys=("mode", "customer_id")),
                        agg_run_totals(items, evidence, clean), quarantined)
