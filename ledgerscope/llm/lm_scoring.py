@@ -1,14 +1,15 @@
 """LM scoring: a causal self-attention model over subword ids, learnt from the training texts, scores every text.
 
-Texts are cut into blocks of ``BLOCK_BYTES`` and written as the numbers of their words, beside the block's dictionary.
+Texts are cut into blocks of ``BLOCK_BYTES`` and written as the numbers of their words, beside the block's dictionary with
+the subword ids of each word (subwords never cross words, so a block's distinct words are tokenised once). Training texts
+are written as subword ids too.
 
-Learning. Word counts come from all training texts (a shuffle of the dictionaries' partial counts). Subword counts follow
-from the distinct words, since subwords never cross words. Attention weights are learnt from all windows of all
-training texts: each round takes another slice of the written windows in one narrow pass, every task trains a copy of
-the weights on its part, in mixed order, and the copies are averaged by Spark, piece by piece.
+Learning. Word counts come from all training texts (a shuffle of the dictionaries' partial counts), subword counts from
+the dictionaries. Attention weights are learnt from all windows of all training texts: each round cuts another slice of
+the windows from the written ids in one narrow pass, every task trains a copy of the weights on its part, in mixed order,
+and the copies are averaged by Spark, piece by piece.
 
-Scoring. The dictionaries' words are joined to the corpus counts and
-subword ids (each distinct word of the corpus is tokenised once), and a block's numbers meet its own dictionary in a
+Scoring. The dictionaries' words are joined to the corpus counts, and a block's numbers meet its own dictionary in a
 cogroup: nothing that grows with the corpus is broadcast, and no text is shuffled. Overlapping
 context windows score each subword once in batches. The score of a text is the log probability under a mixture,
 word by word, of the attention model and the word frequencies, with a uniform prior over the mixture weight of
@@ -19,7 +20,6 @@ probability.
 from __future__ import annotations
 
 import binascii
-import itertools
 import math
 from collections.abc import Iterator
 
@@ -43,67 +43,94 @@ TOKENS_A_TASK = 1_000_000
 #: Windows that a task holds to mix their order.
 MIXED = 16_384
 _PIECE = 8192
-_BLOCKS = "block long, doc_id long, train boolean, numbers binary, number int, word binary, n long"
+#: Words whose subwords are gathered at once.
+GATHERED = 300_000
+_TYPES = {"block": pa.int64(), "doc_id": pa.int64(), "train": pa.bool_(), "numbers": pa.binary(), "number": pa.int32(), "word": pa.binary(), "n": pa.int64(),
+          "ids": pa.binary()}
+_BLOCKS = "block long, doc_id long, train boolean, numbers binary, number int, word binary, n long, ids binary"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Numbers(dict):
+    """Numbers words as they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _blocks(tokenizer: str):
     """Blocks of neighbouring rows, (partition << 32) + block within the partition, as rows of two kinds.
 
-    A text: doc_id, train, and the numbers of its words in the block's dictionary (unsigned 32-bit; the empty word ends it).
-    A word: its number, and how often training texts of the block have it. A block holds ``BLOCK_BYTES`` of texts, or one text.
+    A text: doc_id, train, the numbers of its words in the block's dictionary (unsigned 32-bit; the empty word ends it), and
+    if it is a training text the ids of its subwords, with the end's.
+    A word: its number, how often training texts of the block have it, and its subword ids. Ids take as few bytes as fit; the
+    end of a text has the id after the last. A block holds ``BLOCK_BYTES`` of texts, or one text.
     """
-    part, block, size = TaskContext.get().partitionId(), 0, 0
-    number: dict[bytes, int] = {}
-    ids, trains, texts = [], [], []
 
-    def flush():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, size = TaskContext.get().partitionId(), 0, 0
+        encoder = SubwordEncoder.of(tokenizer)
+        kind = _id_type(encoder.size)
+        number = _Numbers()
+        ids, trains, texts = [], [], []
+
         def of(rows, /, **columns):
-            types = {"block": pa.int64(), "doc_id": pa.int64(), "train": pa.bool_(), "numbers": pa.binary(), "number": pa.int32(), "word": pa.binary(), "n": pa.int64()}
             columns["block"] = np.full(rows, (part << 32) + block, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in types.items()], names=list(types))
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in _TYPES.items()], names=list(_TYPES))
+
+        def flush():
+            words = list(number)
+            spelt = encoder.encode_words_bytes([w.decode("utf-8", "replace") for w in words])
+            spelt[number[b""]] = np.array([encoder.size], "<u4").tobytes()
+            lengths = np.fromiter(map(len, spelt), np.int64, len(spelt)) >> 2
+            flat = np.frombuffer(b"".join(spelt), "<u4").astype(kind)
+            starts = np.cumsum(lengths) - lengths
+            n = np.zeros(len(words), np.int64)
+            for a, b in _groups_of(texts, GATHERED):
+                learnt = [t for t, train in zip(texts[a:b], trains[a:b]) if train]
+                slices = iter(())
+                if learnt:
+                    own = np.concatenate(learnt)
+                    n += np.bincount(own, minlength=len(words))
+                    data = flat[_spread(starts[own], lengths[own])].tobytes()
+                    stops = (kind.itemsize * np.cumsum(np.add.reduceat(lengths[own], np.cumsum([0, *map(len, learnt[:-1])])))).tolist()
+                    slices = (data[i:j] for i, j in zip([0, *stops], stops))
+                yield of(b - a, doc_id=ids[a:b], train=trains[a:b], numbers=[t.tobytes() for t in texts[a:b]],
+                         ids=[next(slices) if train else None for train in trains[a:b]])
+            step, data = kind.itemsize, flat.tobytes()
+            yield of(len(words), number=np.arange(len(words)), word=words, n=n,
+                     ids=[data[step * i:step * j] for i, j in zip(starts.tolist(), (starts + lengths).tolist())])
 
-        learnt = [t for t, train in zip(texts, trains) if train]
-        n = np.bincount(np.concatenate(learnt) if learnt else np.zeros(0, np.int64), minlength=len(number))
-        for a in range(0, len(ids), 4096):
-            yield of(len(ids[a:a + 4096]), doc_id=ids[a:a + 4096], train=trains[a:a + 4096], numbers=[t.tobytes() for t in texts[a:a + 4096]])
-        yield of(len(number), number=np.arange(len(number)), word=list(number), n=n)
+        for b in batches:
+            for doc_id, train, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                words = words_of(text.as_py())
+                words.append(b"")
+                here = sum(map(len, words)) + len(words)
+                if size and size + here > BLOCK_BYTES:
+                    yield from flush()
+                    number, ids, trains, texts, block, size = _Numbers(), [], [], [], block + 1, 0
+                size += here
+                ids.append(doc_id)
+                trains.append(train)
+                texts.append(np.fromiter(map(number.__getitem__, words), "<u4", len(words)))
+        if ids:
+            yield from flush()
+    return run
 
-    for b in batches:
-        for doc_id, train, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            words = words_of(text.as_py())
-            words.append(b"")
-            here = sum(map(len, words)) + len(words)
-            if size and size + here > BLOCK_BYTES:
-                yield from flush()
-                number, ids, trains, texts, block, size = {}, [], [], [], block + 1, 0
-            size += here
-            ids.append(doc_id)
-            trains.append(train)
-            texts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), "<u4", len(words)))
-    if ids:
-        yield from flush()
 
+def _groups_of(texts: list[np.ndarray], most: int) -> Iterator[tuple[int, int]]:
+    """Slices of neighbouring texts that hold about ``most`` words."""
+    a = held = 0
+    for b, t in enumerate(texts, 1):
+        held += len(t)
+        if held >= most or b == len(texts):
+            yield a, b
+            a, held = b, 0
 
-def _texts_of(words: list[bytes]) -> list[str]:
-    return [w.decode("utf-8", "replace") for w in words]
 
-
-def _subwords(tokenizer: str):
-    """(word, c, ids): the ids of each distinct word in as few bytes as fit; the end of a text has the id after the last."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SubwordEncoder.of(tokenizer)
-        for b in batches:
-            words = b.column(0).to_pylist()
-            ids = encoder.encode_words(_texts_of(words))
-            encoder.memo_of.clear()  # the words are distinct: what was learnt is not met again
-            kind = _id_type(encoder.size)
-            end = np.array([encoder.size], kind).tobytes()
-            flat = np.fromiter(itertools.chain.from_iterable(ids), kind).tobytes()
-            stops = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) * kind.itemsize
-            data = [flat[i:j] if w else end for w, i, j in zip(words, [0, *stops[:-1].tolist()], stops.tolist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.binary())], names=["word", "c", "ids"])
-    return run
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its length, end to end."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
 def _subword_counts(size: int):
@@ -127,52 +154,46 @@ def _flat_ids(column, end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(data), kind), np.fromiter(map(len, data), np.int64, len(data)) // kind.itemsize
 
 
-def _windows(tokenizer: str, vocabulary: A.Vocabulary):
-    """(round, window): start slot and up to ``WINDOW`` slots of a training text, as 16-bit integers."""
+def _windows(doc_id: int | None, ids: np.ndarray, vocabulary: A.Vocabulary, round: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of a text that ``round`` takes, one a row: a slot before and up to ``WINDOW`` slots; and how many each has.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SubwordEncoder.of(tokenizer)
-        end = int(vocabulary.slot_of[encoder.size])
-        for b in batches:
-            rounds, windows = [], []
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_bytes(b.column(1).to_pylist())):
-                slots = np.concatenate([[end], vocabulary.slot_of[np.frombuffer(ids, "<u4")], [end]]).astype("<u2")
-                for i in range(0, len(slots) - 1, A.WINDOW):
-                    rounds.append(binascii.crc32(f"{doc_id}/{i}".encode()) % len(RATES))
-                    windows.append(slots[i:i + A.WINDOW + 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(rounds, pa.int32()), pa.array(windows, pa.binary())], names=["round", "window"])
-    return run
-
-
-def _batches_of(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.zeros((len(windows), A.WINDOW + 1), np.int64)
-    n = np.zeros(len(windows), np.int64)
-    for i, w in enumerate(windows):
-        s = np.frombuffer(w, "<u2")
-        x[i, :len(s)], n[i] = s, len(s)
-    return x[:, :-1], x[:, 1:], np.arange(A.WINDOW) < (n - 1)[:, None]
+    ``ids``: the text's, with the end's; an end comes before it.
+    """
+    of_text = binascii.crc32(f"{doc_id}/".encode())
+    starts = range(0, len(ids), A.WINDOW)
+    taken = np.array([i for i in starts if binascii.crc32(b"%d" % i, of_text) % len(RATES) == round], np.int64)
+    slots = np.zeros(len(starts) * A.WINDOW + 1, vocabulary.slot_of.dtype)
+    slots[0] = vocabulary.slot_of[-1]
+    vocabulary.slot_of.take(ids, out=slots[1:len(ids) + 1], mode="clip")
+    return slots[taken[:, None] + np.arange(A.WINDOW + 1)], np.minimum(A.WINDOW, len(ids) - taken)
 
 
-def _local_training(weights: dict[str, np.ndarray], rate: float, seed: int):
+def _local_training(weights: dict[str, np.ndarray], vocabulary: A.Vocabulary, round: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        rng = np.random.default_rng([round, TaskContext.get().partitionId()])
+        kind = _id_type(len(vocabulary.slot_of) - 1)
 
-        def mixed(held: list[bytes]):
-            order = rng.permutation(len(held)).tolist()  # an order without runs of one text
-            for i in range(0, len(held), BATCH_WINDOWS):
-                yield _batches_of([held[k] for k in order[i:i + BATCH_WINDOWS]])
+        def mixed(held: list[tuple[np.ndarray, np.ndarray]]):
+            windows, n = (np.concatenate(x) for x in zip(*held))
+            order = rng.permutation(len(n))  # an order without runs of one text
+            for i in range(0, len(order), BATCH_WINDOWS):
+                some = order[i:i + BATCH_WINDOWS]
+                x = windows[some].astype(np.int64)
+                yield x[:, :-1], x[:, 1:], np.arange(A.WINDOW) < n[some][:, None]
 
         def groups():
-            held: list[bytes] = []
+            held, count = [], 0
             for b in batches:
-                held += b.column(0).to_pylist()
-                if len(held) >= MIXED:
-                    yield from mixed(held)
-                    held = []
-            if held:
+                for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1)):
+                    held.append(_windows(doc_id, np.frombuffer(ids.as_py(), kind), vocabulary, round))
+                    count += len(held[-1][1])
+                    if count >= MIXED:
+                        yield from mixed(held)
+                        held, count = [], 0
+            if count:
                 yield from mixed(held)
 
-        trained, tokens = A.train_locally(weights, groups(), rate)
+        trained, tokens = A.train_locally(weights, groups(), RATES[round])
         if tokens:
             flat = A.flatten(trained).astype(np.float32)
             pieces = [flat[i:i + _PIECE].tobytes() for i in range(0, len(flat), _PIECE)]
@@ -190,14 +211,16 @@ def _average(table: pa.Table) -> pa.Table:
     return pa.table({"piece": pa.array([table.column("piece")[0].as_py()], pa.int32()), "values": pa.array([(total / mass).astype(np.float32).tobytes()], pa.binary())})
 
 
-def train_attention(texts: DataFrame, vocabulary: A.Vocabulary, tokenizer: str) -> dict[str, np.ndarray]:
-    """Weights learnt from all windows of ``texts`` (doc_id, text)."""
-    windows = materialise(texts.select("doc_id", "text").mapInArrow(_windows(tokenizer, vocabulary), "round int, window binary"), compression="zstd")
-    tasks = max(1, -(-windows.count() * A.WINDOW // (len(RATES) * TOKENS_A_TASK)))
+def train_attention(texts: DataFrame, vocabulary: A.Vocabulary, ids_col: str) -> dict[str, np.ndarray]:
+    """Weights learnt from all windows of ``texts``: doc_id, and in ``ids_col`` the subword ids with the end's (see ``_blocks``).
+
+    ``vocabulary`` counts the subwords of these texts. Each round reads the ids again and takes its slice of the windows.
+    """
+    tasks = max(1, -(-int(vocabulary.counts.sum()) // (len(RATES) * TOKENS_A_TASK)))
     weights = A.initial_weights(vocabulary)
-    for r, rate in enumerate(RATES):
-        rows = (windows.where(F.col("round") == r).select("window").coalesce(tasks)  # narrow: few tokens are not spread over many copies
-                .mapInArrow(_local_training(weights, rate, r), "piece int, tokens long, values binary")
+    for r in range(len(RATES)):
+        rows = (texts.select("doc_id", ids_col).coalesce(tasks)  # narrow: few tokens are not spread over many copies
+                .mapInArrow(_local_training(weights, vocabulary, r), "piece int, tokens long, values binary")
                 .groupBy("piece").applyInArrow(_average, "piece int, values binary").orderBy("piece").collect())
         if rows:
             weights = A.unflatten(np.concatenate([np.frombuffer(x["values"], np.float32) for x in rows]), weights)
@@ -220,7 +243,7 @@ def _score_block(weights: dict[str, np.ndarray], vocabulary: A.Vocabulary, denom
             n_words = np.fromiter(map(len, group), np.int64, len(group))
             word = np.concatenate(group)
             n = lengths[word]
-            token = np.repeat(starts[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            token = _spread(starts[word], n)
             first_word = np.cumsum(n_words) - n_words
             lp = A.score_tokens(weights, slots[token], np.add.reduceat(n, first_word), end_slot) + inside[token]
             upto = np.concatenate([[0.0], np.cumsum(lp, dtype=np.float64)])
@@ -262,19 +285,18 @@ def score_texts(docs: DataFrame, training: Column, tokenizer: str, id_col: str =
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("train"),
                        text_or_empty(f"`{text_col}`").alias("text"))
-    blocks = materialise(rows.mapInArrow(_blocks, _BLOCKS), compression="zstd")
-    words = blocks.where("word is not null").select(F.col("block").alias("own_block"), "number", "word", "n")
+    blocks = materialise(rows.mapInArrow(_blocks(tokenizer), _BLOCKS), compression="zstd")
+    words = blocks.where("word is not null").select(F.col("block").alias("own_block"), "number", "word", "n", "ids")
     counts = materialise(words.groupBy("word").agg(F.sum("n").alias("c")), compression="zstd")
     total = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     denominator = float(total.n + 1 * (total.v + 1))
     frequency = np.zeros(SubwordEncoder.of(tokenizer).size + 1)
-    encoded = materialise(counts.mapInArrow(_subwords(tokenizer), "word binary, c long, ids binary"), compression="zstd")
-    for r in (encoded.where("c > 0").select("c", "ids").mapInArrow(_subword_counts(len(frequency)), "id long, n long")
+    for r in (words.where("n > 0").select("n", "ids").mapInArrow(_subword_counts(len(frequency)), "id long, n long")
               .groupBy("id").agg(F.sum("n").alias("n")).limit(len(frequency)).collect()):
         frequency[r.id] = r.n
     vocabulary = A.vocabulary_of(frequency)
-    weights = train_attention(rows.where("train"), vocabulary, tokenizer)
-    dictionary = words.select("own_block", "number", "word").join(encoded, "word").select("own_block", "number", "c", "ids")
+    weights = train_attention(blocks.where("numbers is not null and train").select("doc_id", "ids"), vocabulary, "ids")
+    dictionary = words.select("own_block", "number", "word", "ids").join(counts.hint("merge"), "word").select("own_block", "number", "c", "ids")
     scored = (blocks.where("numbers is not null").select("block", "doc_id", "numbers").groupBy("block").cogroup(dictionary.groupBy("own_block"))
               .applyInArrow(_score_block(weights, vocabulary, denominator),
                             "doc_id long, n_tokens long, n_known long, base_score double, score double, attention_score double"))

@@ -242,6 +242,46 @@ def test_model_is_trained_on_every_training_text(docs_of, monkeypatch):
     assert sorted(seen) == list(range(300))
 
 
+def test_training_reads_ids_written_with_the_blocks(docs_of):
+    """A text is tokenised once: training texts carry their ids, of which the rounds take every window once."""
+    texts = ["Alpha beta\tGAMMA, delta. É😀 <|x", "", "one two " * 400, "held out words", "  \n"]
+    rows = docs_of(list(enumerate(texts)), 1).select("doc_id", (F.col("doc_id") != 3).alias("train"), "text")
+    blocks = rows.mapInArrow(lm_scoring._blocks(tokenizer_path()), lm_scoring._BLOCKS).collect()
+    encoder = SubwordEncoder.of(tokenizer_path())
+    end = encoder.size
+    spelt = lambda w: np.array(encoder.encode_words([w.decode()])[0] if w else [end], "<u2").tobytes()
+    assert all(x.ids == spelt(bytes(x.word)) for x in blocks if x.word is not None)
+    got = {x.doc_id: x.ids for x in blocks if x.numbers is not None}
+    assert got[3] is None and all(got[i] == b"".join(map(spelt, [*lm_scoring.words_of(texts[i]), b""])) for i in (0, 1, 2, 4))
+    vocabulary = A.vocabulary_of(np.bincount(np.concatenate([np.frombuffer(x, "<u2") for x in got.values() if x]), minlength=end + 1).astype(float))
+    for i in (0, 1, 2, 4):
+        ids = np.frombuffer(got[i], "<u2")
+        slots = vocabulary.slot_of[np.concatenate([[end], ids])].tolist()
+        want = sorted(slots[k:k + A.WINDOW + 1] for k in range(0, len(ids), A.WINDOW))
+        cut = [lm_scoring._windows(i, ids, vocabulary, r) for r in range(len(lm_scoring.RATES))]
+        assert sorted(x[:k + 1].tolist() for windows, n in cut for x, k in zip(windows, n)) == want
+
+
+def test_training_steps_equal_plain_adam():
+    """Updates in pieces, with moments kept without their factors, against Adam as written down; and large logits stay finite."""
+    rng = np.random.default_rng(9)
+    start = {k: v.astype(np.float64) for k, v in A.initial_weights(A.vocabulary_of(rng.integers(1, 50, 6000).astype(float))).items()}
+    batches = [(rng.integers(0, A.SLOTS, (4, A.WINDOW)), rng.integers(0, A.SLOTS, (4, A.WINDOW)), np.arange(A.WINDOW) < np.array([[32], [32], [9], [32]]))
+               for _ in range(5)]
+    got, tokens = A.train_locally(start, batches, 0.02)
+    w = {k: v.copy() for k, v in start.items()}
+    m, s = {k: 0 for k in w}, {k: 0 for k in w}
+    for step, b in enumerate(batches, 1):
+        g, _ = A.gradients(w, *b)
+        for k in w:
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * s[k] + 0.01 * g[k] ** 2
+            w[k] = w[k] - 0.02 * step / 20 / (1 - 0.9 ** step) * m[k] / (np.sqrt(s[k] / (1 - 0.99 ** step)) + 1e-6)
+    assert tokens == 5 * 105 and all(np.allclose(got[k], w[k], rtol=1e-8, atol=1e-10) for k in w)
+    large = {k: (40 * v if k in ("ein", "ecl", "eout", "wk", "wq") else v).astype(np.float32) for k, v in start.items()}
+    g, _ = A.gradients(large, *batches[0])
+    assert all(np.isfinite(x).all() for x in g.values())
+
+
 def test_subwords_equal_plain_encoding():
     encoder = SubwordEncoder.of(tokenizer_path())
     r = random.Random(1)
